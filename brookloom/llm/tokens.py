@@ -1,6 +1,6 @@
 """Token ids of texts by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit binaries.
 
-The library encodes every distinct word once a worker: a text is cut at single spaces and newlines between characters
+The library encodes a distinct word once a worker: a text is cut at single spaces and newlines between characters
 that aren't white space, where the file's pre-tokenizer always starts a new token, so joined parts equal the whole
 text's ids. Texts with other white space go to the library whole.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,74 +18,88 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-#: Words that a worker remembers; beyond it the memory is emptied.
-CACHE_WORDS = 800_000
+#: Words that a worker remembers for each of its two places, at the start of a line and later; the first seen stay.
+CACHE_WORDS = 1_000_000
+#: Marks that are no part of a word's token where they end it.
+MARKS = ",.;:!?*&$%#|"
+
+
+def byte_chars() -> dict[int, str]:
+    """The character by which a byte-level vocabulary shows each byte: printable ones themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_CHARS = byte_chars()
 #: A text that has to go to the library whole is cut at single spaces into pieces of about so many characters.
 LONG_TEXT = 1 << 20
 _encoders: dict[str, Encoder] = {}
 
 
+class Words(dict):
+    """Ids of words, each with ``prefix`` before it. Learns a word when it is first asked for; KeyError where no text can be cut."""
+
+    def __init__(self, library, prefix: str):
+        super().__init__()
+        self.prefix, self.fast, self.piece = prefix, library.encode_batch_fast, library.model.tokenize
+        self.tails: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # one pre-token, so the model alone gives its ids
+            mapped = (self.prefix + word).encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = [t.id for t in self.piece(mapped)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        elif not word or word[0].isspace() or word[-1].isspace():
+            raise KeyError(word)
+        elif (bare := word.rstrip(MARKS)) != word and bare.isalpha():  # the marks are one pre-token of their own
+            tail = word[len(bare) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.ids(tail)
+            found = self[bare] + self.tails[tail]
+        else:
+            found = self.ids(self.prefix + word)
+        if len(self) < CACHE_WORDS:
+            self[word] = found
+        return found
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.newline = self.whole("\n")
-        self.newline_id = int(np.frombuffer(self.newline, "<u4")[0])
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.library.model._resize_cache(1)  # the words' own memory is larger
+        self.first, self.later = Words(self.library, ""), Words(self.library, " ")
+        self.newline = self.first.ids("\n")
 
     def whole(self, text: str) -> bytes:
         if len(text) <= LONG_TEXT:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.first.ids(text)
         out, start = [], 0
         while start < len(text):
             cut = re.compile(r"(?<=\S) (?=\S)").search(text, min(start + LONG_TEXT, len(text)))
             end = cut.start() if cut else len(text)
-            out.append(np.array(self.library.encode(text[start:end], add_special_tokens=False).ids, "<u4").tobytes())
+            out.append(self.first.ids(text[start:end]))
             start = end
         return b"".join(out)
 
-    def _learn(self, words: set[str], known: dict[str, bytes], prefix: str) -> None:
-        fresh = [w for w in words if w not in known]
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            ids = np.array(self.library.encode("\n".join(prefix + w for w in some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.newline_id), len(ids))
-            begin = 0
-            raw = ids.tobytes()
-            for w, end in zip(some, ends.tolist(), strict=True):
-                known[w] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE_WORDS:
-            self.first, self.later = {}, {}
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        first: set[str] = set()
-        later: set[str] = set()
-        for lines in cut:
-            for words in lines:
-                first.add(words[0])
-                later.update(words[1:])
-        first.difference_update(self.first)
-        later.difference_update(self.later)
-        # empty or edged with white space: no place to cut a text at
-        odd = {w for w in first | later if not w or w[0].isspace() or w[-1].isspace()}
-        self._learn(first - odd, self.first, "")
-        self._learn(later - odd, self.later, " ")
-        out = []
-        one, more, newline = self.first, self.later, self.newline
-        for text, lines in zip(texts, cut, strict=True):
-            try:
-                parts = []
-                for words in lines:
-                    parts.append(one[words[0]] + b"".join(map(more.__getitem__, words[1:])))
-                out.append(newline.join(parts))
-            except KeyError:
-                out.append(self.whole(text))
-        return out
+    def encode(self, text: str) -> bytes:
+        first, later = self.first.__getitem__, self.later.__getitem__
+        try:
+            parts = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                ids = [first(words[0])]
+                ids += map(later, words[1:])
+                parts.append(b"".join(ids))
+            return self.newline.join(parts)
+        except KeyError:
+            return self.whole(text)
 
 
 def encoder(path: str) -> Encoder:
@@ -93,23 +108,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def encode_series(it: Iterator[pd.Series], path: str) -> Iterator[pd.Series]:
     tool = encoder(path)
     for s in it:
-        yield pd.Series([x for b in batches(s.tolist()) for x in tool.encode(b)], dtype=object)
+        yield pd.Series([tool.encode(x) for x in s], dtype=object)
 
 
 def token_ids(text: str | Column, path: str, end_id: int | None = None) -> Column:
