@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.llm import packing, sharding, tokens
-from brookloom.llm.shared import stage
+from brookloom.llm import packing, sharding, tokens, toxicity, vector_join
+from brookloom.llm.shared import small_batches, stage
 
 
 def vocabulary(name: str) -> str:
@@ -26,10 +26,28 @@ def op1_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     ids = docs.select("doc_id", tokens.token_ids("text", vocabulary("byte_bpe_50k.json"), end_id=0).alias("ids"))
     cut = packing.cut_pieces(ids, "ids", 1024)
-    pieces = stage(cut.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens"), "pieces")
+    with small_batches(spark):
+        pieces = stage(cut.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens"), "pieces")
     return packing.pack(pieces, 1024, ["doc_id", "start"])
 
 
+def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_join.near_duplicates(vectors, "vec_id", "embedding", 0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = F.col("toxic") == 1
+    # confirmed toxic texts, and texts without a label
+    examples = docs.where(~held_out).join(labels, "doc_id", "left").where(F.col("toxic").isNull() | toxic)
+    model = toxicity.fit(examples, "doc_id", "text", toxic, toxicity.prior_of(labels, toxic))
+    out = toxicity.score(docs, model, "text").select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -40,6 +58,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_vector_join": op4_vector_join,
+    "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
 }
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 #: Words that a worker remembers for each of its two places, at the start of a line and later; the first seen stay.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Marks that are no part of a word's token where they end it.
 MARKS = ",.;:!?*&$%#|"
 
@@ -122,5 +122,6 @@ def token_ids(text: str | Column, path: str, end_id: int | None = None) -> Colum
 
     run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
     col = F.col(text) if isinstance(text, str) else text
-    ids = F.pandas_udf(run, BinaryType())(F.coalesce(col, F.lit("")))
+    # not deterministic as far as the optimizer is told, else filters above evaluate it again
+    ids = F.pandas_udf(run, BinaryType()).asNondeterministic()(F.coalesce(col, F.lit("")))
     return ids if end_id is None else F.concat(ids, F.lit(int(end_id).to_bytes(4, "little")))
