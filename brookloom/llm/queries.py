@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.llm import packing, sharding, tokens, toxicity, vector_join
+from brookloom.llm import chat, packing, quality, sharding, tokens, toxicity, vector_join
 from brookloom.llm.shared import small_batches, stage
 
 
@@ -31,6 +31,12 @@ def op1_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
     return packing.pack(pieces, 1024, ["doc_id", "start"])
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    featured = stage(quality.features(docs).drop("text"), "quality")
+    return quality.judge(featured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector_join.near_duplicates(vectors, "vec_id", "embedding", 0.95).select("vec_id", "n_links", "component_id", "kept")
@@ -56,11 +62,39 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(stored, ["doc_id", "text_crc32", "size"], stored.count())
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, kept = chat.maximal(table(spark, sf_dir, "conversations"))
+    out = chat.render(placed, kept)
+    return out.select(F.col("conv").alias("conv_id"), "n_turns", "n_copies", "part", "rendered")
+
+
+OP8_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM turns),
+hashed AS (
+  SELECT conv_id, pos, role, text, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM placed),
+ends AS (SELECT conv_id, max(pos) AS last, arg_max(prefix, pos) AS prefix FROM hashed GROUP BY conv_id),
+kinds AS (SELECT last, prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM ends GROUP BY last, prefix),
+shorter AS (SELECT DISTINCT h.prefix FROM hashed h JOIN ends e USING (conv_id) WHERE h.pos < e.last),
+kept AS (SELECT * FROM kinds WHERE prefix NOT IN (SELECT prefix FROM shorter))
+SELECT k.conv_id, k.last + 1 AS n_turns, k.n_copies, p.pos // 256 AS part,
+  string_agg('<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10), '' ORDER BY p.pos) AS rendered
+FROM kept k JOIN placed p USING (conv_id) GROUP BY k.conv_id, k.last, k.n_copies, p.pos // 256
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_vector_join": op4_vector_join,
     "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_chat": op8_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_chat": OP8_SQL,
+}

@@ -18,33 +18,28 @@ from pyspark.sql import functions as F
 
 #: Texts of each set that the model is fitted on at most, chosen by a hash of their keys.
 SAMPLE = 4_000
-#: Features that the model weighs at most, and standard errors by which a feature's share must be higher among toxic texts.
-FEATURES, LEAST_ERRORS = 2_048, 5.0
-#: Features are words, and their beginnings of so many characters.
-BEGINNINGS = (4, 5)
-WORDS = re.compile(r"[^\W_]+")
-
-
-def features(text: str) -> set[str]:
-    words = set(WORDS.findall(text.lower()))
-    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in BEGINNINGS))
-
-
-def feature_column(text: Column) -> Column:
-    """The same features, on the executors' JVM."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    starts = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("-"))) for k in BEGINNINGS]
-    return F.array_distinct(F.concat(words, *starts))
+#: Words that the model weighs at most, standard errors by which a word's share must be higher among toxic texts, and the
+#: least share of them that have it: what only copies of one text have says nothing of toxicity.
+WORDS, LEAST_ERRORS, LEAST_SHARE = 2_048, 5.0, 0.02
+#: A text is also described by its most telling word's tier: shares of toxic texts among those with the word.
+TIERS = (0.0, 0.2, 0.4, 0.6, 0.8)
+PATTERN = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class Model:
+    """weights and tiers: by word; tier_weights: what a text's highest tier adds."""
+
     weights: dict[str, float]
+    tiers: dict[str, int]
+    tier_weights: tuple[float, ...]
     bias: float
     prior: float
 
     def score(self, text: str) -> float:
-        f = self.bias + math.fsum(map(self.weights.get, self.weights.keys() & features(text)))
+        f = self.bias
+        if hits := self.weights.keys() & set(PATTERN.findall(text.lower())):
+            f += math.fsum(self.weights[w] for w in hits) + self.tier_weights[max(self.tiers[w] for w in hits)]
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, f))))
 
 
@@ -96,29 +91,34 @@ def fit(examples: DataFrame, key: str, text: str, positive: Column, prior: float
     """Fit on at most ``sample`` positive and twice as many unlabelled texts of ``examples``, chosen by a hash of ``key``.
 
     Only word counts over the sample and word numbers of its texts reach the driver: both are bounded by ``sample`` and
-    ``FEATURES``. Without positive or unlabelled examples, or with a prior outside (0, 1), every score is the prior.
+    ``WORDS``. Without positive or unlabelled examples, or with a prior outside (0, 1), every score is the prior.
     """
     kept = examples.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(positive, F.lit(False)).alias("positive"))
+    kept = kept.groupBy(F.xxhash64("text").alias("t"), "positive").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))  # copies count once
     some = kept.where("positive").orderBy("h").limit(sample).union(kept.where("not positive").orderBy("h").limit(2 * sample))
-    words = some.select("h", "positive", feature_column(F.col("text")).alias("words")).persist()
+    words = some.select("h", "positive", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("words")).persist()
     try:
         sizes = {r["positive"]: r["n"] for r in words.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
         n, u = sizes.get(True, 0), sizes.get(False, 0)
         if not n or not u or not 0 < prior < 1:
             p = min(max(prior, 1e-6), 1 - 1e-6)
-            return Model({}, math.log(p / (1 - p)), prior)
+            return Model({}, {}, (), math.log(p / (1 - p)), prior)
         counts = words.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
         share = (F.col("p") + F.col("u")) / (n + u)
         errors = (F.col("p") / n - F.col("u") / u) / F.sqrt(share * (1 - share) * (1 / n + 1 / u) + 1e-12)
-        chosen = counts.select("word", errors.alias("e")).where(F.col("e") >= LEAST_ERRORS).orderBy(F.desc("e"), "word").limit(FEATURES)
-        vocabulary = [r[0] for r in chosen.select("word").collect()]
+        chosen = counts.select("word", errors.alias("e"), "p", "u").where((F.col("e") >= LEAST_ERRORS) & (F.col("p") >= max(2.0, LEAST_SHARE * n)))
+        chosen = chosen.orderBy(F.desc("e"), "word").limit(WORDS).collect()
+        vocabulary = [r["word"] for r in chosen]
+        shares = [prior * (r["p"] / n) / ((r["u"] + 0.5) / u) for r in chosen]
+        tier = [max(k for k, t in enumerate(TIERS) if share >= t) for share in shares]
         number = words.sparkSession.createDataFrame([(w, i) for i, w in enumerate(vocabulary)], "word string, i int")
         found = words.select("h", "positive", F.explode_outer("words").alias("word")).join(F.broadcast(number), "word", "left")
         rows = found.groupBy("h", "positive").agg(F.collect_list("i").alias("at")).orderBy("positive", "h").collect()
     finally:
         words.unpersist()
-    w, b = risk_step([np.array(r["at"], int) for r in rows], np.array([r["positive"] for r in rows], bool), prior, len(vocabulary))
-    return Model({x: float(y) for x, y in zip(vocabulary, w, strict=True) if abs(y) > 0.02}, b, prior)
+    texts = [np.array(r["at"] + [len(vocabulary) + max((tier[i] for i in r["at"]), default=0)] * bool(r["at"]), int) for r in rows]
+    w, b = risk_step(texts, np.array([r["positive"] for r in rows], bool), prior, len(vocabulary) + len(TIERS))
+    return Model(dict(zip(vocabulary, map(float, w), strict=False)), dict(zip(vocabulary, tier, strict=True)), tuple(map(float, w[len(vocabulary) :])), b, prior)
 
 
 def prior_of(labelled: DataFrame, label: Column) -> float:
