@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookloom.llm import chat, packing, quality, sharding, tokens, toxicity, vector_join
-from brookloom.llm.shared import small_batches, stage
+from brookloom.llm.shared import ship, small_batches, stage
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

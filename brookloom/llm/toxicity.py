@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookloom.llm.shared import ship
+
 #: Texts of each set that the model is fitted on at most, chosen by a hash of their keys.
 SAMPLE = 4_000
 #: Words that the model weighs at most, standard errors by which a word's share must be higher among toxic texts, and the
 #: least share of them that have it: what only copies of one text have says nothing of toxicity.
-WORDS, LEAST_ERRORS, LEAST_SHARE = 2_048, 5.0, 0.02
+WORDS, LEAST_ERRORS, LEAST_SHARE = 2_048, 5.0, 0.025
 #: A text is also described by its most telling word's tier: shares of toxic texts among those with the word.
 TIERS = (0.0, 0.2, 0.4, 0.6, 0.8)
 PATTERN = re.compile(r"[^\W_]+")
@@ -106,7 +108,7 @@ def fit(examples: DataFrame, key: str, text: str, positive: Column, prior: float
         counts = words.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
         share = (F.col("p") + F.col("u")) / (n + u)
         errors = (F.col("p") / n - F.col("u") / u) / F.sqrt(share * (1 - share) * (1 / n + 1 / u) + 1e-12)
-        chosen = counts.select("word", errors.alias("e"), "p", "u").where((F.col("e") >= LEAST_ERRORS) & (F.col("p") >= max(2.0, LEAST_SHARE * n)))
+        chosen = counts.select("word", errors.alias("e"), "p", "u").where((F.col("e") >= LEAST_ERRORS) & (F.col("p") >= max(3.0, LEAST_SHARE * n)))
         chosen = chosen.orderBy(F.desc("e"), "word").limit(WORDS).collect()
         vocabulary = [r["word"] for r in chosen]
         shares = [prior * (r["p"] / n) / ((r["u"] + 0.5) / u) for r in chosen]
@@ -130,6 +132,8 @@ def prior_of(labelled: DataFrame, label: Column) -> float:
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add ``out`` (0 to 1, double) from the whole text; null and empty texts get the score of no words."""
 
+    ship(df.sparkSession)
+
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield pd.Series([model.score(x) for x in s], dtype="float64")
