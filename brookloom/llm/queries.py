@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.llm import chat, packing, quality, sharding, tokens, toxicity, vector_join
+from brookloom.llm import chat, packing, quality, sharding, shingle_join, tokens, toxicity, vector_join
 from brookloom.llm.shared import ship, small_batches, stage
 
 
@@ -69,6 +69,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "n_turns", "n_copies", "part", "rendered")
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shingle_join.similar_groups(docs, "doc_id", "text", 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
 OP8_SQL = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
     "op8_chat": op8_chat,
+    "op10_shingle_join": op10_shingle_join,
 }
 
 SQL: dict[str, str] = {
