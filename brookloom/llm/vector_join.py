@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from brookloom.llm.shared import components, quoted, stage, without
 
 #: Vectors of a cell in one block; a task holds two blocks.
-BLOCK = 2_048
+BLOCK = 4_096
 #: Different vectors for which there is one pivot, and pivots at most: they are broadcast.
 PER_PIVOT, MOST_PIVOTS = 4_096, 4_096
 
@@ -86,12 +86,21 @@ def join_cells(dealt: DataFrame, least: float) -> DataFrame:
     A member at home meets each other member of its cell once, in one block pair; tasks hold two blocks whatever the cell.
     The forest's rows (class, root) number no more than the members, however many links there are.
     """
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # a row at home goes out as a query to each block, and every row as a partner of each block
-    queries = held.where("home").select("cell", F.col("block").alias("qb"), every.alias("ib"), F.lit(True).alias("q"), "class", "n", "v")
-    partners = held.select("cell", every.alias("qb"), F.col("block").alias("ib"), F.lit(False).alias("q"), "class", "n", "v")
+    def blocks(n: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+
+    sizes = dealt.groupBy("cell").agg(blocks(F.count_if("home")).alias("homes"), blocks(F.count(F.lit(1))).alias("all"))
+    held = dealt.join(sizes, "cell")
+
+    def place(n: str) -> Column:
+        return F.pmod(F.xxhash64("class", F.lit("block")), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # a row at home goes out as a query to each block of the cell, and every row as a partner to each block at home
+    queries = held.where("home").select("cell", place("homes").alias("qb"), every("all").alias("ib"), F.lit(True).alias("q"), "class", "n", "v")
+    partners = held.select("cell", every("homes").alias("qb"), place("all").alias("ib"), F.lit(False).alias("q"), "class", "n", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own, other = pdf[pdf["q"]], pdf[~pdf["q"]]
