@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.llm import chat, packing, quality, sharding, shingle_join, tokens, toxicity, vector_join
-from brookloom.llm.shared import ship, small_batches, stage
+from brookloom.llm import chat, language, packing, quality, sentencepieces, sharding, shingle_join, token_store, tokens, toxicity, vector_join
+from brookloom.llm.shared import ship, small_batches, stage, stage_path
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,15 @@ def op1_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None)
     return packing.pack(pieces, 1024, ["doc_id", "start"])
 
 
+def op2_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary("piece_bpe_32k.model")
+    ids = docs.withColumn("ids", sentencepieces.encoded(F.col("text"), path))
+    back = ids.withColumn("decoded", sentencepieces.decoded(F.col("ids"), path))
+    whole = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), whole.alias("round_trip"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     featured = stage(quality.features(docs).drop("text"), "quality")
@@ -43,18 +52,31 @@ def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicates(vectors, "vec_id", "embedding", 0.95).select("vec_id", "n_links", "component_id", "kept")
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Fitted on confirmed toxic texts and on texts without a label, none of them held out."""
+    toxic = F.col("toxic") == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    examples = docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id", "left").where(F.col("toxic").isNull() | toxic)
+    return toxicity.fit(examples, "doc_id", "text", toxic, toxicity.prior_of(labels, toxic))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    labels = table(spark, sf_dir, "labels").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    toxic = F.col("toxic") == 1
-    # confirmed toxic texts, and texts without a label
-    examples = docs.where(~held_out).join(labels, "doc_id", "left").where(F.col("toxic").isNull() | toxic)
-    model = toxicity.fit(examples, "doc_id", "text", toxic, toxicity.prior_of(labels, toxic))
-    out = toxicity.score(docs, model, "text").select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score")
+    out = toxicity.score(docs, toxicity_model(spark, sf_dir, docs), "text").select("doc_id", held_out().alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = stage_path(spark, "token-store")
+    token_store.write(docs.select("doc_id", tokens.token_ids("text", vocabulary("byte_bpe_50k.json"), end_id=2).alias("ids")), path, "doc_id", "ids")
+    return token_store.digests_of(spark, path)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -69,6 +91,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "n_turns", "n_copies", "part", "rendered")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shingle_join.similar_groups(docs, "doc_id", "text", 3, 90, 100).select("doc_id", "n_shingles", "component_id")
@@ -94,11 +120,14 @@ FROM kept k JOIN placed p USING (conv_id) GROUP BY k.conv_id, k.last, k.n_copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sentencepieces": op2_sentencepieces,
     "op3_quality_rules": op3_quality_rules,
     "op4_vector_join": op4_vector_join,
     "op5_toxicity": op5_toxicity,
+    "op6_token_store": op6_token_store,
     "op7_sharding": op7_sharding,
     "op8_chat": op8_chat,
+    "op9_language": op9_language,
     "op10_shingle_join": op10_shingle_join,
 }
 
