@@ -7,6 +7,7 @@ and of the address suffix, and a prior by host that leans on those of the host's
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,13 +35,17 @@ LEAN = 10.0
 MOST_WORDS = 50.0
 
 
+def one_of(values: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(values)
+
+
 def counted(df: DataFrame, text: Column) -> DataFrame:
     """Add c_<class> for each class of function words, c_other and n_words; a null or empty text has none."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
 
     def counts(ws: Column) -> Column:
         found = F.filter(ws, lambda w: w.isin(ALL_WORDS))
-        each = let(found, lambda fs: F.struct(*[F.size(F.filter(fs, lambda w, v=v: w.isin(v))).alias(f"c_{k}") for k, v in CLASSES.items()], F.size(fs).alias("found")))
+        each = let(found, lambda fs: F.struct(*[F.size(F.filter(fs, one_of(v))).alias(f"c_{k}") for k, v in CLASSES.items()], F.size(fs).alias("found")))
         return F.struct(each.alias("each"), F.size(ws).alias("n_words"))
 
     out = without(df, [*(f"c_{k}" for k in CLASSES), "c_other", "n_words", "_counts"]).withColumn("_counts", let(words, counts))
@@ -163,7 +168,7 @@ def fuse(features: DataFrame, words: dict[str, dict[str, float]]) -> DataFrame:
     return out.drop("_best", *[f"_s_{k}" for k in LANGUAGES], *[f"prior_{k}" for k in LANGUAGES], *[f"c_{s}" for s in SYMBOLS])
 
 
-def identify_pages(pages: DataFrame, texts: DataFrame, least: float = 0.6) -> DataFrame:
+def identify_pages(pages: DataFrame, texts: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, suffix, declared, n_words, text_lang, lang_id, probability, rejected.
 
     ``texts`` (text, lang) teaches the word likelihoods. rejected: the text has no words, or no language reaches
@@ -177,7 +182,7 @@ def identify_pages(pages: DataFrame, texts: DataFrame, least: float = 0.6) -> Da
     return out.withColumn("rejected", (F.col("n_words") == 0) | (F.col("probability") < least)).select("page_id", "host", "suffix", "declared", "n_words", "text_lang", "lang_id", "probability", "rejected")
 
 
-def identify_documents(docs: DataFrame, key: list[str], text: str, declared: str, source: str, least: float = 0.6) -> DataFrame:
+def identify_documents(docs: DataFrame, key: list[str], text: str, declared: str, source: str, least: float = 0.5) -> DataFrame:
     """The columns ``key`` with n_words, text_lang, lang_id, probability, rejected: a text's source stands for its host.
 
     Word likelihoods are learned from the declared languages of the same rows. Defined as for pages.
