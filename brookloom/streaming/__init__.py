@@ -1 +1 @@
-"""streaming"""
+"""Streams of run events."""
