@@ -60,8 +60,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
     """Fitted on confirmed toxic texts and on texts without a label, none of them held out."""
     toxic = F.col("toxic") == 1
     labels = table(spark, sf_dir, "labels").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    examples = docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id", "left").where(F.col("toxic").isNull() | toxic)
-    return toxicity.fit(examples, "doc_id", "text", toxic, toxicity.prior_of(labels, toxic))
+    marks = toxicity.marked(docs.where(~held_out()), "doc_id", "text", labels, toxic)
+    return toxicity.fit(docs.where(~held_out()), "text", marks, toxicity.prior_of(labels, toxic))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,16 +89,28 @@ def risk_step(rows: list[np.ndarray], positive: np.ndarray, prior: float, width:
     return w, float(b)
 
 
-def fit(examples: DataFrame, key: str, text: str, positive: Column, prior: float, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` positive and twice as many unlabelled texts of ``examples``, chosen by a hash of ``key``.
+def marked(docs: DataFrame, key: str, text: str, labels: DataFrame, positive: Column) -> DataFrame:
+    """(text_hash, positive) of texts that are confirmed toxic, or have no label: a narrow table, without the texts.
 
-    Only word counts over the sample and word numbers of its texts reach the driver: both are bounded by ``sample`` and
-    ``WORDS``. Without positive or unlabelled examples, or with a prior outside (0, 1), every score is the prior.
+    ``labels`` has ``key``, each once, and what ``positive`` reads; other labels say nothing.
     """
-    kept = examples.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(positive, F.lit(False)).alias("positive"))
-    kept = kept.groupBy(F.xxhash64("text").alias("t"), "positive").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))  # copies count once
-    some = kept.where("positive").orderBy("h").limit(sample).union(kept.where("not positive").orderBy("h").limit(2 * sample))
-    words = some.select("h", "positive", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("words")).persist()
+    hashed = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    said = labels.select(F.col(key), F.coalesce(positive, F.lit(False)).alias("positive"))
+    return hashed.join(said, key, "left").where("positive is null or positive").select("text_hash", F.coalesce("positive", F.lit(False)).alias("positive"))
+
+
+def fit(texts: DataFrame, text: str, marks: DataFrame, prior: float, sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` positive and twice as many unlabelled texts, chosen by a hash; copies count once.
+
+    Only the sample's texts move, and only word counts over it and word numbers of its texts reach the driver: all are
+    bounded by ``sample`` and ``WORDS``. Without positive or unlabelled texts, or with a prior outside (0, 1), every score
+    is the prior.
+    """
+    kinds = marks.groupBy("text_hash").agg(F.bool_or("positive").alias("positive")).withColumn("h", F.xxhash64("text_hash", F.lit("sample")))
+    some = kinds.where("positive").orderBy("h", "text_hash").limit(sample).union(kinds.where("not positive").orderBy("h", "text_hash").limit(2 * sample))
+    whole = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    chosen = whole.join(F.broadcast(some), "text_hash").groupBy("text_hash", "h", "positive").agg(F.first("text").alias("text"))
+    words = chosen.select("h", "positive", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("words")).persist()
     try:
         sizes = {r["positive"]: r["n"] for r in words.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
         n, u = sizes.get(True, 0), sizes.get(False, 0)
