@@ -392,7 +392,9 @@ class External(Job):
         if lost := [o for o in self.outputs if not os.path.exists(o)]:
             raise JobContractError(f"not made: {lost}")
         spark = self.pipeline.spark
-        return {o: files.fingerprints(files.listed(spark, f"file://{o}")).first()["hash"] for o in self.outputs}
+        # an empty file gives no row
+        found = {o: files.fingerprints(files.listed(spark, f"file://{o}")).first() for o in self.outputs}
+        return {o: r["hash"] if r else "empty" for o, r in found.items()}
 
 
 def shell(pipeline: Pipeline, folder: str, made: Iterable[str], script: str) -> External:
