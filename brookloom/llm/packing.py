@@ -44,7 +44,12 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
             while heap and not room[-heap[0]]:
                 heapq.heappop(heap)
             if not heap or -heap[0] < length:
-                put(need, (length,), capacity - length)
+                # of the rest, each goes into the pack that the one before opened, until that is full
+                each = capacity // length
+                if full := need // each:
+                    put(full, (length,) * each, capacity - length * each)
+                if rest := need % each:
+                    put(1, (length,) * rest, capacity - length * rest)
                 break
             left = -heap[0]
             count, pattern = room[left].pop()

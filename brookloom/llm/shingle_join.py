@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from brookloom.llm.quality import SPACE, let
 from brookloom.llm.shared import components, drop_stage, parallelism, quoted, ship, small_batches, stage, without
 
-#: A signature that more sets have may be left out, as far as a band's slack goes.
-COMMON = 32
 #: Members of a cell in one block; a task holds two blocks of a cell at a time.
 BLOCK = 1_024
 #: Rows that may be broadcast to find the texts of candidates; more are joined by a shuffle.
@@ -156,15 +154,16 @@ def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def cells(rows: DataFrame) -> DataFrame:
     """(hub, key): sets that share a signature meet in the cell of the smallest of them.
 
-    A set leaves out up to its band's slack of its most frequent signatures. Similar sets share more than the slack, and
-    all sets rank signatures alike, so the rarest one that two similar sets share is left out by neither.
+    A set leaves out its most frequent signatures, as many as its band's slack. Similar sets share more than the slack,
+    and all sets rank signatures alike, so the rarest one that two similar sets share is left out by neither; and a set
+    that shares no more than the slack with all others is out.
     """
     alike = Window.partitionBy("sig")
     met = rows.select("*", F.count(F.lit(1)).over(alike).alias("n"), F.min("key").over(alike).alias("hub"), F.max("key").over(alike).alias("top"), F.max(F.col("meta").bitwiseAND(1 << 32)).over(alike).alias("own"))
     met = met.where("hub < top and own > 0").select("sig", "key", "hub", "n", F.shiftright("meta", 33).alias("band"), F.col("meta").bitwiseAND((1 << 32) - 1).alias("slack"))
     met = stage(met.distinct(), "signatures")
     rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.desc("n"), "sig"))
-    kept = met.withColumn("rank", rank).where((F.col("rank") > F.col("slack")) | (F.col("n") <= COMMON))
+    kept = met.withColumn("rank", rank).where(F.col("rank") > F.col("slack"))
     found = stage(kept.select("hub", "key").distinct(), "cells")
     drop_stage(met)
     return found

@@ -1,0 +1,469 @@
+"""Each operator against brute force on small tables, with nulls, empty and odd texts, repeats, empty tables, clashes."""
+
+from __future__ import annotations
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brookloom.llm import chat, language, packing, quality, queries, sentencepieces, sharding, shingle_join, token_store, tokens, toxicity, vector_join
+from brookloom.llm.shared import components, ranked, stage, stage_path
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", "  ", "\n\n", " a", "a ", "a  b", "x\n\ny", "don't 's", "a\tb c", "<|endoftext|> <|endoftext|>a", "é 日本語 ß 🎉", "a \nb", "a\r\nb", "　x ▁ y▁", "ab*** c|d x,,. ª²", "word " * 700, "A b C a B c"]
+
+
+def odd_docs(spark, repeat=1):
+    rows = [(i, t, "en", "s", i) for i, t in enumerate(ODD)] + [(None, "null id", "en", "s", 0), (3, ODD[3], "en", "s", 3)]
+    return spark.createDataFrame(rows * repeat, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    return [tool.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def raw(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+def test_tokens_equal_the_library(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()] + ODD
+    tool = tokens.Encoder(queries.vocabulary("byte_bpe_50k.json"))
+    assert [tool.encode(t or "") for t in texts] == [raw(x) for x in library_ids(texts)]
+    long = "ab cd\n" * 500_000
+    assert tool.whole(long[:1_200_000]) == raw(library_ids([long[:1_200_000]])[0])
+
+
+# --- 1 packing
+def check_packed(rows, capacity):
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert sorted(by) == list(range(len(by)))
+    for own in by.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+        assert sum(r.length for r in own) <= capacity
+
+
+def test_packing(spark):
+    docs = odd_docs(spark)
+    out = queries.op1_packing(spark, DATA, docs).collect()
+    check_packed(out, 1024)
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = library_ids([r.text])[0] + [0]
+        want.update((r.doc_id, s, min(1024, len(ids) - s), zlib.crc32(raw(ids[s : s + 1024])), len(ids)) for s in range(0, len(ids), 1024))
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == want
+
+
+def test_packing_general(spark):
+    rng = random.Random(1)
+    lengths = [min(64, max(1, int(rng.expovariate(1 / 20)))) for _ in range(3000)] + [7] * 1500
+    pieces = stage(spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "doc_id long, length long, sequence_id string"), "t")
+    out = packing.pack(pieces, 64, ["doc_id"]).collect()
+    assert len(out) == len(lengths)
+    check_packed(out, 64)
+    assert len({r.sequence_id for r in out}) <= 1.03 * sum(lengths) / 64 + 1
+    assert packing.pack(pieces.limit(0), 64, ["doc_id"]).collect() == []
+    with pytest.raises(ValueError, match="lengths"):
+        packing.pack(pieces, 32, ["doc_id"])
+    patterns = packing.shortest_pack_first(collections.Counter(lengths), 64)
+    assert collections.Counter({n: c for n, c in collections.Counter(lengths).items()}) == collections.Counter(x for c, p in patterns for x in p * c)
+
+
+# --- 2 SentencePiece
+def best_score(tool, scores, s):
+    best = [0.0] + [float("-inf")] * len(s)
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - 40), j):
+            if s[i:j] in scores:
+                best[j] = max(best[j], best[i] + scores[s[i:j]])
+        if best[j] == float("-inf"):
+            best[j] = best[j - 1] + tool.byte_score * len(s[j - 1].encode())
+    return best[-1]
+
+
+def test_sentencepieces(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    out = {r.doc_id: r for r in odd_docs(spark).withColumn("ids", sentencepieces.encoded(F.col("text"), path)).withColumn("back", sentencepieces.decoded(F.col("ids"), path)).collect()}
+    assert all(r.back == (r.text or "") for r in out.values())
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    tool = sentencepieces.pieces(path)
+    scores = {p: model.get_score(i) for i, p in tool.piece_of.items()}
+    for text in [*(t for t in ODD if t and "▁" not in t and len(t) < 200), *(r.text[:600] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(30).collect())]:
+        s = "▁" + text.replace(" ", "▁")
+        got = sum(scores[tool.piece_of[i]] if i in tool.piece_of else tool.byte_score for i in np.frombuffer(tool.encode(text), "<u4").tolist())
+        assert abs(got - best_score(tool, scores, s)) < 1e-2, text
+    whole = queries.op2_sentencepieces(spark, DATA)
+    assert whole.where("not round_trip").count() == 0
+
+
+# --- 3 quality
+def base(text):
+    w = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    in_repeats = {i + k for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if seen[x] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(in_repeats)
+
+
+def test_quality(spark):
+    docs = odd_docs(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet"))
+    featured = stage(quality.features(docs.withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit("clash"))), "t")
+    out = quality.judge(featured).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(r.text), r.text
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept) and 0 <= r.probability <= 1
+    assert sum(r.kept for r in out) > 0.7 * len(out)
+    assert quality.judge(featured.limit(0)).collect() == []
+
+
+def test_estimate_finds_planted_accuracies(spark):
+    rng = random.Random(5)
+    false, hit = {"a": 0.02, "b": 0.1, "c": 0.01}, {"a": 0.8, "b": 0.6, "c": 0.4}
+    votes = collections.Counter()
+    for _ in range(20000):
+        bad = rng.random() < 0.2
+        votes[tuple(0 if rng.random() < 0.1 else -1 if rng.random() < (hit if bad else false)[r] else 1 for r in "abc")] += 1
+    model = quality.estimate(spark.createDataFrame([(*k, n) for k, n in votes.items()], "a int, b int, c int, n long"), list("abc"), rounds=60)
+    assert abs(model.bad - 0.2) < 0.04 and all(abs(model.hit[r] - hit[r]) < 0.1 and abs(model.false[r] - false[r]) < 0.05 for r in "abc")
+
+
+# --- 4 vectors
+def brute_vectors(rows, least=0.95):
+    good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {i: np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in good}
+    links = {i: [j for j in good if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least] for i in good}
+    out = []
+    for i, (key, _) in enumerate(rows):
+        seen, todo = set(), [i]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += links.get(x, [])
+        low = min((rows[x][0] for x in seen if rows[x][0] is not None), default=None)
+        out.append((key, len(links.get(i, [])), low, low is None or key == low))
+    return collections.Counter(out)
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "BLOCK", 32)
+    monkeypatch.setattr(vector_join, "PER_PIVOT", 40)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8))
+    vectors = [(c + rng.normal(size=8) * 0.12).tolist() for c in centres for _ in range(12)] + [centres[0].tolist()] * 30
+    rows = list(enumerate(vectors)) + [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] * 8), (904, [None] + [1.0] * 7), (905, [float("inf")] * 8), (None, vectors[0]), (5, vectors[5]), (906, [1.0, 2.0])]
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, n_links string")
+    got = vector_join.near_duplicates(df, "vec_id", "embedding").select("vec_id", "n_links", "component_id", "kept")
+    assert collections.Counter(tuple(r) for r in got.collect()) == brute_vectors(rows)
+    assert vector_join.near_duplicates(df.limit(0), "vec_id", "embedding").collect() == []
+    assert vector_join.near_duplicates(df.where("vec_id = 900"), "vec_id", "embedding").first().kept
+
+
+def test_vectors_of_the_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    assert collections.Counter(tuple(r) for r in queries.op4_vector_join(spark, DATA).collect()) == brute_vectors(rows)
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5000, 5400)]
+    low = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# --- 5 toxicity
+def test_toxicity(spark):
+    rng = random.Random(4)
+    plain = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(1500):
+        bad = rng.random() < 0.2
+        words = rng.choices(plain, k=40) + (rng.sample(["zug", "zog", "zag"], 2) if bad else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), bad, bad and rng.random() < 0.5))
+    docs = spark.createDataFrame(rows + [(9000, None, False, False), (9001, "", False, False)], "doc_id long, text string, bad boolean, said boolean")
+    labels = docs.where("said").select("doc_id", F.lit(1).alias("toxic"))
+    marks = toxicity.marked(docs, "doc_id", "text", labels, F.col("toxic") == 1)
+    model = toxicity.fit(docs, "text", marks, 0.2)
+    out = toxicity.score(docs.withColumn("score", F.lit("clash")), model).collect()
+    assert len(out) == 1502 and all(0 <= r.score <= 1 for r in out)
+    hits = [(r.bad, r.score >= 0.7) for r in out]
+    assert sum(b and p for b, p in hits) >= 0.9 * sum(b for b, _ in hits) and not any(p and not b for b, p in hits)
+    none = toxicity.fit(docs, "text", marks.where("not positive"), 0.1)
+    assert abs(none.score("zug") - 0.1) < 1e-9
+    assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_non_negative_risk_does_not_memorise():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 500, 20)) for _ in range(400)]
+    positive = np.zeros(400, bool)
+    positive[:40] = True
+    w, b = toxicity.risk_step(rows, positive, 0.1, 500, epochs=100)
+    f = np.array([b + w[r].sum() for r in rows])
+    assert (1 / (1 + np.exp(-f[40:]))).mean() < 0.4
+
+
+# --- 6 store
+def test_store(spark):
+    docs = odd_docs(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id > 20"))
+    path = stage_path(spark, "t")
+    rows = docs.select("doc_id", tokens.token_ids("text", queries.vocabulary("byte_bpe_50k.json"), end_id=2).alias("ids"))
+    token_store.write(rows, path, "doc_id", "ids")
+    source = sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id))
+    ids = [x + [2] for x in library_ids([r.text for r in source])]
+    got = sorted(token_store.digests_of(spark, path).collect(), key=lambda r: r.start)
+    starts = np.cumsum([0] + [len(x) for x in ids])[:-1].tolist()
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == [(d.doc_id, s, len(x), zlib.crc32(raw(x))) for d, s, x in zip(source, starts, ids, strict=True)]
+    back = collections.Counter((r.doc_id, bytes(r.ids)) for r in token_store.documents(spark, path).collect())
+    assert back == collections.Counter((d.doc_id, raw(x)) for d, x in zip(source, ids, strict=True))
+    assert len(token_store.store_root(spark, path)) == 64
+    chunks = spark.read.parquet(f"{path}/data").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count()
+
+
+def test_store_finds_damage(spark):
+    path = stage_path(spark, "t")
+    one = spark.createDataFrame([(1, bytearray(raw(range(5000)))), (2, bytearray(raw([70000] * 300))), (3, None)], "doc_id long, ids binary")
+    token_store.write(one, path, "doc_id", "ids")
+    assert {r.doc_id: r.n_tokens for r in token_store.digests_of(spark, path).collect()} == {1: 5000, 2: 300, 3: 0}
+    bad = spark.read.parquet(f"{path}/manifest").withColumn("root", F.lit("no"))
+    stage(bad, "t").write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(ValueError, match="root"):
+        token_store.digests_of(spark, path)
+
+
+def test_store_of_nothing(spark):
+    path = stage_path(spark, "t")
+    token_store.write(spark.createDataFrame([], "doc_id long, ids binary"), path, "doc_id", "ids")
+    assert token_store.digests_of(spark, path).collect() == []
+
+
+def test_chunks_resume_after_an_insertion():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 50000, 20000).astype("<u4")
+    other = np.concatenate([ids[:5000], [7, 8, 9], ids[5000:]]).astype("<u4")
+
+    def pieces(x):
+        ends = token_store.cuts(x)
+        assert ends[-1] == len(x) and all(0 < b - a <= token_store.MOST for a, b in zip([0, *ends], ends, strict=False))
+        return {x[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
+
+    a, b = pieces(ids), pieces(other)
+    assert len(a & b) > 0.9 * len(a)
+
+
+def test_crc_of_parts():
+    tables = token_store.shift_tables()
+    a, b = b"hello " * 99, b"world" * 1234
+    assert int(token_store.crc_shifted(np.array([zlib.crc32(a)]), np.array([len(b)]), tables)[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+# --- 7 sharding
+def test_sharding(spark):
+    import math
+
+    import xxhash
+
+    docs = odd_docs(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet"))
+    weights = {0: 1.0, 1: 2.0, 2: 0.5}
+    rows = sharding.assign(docs.withColumn("shard", F.lit("clash")), "doc_id", weights, {**weights, 3: 1.0})
+    out = sharding.slots(stage(rows.select("doc_id", "shard", "grown_shard"), "t"), ["doc_id"], 100).collect()
+
+    def draw(key, shard, weight):
+        h = 42 if key is None else xxhash.xxh64(key.to_bytes(8, "little", signed=True), seed=42).intdigest()
+        h = xxhash.xxh64(shard.to_bytes(4, "little"), seed=h).intdigest()
+        return -weight / math.log(((h >> 11) + 0.5) * 2.0**-53)
+
+    for r in out:
+        assert r.shard == max(weights, key=lambda s: draw(r.doc_id, s, weights[s]))
+        assert r.grown_shard in (r.shard, 3)
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    spread = spark.range(20000).select(sharding.rendezvous(F.col("id"), weights).alias("s")).groupBy("s").count().collect()
+    assert all(abs(r["count"] / 20000 - weights[r.s] / 3.5) < 0.02 for r in spread)
+    with pytest.raises(ValueError, match="weights"):
+        sharding.rendezvous(F.col("id"), {})
+
+
+def test_ranks_of_a_hot_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"), "id")
+    by = collections.defaultdict(list)
+    for r in ranked(df, ["g"], ["id"], 16).collect():
+        by[r.g].append(r["rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+# --- 8 chat
+def test_chat(spark):
+    a, b, c = ("user", "hi"), ("assistant", "yes"), ("user", "more")
+    convs = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [b], 6: [a, c], 7: [(None, None)], 8: [a, b, ("user", None)]}
+    rows = [(k, i, *t, "x") for k, turns in convs.items() for i, t in enumerate(turns)] + [(1, 0, *a, "x"), (None, 0, "user", "x", "x"), (9, None, "user", "x", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos string")
+    out = {r.conv: r for r in chat.render(*chat.maximal(df)).collect()}
+    assert sorted(out) == [3, 5, 6, 7, 8] and out[3].n_copies == 2 and out[3].n_turns == 3
+    assert out[6].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    assert chat.render(*chat.maximal(df.limit(0))).collect() == []
+
+
+def test_long_conversations_are_rendered_in_parts(spark):
+    df = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    shorter = df.where("turn < 300").withColumn("conv_id", F.lit(2))
+    out = chat.render(*chat.maximal(df.union(shorter))).orderBy("part").collect()
+    assert [r.part for r in out] == [0, 1, 2, 3] and {r.conv for r in out} == {1}
+    assert "".join(r.rendered for r in out).count("<|im_end|>") == 1000
+
+
+# --- 9 language
+def test_language(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = language.identify_documents(docs.withColumn("n_words", F.lit("clash")), ["doc_id", "lang"], "text", "lang", "source").collect()
+    assert len(out) == docs.count() and sum(r.lang_id == r.lang for r in out) >= 0.98 * len(out)
+    odd = {r.doc_id: r for r in language.identify_documents(odd_docs(spark), ["doc_id"], "text", "lang", "source").collect()}
+    assert odd[0].rejected and odd[1].rejected and all(0 <= r.probability <= 1 for r in odd.values())
+    assert language.identify_documents(docs.limit(0), ["doc_id"], "text", "lang", "source").collect() == []
+    assert language.identify_pages(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"), docs).first().rejected
+    pages = queries.op9_language(spark, DATA).collect()
+    assert sum(r.lang_id == r.declared for r in pages) >= 0.9 * len(pages)
+
+
+def test_language_parts(spark):
+    row = spark.createDataFrame([("https://me@Www.News.Example.de:80/x?u=http://z", "<!doctype html><HTML class=x lang='DE-at'><head><title>t</title></head><body><p>Das &amp; die<script>if (a<b) {}</script></p><!-- no --></body></html>")], "u string, h string")
+    host = language.host_of(F.col("u"))
+    r = row.select(host.alias("host"), language.suffix_of(host).alias("s"), language.domain_of(host).alias("d"), language.markup_language(F.col("h")).alias("l"), language.markup_text(F.col("h")).alias("t")).first()
+    assert (r.host, r.s, r.d, r.l, r.t.split()) == ("www.news.example.de", "de", "example.de", "de", ["Das", "die"])
+
+
+def test_evidence_decides_where_words_do_not(spark):
+    rows = [(i, f"http://a.example.{'fr' if i % 2 else 'de'}/", "<html><body>" + ("le les des et dans une " if i % 2 else "der und das nicht ein ") * 5) for i in range(60)]
+    rows += [(100, "http://a.example.fr/", '<html lang="fr"><body>xyz'), (101, "http://a.example.de/", '<html lang="de"><body>xyz')]
+    out = {r.page_id: r.lang_id for r in language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert out[100] == "fr" and out[101] == "de"
+
+
+# --- 10 Jaccard
+def shingles(text, width):
+    w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return frozenset(zip(*[w[k:] for k in range(width)], strict=False)) if len(w) >= width else frozenset([tuple(w)]) if w else frozenset()
+
+
+def brute_groups(rows, width, num, den):
+    sets = [shingles(t, width) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                x, y = find(i), find(j)
+                low[max(x, y)] = min(x, y)
+    by = collections.defaultdict(list)
+    for i, (key, _) in enumerate(rows):
+        by[find(i)].append(key)
+    ids = {r: min((k for k in ks if k is not None), default=None) for r, ks in by.items()}
+    return collections.Counter((key, len(sets[i]), ids[find(i)]) for i, (key, _) in enumerate(rows))
+
+
+def near_texts(seed, n=160):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    out = []
+    for k in range(n):
+        if out and rng.random() < 0.7:
+            words = rng.choice(out).split()
+            for _ in range(rng.randrange(0, 6)):
+                at = rng.randrange(len(words) + 1)
+                words[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+        else:
+            words = rng.choices(vocabulary, k=rng.choice([2, 3, 6, 12, 40, 150, 400]))
+        out.append(" ".join(words) or "x")
+    return out
+
+
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (1, 50)])
+def test_jaccard(spark, monkeypatch, width, num):
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    texts = near_texts(width) + ODD + ["common words here " * 3] * 20
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, "alone it stands in no group"), (5, texts[5])]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, node string")
+    got = shingle_join.similar_groups(df, "doc_id", "text", width, num, 100)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows, width, num, 100)
+    if width == 3:
+        assert shingle_join.similar_groups(df.limit(0), "doc_id", "text", 3, 90, 100).collect() == []
+
+
+def test_allocation_keeps_its_promise():
+    rng = np.random.default_rng(1)
+    for num in (50, 80, 90, 95):
+        table = shingle_join.bands(num, 100)
+        for n in (1, 2, 5, 9, 17, 60, 300):
+            b = int(np.searchsorted(table.high, n))
+            m, k, top = int(table.segments[b]), int(table.neighbours[b]), int(table.high[b])
+            h = (top + top * 100 // num) * (100 - num) // (100 + num)
+            assert shingle_join.agreeing(m, k, h) >= table.slack[b] + 1
+            for _ in range(20):
+                hit = np.bincount(rng.integers(0, m, h), minlength=m)
+                assert (hit[:k] <= 1).sum() + (hit[k:] == 0).sum() >= table.slack[b] + 1
+
+
+def test_neighbourhoods_find_sets_that_differ_by_one(spark):
+    table = shingle_join.Bands(np.array([1 << 31]), np.array([1]), np.array([1]), np.array([0]))
+    a = np.arange(1, 11, dtype=np.uint64)
+    sig = [set(np.concatenate([x[0] for x in shingle_join.signatures(np.array([1]), np.array([len(s)]), s, table)]).tolist()) for s in (a, a[:-1], a[:-2])]
+    assert sig[0] & sig[1] and sig[1] & sig[2]
+
+
+# --- pipeline
+def test_corpus_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = docs
+    for name, step in cp.STAGES[:-1]:
+        after = stage(step(spark, kept, DATA), "t")
+        assert after.columns == docs.columns, name
+        assert 0.7 * kept.count() <= after.count() <= kept.count(), name
+        if name.startswith("n-gram"):
+            rows = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+            firsts = {k for k, _, c in brute_groups(rows, 5, 80, 100) if k == c}
+            assert {r.doc_id for r in after.select("doc_id").collect()} == firsts
+        kept = after
+    out = cp.run(spark, DATA).collect()
+    check_packed(out, 1024)
+    assert {r.doc_id for r in out} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_rejected_rows_with_null_ids_go(spark):
+    import corpus_pipeline as cp
+
+    docs = odd_docs(spark)
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    out = cp.without_rejected(docs, marked.where("doc_id is null or text = ''"))
+    assert out.count() == docs.count() - 2 and out.columns == docs.columns
