@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from brookloom.llm.shared import quoted, ship, small_batches
 
 #: Ids that the rolling hash sees; least, usual and most ids of a chunk.
-WINDOW, LEAST, USUAL, MOST = 16, 64, 256, 1_024
+WINDOW, LEAST, USUAL, MOST = 16, 128, 512, 2_048
 PART_DOCUMENTS = 50_000
 ROW = "kind string, key binary, doc_id long, n int, body binary, digests array<binary>, sizes array<int>"
 
@@ -45,15 +46,14 @@ def rolling(ids: np.ndarray) -> np.ndarray:
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document's ids."""
-    if not len(ids):
-        return []
-    marks = np.flatnonzero((rolling(ids) >> np.uint64(40)) % np.uint64(USUAL) == 0) + 1
     ends, at, total = [], 0, len(ids)
-    while total - at > LEAST:
-        k = int(np.searchsorted(marks, at + LEAST))
-        end = min(int(marks[k]) if k < len(marks) else total, at + MOST, total)
-        ends.append(end)
-        at = end
+    if total > LEAST:
+        marks = (np.flatnonzero((rolling(ids) >> np.uint64(40)) % np.uint64(USUAL) == 0) + 1).tolist()
+        while total - at > LEAST:
+            k = bisect_left(marks, at + LEAST)
+            end = min(marks[k] if k < len(marks) else total, at + MOST, total)
+            ends.append(end)
+            at = end
     if at < total:
         ends.append(total)
     return ends
@@ -75,25 +75,30 @@ def chunked(df: DataFrame, key: str, ids: str) -> DataFrame:
         seen: set[bytes] = set()
         task, row = TaskContext.get().partitionId(), 0
         for pdf in it:
-            out = []
-            for doc, raw in zip(pdf["doc"], pdf["ids"], strict=True):
+            names = ["kind", "key", "doc_id", "n", "body", "digests", "sizes"]
+            out: dict[str, list] = {n: [] for n in names}
+
+            def put(*values: object, out: dict[str, list] = out) -> None:
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+
+            for doc, raw in zip(pdf["doc"].tolist(), pdf["ids"].tolist(), strict=True):
                 stream = np.frombuffer(raw, "<u4")
+                narrow = stream.astype("<u2").tobytes() if len(stream) and stream.max() < 65536 else None
                 digests, sizes, at = [], [], 0
                 for end in cuts(stream):
-                    part = stream[at:end]
-                    digest = hashlib.sha256(part.tobytes()).digest()
+                    digest = hashlib.sha256(raw[4 * at : 4 * end]).digest()
                     if digest not in seen:
                         if len(seen) < 500_000:
                             seen.add(digest)
-                        out.append(("chunk", digest, None, end - at, packed(part), None, None))
+                        put("chunk", digest, None, end - at, packed(stream[at:end]) if narrow is None else narrow[2 * at : 2 * end], None, None)
                     digests.append(digest)
                     sizes.append(end - at)
                     at = end
-                out.append(("recipe", f"{task}-{row}".encode(), None if pd.isna(doc) else int(doc), len(stream), None, digests, sizes))
+                put("recipe", f"{task}-{row}".encode(), None if pd.isna(doc) else int(doc), len(stream), None, digests, sizes)
                 row += 1
-            frame = pd.DataFrame(out, columns=["kind", "key", "doc_id", "n", "body", "digests", "sizes"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+            yield pd.DataFrame(out)
 
     return df.select(quoted(key).cast("long").alias("doc"), F.coalesce(quoted(ids), F.lit(b"")).alias("ids")).mapInPandas(run, ROW)
 
