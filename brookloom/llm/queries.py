@@ -38,7 +38,9 @@ def op2_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = docs.withColumn("ids", sentencepieces.encoded(F.col("text"), path))
     back = ids.withColumn("decoded", sentencepieces.decoded(F.col("ids"), path))
     whole = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), whole.alias("round_trip"))
+    out = back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), whole.alias("round_trip"))
+    with small_batches(spark):
+        return stage(out, "sentencepieces")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score(docs, toxicity_model(spark, sf_dir, docs), "text").select("doc_id", held_out().alias("held_out"), "score")
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    with small_batches(spark):
+        return stage(out.withColumn("predicted", (F.col("score") >= 0.7).cast("int")), "toxicity")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, StringType
 MARK = "▁"  # stands for a space
 CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
 #: Words that a worker remembers; the first seen stay.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _models: dict[str, Pieces] = {}
 
 
