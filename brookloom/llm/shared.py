@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a local one only where the session names none (tests)."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="brookloom-")
-        spark.conf.set(CHECKPOINT_DIR, found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="brookloom-")
+        found = _own_dirs[app]
     return found.rstrip("/")
 
 
