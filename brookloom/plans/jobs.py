@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from brookloom.functions.code import check_non_locals, function_digest, same_function
 from brookloom.functions.digests import SEPARATOR, parameter_digest, table_digest
 from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT
-from brookloom.plans.tables import delete, exists, rename
-from brookloom.sources import files
+from brookloom.plans.tables import delete, exists, path_of, rename
+from brookloom.sources import files, shared
 
 if TYPE_CHECKING:
     from brookloom.plans.pipeline import Pipeline
@@ -230,6 +230,72 @@ class Dataset(Job):
         return out
 
 
+class SharedDataset(Job):
+    """A table that pipelines share below ``store``: built once for equal inputs, stored once for equal rows.
+
+    by_input says which stored table (its rows' fingerprint) an input key gave; used_by, which input key each pipeline uses
+    now. ``build`` may depend on nothing but this job's inputs: another table for the same key fails.
+    """
+
+    def __init__(self, pipeline: Pipeline, store: str, name: str, build: Callable[[], DataFrame], track: bool = True, allowed: Iterable[str] = ()):
+        self.store, self.name, self.build = f"{store.rstrip('/')}/{name}", name, build
+        super().__init__(pipeline, [f"shared {name}"])
+        self.tracks_function(build, track, allowed)
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        spark, path = self.pipeline.spark, f"{self.store}/{name}"
+        return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+    def append(self, name: str, schema: str, *row: Any) -> None:
+        self.pipeline.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{self.store}/{name}")
+
+    BY_INPUT, USED_BY = "prefix string, input_key string, output_key string", "prefix string, history_key string, input_key string, run_id long"
+
+    def stored(self, input_key: str) -> str | None:
+        row = self.table("by_input", self.BY_INPUT).where(F.col("input_key") == input_key).first()
+        return row["output_key"] if row else None
+
+    def read(self) -> DataFrame:
+        uses = shared.latest_use(self.table("used_by", self.USED_BY)).where(F.col("history_key") == self.pipeline.root)
+        return self.pipeline.spark.read.parquet(f"{self.store}/done/{self.stored(uses.first()['input_key'])}")
+
+    def present(self) -> bool:
+        uses = shared.latest_use(self.table("used_by", self.USED_BY)).where(F.col("history_key") == self.pipeline.root).first()
+        return bool(uses) and exists(self.pipeline.spark, f"{self.store}/done/{self.stored(uses['input_key'])}")
+
+    def run(self, inputs_hash: str) -> dict[str, str]:
+        spark, found = self.pipeline.spark, self.stored(inputs_hash)
+        if found is None or not exists(spark, f"{self.store}/done/{found}"):
+            beside = f"{self.store}/build/{inputs_hash}"
+            try:
+                df = self.build()
+                df.write.mode("overwrite").parquet(beside)
+                made = table_digest(spark.read.schema(df.schema).parquet(beside))
+            except Exception:
+                delete(spark, beside)
+                raise
+            if found not in (None, made):
+                raise JobContractError(f"{self.name}: equal inputs gave another table")
+            if exists(spark, f"{self.store}/done/{made}"):
+                delete(spark, beside)
+            else:
+                path_of(spark, f"{self.store}/done")[0].mkdirs(path_of(spark, f"{self.store}/done")[1])
+                rename(spark, beside, f"{self.store}/done/{made}")
+            if found is None:
+                self.append("by_input", self.BY_INPUT, self.name, inputs_hash, made)
+            found = made
+        self.append("used_by", self.USED_BY, self.name, self.pipeline.root, inputs_hash, self.pipeline.run_id)
+        return {self.job_id: found}
+
+    def remove_unused(self) -> list[str]:
+        """Delete the stored tables that no pipeline's latest run used; their keys."""
+        uses = shared.latest_use(self.table("used_by", self.USED_BY))
+        gone = [r["output_key"] for r in shared.unreferenced(self.table("by_input", self.BY_INPUT), uses).collect()]
+        for key in gone:
+            delete(self.pipeline.spark, f"{self.store}/done/{key}")
+        return gone
+
+
 class TempDataset(Dataset):
     """A dataset that is built only when another job needs it, and deleted when those are done."""
 

@@ -322,3 +322,49 @@ def test_events_are_followed(setup, spark):
     stream.processAllAvailable()
     stream.stop()
     assert {r.outcome: r.n for r in spark.sql("SELECT outcome, sum(n) AS n FROM followed GROUP BY outcome").collect()} == {"Success": 4}
+
+
+def test_shared_datasets(spark, tmp_path):
+    from brookloom.plans.jobs import SharedDataset
+
+    calls, n = [], [2]
+
+    def declare(root, value):
+        p = Pipeline(spark, f"file://{tmp_path}/{root}")
+
+        def build():
+            calls.append(root)
+            return spark.range(n[0])
+
+        return p, SharedDataset(p, f"file://{tmp_path}/store", "s", build, track=False).depends_on(Parameters(p, "x", value))
+
+    for root, value in (("one", 1), ("two", 1), ("one", 1)):
+        p, job = declare(root, value)
+        p.run()
+        assert job.read().count() == 2
+    assert calls == ["one"]
+    n[0] = 3
+    for root in ("one", "two"):
+        p, job = declare(root, 2)
+        p.run()
+    assert calls == ["one", "one"] and job.read().count() == 3
+    assert len(job.remove_unused()) == 1 and job.read().count() == 3 and job.remove_unused() is not None
+
+
+def test_command_line(setup, tmp_path, capsys, spark):
+    from brookloom import cli
+
+    chain(setup)[0].run()
+    import shutil
+
+    shutil.copytree(tmp_path / ".history", tmp_path / "older" / ".history")
+    setup.values = {"a": "other"}
+    chain(setup, "q")[0].run()
+    cli.main(["history-diff", f"file://{tmp_path}/older", f"file://{tmp_path}"])
+    assert "PI x" in capsys.readouterr().out
+    cli.main(["forget", f"file://{tmp_path}", "b"])
+    chain(setup, "q")[0].run()
+    assert setup.calls["b"] == 3
+    cli.main(["hash-file", f"file://{tmp_path}/a/_SUCCESS"])
+    cli.main(["history", f"file://{tmp_path}"])
+    assert "PI x" in capsys.readouterr().out
