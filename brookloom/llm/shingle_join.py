@@ -249,7 +249,9 @@ def similar_groups(df: DataFrame, key: str, text: str, width: int, num: int, den
     with small_batches(spark):
         met = cells(signature_rows(sets, bands(num, den)))
     wanted = met.select("key").distinct()
-    chosen = base.select("node", "text_hash").join(wanted, F.col("node") == F.col("key"), "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
+    # one text of each node before the join, so that copies are no hot key
+    texts_of = base.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    chosen = texts_of.join(wanted, F.col("node") == F.col("key"), "left_semi").select("text_hash")
     chosen = stage(chosen.distinct(), "candidate-texts")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
