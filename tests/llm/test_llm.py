@@ -215,6 +215,33 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxic_forms_of_a_minority_language(spark):
+    rng = random.Random(8)
+    endings = [f"{a}{b}" for a in "bdfgk" for b in "aeiou"]
+    rows = []
+    for i in range(4000):
+        rare, bad = i % 20 == 0, rng.random() < 0.2
+        words = rng.choices([f"{'r' if rare else 'w'}{k}" for k in range(300)], k=40)
+        words += (["bomente" + e for e in rng.sample(endings, 3)] if rare else rng.sample(["zug", "zog", "zag"], 2)) if bad else []
+        rows.append((i, " ".join(words), rare, bad, bad and i % 3 > 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rare boolean, bad boolean, said boolean")
+    marks = toxicity.marked(docs, "doc_id", "text", docs.where("said").select("doc_id", F.lit(1).alias("toxic")), F.col("toxic") == 1)
+    model = toxicity.fit(docs, "text", marks, 0.2)
+    out = toxicity.score(docs.where("not said"), model).collect()
+    found = [r.score >= 0.7 for r in out if r.rare and r.bad]
+    assert len(found) > 10 and sum(found) >= 0.8 * len(found)
+    assert not any(r.score >= 0.7 for r in out if not r.bad)
+
+
+def test_near_copies_count_once():
+    rng = random.Random(3)
+    text = [f"w{rng.randrange(500)}" for _ in range(300)]
+    copies = [" ".join(text[:k] + ["x"] + text[k:]) for k in range(0, 300, 30)]
+    other = " ".join(rng.choices(text, k=300))
+    rows = [(i, True, toxicity.bands(t)) for i, t in enumerate([*copies, other])] + [(99, False, toxicity.bands(copies[0]))]
+    assert toxicity.without_near_copies(rows) == {0, 10, 99}
+
+
 def test_non_negative_risk_does_not_memorise():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 500, 20)) for _ in range(400)]
