@@ -38,11 +38,27 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id: five words, a similarity of 0.8."""
+    """One row of each group of near copies: five words, a similarity of 0.8. Texts without words are in no group.
+
+    It has the smallest doc_id, nulls last, then the smallest hash of its text; of rows that are alike in both, a number
+    that Spark gives each stored row decides.
+    """
     ship(spark)
-    keyed = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
-    groups = stage(shingle_join.similar_groups(keyed, "doc_id", "text", 5, 80, 100), "groups")
-    return without_rejected(docs, groups.where("doc_id <> component_id or doc_id is null and component_id is not null"))
+    stored = stage(docs.withColumns({"_text_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}), "numbered")
+    groups = shingle_join.similar_groups(stored.select("doc_id", "text", "_text_hash", "_row"), "_row", "text", 5, 80, 100)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text_hash", "_row")
+    grouped = stage(groups.where("n_shingles > 0").select("_row", "component_id", rank.alias("rank")), "groups")
+    # minima are taken before the shuffle, and the rows of a hot group are never brought together
+    firsts = stage(grouped.groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    gone = grouped.join(kept_or_not(firsts, "component_id"), "component_id", "left_semi").join(kept_or_not(firsts, "_row"), "_row", "left_anti")
+    gone = stage(gone.select("_row"), "rejected")
+    return stored.join(kept_or_not(gone, "_row"), "_row", "left_anti").select(*docs.columns)
+
+
+def kept_or_not(keys: DataFrame, name: str) -> DataFrame:
+    """The keys, to be broadcast where they are few."""
+    found = keys.select(name)
+    return F.broadcast(found) if keys.count() <= BROADCAST_ROWS else found
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -487,6 +487,18 @@ def test_corpus_pipeline(spark):
     assert {r.doc_id for r in out} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(80)]
+    a, near, b, c, d = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(reversed(words)), " ".join(words[::3] * 2), " ".join(words[::2])
+    rows = [(1, a)] * 40 + [(1, near), (2, b), (2, b), (None, b), (None, c), (None, c), (3, d), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = cp.near_duplicates(spark, docs, DATA)
+    got = collections.Counter((r.doc_id, a if r.text == near else r.text) for r in out.collect())
+    assert got == {(1, a): 1, (2, b): 1, (None, c): 1, (3, d): 1, (4, ""): 2, (5, None): 1} and out.columns == docs.columns
+
+
 def test_rejected_rows_with_null_ids_go(spark):
     import corpus_pipeline as cp
 
