@@ -36,36 +36,47 @@ def unit(rows: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def pivots_of(classes: DataFrame, count: int) -> np.ndarray:
-    """The ``count`` vectors with the smallest hashes; they decide what moves, never what is found."""
+def pivots_of(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """By length, the vectors among the ``count`` with the smallest hashes; they decide what moves, never what is found.
+
+    A length that has none of them is missing here.
+    """
     found = classes.orderBy(F.xxhash64("class", F.lit("pivot")), "class").limit(count).select("v").collect()
-    return unit(pd.Series([r[0] for r in found]))
+    by: dict[int, list] = {}
+    for r in found:
+        by.setdefault(len(r[0]), []).append(r[0])
+    return {size: unit(pd.Series(vs)) for size, vs in by.items()}
 
 
-def cells(classes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """(cell, home, class, n, v): a row in the nearest pivot's cell, and a copy in each other cell that a neighbour may be in.
+def cells(classes: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> DataFrame:
+    """(size, cell, home, class, n, v): a row in the nearest pivot's cell, and a copy in each other cell that a neighbour may be in.
 
     If x is at home with pivot p and y within ``radius`` of x, the triangle inequality gives d(y, p) <= d(y) + 2 * radius
     with d(y) the distance to y's nearest pivot; the bisector of p and y's pivot q gives the sharper
-    d(y, p)^2 - d(y, q)^2 <= 2 * radius * d(p, q), by the same inequality along one line.
+    d(y, p)^2 - d(y, q)^2 <= 2 * radius * d(p, q), by the same inequality along one line. Cells hold vectors of one length;
+    a length without pivots is one cell.
     """
-    held = classes.sparkSession.sparkContext.broadcast((pivots, np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))))
+    held = classes.sparkSession.sparkContext.broadcast({size: (p, np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))) for size, p in pivots.items()})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, apart = held.value
         for pdf in it:
-            for i in range(0, len(pdf), 1024):
-                part = pdf.iloc[i : i + 1024]
-                d = np.sqrt(np.maximum(0, 2 - 2 * unit(part["v"]) @ p.T))
-                home = d.argmin(axis=1)
-                least = d[np.arange(len(d)), home][:, None]
-                may = (d <= least + 2 * radius + 1e-7) & (d * d - least * least <= 2 * radius * apart[home] + 1e-7)
-                row, cell = np.nonzero(may)
-                took = part.iloc[row]
-                yield pd.DataFrame({"cell": cell.astype("int32"), "home": home[row] == cell, "class": took["class"].to_numpy(), "n": took["n"].to_numpy(), "v": took["v"].to_numpy()})
+            for size, same in pdf.groupby(pdf["v"].map(len)):
+                for i in range(0, len(same), 1024):
+                    part = same.iloc[i : i + 1024]
+                    if size in held.value:
+                        p, apart = held.value[size]
+                        d = np.sqrt(np.maximum(0, 2 - 2 * unit(part["v"]) @ p.T))
+                        home = d.argmin(axis=1)
+                        least = d[np.arange(len(d)), home][:, None]
+                        may = (d <= least + 2 * radius + 1e-7) & (d * d - least * least <= 2 * radius * apart[home] + 1e-7)
+                    else:
+                        home, may = np.zeros(len(part), int), np.ones((len(part), 1), bool)
+                    row, cell = np.nonzero(may)
+                    took = part.iloc[row]
+                    yield pd.DataFrame({"size": np.full(len(row), size, "int32"), "cell": cell.astype("int32"), "home": home[row] == cell, "class": took["class"].to_numpy(), "n": took["n"].to_numpy(), "v": took["v"].to_numpy()})
 
     kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("class", "n", "v").mapInPandas(run, f"cell int, home boolean, class long, n long, v {kind}")
+    return classes.select("class", "n", "v").mapInPandas(run, f"size int, cell int, home boolean, class long, n long, v {kind}")
 
 
 def lowest(r: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +100,8 @@ def join_cells(dealt: DataFrame, least: float) -> DataFrame:
     def blocks(n: Column) -> Column:
         return F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
 
-    sizes = dealt.groupBy("cell").agg(blocks(F.count_if("home")).alias("homes"), blocks(F.count(F.lit(1))).alias("all"))
-    held = dealt.join(sizes, "cell")
+    sizes = dealt.groupBy("size", "cell").agg(blocks(F.count_if("home")).alias("homes"), blocks(F.count(F.lit(1))).alias("all"))
+    held = dealt.join(sizes, ["size", "cell"])
 
     def place(n: str) -> Column:
         return F.pmod(F.xxhash64("class", F.lit("block")), F.col(n)).cast("int")
@@ -99,8 +110,8 @@ def join_cells(dealt: DataFrame, least: float) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     # a row at home goes out as a query to each block of the cell, and every row as a partner to each block at home
-    queries = held.where("home").select("cell", place("homes").alias("qb"), every("all").alias("ib"), F.lit(True).alias("q"), "class", "n", "v")
-    partners = held.select("cell", every("homes").alias("qb"), place("all").alias("ib"), F.lit(False).alias("q"), "class", "n", "v")
+    queries = held.where("home").select("size", "cell", place("homes").alias("qb"), every("all").alias("ib"), F.lit(True).alias("q"), "class", "n", "v")
+    partners = held.select("size", "cell", every("homes").alias("qb"), place("all").alias("ib"), F.lit(False).alias("q"), "class", "n", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own, other = pdf[pdf["q"]], pdf[~pdf["q"]]
@@ -123,7 +134,7 @@ def join_cells(dealt: DataFrame, least: float) -> DataFrame:
         pa, pb = links > 0, lb != kb
         return pd.DataFrame({"class": np.concatenate([ka[pa], kb[pb]]), "links": np.concatenate([links[pa], np.zeros(pb.sum(), "int64")]), "root": np.concatenate([la[pa], lb[pb]])})
 
-    return queries.union(partners).groupBy("cell", "qb", "ib").applyInPandas(run, "class long, links long, root long")
+    return queries.union(partners).groupBy("size", "cell", "qb", "ib").applyInPandas(run, "class long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.95) -> DataFrame:
@@ -131,21 +142,19 @@ def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.95) -
 
     Equal vectors are one class with a weight, so copies are counted and never paired. n_links: other rows at cosine
     ``least`` or more, in double precision. component_id: the smallest key reachable by links, the row's own included;
-    kept: whether that is the row's own key. Vectors that are null, empty, zero or not finite, and those of other lengths
-    than the most common one's, link with nothing. A null key is never smallest: a row whose component has no key has a
+    kept: whether that is the row's own key. Vectors that are null, empty, zero or not finite link with nothing,
+    and others only with those of their own length. A null key is never smallest: a row whose component has no key has a
     null component_id and is kept. Rows that repeat a key are rows of their own. An empty table stays empty.
     """
     df = without(df, ["n_links", "component_id", "kept", "class"])
     rows = df.withColumn("_v", sound(vector)).withColumn("class", F.when(F.col("_v").isNotNull(), F.xxhash64("_v")))
     classes = stage(rows.where("class is not null").groupBy("class", F.col("_v").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(quoted(key)).alias("low")), "vector-classes")
     total = classes.count()
-    lengths = classes.groupBy(F.size("v").alias("size")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size").first()
     keyed = rows.drop("_v")
     if not total:
         return keyed.drop("class").withColumns({"n_links": F.lit(0).cast("long"), "component_id": quoted(key), "kept": F.lit(True)})
-    alike = classes.where(F.size("v") == lengths["size"])
-    pivots = pivots_of(alike, min(MOST_PIVOTS, max(1, total // PER_PIVOT)))
-    found = stage(join_cells(cells(alike, pivots, math.sqrt(max(0.0, 2 - 2 * least))), least), "vector-links")
+    pivots = pivots_of(classes, min(MOST_PIVOTS, max(1, total // PER_PIVOT)))
+    found = stage(join_cells(cells(classes, pivots, math.sqrt(max(0.0, 2 - 2 * least))), least), "vector-links")
     roots = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     info = classes.select("class", "n", "low").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")

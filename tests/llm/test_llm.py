@@ -180,6 +180,21 @@ def test_vectors_of_the_table(spark):
     assert collections.Counter(tuple(r) for r in queries.op4_vector_join(spark, DATA).collect()) == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("per_pivot", [10, 4096])
+def test_vectors_of_two_lengths(spark, monkeypatch, per_pivot):
+    monkeypatch.setattr(vector_join, "BLOCK", 8)
+    monkeypatch.setattr(vector_join, "PER_PIVOT", per_pivot)
+    rng = np.random.default_rng(6)
+    rows = []
+    for size, n in ((8, 60), (5, 40), (3, 2)):
+        centres = rng.normal(size=(max(1, n // 6), size))
+        rows += [(c + rng.normal(size=size) * 0.05).tolist() for c in centres for _ in range(n // len(centres))]
+    rows = list(enumerate(rows)) + [(900, [1.0, 0.0]), (901, [1.0, 0.01])]
+    got = vector_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").select("vec_id", "n_links", "component_id", "kept")
+    want = brute_vectors(rows)
+    assert collections.Counter(tuple(r) for r in got.collect()) == want and want[900, 1, 900, True] == 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5000, 5400)]
