@@ -3,25 +3,57 @@
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from brookloom.llm.shared import bucket_count, quoted, ranked, without
+from brookloom.llm.shared import bucket_count, quoted, ranked, ship, without
+from brookloom.llm.tokens import encoder
 
+PIECE = [StructField(name, LongType()) for name in ("start", "length", "doc_tokens", "ids_crc32")]
 
-def cut_pieces(df: DataFrame, ids: str | Column, capacity: int) -> DataFrame:
-    """One row per piece of ``capacity`` ids at most: the input's columns, start, length, piece (its ids' binary), doc_tokens.
 
-    ``ids`` is a binary of little-endian unsigned 32-bit ids. A null or empty one gives no piece.
+def cut_texts(df: DataFrame, text: str, path: str, capacity: int, end_id: int | None = None, ids: bool = True) -> DataFrame:
+    """One row per piece of ``capacity`` ids at most: the input's other columns, start, length, doc_tokens, ids_crc32, piece.
+
+    ``path``: a byte-level BPE file of the tokenizers library, whose ids of the whole text are cut, with ``end_id`` after
+    them if given. piece: the piece's ids, little-endian unsigned 32-bit, left out unless ``ids``, so that no id leaves
+    the worker; ids_crc32: their unsigned CRC-32. A null text counts as empty, and gives no piece where there is no
+    ``end_id``. Columns of the input that have these names are dropped. Repeated rows stay; an empty table stays empty.
     """
-    kept = without(df, ["start", "length", "piece", "doc_tokens", "_ids"])
-    held = kept.select("*", (quoted(ids) if isinstance(ids, str) else ids).alias("_ids"))
-    held = held.withColumn("doc_tokens", (F.octet_length("_ids") / 4).cast("long")).where("doc_tokens > 0")
-    cut = held.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(capacity).cast("long"))))
-    cut = cut.withColumn("length", F.least(F.col("doc_tokens") - F.col("start"), F.lit(capacity).cast("long")))
-    return cut.withColumn("piece", F.expr(f"substring(_ids, cast(start * 4 + 1 as int), {4 * capacity})")).drop("_ids")
+    ship(df.sparkSession)
+    kept = without(df, [*(f.name for f in PIECE), "piece"])
+    fields = [f for f in kept.schema.fields if f.name != text]
+    schema = StructType([*fields, *PIECE, *([StructField("piece", BinaryType())] if ids else [])])
+    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode
+        for batch in batches:
+            rows: list[tuple[int, int, bytes, int]] = []
+
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at, start, piece, whole = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+                rows.clear()
+                same = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+                made = [pa.array(x, pa.int64()) for x in (start, [len(x) // 4 for x in piece], whole, map(zlib.crc32, piece))]
+                return pa.RecordBatch.from_arrays([*same, *made, *([pa.array(piece, pa.binary())] if ids else [])], schema.names)
+
+            for i, one in enumerate(batch.columns[-1].to_pylist()):
+                stream = encode(one or "") + end
+                for at in range(0, len(stream), 4 * capacity):
+                    rows.append((i, at // 4, stream[at : at + 4 * capacity], len(stream) // 4))
+                    if len(rows) >= 1_000:
+                        yield out()
+            yield out()
+
+    source = kept.select(*[quoted(f.name) for f in fields], quoted(text).cast("string").alias("_text"))
+    return source.mapInArrow(run, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -93,5 +125,3 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "leng
 def padding(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: sequences, ids, share of padding."""
     return packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.sum("length").alias("ids")).withColumn("padding", 1 - F.col("ids") / (F.col("sequences") * capacity))
-
-

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.llm import chat, language, packing, quality, sentencepieces, sharding, shingle_join, token_store, tokens, toxicity, vector_join
+from brookloom.llm import chat, language, packing, quality, sentencepieces, sharding, shingle_join, token_store, toxicity, vector_join
 from brookloom.llm.shared import ship, small_batches, stage, stage_path
 
 
@@ -25,10 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    ids = docs.select("doc_id", tokens.token_ids("text", vocabulary("byte_bpe_50k.json"), end_id=0).alias("ids"))
-    cut = packing.cut_pieces(ids, "ids", 1024)
+    cut = packing.cut_texts(docs.select("doc_id", "text"), "text", vocabulary("byte_bpe_50k.json"), 1024, end_id=0, ids=False)
     with small_batches(spark):
-        pieces = stage(cut.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens"), "pieces")
+        pieces = stage(cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"), "pieces")
     return packing.pack(pieces, 1024, ["doc_id", "start"])
 
 
@@ -76,7 +75,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = stage_path(spark, "token-store")
-    token_store.write(docs.select("doc_id", tokens.token_ids("text", vocabulary("byte_bpe_50k.json"), end_id=2).alias("ids")), path, "doc_id", "ids")
+    token_store.write(docs, path, "doc_id", "text", tokenizer=vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_store.digests_of(spark, path)
 
 

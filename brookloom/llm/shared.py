@@ -62,15 +62,17 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Arrow batches of ``rows`` rows at most for what is run inside, so that a Python worker holds few long texts at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "2m") -> Iterator[None]:
+    """Arrow batches of ``rows`` rows and ``size`` bytes at most for what is run inside; a longer row is a batch of its own."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def drop_stage(*frames: DataFrame) -> None:

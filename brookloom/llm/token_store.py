@@ -4,9 +4,10 @@ Rolling hashes cut id streams into chunks; a chunk is stored once under its SHA-
 digests; manifests hold a Merkle tree over chunks, documents, parts and the store, by which a reader verifies all.
 
 Layout below the store's path, each a Parquet dataset that Spark commits as a whole:
-  data/kind=chunk   key (digest), n (ids), body (ids, little-endian, 2 bytes each if all are below 65536, else 4)
-  recipes           part, doc_id, row, n_tokens, digests, sizes: ascending by doc_id within and across parts
-  manifest          part, documents, ids, root (SHA-256 over the documents' hashes in order)
+  data       of kind chunk: key (digest), n (ids), body (ids, little-endian, 2 bytes each if all are below 65536, else 4);
+             of kind recipe: the documents as they were cut
+  recipes    part, doc_id, row, n_tokens, digests, sizes: ascending by doc_id within and across parts
+  manifest   part, documents, ids, root (SHA-256 over the documents' hashes in order)
 """
 
 from __future__ import annotations
@@ -19,15 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brookloom.llm.shared import quoted, ship, small_batches
+from brookloom.llm.tokens import encoder
 
 #: Ids that the rolling hash sees; least, usual and most ids of a chunk.
 WINDOW, LEAST, USUAL, MOST = 16, 128, 512, 2_048
 PART_DOCUMENTS = 50_000
+#: Digests that a task remembers, so that it sends a chunk once; copies beyond are dropped after the shuffle.
+SEEN = 50_000
 ROW = "kind string, key binary, doc_id long, n int, body binary, digests array<binary>, sizes array<int>"
 
 
@@ -44,18 +49,28 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    ends, at, total = [], 0, len(ids)
-    if total > LEAST:
-        marks = (np.flatnonzero((rolling(ids) >> np.uint64(40)) % np.uint64(USUAL) == 0) + 1).tolist()
-        while total - at > LEAST:
-            k = bisect_left(marks, at + LEAST)
-            end = min(marks[k] if k < len(marks) else total, at + MOST, total)
-            ends.append(end)
-            at = end
-    if at < total:
-        ends.append(total)
+def marks_of(ids: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Places after which a chunk may end, of ids of any length: ``step`` ids are hashed at a time."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(ids), step):
+        low = max(0, at - WINDOW + 1)
+        hashed = rolling(ids[low : at + step])[at - low :]
+        found.append(np.flatnonzero((hashed >> np.uint64(40)) % np.uint64(USUAL) == 0) + at + 1)
+    return np.concatenate(found)
+
+
+def cuts(marks: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the document at ``start`` to ``stop`` of a stream with ``marks``.
+
+    No mark nearer than LEAST to a chunk's start is taken, so the ends depend on the document's own ids alone.
+    """
+    ends, at = [], start
+    while stop - at > LEAST:
+        k = bisect_left(marks, at + LEAST)
+        at = min(marks[k] if k < len(marks) else stop, at + MOST, stop)
+        ends.append(at)
+    if at < stop:
+        ends.append(stop)
     return ends
 
 
@@ -67,40 +82,55 @@ def unpacked(body: bytes, n: int) -> bytes:
     return np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4").astype("<u4").tobytes()
 
 
-def chunked(df: DataFrame, key: str, ids: str) -> DataFrame:
-    """Chunk rows (each digest once a task) and one recipe row a document."""
+def chunked(df: DataFrame, key: str, ids: str, tokenizer: str | None, end_id: int | None) -> DataFrame:
+    """Chunk rows (each of the first SEEN digests once a task) and one recipe row a document, in one pass of Python."""
     ship(df.sparkSession)
+    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode if tokenizer else None
         seen: set[bytes] = set()
         task, row = TaskContext.get().partitionId(), 0
-        for pdf in it:
-            names = ["kind", "key", "doc_id", "n", "body", "digests", "sizes"]
-            out: dict[str, list] = {n: [] for n in names}
-
-            def put(*values: object, out: dict[str, list] = out) -> None:
-                for column, value in zip(out.values(), values, strict=True):
-                    column.append(value)
-
-            for doc, raw in zip(pdf["doc"].tolist(), pdf["ids"].tolist(), strict=True):
-                stream = np.frombuffer(raw, "<u4")
-                narrow = stream.astype("<u2").tobytes() if len(stream) and stream.max() < 65536 else None
-                digests, sizes, at = [], [], 0
-                for end in cuts(stream):
-                    digest = hashlib.sha256(raw[4 * at : 4 * end]).digest()
+        for batch in batches:
+            given = batch.column(1).to_pylist()
+            raws = [(encode(x or "") if encode else x or b"") + end for x in given]
+            raw = b"".join(raws)
+            flat = np.frombuffer(raw, "<u4")
+            marks = marks_of(flat).tolist()
+            narrow = flat.astype("<u2").tobytes() if len(flat) and flat.max() < 65536 else None
+            chunks: list[tuple[bytes, int, bytes]] = []
+            recipes: list[tuple[bytes, int, list[bytes], list[int]]] = []
+            at = 0
+            for one in raws:
+                stop, digests, sizes = at + len(one) // 4, [], []
+                total = stop - at
+                for to in cuts(marks, at, stop):
+                    digest = hashlib.sha256(raw[4 * at : 4 * to]).digest()
                     if digest not in seen:
-                        if len(seen) < 500_000:
+                        if len(seen) < SEEN:
                             seen.add(digest)
-                        put("chunk", digest, None, end - at, packed(stream[at:end]) if narrow is None else narrow[2 * at : 2 * end], None, None)
+                        chunks.append((digest, to - at, packed(flat[at:to]) if narrow is None else narrow[2 * at : 2 * to]))
                     digests.append(digest)
-                    sizes.append(end - at)
-                    at = end
-                put("recipe", f"{task}-{row}".encode(), None if pd.isna(doc) else int(doc), len(stream), None, digests, sizes)
+                    sizes.append(to - at)
+                    at = to
+                recipes.append((f"{task}-{row}".encode(), total, digests, sizes))
                 row += 1
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield pd.DataFrame(out)
-
-    return df.select(quoted(key).cast("long").alias("doc"), F.coalesce(quoted(ids), F.lit(b"")).alias("ids")).mapInPandas(run, ROW)
+            c, r = len(chunks), len(recipes)
+            keys, sizes_of, bodies = (list(x) for x in zip(*chunks, strict=True)) if c else ([], [], [])
+            names, totals, digest_lists, size_lists = (list(x) for x in zip(*recipes, strict=True)) if r else ([], [], [], [])
+            columns = {
+                "kind": pa.array(["chunk"] * c + ["recipe"] * r, pa.string()),
+                "key": pa.array(keys + names, pa.binary()),
+                "doc_id": pa.concat_arrays([pa.nulls(c, pa.int64()), batch.column(0).cast(pa.int64())]),
+                "n": pa.array(sizes_of + totals, pa.int32()),
+                "body": pa.array(bodies + [None] * r, pa.binary()),
+                "digests": pa.array([None] * c + digest_lists, pa.list_(pa.binary())),
+                "sizes": pa.array([None] * c + size_lists, pa.list_(pa.int32())),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    source = quoted(ids).cast("string" if tokenizer else "binary")
+    return df.select(quoted(key).cast("long").alias("doc"), source.alias("ids")).mapInArrow(run, ROW)
 
 
 def leaf() -> Column:
@@ -113,17 +143,20 @@ def roots(recipes: DataFrame) -> DataFrame:
     return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["leaf"]), ","), 256).alias("root"))
 
 
-def write(df: DataFrame, path: str, key: str, ids: str) -> None:
+def write(df: DataFrame, path: str, key: str, ids: str, tokenizer: str | None = None, end_id: int | None = None) -> None:
     """Write a store of the documents of ``df``: their key (long) and ids (binary, little-endian unsigned 32-bit).
 
-    A null id stream counts as empty. Repeated rows and keys are documents of their own; a null key comes first.
-    Copies of a chunk are dropped in the task that cuts them, then by their digest before and after one shuffle.
+    With ``tokenizer`` (a byte-level BPE file of the tokenizers library), ``ids`` is a column of texts, encoded where they
+    are cut. ``end_id``, if given, ends each document. A null id stream or text counts as empty. Repeated rows and keys
+    are documents of their own; a null key comes first. An empty table gives a store without documents.
+    Copies of a chunk are dropped in the task that cuts them, then by their digest after one shuffle.
     """
     spark = df.sparkSession
-    rest = ["doc_id", "n", "body", "digests", "sizes"]
+    rest = F.struct("kind", "doc_id", "n", "body", "digests", "sizes")
     with small_batches(spark):
-        rows = chunked(df, key, ids).groupBy("kind", "key").agg(*[F.first(c).alias(c) for c in rest])
-        rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
+        # dealt by key first: one sort of the bodies in place of one on each side of the shuffle
+        rows = chunked(df, key, ids, tokenizer, end_id).repartition("key").groupBy("key").agg(F.first(rest).alias("rest"))
+        rows.select("key", "rest.*").write.option("compression", "zstd").parquet(f"{path}/data")
     stored = spark.read.schema(ROW).parquet(f"{path}/data").where("kind = 'recipe'")
     recipes = stored.select("doc_id", F.decode("key", "UTF-8").alias("row"), F.col("n").cast("long").alias("n_tokens"), "digests", "sizes")
     parts = max(1, math.ceil(recipes.count() / PART_DOCUMENTS))
@@ -138,19 +171,21 @@ def store_root(spark: SparkSession, path: str) -> str:
     return spark.read.parquet(f"{path}/manifest").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["root"]), ","), 256)).first()[0]
 
 
-def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(digest, n, crc, ids): every stored chunk, read whole; fails if one's ids don't have its digest."""
+def verified_chunks(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
+    """(digest, n, crc[, ids]): every stored chunk, read whole; fails if one's ids don't have its digest."""
     ship(spark)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            ids = [unpacked(b, n) for b, n in zip(pdf["body"], pdf["n"], strict=True)]
-            for digest, raw in zip(pdf["key"], ids, strict=True):
-                if hashlib.sha256(raw).digest() != digest:
-                    raise ValueError("a chunk's ids don't have its digest")
-            yield pd.DataFrame({"digest": pdf["key"], "n": pdf["n"], "crc": [zlib.crc32(x) for x in ids], "ids": ids})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, bodies = (c.to_pylist() for c in batch.columns)
+            raws = [unpacked(b, n) for b, n in zip(bodies, sizes, strict=True)]
+            if any(hashlib.sha256(x).digest() != digest for digest, x in zip(keys, raws, strict=True)):
+                raise ValueError("a chunk's ids don't have its digest")
+            made = [batch.column(0), batch.column(1), pa.array(map(zlib.crc32, raws), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, *([pa.array(raws, pa.binary())] if ids else [])], ["digest", "n", "crc", "ids"][: 3 + ids])
 
-    return spark.read.schema(ROW).parquet(f"{path}/data").where("kind = 'chunk'").select("key", "n", "body").mapInPandas(run, "digest binary, n int, crc long, ids binary")
+    chunks = spark.read.schema(ROW).parquet(f"{path}/data").where("kind = 'chunk'").select("key", "n", "body")
+    return chunks.mapInArrow(run, "digest binary, n int, crc long" + ", ids binary" * ids)
 
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +259,7 @@ def digests_of(spark: SparkSession, path: str) -> DataFrame:
     run.__annotations__ = {"crc": pd.Series, "after": pd.Series, "return": pd.Series}
     moved = F.pandas_udf(run, "long")
     recipes = verified_recipes(spark, path)
-    chunks = verified_chunks(spark, path).select("digest", "n", "crc")
+    chunks = verified_chunks(spark, path)
     found = placed(recipes).join(chunks, "digest", "left")
     sound = F.when(F.col("n") == F.col("size"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing")).cast("long"))
     values = found.select("part", "row", moved(sound, F.col("after") * 4).alias("v")).groupBy("part", "row").agg(F.bit_xor("v").alias("ids_crc32"))
@@ -235,7 +270,7 @@ def digests_of(spark: SparkSession, path: str) -> DataFrame:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids): every document's id stream, put together from verified chunks."""
     recipes = verified_recipes(spark, path)
-    found = placed(recipes).join(verified_chunks(spark, path).select("digest", "ids"), "digest")
+    found = placed(recipes).join(verified_chunks(spark, path, ids=True).select("digest", "ids"), "digest")
     parts = F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), "ids")))
     streams = found.groupBy("part", "row").agg(F.array_join(F.transform(parts, lambda x: F.hex(x["ids"])), "").alias("hex"))
     return recipes.select("part", "row", "doc_id", "n_tokens").join(streams, ["part", "row"], "left").select("doc_id", "n_tokens", F.unhex(F.coalesce("hex", F.lit(""))).alias("ids"))

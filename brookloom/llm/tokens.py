@@ -10,16 +10,13 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-#: Words that a worker remembers for each of its two places, at the start of a line and later; the first seen stay.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers for each of its two places, at the start of a line and later, some 200 bytes each; the
+#: first seen stay. Places by which it tells that a word has been asked for before.
+CACHE_WORDS, PLACES = 400_000, 1 << 21
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Marks that are no part of a word's token where they end it.
 MARKS = ",.;:!?*&$%#|"
 
@@ -38,21 +35,26 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Words(dict):
-    """Ids of words, each with ``prefix`` before it. Learns a word when it is first asked for; KeyError where no text can be cut."""
+    """Ids of words, each with ``prefix`` before it. KeyError where no text can be cut.
+
+    A word is remembered from the second time that it is asked for, or that another of its hash's place is.
+    """
 
     def __init__(self, library, prefix: str):
         super().__init__()
         self.prefix, self.fast, self.piece = prefix, library.encode_batch_fast, library.model.tokenize
+        self.shown = prefix.encode().decode("latin-1").translate(BYTE_CHARS)
         self.tails: dict[str, bytes] = {}
+        self.met = bytearray(PLACES)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():  # one pre-token, so the model alone gives its ids
-            mapped = (self.prefix + word).encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = [t.id for t in self.piece(mapped)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = [t.id for t in self.piece(self.shown + mapped)]
+            found = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
         elif not word or word[0].isspace() or word[-1].isspace():
             raise KeyError(word)
         elif (bare := word.rstrip(MARKS)) != word and bare.isalpha():  # the marks are one pre-token of their own
@@ -62,7 +64,10 @@ class Words(dict):
             found = self[bare] + self.tails[tail]
         else:
             found = self.ids(self.prefix + word)
-        if len(self) < CACHE_WORDS:
+        place = hash(word) % PLACES
+        if not self.met[place]:
+            self.met[place] = 1
+        elif len(self) < CACHE_WORDS:
             self[word] = found
         return found
 
@@ -106,22 +111,3 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def encode_series(it: Iterator[pd.Series], path: str) -> Iterator[pd.Series]:
-    tool = encoder(path)
-    for s in it:
-        yield pd.Series([tool.encode(x) for x in s], dtype=object)
-
-
-def token_ids(text: str | Column, path: str, end_id: int | None = None) -> Column:
-    """Binary column of a text's ids (null text: of the empty text), with ``end_id`` at the end if given."""
-
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from encode_series(it, path)
-
-    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    col = F.col(text) if isinstance(text, str) else text
-    # not deterministic as far as the optimizer is told, else filters above evaluate it again
-    ids = F.pandas_udf(run, BinaryType()).asNondeterministic()(F.coalesce(col, F.lit("")))
-    return ids if end_id is None else F.concat(ids, F.lit(int(end_id).to_bytes(4, "little")))
