@@ -66,6 +66,18 @@ def test_packing(spark):
     assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == want
 
 
+def test_pieces_hold_their_ids(spark):
+    docs = odd_docs(spark).withColumn("start", F.lit("clash"))
+    out = packing.cut_texts(docs, "text", queries.vocabulary("byte_bpe_50k.json"), 100).collect()
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = library_ids([r.text])[0]
+        want.update((r.doc_id, s, raw(ids[s : s + 100]), len(ids)) for s in range(0, len(ids), 100))
+    assert collections.Counter((r.doc_id, r.start, bytes(r.piece), r.doc_tokens) for r in out) == want
+    assert all(r.ids_crc32 == zlib.crc32(r.piece) and 4 * r.length == len(r.piece) and r.lang == "en" for r in out)
+    assert packing.cut_texts(docs.limit(0), "text", queries.vocabulary("byte_bpe_50k.json"), 100).collect() == []
+
+
 def test_packing_general(spark):
     rng = random.Random(1)
     lengths = [min(64, max(1, int(rng.expovariate(1 / 20)))) for _ in range(3000)] + [7] * 1500
@@ -161,16 +173,19 @@ def brute_vectors(rows, least=0.95):
     return collections.Counter(out)
 
 
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vector_join, "BLOCK", 32)
-    monkeypatch.setattr(vector_join, "PER_PIVOT", 40)
+@pytest.mark.parametrize("blocks", [1, 3, 1000])
+def test_vectors(spark, monkeypatch, blocks):
+    monkeypatch.setattr(vector_join, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(vector_join, "LEAST_BLOCK", 32)
+    monkeypatch.setattr(vector_join, "BLOCKS_A_PIVOT", blocks)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 8))
     vectors = [(c + rng.normal(size=8) * 0.12).tolist() for c in centres for _ in range(12)] + [centres[0].tolist()] * 30
     rows = list(enumerate(vectors)) + [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] * 8), (904, [None] + [1.0] * 7), (905, [float("inf")] * 8), (None, vectors[0]), (5, vectors[5]), (906, [1.0, 2.0])]
-    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, n_links string")
-    got = vector_join.near_duplicates(df, "vec_id", "embedding").select("vec_id", "n_links", "component_id", "kept")
-    assert collections.Counter(tuple(r) for r in got.collect()) == brute_vectors(rows)
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, class string").withColumn("n_links", F.lit("clash"))
+    got = vector_join.near_duplicates(df, "vec_id", "embedding")
+    assert {r["class"] for r in got.collect()} == {"x"}
+    assert collections.Counter(tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()) == brute_vectors(rows)
     assert vector_join.near_duplicates(df.limit(0), "vec_id", "embedding").collect() == []
     assert vector_join.near_duplicates(df.where("vec_id = 900"), "vec_id", "embedding").first().kept
 
@@ -180,10 +195,21 @@ def test_vectors_of_the_table(spark):
     assert collections.Counter(tuple(r) for r in queries.op4_vector_join(spark, DATA).collect()) == brute_vectors(rows)
 
 
-@pytest.mark.parametrize("per_pivot", [10, 4096])
-def test_vectors_of_two_lengths(spark, monkeypatch, per_pivot):
-    monkeypatch.setattr(vector_join, "BLOCK", 8)
-    monkeypatch.setattr(vector_join, "PER_PIVOT", per_pivot)
+def test_close_pairs_are_exact():
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.normal(size=(300, 16)), np.abs(rng.normal(size=(300, 16))) + 1.5, np.eye(16)])
+    b = np.concatenate([rng.normal(size=(200, 16)), a[:50] + 0.1 * rng.normal(size=(50, 16)), np.ones((3, 16))])
+    a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+    for least in (0.5, 0.95):
+        got = {(i + x, y) for i, r, c in vector_join.close_pairs(a, b, least) for x, y in zip(r.tolist(), c.tolist(), strict=True)}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= least)), strict=True))
+
+
+@pytest.mark.parametrize("blocks", [1, 1000])
+def test_vectors_of_two_lengths(spark, monkeypatch, blocks):
+    monkeypatch.setattr(vector_join, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(vector_join, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(vector_join, "BLOCKS_A_PIVOT", blocks)
     rng = np.random.default_rng(6)
     rows = []
     for size, n in ((8, 60), (5, 40), (3, 2)):
@@ -271,8 +297,7 @@ def test_non_negative_risk_does_not_memorise():
 def test_store(spark):
     docs = odd_docs(spark).unionByName(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id > 20"))
     path = stage_path(spark, "t")
-    rows = docs.select("doc_id", tokens.token_ids("text", queries.vocabulary("byte_bpe_50k.json"), end_id=2).alias("ids"))
-    token_store.write(rows, path, "doc_id", "ids")
+    token_store.write(docs, path, "doc_id", "text", tokenizer=queries.vocabulary("byte_bpe_50k.json"), end_id=2)
     source = sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id))
     ids = [x + [2] for x in library_ids([r.text for r in source])]
     got = sorted(token_store.digests_of(spark, path).collect(), key=lambda r: r.start)
@@ -308,7 +333,11 @@ def test_chunks_resume_after_an_insertion():
     other = np.concatenate([ids[:5000], [7, 8, 9], ids[5000:]]).astype("<u4")
 
     def pieces(x):
-        ends = token_store.cuts(x)
+        marks = token_store.marks_of(x).tolist()
+        assert marks == token_store.marks_of(x, step=777).tolist()
+        ends = token_store.cuts(marks, 0, len(x))
+        after = token_store.marks_of(np.concatenate([ids[:999], x, ids[:50]])).tolist()  # amid other documents
+        assert [e - 999 for e in token_store.cuts(after, 999, 999 + len(x))] == ends
         assert ends[-1] == len(x) and all(0 < b - a <= token_store.MOST for a, b in zip([0, *ends], ends, strict=False))
         return {x[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
 
