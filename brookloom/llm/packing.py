@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from brookloom.llm.shared import bucket_count, quoted, ranked, ship, without
+from brookloom.llm.shared import bucket_count, quoted, ranked, ship, unused, without
 from brookloom.llm.tokens import encoder
 
 PIECE = [StructField(name, LongType()) for name in ("start", "length", "doc_tokens", "ids_crc32")]
@@ -116,10 +116,11 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "leng
             taken[n] += count
             at += n
         sequences += count
-    slots = spark.createDataFrame(places, "_length long, _low long, _high long, _first long, _at long")
-    rank = ranked(pieces, [length], order, bucket_count(spark, sum(counts.values())), "_rank")
-    placed = rank.join(F.broadcast(slots), (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
-    return placed.withColumn("sequence_id", F.col("_first") + F.col("_rank") - F.col("_low")).withColumn("offset", F.col("_at")).drop("_length", "_low", "_high", "_first", "_at", "_rank")
+    rank, size, low, high, first, at = unused(pieces, "_rank", "_length", "_low", "_high", "_first", "_at")
+    slots = spark.createDataFrame(places, f"{size} long, {low} long, {high} long, {first} long, {at} long")
+    held = ranked(pieces, [length], order, bucket_count(spark, sum(counts.values())), rank)
+    placed = held.join(F.broadcast(slots), (F.col(length) == F.col(size)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high)))
+    return placed.withColumn("sequence_id", F.col(first) + F.col(rank) - F.col(low)).withColumn("offset", F.col(at)).drop(rank, size, low, high, first, at)
 
 
 def padding(packed: DataFrame, capacity: int) -> DataFrame:

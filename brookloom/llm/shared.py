@@ -94,23 +94,30 @@ def bucket_count(spark: SparkSession, rows: int, per_bucket: int = 500_000) -> i
     return max(parallelism(spark), math.ceil(rows / per_bucket))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column of that name, for columns that come and go."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], buckets: int, out: str = "rank") -> DataFrame:
     """Add a gapless rank from 0 within each group (no nulls in ``group``), for groups that may hold any share of all rows.
 
     Rows of a group go to hashed buckets; a bucket is numbered in one task, and the counts of the buckets before it
     (one row per group and bucket) are added. The order is by bucket, then by ``order``.
     """
-    held = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = held.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)).cast("long")
-    return (
-        held.withColumn("_within", within)
-        .join(bases, [*group, "_bucket"])
-        .withColumn(out, F.col("_base") + F.col("_within") - 1)
-        .drop("_bucket", "_within", "_base")
-    )
+    bucket, n, base, own = unused(df, "_bucket", "_n", "_base", "_within")
+    held = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = held.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*group, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    within = F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order)).cast("long")
+    return held.withColumn(own, within).join(bases, [*group, bucket]).withColumn(out, F.col(base) + F.col(own) - 1).drop(bucket, own, base)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -123,16 +130,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of undirected ``edges(a long, b long)``; the component is its smallest node.
 
-    Alternating large-star and small-star steps: each keeps connectivity and moves edges towards the smallest node.
+    Alternating large-star and small-star steps: each keeps connectivity and moves edges towards the smallest node. They
+    settle within the square of the logarithm of the edges, beyond which it fails.
     Only minima are aggregated, so a node with very many edges is summed before the shuffle; nothing reaches the driver
     but one checksum a round.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
-    for _ in range(rounds):
+    for _ in range(20 + now.count().bit_length() ** 2):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -147,6 +155,6 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
             break
         seen = mark
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -9,7 +9,7 @@ Sets that share a signature meet in the cell of the smallest of them, where all
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.llm.quality import SPACE, let
-from brookloom.llm.shared import components, drop_stage, parallelism, quoted, ship, small_batches, stage, without
-
-#: Members of a cell in one block; a task holds two blocks of a cell at a time.
-BLOCK = 1_024
+from brookloom.llm.shared import components, drop_stage, parallelism, quoted, ship, small_batches, stage, unused, without
+
+#: Members of a cell in one block, and their hashes on average, at most; a task holds two blocks of a cell at a time.
+BLOCK, BLOCK_HASHES = 256, 1 << 18
+#: Hashes of a group of small blocks that one call compares, on average.
+GROUP_HASHES = 1 << 20
+#: Keys that a task remembers, so as to make a set's signatures once; then it begins anew.
+SEEN = 100_000
 #: Rows that may be broadcast to find the texts of candidates; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 LONGEST = 1 << 31
@@ -123,16 +127,18 @@ def shingled(text: Column, width: int) -> Column:
 
 
 def signature_rows(sets: DataFrame, table: Bands) -> DataFrame:
-    """Signature rows of (key, hashes); a task gives those of a key once, however many copies it reads."""
+    """Signature rows of (key, hashes); a task gives those of a key once for SEEN different keys, however many copies it reads."""
     ship(sets.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in it:
+            if len(seen) > SEEN:
+                seen.clear()
             new = [i for i, key in enumerate(pdf["key"].tolist()) if not (key in seen or seen.add(key))]
             pdf = pdf.iloc[new]
             sizes = np.array([len(x) for x in pdf["hashes"]], np.int64)
-            for i, j in chunks(sizes, 2_000_000):
+            for i, j in chunks(sizes, 262_144):
                 flat = np.concatenate([*pdf["hashes"].iloc[i:j], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
                 for sig, key, band, slack, own in signatures(pdf["key"].to_numpy()[i:j], sizes[i:j], flat, table):
                     yield pd.DataFrame({"sig": sig.view(np.int64), "key": key, "meta": ((band * 2 + own) << 32) + slack})
@@ -169,31 +175,29 @@ def cells(rows: DataFrame) -> DataFrame:
     return found
 
 
-def verify(members: pd.DataFrame, num: int, den: int) -> tuple[list[int], list[int]]:
-    """Edges of a forest that joins the similar sets among ``members`` (key, side, hashes).
+class Index:
+    """Sets of 64-bit hashes, by which all those similar to one of them are found at once."""
 
-    Sides 0 and 1 are two blocks: a pair takes one of each; side 2 is a block that is compared with itself.
-    """
-    keys, side = members["key"].to_numpy(), members["side"].to_numpy()
-    sizes = np.array([len(x) for x in members["hashes"]], np.int64)
-    flat = np.concatenate(members["hashes"].tolist())
-    _, ids = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    order = np.argsort(ids, kind="stable")
-    posts, count = owner[order], np.bincount(ids)
-    first = np.cumsum(count) - count
-    start = np.cumsum(sizes) - sizes
-    label, a, b = np.arange(len(keys)), [], []
-    for x in range(len(keys)):
-        if side[x] == 1:
-            continue
-        own = ids[start[x] : start[x] + sizes[x]]
-        c = count[own]
-        at = np.repeat(first[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        both = np.bincount(posts[at], minlength=len(keys))
-        linked = den * both >= num * (sizes + sizes[x] - both)
-        linked &= (side == 1) if side[x] == 0 else (np.arange(len(keys)) > x)
-        y = np.flatnonzero(linked)
+    def __init__(self, hashes: list[np.ndarray], num: int, den: int):
+        self.num, self.den, self.sizes = num, den, np.array([len(x) for x in hashes], np.int64)
+        _, self.ids = np.unique(np.concatenate(hashes), return_inverse=True)
+        owner = np.repeat(np.arange(len(hashes)), self.sizes)
+        self.posts, self.count = owner[np.argsort(self.ids, kind="stable")], np.bincount(self.ids)
+        self.first, self.start = np.cumsum(self.count) - self.count, np.cumsum(self.sizes) - self.sizes
+
+    def similar(self, x: int) -> np.ndarray:
+        own = self.ids[self.start[x] : self.start[x] + self.sizes[x]]
+        c = self.count[own]
+        at = np.repeat(self.first[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        both = np.bincount(self.posts[at], minlength=len(self.sizes))
+        return self.den * both >= self.num * (self.sizes + self.sizes[x] - both)
+
+
+def forest(index: Index, keys: np.ndarray, probes: Iterable[int], allowed: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that join each probe to the similar sets that are ``allowed``, without those between sets joined already."""
+    label, a, b = np.unique(keys, return_inverse=True)[1], [], []
+    for x in probes:
+        y = np.flatnonzero(index.similar(x) & allowed)
         y = y[label[y] != label[x]]
         if len(y):
             groups, one = np.unique(label[y], return_index=True)
@@ -204,30 +208,77 @@ def verify(members: pd.DataFrame, num: int, den: int) -> tuple[list[int], list[i
     return a, b
 
 
+def dealt(rows: DataFrame, sets: DataFrame, by: list[str], hashes: int) -> DataFrame:
+    """The rows with their hashes, in groups (part) of whole blocks (``by``) whose number follows the hashes that are compared."""
+    parts = max(parallelism(rows.sparkSession) * 4, math.ceil(hashes / GROUP_HASHES))
+    return rows.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).join(sets.select("key", "hashes"), "key")
+
+
 def links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): a forest over the sets of each cell. Cells are cut into blocks, and tasks compare two blocks at a time."""
-    spark = met.sparkSession
-    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    held = met.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
-    pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("hub", "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
-    # many small cells to a task
-    parts = parallelism(spark) * 4
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("hub", "bi", "bj"), F.lit(parts * 16)).cast("int"))
-    # a block of a pair of blocks meets only the other one
-    full = dealt.join(sets, "key").select("part", "hub", "bi", "bj", "side", "key", "hashes")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a: list[int] = []
-        b: list[int] = []
-        for _, cell in pdf.groupby(["hub", "bi", "bj"], sort=False):
-            if len(cell) > 1:
-                x, y = verify(cell, num, den)
+    """(a, b): edges that connect the similar sets of each cell of ``met`` (hub, key), as they connect in truth.
+
+    Each member is compared with the cell's smallest one first. Those similar to it are connected by that, so only the
+    rest is compared with all: of a large group of near copies few pairs are left. Cells of several blocks are compared
+    block by block: the rest's blocks with all blocks, two of them at a time in a task.
+    """
+    sizes = met.join(sets.select("key", F.size("hashes").cast("long").alias("size")), "key")
+    stats = sizes.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"), F.min("key").alias("pivot")).where("members > 1")
+    stats = stage(stats.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("int")), "cell-sizes")
+    held = met.join(stats, "hub").where("key <> pivot")
+    block = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
+    own = held.select("hub", block.alias("block"), F.col("blocks").alias("of"), F.lit(False).alias("first"), "key")
+    pivots = stats.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("blocks").alias("of"), F.lit(True).alias("first"), F.col("pivot").alias("key"))
+    total = stats.agg(F.sum("total")).first()[0] or 0
+
+    def frame(hub: list[int], a: list[int], b: list[int | None]) -> pd.DataFrame:
+        return pd.DataFrame({"hub": np.array(hub, np.int64), "a": np.array(a, np.int64), "b": pd.array(b, "Int64")})
+
+    def against_first(pdf: pd.DataFrame) -> pd.DataFrame:
+        hubs, a, b = [], [], []
+        for (hub, _), cell in pdf.groupby(["hub", "block"], sort=False):
+            if len(cell) < 2 or not cell["first"].any():
+                continue
+            index, keys = Index(cell["hashes"].tolist(), num, den), cell["key"].to_numpy()
+            at = int(np.flatnonzero(cell["first"].to_numpy())[0])
+            near = index.similar(at)
+            near[at] = False
+            x, y = [int(keys[at])] * int(near.sum()), keys[near].tolist()
+            rest = np.flatnonzero(~near & (np.arange(len(keys)) != at))
+            if cell["of"].iloc[0] == 1:
+                more = forest(index, keys, rest, np.arange(len(keys)) != at)
+                x, y = x + more[0], y + more[1]
+            else:
+                x, y = x + keys[rest].tolist(), y + [None] * len(rest)
+            hubs += [hub] * len(x)
+            a += x
+            b += y
+        return frame(hubs, a, b)
+
+    found = stage(dealt(own.union(pivots), sets, ["hub", "block"], total).groupBy("part").applyInPandas(against_first, "hub long, a long, b long"), "first-links")
+    edges = found.where("b is not null").select("a", "b")
+    rest = found.where("b is null").select("hub", F.col("a").alias("key"))
+    few = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("rests", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    if few.isEmpty():
+        return edges
+    odd = stats.join(few, "hub").select("hub", "blocks", "pivot", "rests", "total")
+    probes = rest.join(odd, "hub").withColumn("i", F.pmod(F.xxhash64("key", F.lit("rest")), F.col("rests")).cast("int"))
+    probes = probes.select("hub", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("probe"), "key")
+    others = met.join(odd, "hub").where("key <> pivot").withColumn("j", block)
+    others = others.select("hub", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), "j", F.lit(False).alias("probe"), "key")
+    work = odd.agg(F.sum(F.col("total") * F.col("rests") * 2)).first()[0]
+
+    def against_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, pair in pdf.groupby(["hub", "i", "j"], sort=False):
+            probe, keys = pair["probe"].to_numpy(), pair["key"].to_numpy()
+            if probe.any() and not probe.all():
+                x, y = forest(Index(pair["hashes"].tolist(), num, den), keys, np.flatnonzero(probe), ~probe)
                 a += x
                 b += y
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return frame([0] * len(a), a, b)[["a", "b"]]
 
-    return full.groupBy("part").applyInPandas(run, "a long, b long")
+    pairs = dealt(probes.union(others), sets, ["hub", "i", "j"], work).groupBy("part").applyInPandas(against_all, "a long, b long")
+    return edges.union(pairs)
 
 
 def similar_groups(df: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
@@ -240,19 +291,20 @@ def similar_groups(df: DataFrame, key: str, text: str, width: int, num: int, den
     apart by 64-bit hashes.
     """
     spark = df.sparkSession
-    df = without(df, ["n_shingles", "component_id", "node", "text_hash", "hashes"])
-    hashed = df.withColumn("hashes", shingled(quoted(text), width))
-    node = F.when(F.size("hashes") > 0, F.xxhash64("hashes", F.lit("set"))).alias("node")
+    df = without(df, ["n_shingles", "component_id"])
+    own, hashes, text_hash = unused(df, "_node", "_hashes", "_text_hash")
+    hashed = df.withColumn(hashes, shingled(quoted(text), width))
+    node = F.when(F.size(hashes) > 0, F.xxhash64(hashes, F.lit("set"))).alias(own)
     others = [quoted(c) for c in df.columns if c != text]
-    base = stage(hashed.select(*others, F.size("hashes").cast("long").alias("n_shingles"), node, F.xxhash64(quoted(text)).alias("text_hash")), "shingle-sets")
-    sets = hashed.select(node, "hashes").where("node is not null").withColumnRenamed("node", "key")
+    base = stage(hashed.select(*others, F.size(hashes).cast("long").alias("n_shingles"), node, F.xxhash64(quoted(text)).alias(text_hash)), "shingle-sets")
+    sets = hashed.select(node.alias("key"), F.col(hashes).alias("hashes")).where("key is not null")
     with small_batches(spark):
         met = cells(signature_rows(sets, bands(num, den)))
-    wanted = met.select("key").distinct()
+    wanted = met.select(F.col("key").alias(own)).distinct()
     # one text of each node before the join, so that copies are no hot key
-    texts_of = base.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    chosen = texts_of.join(wanted, F.col("node") == F.col("key"), "left_semi").select("text_hash")
-    chosen = stage(chosen.distinct(), "candidate-texts")
+    nodes = base.where(F.col(own).isNotNull())
+    texts_of = nodes.groupBy(own).agg(F.min(text_hash).alias("text_hash"))
+    chosen = stage(texts_of.join(wanted, own, "left_semi").select("text_hash").distinct(), "candidate-texts")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     texts = df.select(quoted(text).alias("text")).withColumn("text_hash", F.xxhash64("text")).join(chosen, "text_hash", "left_semi")
@@ -261,10 +313,10 @@ def similar_groups(df: DataFrame, key: str, text: str, width: int, num: int, den
     with small_batches(spark):
         found = stage(links(met, stored, num, den), "shingle-links")
     drop_stage(met, stored, chosen)
-    roots = components(found)
-    lows = base.where("node is not null").groupBy("node").agg(F.min(quoted(key)).alias("low"))
-    named = lows.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = components(found).withColumnRenamed("node", own)
+    lows = nodes.groupBy(own).agg(F.min(quoted(key)).alias("low"))
+    named = lows.join(roots, own, "left").withColumn("component", F.coalesce("component", own))
     ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(ids, "component").select("node", "component_id")
-    out = base.drop("text_hash").join(named, "node", "left")
-    return out.withColumn("component_id", F.when(F.col("node").isNull(), quoted(key)).otherwise(F.col("component_id"))).drop("node")
+    named = named.join(ids, "component").select(own, "component_id")
+    out = base.drop(text_hash).join(named, own, "left")
+    return out.withColumn("component_id", F.when(F.col(own).isNull(), quoted(key)).otherwise(F.col("component_id"))).drop(own)
