@@ -1,13 +1,14 @@
 """Language ID by Bayesian evidence fusion. DataFrame operations only.
 
-The posterior of a language takes the likelihood of the text's function words, of the language that the markup declares
-and of the address suffix, and a prior by host that leans on those of the host's domain, the suffix and all rows.
+The posterior of a language takes the likelihood of the text's character n-grams, of the language that the markup declares
+and of the address suffix, and a prior by host that leans on those of the host's domain and all rows. Languages and
+likelihoods are learned from labelled rows by grouped aggregation. One more class stands for every other language: its
+n-grams are spread evenly, so a text that looks like none of the learned languages is told from them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,41 +17,35 @@ from pyspark.sql import functions as F
 from brookloom.llm.quality import let
 from brookloom.llm.shared import quoted, stage, without
 
-# Common function words of each language.
-FUNCTION_WORDS = {
-    "de": "aber als am an auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr im in ist ja kann mit nach nicht noch nur oder sich sie sind über um und uns von vor war wenn wer wie wird wir zu zum zur",
-    "en": "a about all also an and are as at be been but by can for from had has have he her his i if in into is it its no not of on one or our she so that the their them there they this to up was we were what when which who will with would you",
-    "es": "al como con cuando de del donde el ella ellos en entre era es esta este esto fue ha hay la las le les lo los me mi muy más no nos o para pero por porque que se si sin sobre son su sus también te tiene un una y ya",
-    "fr": "à au aux avec ce ces cette comme dans de des du elle en est et été être il ils je la le les leur lui mais me même mon ne nous on ou où par pas plus pour qu que qui sa se ses si son sur un une vous y",
-}
-ALL_WORDS = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
-#: Words by the languages that have them: words of one class are one symbol of the likelihood.
-CLASSES: dict[str, list[str]] = {}
-for _w in ALL_WORDS:
-    CLASSES.setdefault("_".join(k for k in sorted(FUNCTION_WORDS) if _w in FUNCTION_WORDS[k].split()), []).append(_w)
-LANGUAGES = sorted(FUNCTION_WORDS)
-#: Rows by which a host leans on its domain, a domain on its suffix, a suffix on all rows; weight of a row's declaration.
+#: Hashed n-grams are told apart by so many buckets.
+BUCKETS = 4_096
+#: Likelihoods of n-grams are counted on about so many different texts of each language, chosen by their hashes; values
+#: of a label with fewer rows than LEAST_ROWS are no language of the model.
+SAMPLE, LEAST_ROWS = 2_000, 5
+#: Share of each language's likelihood that is spread evenly over the buckets.
+EVEN = 0.1
+#: Rows by which a host leans on its domain, and a domain on all rows.
 LEAN = 10.0
-#: Words that speak for a language at most as strongly as so many: they aren't independent.
-MOST_WORDS = 50.0
+#: N-grams of a text speak for a language at most as strongly as so many: they aren't independent.
+MOST_GRAMS = 50.0
+#: Address suffixes that are told apart, the most frequent ones; the others are one value.
+MOST_SUFFIXES = 64
+UNKNOWN = "unknown"
 
 
-def one_of(values: list[str]) -> Callable[[Column], Column]:
-    return lambda w: w.isin(values)
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def counted(df: DataFrame, text: Column) -> DataFrame:
-    """Add c_<class> for each class of function words, c_other and n_words; a null or empty text has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+def bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
-    def counts(ws: Column) -> Column:
-        found = F.filter(ws, lambda w: w.isin(ALL_WORDS))
-        each = let(found, lambda fs: F.struct(*[F.size(F.filter(fs, one_of(v))).alias(f"c_{k}") for k, v in CLASSES.items()], F.size(fs).alias("found")))
-        return F.struct(each.alias("each"), F.size(ws).alias("n_words"))
 
-    out = without(df, [*(f"c_{k}" for k in CLASSES), "c_other", "n_words", "_counts"]).withColumn("_counts", let(words, counts))
-    names = {f"c_{k}": F.col(f"_counts.each.c_{k}").cast("long") for k in CLASSES}
-    return out.withColumns(names | {"c_other": (F.col("_counts.n_words") - F.col("_counts.each.found")).cast("long"), "n_words": F.col("_counts.n_words").cast("long")}).drop("_counts")
+def grams_of(words: Column) -> Column:
+    """Buckets of a word's n-grams: of one of four letters at most the word, else its first and its last three letters."""
+    ends = F.transform(words, lambda w: bucket(F.when(F.length(w) <= 4, F.concat(F.lit("="), w)).otherwise(F.concat(F.lit("-"), F.substring(w, -3, 3)))))
+    starts = F.transform(F.filter(words, lambda w: F.length(w) > 4), lambda w: bucket(F.concat(F.substring(w, 1, 3), F.lit("-"))))
+    return F.concat(ends, starts)
 
 
 def host_of(url: Column) -> Column:
@@ -66,128 +61,183 @@ def domain_of(host: Column) -> Column:
 
 
 def markup_language(html: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+
+
+def without_blocks(text: Column, opens: str, closes: str) -> Column:
+    """The text without what lies between; what is never closed goes to the end. Each character is looked at once."""
+    return F.array_join(F.transform(F.split(text, closes), lambda part: F.regexp_replace(part, f"(?is){opens}.*", " ")), " ")
 
 
 def markup_text(html: Column) -> Column:
-    """Text of a page: without scripts, styles, comments, navigation and tags."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|nav|head|footer)\b.*?</\1\s*>", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]*>", " "), r"&[#A-Za-z0-9]+;", " ")
+    """Text of a page: without scripts, styles, comments, navigation and tags, in time linear in its length."""
+    t = without_blocks(F.coalesce(html, F.lit("")), "<!--", "-->")
+    for tag in ("script", "style", "nav", "head", "footer"):
+        t = without_blocks(t, rf"<{tag}\b", rf"(?i)</{tag}\s*>")
+    return F.regexp_replace(F.regexp_replace(t, r"<[^<>]*>", " "), r"&[#A-Za-z0-9]{1,32};", " ")
 
 
 @dataclass(frozen=True)
-class Model:
-    """words, declared and suffix: log likelihoods by language, then by symbol; share: of all rows, by language."""
+class Grams:
+    """languages: by name, at last the unknown one; scores: of each, the log likelihood of each bucket."""
 
-    words: dict[str, dict[str, float]]
-    declared: dict[str, dict[str, float]]
-    suffix: dict[str, dict[str, float]]
-    share: dict[str, float]
+    languages: list[str]
+    scores: list[list[float]]
 
 
-SYMBOLS = [*CLASSES, "other"]
+def gram_model(languages: list[str], counts: dict[tuple[str, int], int]) -> Grams:
+    scores = []
+    for lang in languages:
+        own = [counts.get((lang, b), 0) for b in range(BUCKETS)]
+        total = max(1, sum(own))
+        scores.append([round(math.log((1 - EVEN) * n / total + EVEN / BUCKETS), 4) for n in own])
+    return Grams([*languages, UNKNOWN], [*scores, [round(-math.log(BUCKETS), 4)] * BUCKETS])
 
 
-def word_likelihoods(labelled: DataFrame, label: Column) -> dict[str, dict[str, float]]:
-    """Log chance of each word class by language, from counts over all labelled rows; a row a language reaches the driver.
+def learn(labelled: DataFrame, text: Column, label: Column, sample: int = SAMPLE) -> Grams:
+    """Likelihoods of n-grams by language, from about ``sample`` different texts each.
 
-    Each language starts with the same number of pseudo-words, most of them where its own words are, so that it is told
-    from the others where no row names it.
+    Languages are the labels that LEAST_ROWS rows or more have. Counts of rows and texts cover the table; the sample is
+    chosen by the texts' hashes, and equal texts count once. At most BUCKETS rows a language reach the driver.
     """
-    rows = labelled.select(label.alias("lang"), *[f"c_{s}" for s in SYMBOLS]).where(F.col("lang").isin(LANGUAGES))
-    sums = {r["lang"]: r for r in rows.groupBy("lang").agg(*[F.sum(f"c_{s}").alias(f"c_{s}") for s in SYMBOLS]).collect()}
-    out = {}
-    for lang in LANGUAGES:
-        own = {s: len(CLASSES[s]) * (1.0 if lang in s.split("_") else 0.02) if s in CLASSES else 100.0 for s in SYMBOLS}
-        total = {s: own[s] + float((sums[lang][f"c_{s}"] if lang in sums else 0) or 0) for s in SYMBOLS}
-        out[lang] = {s: math.log(total[s] / sum(total.values())) for s in SYMBOLS}
-    return out
+    rows = labelled.select(F.lower(F.coalesce(label, F.lit(""))).alias("lang"), text.alias("text")).where("lang <> ''").withColumn("h", F.xxhash64("text"))
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).where(F.col("n") >= LEAST_ROWS).collect()
+    shares = {r["lang"]: min(1.0, sample / r["texts"]) for r in found if r["lang"] != UNKNOWN}
+    if not shares:
+        return gram_model([], {})
+    spark = labelled.sparkSession
+    wanted = spark.createDataFrame([(k, math.ceil(v * 1_000_000)) for k, v in shares.items()], "lang string, most long")
+    some = rows.join(F.broadcast(wanted), "lang").where(F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1_000_000)) < F.col("most"))
+    once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    counts = once.select("lang", F.explode(grams_of(words_of(F.col("text")))).alias("b")).groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n"))
+    return gram_model(sorted(shares), {(r["lang"], r["b"]): r["n"] for r in counts.collect()})
 
 
-def text_scores(words: dict[str, dict[str, float]]) -> dict[str, Column]:
-    """Log likelihood of the counted words by language, as if at most MOST_WORDS of them were independent."""
-    damp = F.least(F.lit(1.0), F.lit(MOST_WORDS) / F.greatest(F.col("n_words"), F.lit(1)))
-    return {lang: damp * sum((F.col(f"c_{s}") * F.lit(words[lang][s]) for s in SYMBOLS), F.lit(0.0)) for lang in LANGUAGES}
+def scored(df: DataFrame, text: Column, model: Grams) -> DataFrame:
+    """Add n_words and _text, the log likelihoods of the whole text by language, as if at most MOST_GRAMS were independent."""
+    tables = [F.split(F.lit(",".join(map(str, s))), ",").cast("array<double>") for s in model.scores[:-1]]
+    even = model.scores[-1][0]
 
+    def fit(grams: Column, table: Column) -> Column:
+        return F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(table, b))
 
-def best(scores: dict[str, Column]) -> Column:
-    """struct(score, lang) of the highest score; of equal ones the last language by name."""
-    return F.array_max(F.array(*[F.struct(v.alias("score"), F.lit(k).alias("lang")) for k, v in scores.items()]))
+    def of(words: Column) -> Column:
+        def fits(grams: Column) -> Column:
+            damp = F.least(F.lit(1.0), F.lit(MOST_GRAMS) / F.greatest(F.size(grams), F.lit(1)))
+            return F.transform(F.array(*[fit(grams, t) for t in tables], F.size(grams) * F.lit(even)), lambda s: s * damp)
 
+        return F.struct(F.size(words).cast("long").alias("n_words"), let(grams_of(words), fits).alias("scores"))
 
-def table_of(counts: DataFrame, by: str, values: list[str]) -> dict[str, dict[str, float]]:
-    """Log chance of each value given the language, smoothed by one row a value; other values are one."""
-    seen = {(r["text_lang"], r[by]): float(r["n"]) for r in counts.collect()}
-    out = {}
-    for lang in LANGUAGES:
-        own = {v: seen.get((lang, v), 0.0) + 1.0 for v in [*values, "*"]}
-        out[lang] = {v: math.log(n / sum(own.values())) for v, n in own.items()}
-    return out
+    out = without(df, ["n_words", "_text", "_scored"]).withColumn("_scored", let(words_of(text), of))
+    return out.withColumns({"n_words": F.col("_scored.n_words"), "_text": F.col("_scored.scores")}).drop("_scored")
 
 
-# Address suffixes that speak for a language are told from all others; the others are one value.
-SUFFIXES = ["at", "ch", "com", "de", "es", "fr", "mx", "net", "org", "uk", "us"]
+def best(scores: Column, languages: list[str]) -> Column:
+    """struct(cost, lang) of the highest score; of equal ones the first language by name, and unknown last."""
+    pairs = F.transform(scores, lambda s, i: F.struct((-s).alias("cost"), i.alias("i")))
+    return let(F.array_min(pairs), lambda p: F.struct(p["cost"].alias("cost"), F.element_at(F.array(*map(F.lit, languages)), p["i"] + 1).alias("lang")))
+
+
+def table_of(counts: DataFrame, by: str, values: list[str], languages: list[str]) -> dict[str, list[float]]:
+    """By value, log chance of it given each language, smoothed by one row a value; other values are one, named *."""
+    seen = {(r["text_lang"], r[by]): float(r["n"]) for r in counts.collect()}
+    out: dict[str, list[float]] = {v: [] for v in [*values, "*"]}
+    for lang in languages:
+        own = {v: seen.get((lang, v), 0.0) + 1.0 for v in out}
+        for v, n in own.items():
+            out[v].append(math.log(n / sum(own.values())))
+    return out
 
 
-def lookup(value: Column, table: dict[str, dict[str, float]], lang: str) -> Column:
-    """Log chance of the value; an empty or null one says nothing."""
-    out = F.when(F.coalesce(value, F.lit("")) == "", 0.0)
-    for v, p in table[lang].items():
+def lookup(value: Column, table: dict[str, list[float]]) -> Column:
+    """Log chances of the value by language; an empty or null one says nothing."""
+    none = F.array(*[F.lit(0.0)] * len(table["*"]))
+    out = F.when(F.coalesce(value, F.lit("")) == "", none)
+    for v, p in table.items():
         if v != "*":
-            out = out.when(value == v, p)
-    return out.otherwise(table[lang]["*"])
+            out = out.when(value == v, F.array(*map(F.lit, p)))
+    return out.otherwise(F.array(*map(F.lit, table["*"])))
 
 
 def known(value: Column, values: list[str]) -> Column:
-    return F.when(value.isin(values), value).otherwise(F.lit("*"))
+    return F.when(value.isin(values), value).otherwise(F.lit("*")) if values else F.lit("*")
 
 
-def fuse(features: DataFrame, words: dict[str, dict[str, float]]) -> DataFrame:
-    """Add lang_id, probability, text_lang and the evidence to a stored table of counts with declared, suffix and host.
+def fuse(features: DataFrame, languages: list[str]) -> DataFrame:
+    """Add lang_id, probability, text_lang to a stored table with _text, n_words, declared, suffix and host.
 
-    Tables of declared languages and suffixes are bounded by the lists of values; statistics of hosts and domains grow
-    with the input, are summed before any shuffle, and are joined by it. Each row's say is that of its text.
+    Each row's say in the tables of evidence is that of its text. Tables of declared languages and suffixes are bounded by
+    the languages and MOST_SUFFIXES; statistics of hosts and domains grow with the input, are summed before any shuffle,
+    and are joined by it. A row's own say is left out of the priors of its host and domain.
     """
-    judged = features.withColumn("text_lang", F.when(F.col("n_words") > 0, best(text_scores(words))["lang"]))
+    width = len(languages)
+    judged = features.withColumn("text_lang", F.when(F.col("n_words") > 0, best(F.col("_text"), languages)["lang"]))
     sure = judged.where("text_lang is not null")
-    declared = table_of(sure.where("declared <> ''").groupBy("text_lang", known(F.col("declared"), LANGUAGES).alias("declared")).agg(F.count(F.lit(1)).alias("n")), "declared", LANGUAGES)
-    suffix = table_of(sure.where("suffix <> ''").groupBy("text_lang", known(F.col("suffix"), SUFFIXES).alias("suffix")).agg(F.count(F.lit(1)).alias("n")), "suffix", SUFFIXES)
-    shares = {r["text_lang"]: float(r["n"]) for r in sure.groupBy("text_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(shares.values()) + len(LANGUAGES)
-    model = Model(words, declared, suffix, {k: (shares.get(k, 0.0) + 1.0) / total for k in LANGUAGES})
-    by_host = sure.withColumn("domain", domain_of(F.col("host"))).groupBy("host", "domain").agg(*[F.count_if(F.col("text_lang") == k).alias(f"h_{k}") for k in LANGUAGES])
-    by_domain = by_host.groupBy("domain").agg(*[F.sum(f"h_{k}").alias(f"d_{k}") for k in LANGUAGES])
-    both = by_host.join(by_domain, "domain")
-    d_all, h_all = (sum((F.col(f"{x}_{k}") for k in LANGUAGES), F.lit(0)) for x in "dh")
-    priors = both.select("host", *[((F.col(f"h_{k}") + LEAN * (F.col(f"d_{k}") + LEAN * model.share[k]) / (d_all + LEAN)) / (h_all + LEAN)).alias(f"prior_{k}") for k in LANGUAGES])
-    out = judged.join(priors, "host", "left")
-    scores = {k: F.log(F.coalesce(F.col(f"prior_{k}"), F.lit(model.share[k]))) + text_scores(words)[k] + lookup(F.col("declared"), declared, k) + lookup(F.col("suffix"), suffix, k) for k in LANGUAGES}
-    out = out.withColumns({f"_s_{k}": v for k, v in scores.items()}).withColumn("_best", best({k: F.col(f"_s_{k}") for k in LANGUAGES}))
-    share = 1 / sum((F.exp(F.col(f"_s_{k}") - F.col("_best.score")) for k in LANGUAGES), F.lit(0.0))
-    out = out.withColumns({"lang_id": F.col("_best.lang"), "probability": share})
-    return out.drop("_best", *[f"_s_{k}" for k in LANGUAGES], *[f"prior_{k}" for k in LANGUAGES], *[f"c_{s}" for s in SYMBOLS])
-
-
-def identify_pages(pages: DataFrame, texts: DataFrame, least: float = 0.5) -> DataFrame:
+    one = F.count(F.lit(1)).alias("n")
+    tables = {}
+    common = sure.where("suffix <> ''").groupBy("suffix").agg(one).orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES).collect()
+    for by, values in (("declared", languages[:-1]), ("suffix", sorted(r["suffix"] for r in common))):
+        counts = sure.where(F.col(by) != "").groupBy("text_lang", known(F.col(by), values).alias(by)).agg(one)
+        tables[by] = table_of(counts, by, values, languages)
+    shares = {r["text_lang"]: float(r["n"]) for r in sure.groupBy("text_lang").agg(one).collect()}
+    total = sum(shares.values()) + width
+    share = [(shares.get(k, 0.0) + 1.0) / total for k in languages]
+    by_host = sure.withColumn("domain", domain_of(F.col("host"))).groupBy("host", "domain").agg(*[F.count_if(F.col("text_lang") == k).alias(f"h_{i}") for i, k in enumerate(languages)])
+    by_domain = by_host.groupBy("domain").agg(*[F.sum(f"h_{i}").alias(f"d_{i}") for i in range(width)])
+    votes = by_host.join(by_domain, "domain").select("host", F.array(*[F.col(f"h_{i}") for i in range(width)]).alias("_h"), F.array(*[F.col(f"d_{i}") for i in range(width)]).alias("_d"))
+    out = judged.join(votes, "host", "left")
+    none = F.array(*[F.lit(0).cast("long")] * width)
+    names = F.array(*map(F.lit, languages))
+
+    def others(seen: str) -> Column:
+        own = F.transform(names, lambda k: (k == F.col("text_lang")).cast("long"))
+        return F.when(F.col(seen).isNull(), none).when(F.col("text_lang").isNull(), F.col(seen)).otherwise(F.zip_with(F.col(seen), own, lambda a, b: a - b))
+
+    def added(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def leaning(seen: Column, base: Column) -> Column:
+        return let(seen, lambda s: F.zip_with(s, base, lambda n, p: (n + LEAN * p) / (added(s) + LEAN)))
+
+    prior = leaning(others("_h"), leaning(others("_d"), F.array(*map(F.lit, share))))
+    parts = [F.transform(prior, lambda p: F.log(p)), F.col("_text"), lookup(F.col("declared"), tables["declared"]), lookup(F.col("suffix"), tables["suffix"])]
+    total_of = parts[0]
+    for p in parts[1:]:
+        total_of = F.zip_with(total_of, p, lambda a, b: a + b)
+    out = out.withColumn("_all", total_of).withColumn("_best", best(F.col("_all"), languages))
+    share_of = 1 / F.aggregate(F.col("_all"), F.lit(0.0), lambda a, s: a + F.exp(s + F.col("_best.cost")))
+    return out.withColumns({"lang_id": F.col("_best.lang"), "probability": share_of}).drop("_best", "_all", "_h", "_d", "_text")
+
+
+def decided(features: DataFrame, languages: list[str], least: float) -> DataFrame:
+    wrong = (F.col("n_words") == 0) | (F.col("lang_id") == UNKNOWN) | (F.col("probability") < least)
+    return fuse(features, languages).withColumn("rejected", wrong)
+
+
+def identify_pages(pages: DataFrame, texts: DataFrame, least: float = 0.6) -> DataFrame:
     """One row per page: page_id, host, suffix, declared, n_words, text_lang, lang_id, probability, rejected.
 
-    ``texts`` (text, lang) teaches the word likelihoods. rejected: the text has no words, or no language reaches
-    ``least``. Null urls and markup count as empty: they say nothing. Repeated rows stay. An empty table stays empty.
+    ``texts`` (text, lang) teaches the languages. rejected: the text has no words, is most likely of none of them (lang_id
+    unknown), or no language reaches ``least``. Null urls and markup count as empty: they say nothing. Repeated rows stay.
+    Other columns of ``pages`` are left out, whatever their names. An empty table stays empty; without labelled rows all
+    texts are of an unknown language.
     """
-    learned = word_likelihoods(counted(texts.select("text", "lang"), F.col("text")).drop("text"), F.col("lang"))
+    model = learn(texts, F.col("text"), F.col("lang"))
     host = host_of(F.col("url"))
-    rows = counted(pages.select("page_id", "url", "html"), markup_text(F.col("html")))
+    rows = scored(pages.select("page_id", "url", "html"), markup_text(F.col("html")), model)
     rows = rows.withColumns({"host": host, "declared": markup_language(F.col("html"))}).withColumn("suffix", suffix_of(F.col("host"))).drop("url", "html")
-    out = fuse(stage(rows, "page-words"), learned)
-    return out.withColumn("rejected", (F.col("n_words") == 0) | (F.col("probability") < least)).select("page_id", "host", "suffix", "declared", "n_words", "text_lang", "lang_id", "probability", "rejected")
+    out = decided(stage(rows, "page-scores"), model.languages, least)
+    return out.select("page_id", "host", "suffix", "declared", "n_words", "text_lang", "lang_id", "probability", "rejected")
 
 
-def identify_documents(docs: DataFrame, key: list[str], text: str, declared: str, source: str, least: float = 0.5) -> DataFrame:
+def identify_documents(docs: DataFrame, key: list[str], text: str, declared: str, source: str, least: float = 0.6) -> DataFrame:
     """The columns ``key`` with n_words, text_lang, lang_id, probability, rejected: a text's source stands for its host.
 
-    Word likelihoods are learned from the declared languages of the same rows. Defined as for pages.
+    Languages are learned from the declared ones of the same rows. Defined as for pages. ``key`` must not hold the names
+    of the added columns.
     """
-    rows = counted(docs.select(*key, quoted(text).alias("_text"), F.coalesce(F.lower(quoted(declared)), F.lit("")).alias("declared"), F.coalesce(quoted(source), F.lit("")).alias("host"), F.lit("").alias("suffix")), F.col("_text")).drop("_text")
-    stored = stage(rows, "document-words")
-    out = fuse(stored, word_likelihoods(stored, F.col("declared")))
-    return out.withColumn("rejected", (F.col("n_words") == 0) | (F.col("probability") < least)).select(*key, "n_words", "text_lang", "lang_id", "probability", "rejected")
+    said = F.lower(F.coalesce(quoted(declared), F.lit("")))
+    rows = docs.select(*key, quoted(text).alias("_whole"), said.alias("declared"), F.coalesce(quoted(source), F.lit("")).alias("host"), F.lit("").alias("suffix"))
+    model = learn(rows, F.col("_whole"), F.col("declared"))
+    stored = stage(scored(rows, F.col("_whole"), model).drop("_whole"), "document-scores")
+    return decided(stored, model.languages, least).select(*key, "n_words", "text_lang", "lang_id", "probability", "rejected")
