@@ -120,6 +120,42 @@ FROM kept k JOIN placed p USING (conv_id) GROUP BY k.conv_id, k.last, k.n_copies
 """
 
 
+def reach_sql(nodes: str, key: str) -> str:
+    """CTEs over links(x, y): ids(r, low), the smallest ``key`` that each row r of ``nodes`` reaches."""
+    return f"""two_way AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+walk AS (SELECT r AS start, r AS place FROM {nodes} UNION SELECT start, y FROM walk JOIN two_way ON place = x),
+ids AS (SELECT start AS r, min({key}) AS low FROM walk JOIN {nodes} n ON n.r = place GROUP BY start)"""
+
+
+OP4_SQL = f"""
+WITH RECURSIVE numbered AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sound AS MATERIALIZED (
+  SELECT r, v, len(v) AS size FROM numbered WHERE len(v) > 0 AND list_count(v) = len(v)
+    AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.r AS x, b.r AS y FROM sound a JOIN sound b ON a.r < b.r AND a.size = b.size WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+degree AS (SELECT r, count(*) AS n FROM (SELECT x AS r FROM links UNION ALL SELECT y FROM links) GROUP BY r),
+{reach_sql("numbered", "n.vec_id")}
+SELECT vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, i.low AS component_id, coalesce(i.low = vec_id, i.low IS NULL) AS kept
+FROM numbered JOIN ids i USING (r) LEFT JOIN degree d USING (r)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM texts),
+tokens AS MATERIALIZED (SELECT r, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM tokens a JOIN tokens b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * n >= 90 * (len(a.s) + len(b.s) - n)),
+{reach_sql("sets", "n.doc_id")}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, i.low AS component_id FROM sets JOIN ids i USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sentencepieces": op2_sentencepieces,
@@ -134,5 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_vector_join": OP4_SQL,
     "op8_chat": OP8_SQL,
+    "op10_shingle_join": OP10_SQL,
 }
