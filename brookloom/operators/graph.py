@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from brookloom.plans.tables import dropped, written
 
 ALWAYS, OUTPUT, EPHEMERAL = "Always", "Output", "Ephemeral"
+#: Rounds after which what has been found so far is put into one table.
+PARTS = 16
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -23,18 +25,30 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def closure(start: DataFrame, edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """(job_id): ``start`` and all that its edges lead to. ``through``: nodes beyond which the walk goes on, all if None.
 
-    Ends on graphs with cycles as well: a node is visited once.
+    Ends on graphs with cycles as well: a node is visited once. A round joins the last round's nodes with the edges, and
+    takes out the visited ones: a table that is compacted when as many rounds have passed as it then has parts, so that a
+    chain of n nodes reads O(n) small tables a few times and no plan grows with n.
     """
     steps = edges.select(F.col("up").alias("job_id"), F.col("down").alias("next"))
-    fronts = [written(start.select("job_id").distinct(), "front")]
+    front = written(start.select("job_id").distinct(), "front")
+    visited, parts = front, [front]
+    first = True
     while True:
-        front = fronts[-1] if through is None or len(fronts) == 1 else fronts[-1].join(through.select("job_id"), "job_id", "left_semi")
-        new = front.join(steps, "job_id").select(F.col("next").alias("job_id")).distinct().join(union(fronts), "job_id", "left_anti")
-        new = written(new, "front")
+        go_on = front if through is None or first else front.join(through.select("job_id"), "job_id", "left_semi")
+        first = False
+        new = written(go_on.join(steps, "job_id").select(F.col("next").alias("job_id")).distinct().join(visited, "job_id", "left_anti"), "front")
         if new.isEmpty():
             dropped(new)
-            return union(fronts)
-        fronts.append(new)
+            return visited
+        front = new
+        parts.append(new)
+        if len(parts) > PARTS:
+            visited = written(union(parts), "visited")
+            dropped(*parts[:-1])  # the last is the next round's front
+            parts = [visited]
+            front = new
+        else:
+            visited = union(parts)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -50,36 +64,60 @@ def ancestors(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(job_id, level): the longest path that leads to a node. A graph with a cycle fails."""
-    inner = edges.join(nodes.select(F.col("job_id").alias("up")), "up", "left_semi").join(nodes.select(F.col("job_id").alias("down")), "down", "left_semi").select("up", "down")
-    roots = nodes.select("job_id").join(inner.select(F.col("down").alias("job_id")).distinct(), "job_id", "left_anti")
-    fronts = [written(roots.withColumn("level", F.lit(0)), "level")]
-    limit = None
+    """(job_id, level): the longest path that leads to a node. A graph with a cycle fails.
+
+    Nodes without an open upstream are peeled off, a level a round; a node's open upstreams are counted down by the edges
+    that leave the level, so each edge is used once and each node placed once.
+    """
+    inner = edges.join(nodes.select(F.col("job_id").alias("up")), "up", "left_semi").join(nodes.select(F.col("job_id").alias("down")), "down", "left_semi").select("up", "down").distinct()
+    inner = written(inner, "edges")
+    waits = inner.groupBy(F.col("down").alias("job_id")).agg(F.count(F.lit(1)).alias("open"))
+    left = written(nodes.select("job_id").distinct().join(waits, "job_id", "left").select("job_id", F.coalesce("open", F.lit(0)).alias("open")), "open")
+    found, parts, depth = None, [], 0
     while True:
-        depth = len(fronts)
-        new = fronts[-1].join(inner.withColumnRenamed("up", "job_id"), "job_id").select(F.col("down").alias("job_id")).distinct().withColumn("level", F.lit(depth))
-        new = written(new, "level")
-        if new.isEmpty():
+        free = written(left.where("open = 0").select("job_id", F.lit(depth).alias("level")), "level")
+        if free.isEmpty():
+            dropped(free)
             break
-        if depth > 64 and limit is None:
-            limit = nodes.count()
-        if limit is not None and depth > limit:
-            raise ValueError("the graph has a cycle")
-        fronts.append(new)
-    return union(fronts).groupBy("job_id").agg(F.max("level").alias("level"))
+        parts.append(free)
+        done = free.select(F.col("job_id").alias("up")).join(inner, "up").groupBy(F.col("down").alias("job_id")).agg(F.count(F.lit(1)).alias("done"))
+        after = written(left.where("open > 0").join(done, "job_id", "left").select("job_id", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")), "open")
+        dropped(left)
+        left, depth = after, depth + 1
+        if len(parts) > PARTS:
+            found = written(union(parts), "levels")
+            dropped(*parts)
+            parts = [found]
+    cycle = not left.isEmpty()
+    dropped(left, inner)
+    if cycle:
+        raise ValueError("the graph has a cycle")
+    return union(parts) if parts else nodes.select("job_id", F.lit(0).alias("level")).limit(0)
+
+
+def order_violations(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """Edges whose upstream doesn't come before its downstream in ``order`` (job_id, position), or isn't in it."""
+    up, down = (order.select(F.col("job_id").alias(x), F.col("position").alias(f"{x}_at")) for x in ("up", "down"))
+    both = edges.join(up, "up", "left").join(down, "down", "left")
+    return both.where(~F.coalesce(F.col("up_at") < F.col("down_at"), F.lit(False))).select("up", "down")
 
 
 def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(job_id): what is left when nodes without upstream are peeled off again and again: empty for a DAG."""
+    """(job_id): nodes that are on a cycle or between cycles: empty for a DAG.
+
+    Nodes without upstream are peeled off again and again, then those without downstream.
+    """
     left = written(nodes.select("job_id").distinct(), "peel")
-    while True:
-        held = edges.join(left.withColumnRenamed("job_id", "up"), "up", "left_semi")
-        after = written(left.join(held.select(F.col("down").alias("job_id")).distinct(), "job_id", "left_semi"), "peel")
-        same = after.count() == left.count()
-        dropped(left)
-        left = after
-        if same:
-            return left
+    for a, b in (("up", "down"), ("down", "up")):
+        while True:
+            held = edges.join(left.withColumnRenamed("job_id", a), a, "left_semi")
+            after = written(left.join(held.select(F.col(b).alias("job_id")).distinct(), "job_id", "left_semi"), "peel")
+            same = after.count() == left.count()
+            dropped(left)
+            left = after
+            if same:
+                break
+    return left
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:
@@ -88,18 +126,24 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["up", "down"], "left_semi").distinct()
 
 
+def kinds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, jobs, with_inputs): jobs by kind, and those of them that have upstreams."""
+    fed = edges.select(F.col("down").alias("job_id"), F.lit(True).alias("fed")).distinct()
+    return nodes.join(fed, "job_id", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("jobs"), F.count("fed").alias("with_inputs"))
+
+
+def output_conflicts(outputs: DataFrame) -> DataFrame:
+    """(output_name, jobs): outputs (job_id, output_name) that more than one job declares."""
+    return outputs.groupBy("output_name").agg(F.countDistinct("job_id").alias("jobs")).where("jobs > 1")
+
+
 def leaf_ephemerals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(job_id): ephemerals that no other kept node needs, peeled off from the leaves upward."""
+    """(job_id): ephemerals all of whose descendants are ephemeral: no other kept node needs them."""
     eph = nodes.where(F.col("kind") == EPHEMERAL).select("job_id")
     kept_roots = nodes.where(F.col("kind") != EPHEMERAL).select("job_id")
     return eph.join(ancestors(kept_roots, edges), "job_id", "left_anti")
 
 
-def all_ephemeral_cone(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(job_id): ephemerals all of whose descendants are ephemeral."""
-    return leaf_ephemerals(nodes, edges)
-
-
 def focus(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes that are in ``ids`` or lead to one of them."""
     return nodes.join(ancestors(ids, edges), "job_id", "left_semi")

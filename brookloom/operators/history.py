@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.operators.graph import EPHEMERAL
@@ -30,10 +30,6 @@ def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: Data
     gave an output, or an ephemeral that was skipped: the upstream's new output, else the row as it was, else the
     upstream's stored output.
     """
-    here = nodes.select("job_id")
-    both = old.join(here.withColumnRenamed("job_id", "up"), "up", "left_semi").join(here.withColumnRenamed("job_id", "down"), "down", "left_semi")
-    lost = both.select("up", "down").distinct().join(edges, ["up", "down"], "left_anti")
-    alive = old.join(lost, ["up", "down"], "left_anti")
     given = outcomes.where(F.col("outcome") == "Success").select("job_id")
     passed = nodes.where(F.col("kind") == EPHEMERAL).join(outcomes.where(F.col("outcome") == "Skipped").select("job_id"), "job_id", "left_semi").select("job_id")
     used = inputs.select("up", F.col("job_id").alias("down"), F.col("input_name").alias("output_name")).distinct()
@@ -41,13 +37,30 @@ def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: Data
     names = ["up", "output_name"]
     fresh = (
         fresh.join(cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now")), names, "left")
-        .join(old.select("up", "down", "output_name", F.col("hash").alias("was")), ["up", "down", "output_name"], "left")
         .join(hist_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("stored")), names, "left")
-        .select("up", "down", "output_name", F.coalesce("now", "was", "stored").alias("hash"))
-        .where("hash is not null")
+        .withColumn("fresh", F.lit(True))
     )
-    rest = alive.join(fresh.select("up", "down", "output_name"), ["up", "down", "output_name"], "left_anti")
-    return rest.select("up", "down", "output_name", "hash").unionByName(fresh)
+    # one full join of old and fresh rows; of the old ones alone, whether the edge is there now, and both its jobs are
+    both = old.select("up", "down", "output_name", F.col("hash").alias("was")).join(fresh, ["up", "down", "output_name"], "full")
+    here = nodes.select("job_id", F.lit(True).alias("there"))
+    both = both.join(edges.select("up", "down", F.lit(True).alias("edge")).distinct(), ["up", "down"], "left")
+    both = both.join(here.withColumnRenamed("job_id", "up").withColumnRenamed("there", "a"), "up", "left").join(here.withColumnRenamed("job_id", "down").withColumnRenamed("there", "b"), "down", "left")
+    found = F.when(F.col("fresh"), F.coalesce("now", "was", "stored")).otherwise(F.col("was"))
+    return both.where("fresh or edge or a is null or b is null").select("up", "down", "output_name", found.alias("hash")).where("hash is not null")
+
+
+def merge_files(old: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """Fingerprints of input files after a run: those seen in it, and the others as before."""
+    out = old
+    for new in seen:
+        out = out.join(new.select("path").distinct(), "path", "left_anti").unionByName(new.select(*old.columns).dropDuplicates(["path"]))
+    return out
+
+
+def beyond(logs: DataFrame, group: list[str], order: list[str], keep: int) -> DataFrame:
+    """The rows of each group that aren't among the last ``keep`` by the columns ``order``: logs that may go."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]))
+    return logs.withColumn("_rank", rank).where(F.col("_rank") > keep).drop("_rank")
 
 
 def difference(old: DataFrame, new: DataFrame, keys: list[str], value: str = "hash") -> DataFrame:

@@ -6,7 +6,7 @@ output_name, hash), hist_inputs(job_id, input_digest), hist_edge(up, down, outpu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT
@@ -38,6 +38,12 @@ def missing_outputs(nodes: DataFrame, present: DataFrame, hist_output: DataFrame
     return known.select("job_id", reason.alias("reason")).where("reason is not null")
 
 
+def unknown_outputs(nodes: DataFrame, hist_output: DataFrame) -> DataFrame:
+    """(job_id): jobs with an output that history doesn't know."""
+    parts = nodes.select("job_id", F.explode(F.split("job_id", SEPARATOR)).alias("output_name"))
+    return parts.join(hist_output.select("job_id", "output_name"), ["job_id", "output_name"], "left_anti").select("job_id").distinct()
+
+
 def edge_invalidated(edges: DataFrame, inputs: DataFrame, cur_output: DataFrame, hist_edge: DataFrame) -> DataFrame:
     """(up, down, invalidated): whether any output that ``down`` consumes of ``up`` differs from what it last consumed.
 
@@ -52,12 +58,17 @@ def edge_invalidated(edges: DataFrame, inputs: DataFrame, cur_output: DataFrame,
 def rename_match(lost: DataFrame, known: DataFrame) -> DataFrame:
     """(up, down, old_up, overlap): for edges without history, the former upstream of the same job with most common parts.
 
-    ``lost`` (up, down), ``known`` (up, down): present edges and those of history. Ties go to the smallest old id.
+    ``lost`` (up, down), ``known`` (up, down): present edges and those of history. Ties go to the smallest old id. Parts
+    are joined on (down, part), so that only pairs with a part in common are made.
     """
-    old = known.select(F.col("up").alias("old_up"), "down").distinct()
-    pairs = lost.join(old, "down").withColumn("overlap", F.size(F.array_intersect(F.split("up", SEPARATOR), F.split("old_up", SEPARATOR))))
-    rank = F.row_number().over(Window.partitionBy("up", "down").orderBy(F.desc("overlap"), "old_up"))
-    return pairs.where("overlap > 0").withColumn("rank", rank).where("rank = 1").select("up", "down", "old_up", "overlap")
+
+    def parts(df: DataFrame) -> DataFrame:
+        return df.select("down", "up", F.explode(F.array_distinct(F.split("up", SEPARATOR))).alias("part")).distinct()
+
+    old = parts(known.select("up", "down")).withColumnRenamed("up", "old_up")
+    pairs = parts(lost.select("up", "down")).join(old, ["down", "part"]).groupBy("up", "down", "old_up").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    best = pairs.groupBy("up", "down").agg(F.min(F.struct((-F.col("overlap")).alias("most"), "old_up")).alias("best"))
+    return best.select("up", "down", "best.old_up", (-F.col("best.most")).alias("overlap"))
 
 
 def node_validation(nodes: DataFrame, edges: DataFrame, edge_state: DataFrame, hist_output: DataFrame) -> DataFrame:
@@ -110,3 +121,20 @@ def changed_ephemerals(validated: DataFrame, cur_output: DataFrame, hist_output:
     now = cur_output.join(validated.select("job_id"), "job_id", "left_semi")
     was = hist_output.select("job_id", "output_name", F.col("hash").alias("was"))
     return now.join(was, ["job_id", "output_name"], "left").where(~(F.col("hash").eqNullSafe(F.col("was")))).select("job_id").distinct()
+
+
+def decisions(nodes: DataFrame, edges: DataFrame, states: DataFrame, validation: DataFrame, requirement: DataFrame) -> DataFrame:
+    """(job_id, action) of the jobs that have no outcome yet: UpstreamFailed, Run, Skip or Wait.
+
+    ``states`` (job_id, state) holds outcomes, ``validation`` (job_id, vstatus) and ``requirement`` (job_id, requirement)
+    what ``node_validation`` and ``downstream_requirement`` give. A failed upstream decides first, then an unfinished one.
+    Always jobs run. An invalidated Output job runs, a validated one is skipped. An ephemeral runs if a job below needs it
+    (whether it is validated or not), is skipped if none does, and waits while that isn't known.
+    """
+    up = edges.join(states.select(F.col("job_id").alias("up"), "state"), "up", "left").groupBy(F.col("down").alias("job_id"))
+    above = up.agg(F.bool_or(F.coalesce(F.col("state").isin("Failed", "UpstreamFailed"), F.lit(False))).alias("failed"), F.bool_and(F.coalesce(F.col("state").isin("Success", "Skipped"), F.lit(False))).alias("ended"))
+    left = nodes.join(states.select("job_id"), "job_id", "left_anti").join(above, "job_id", "left").join(validation, "job_id", "left").join(requirement, "job_id", "left")
+    action = F.when(F.coalesce("failed", F.lit(False)), "UpstreamFailed").when(~F.coalesce("ended", F.lit(True)), "Wait").when(F.col("kind") == ALWAYS, "Run")
+    action = action.when(F.col("kind") == OUTPUT, F.when(F.col("vstatus") == "Invalidated", "Run").when(F.col("vstatus") == "Validated", "Skip").otherwise("Wait"))
+    action = action.otherwise(F.when(F.col("requirement") == "yes", "Run").when(F.coalesce("requirement", F.lit("no")) == "no", "Skip").otherwise("Wait"))
+    return left.select("job_id", action.alias("action"))
