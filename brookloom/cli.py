@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brookloom.operators import history
 from brookloom.plans.pipeline import EDGES, INPUTS, OUTPUTS
-from brookloom.plans.tables import rename
+from brookloom.plans.tables import exists, rename
 from brookloom.sources import files
 
 SCHEMAS = {"outputs": OUTPUTS, "inputs": INPUTS, "edges": EDGES}
@@ -24,11 +24,17 @@ def show(df: DataFrame) -> None:
         print("\t".join("" if x is None else str(x) for x in row))
 
 
-def forget(spark: SparkSession, root: str, jobs: list[str]) -> None:
+def forget(spark: SparkSession, root: str, jobs: list[str], sure: bool = False) -> None:
+    """Take the rows of ``jobs`` out of history. Asks for the word yes first, unless ``sure``."""
+    if not sure and input(f"make {', '.join(jobs)} run again? Type yes: ").strip() != "yes":
+        print("nothing done")
+        return
     ids = spark.createDataFrame([(j,) for j in jobs], "job_id string")
     left = history.without_jobs(*(table(spark, root, n) for n in ("outputs", "inputs", "edges")), ids)
     for name, df in zip(("outputs", "inputs", "edges"), left, strict=True):
         df.write.mode("overwrite").parquet(f"{root}/.history.new/{name}")
+    if exists(spark, f"{root}/.history/files"):
+        spark.read.parquet(f"{root}/.history/files").write.mode("overwrite").parquet(f"{root}/.history.new/files")
     rename(spark, f"{root}/.history.new", f"{root}/.history")
 
 
@@ -39,6 +45,8 @@ def main(args: list[str] | None = None) -> None:
         one = commands.add_parser(name)
         for w in words:
             one.add_argument(w, nargs="+" if w == "job" else None)
+        if name == "forget":
+            one.add_argument("--yes", action="store_true", help="don't ask")
     said = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if said.command == "history":
@@ -46,9 +54,9 @@ def main(args: list[str] | None = None) -> None:
     elif said.command == "history-diff":
         show(history.difference(table(spark, said.old, "outputs"), table(spark, said.new, "outputs"), ["job_id", "output_name"]).orderBy("job_id"))
     elif said.command == "forget":
-        forget(spark, said.root, said.job)
+        forget(spark, said.root, said.job, said.yes)
     else:
-        show(files.fingerprints(files.listed(spark, said.path)))
+        show(files.fingerprints(spark, [said.path]))
 
 
 if __name__ == "__main__":

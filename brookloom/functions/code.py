@@ -12,14 +12,18 @@ import types
 from collections.abc import Callable, Iterable
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 class UndeclaredNonLocals(ValueError):
     """A function reads outside variables that nothing tracks."""
 
 
 def unwrapped(function: Callable) -> Callable:
-    """The function that an adapter calls, where the adapter names it."""
-    return getattr(function, "__tracked_function__", function)
+    """The function that an adapter calls, where the adapter names it; of a Spark UDF the Python function in it."""
+    seen = getattr(function, "__tracked_function__", function)
+    inner = getattr(seen, "func", None)
+    return unwrapped(inner) if callable(inner) and hasattr(seen, "returnType") else seen
 
 
 def tracks(inner: Callable) -> Callable[[Callable], Callable]:
@@ -32,18 +36,27 @@ def tracks(inner: Callable) -> Callable[[Callable], Callable]:
     return mark
 
 
-def shown(value: Any) -> str:
-    """Text of an enclosed value, the same in each process: sets and mappings sorted, no addresses."""
+def shown(value: Any, above: tuple[int, ...] = ()) -> str:
+    """Text of an enclosed value, the same in each process: sets and mappings sorted, no addresses.
+
+    A function, also one in a UDF or bound to an object, stands with its byte code and what it encloses in turn.
+    """
+    if id(value) in above:
+        return "itself"
+    inside = (*above, id(value))
     if isinstance(value, dict):
-        return "{" + ", ".join(sorted(f"{shown(k)}: {shown(v)}" for k, v in value.items())) + "}"
+        return "{" + ", ".join(sorted(f"{shown(k, inside)}: {shown(v, inside)}" for k, v in value.items())) + "}"
     if isinstance(value, (set, frozenset)):
-        return "{" + ", ".join(sorted(map(shown, value))) + "}"
+        return "{" + ", ".join(sorted(shown(v, inside) for v in value)) + "}"
     if isinstance(value, (list, tuple)):
-        return "[" + ", ".join(map(shown, value)) + "]"
-    if isinstance(value, (types.FunctionType, types.MethodType)):
-        return instructions(value.__code__)
+        return "[" + ", ".join(shown(v, inside) for v in value) + "]"
     if isinstance(value, types.ModuleType):
         return value.__name__
+    inner = unwrapped(value) if callable(value) else value
+    inner = getattr(inner, "__func__", inner)
+    if isinstance(inner, types.FunctionType):
+        more = getattr(value, "returnType", "")
+        return f"{instructions(inner.__code__)} {more} {sorted(enclosed(inner, inside).items())}"
     return re.sub(r" at 0x[0-9a-fA-F]+", "", repr(value))
 
 
@@ -56,13 +69,22 @@ def instructions(code: types.CodeType) -> str:
     return "\n".join(out)
 
 
-def enclosed(function: Callable) -> dict[str, str]:
+def enclosed(function: Callable, above: tuple[int, ...] = ()) -> dict[str, str]:
     """Variables that a function encloses, but for ``self``; its default values count as well."""
     inner = inspect.unwrap(unwrapped(function))
+    inner = getattr(inner, "__func__", inner)
     cells = zip(inner.__code__.co_freevars, inner.__closure__ or (), strict=False)
-    found = {name: shown(cell.cell_contents) for name, cell in cells if name != "self"}
+    found = {}
+    for name, cell in cells:
+        if name != "self":
+            try:
+                found[name] = shown(cell.cell_contents, above)
+            except ValueError:  # not bound yet
+                found[name] = "unbound"
     for i, value in enumerate(inner.__defaults__ or ()):
-        found[f"default {i}"] = shown(value)
+        found[f"default {i}"] = shown(value, above)
+    for name, value in sorted((inner.__kwdefaults__ or {}).items()):
+        found[f"default {name}"] = shown(value, above)
     return found
 
 
@@ -87,7 +109,8 @@ def same_function(old: dict[str, str], new: dict[str, str]) -> bool:
 
 
 def check_non_locals(function: Callable, allowed: Iterable[str] = ()) -> None:
-    """Fail if a function reads outside variables other than modules, functions, classes and those in ``allowed``."""
+    """Fail if a function reads outside variables other than modules, functions, classes, jobs, the Spark session, and those
+    in ``allowed``."""
     inner = unwrapped(function)
     if not hasattr(inner, "__code__"):
         return
@@ -95,7 +118,7 @@ def check_non_locals(function: Callable, allowed: Iterable[str] = ()) -> None:
     odd = sorted(
         name
         for name, value in {**outside.globals, **outside.nonlocals}.items()
-        if name not in set(allowed) and not (isinstance(value, (types.ModuleType, type)) or callable(value) or hasattr(value, "job_id"))
+        if name not in set(allowed) and not (isinstance(value, (types.ModuleType, type, SparkSession)) or callable(value) or hasattr(value, "job_id"))
     )
     if odd:
         raise UndeclaredNonLocals(f"{inner.__qualname__} reads {', '.join(odd)}; declare them as parameters or allow them")

@@ -8,7 +8,7 @@ import os
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 SEPARATOR = ":::"
@@ -20,16 +20,36 @@ def row_digest(*columns: str | Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns]), {"ignoreNullFields": "false"}), 256)
 
 
-def table_digest(df: DataFrame) -> str:
-    """Fingerprint of a table's schema and rows, whatever their order: a count and two sums of row hashes, one aggregation.
+def measures(df: DataFrame) -> list[Column]:
+    """Aggregates by which tables are told apart: a count and two sums of row hashes, over any order of the rows.
 
     Maps are hashed as their sorted entries. Repeated rows count.
     """
-    plain = [F.array_sort(F.map_entries(f.name)).alias(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields]
+    plain = [F.array_sort(F.map_entries(quoted(f.name))) if f.dataType.typeName() == "map" else quoted(f.name) for f in df.schema.fields]
     one = F.xxhash64(*plain) if plain else F.lit(0)
     two = F.xxhash64(F.lit("second"), *plain)
-    sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(h.cast("decimal(38,0)")).cast("string").alias(k) for k, h in (("a", one), ("b", two))]).first()
-    return hashlib.sha256(json.dumps([df.schema.json(), sums["n"], sums["a"], sums["b"]]).encode()).hexdigest()
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(h.cast("decimal(38,0)")).cast("string").alias(k) for k, h in (("a", one), ("b", two))]]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def measured_digest(df: DataFrame, found: Mapping[str, Any]) -> str:
+    return hashlib.sha256(json.dumps([df.schema.json(), found["n"], found["a"], found["b"]]).encode()).hexdigest()
+
+
+def table_digest(df: DataFrame) -> str:
+    """Fingerprint of a table's schema and rows, whatever their order: one aggregation."""
+    return measured_digest(df, df.agg(*measures(df)).first().asDict())
+
+
+def written_digest(df: DataFrame, path: str) -> tuple[str, int]:
+    """Write ``df`` as Parquet to ``path``; its fingerprint and rows, both taken while it is written."""
+    seen = Observation()
+    df.observe(seen, *measures(df)).write.mode("overwrite").parquet(path)
+    found = seen.get
+    return measured_digest(df, found), found["n"]
 
 
 def canonical(value: Any) -> Any:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Callable, Iterable, MutableMapping
 from dataclasses import dataclass
-from typing import TYPE_CHECKING, Any
+from typing import TYPE_CHECKING, Any, NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.functions.code import check_non_locals, function_digest, same_function
-from brookloom.functions.digests import SEPARATOR, parameter_digest, table_digest
+from brookloom.functions.code import check_non_locals, function_digest, same_function, tracks
+from brookloom.functions.digests import SEPARATOR, parameter_digest, table_digest, written_digest
 from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT
 from brookloom.plans.tables import delete, exists, path_of, rename
 from brookloom.sources import files, shared
@@ -76,18 +77,21 @@ class Job:
         pipeline.add(self)
 
     def depends_on(self, *what: Any) -> Job:
-        """Jobs, names of outputs (only these are then compared), lists of both, None, or functions called at the run's start."""
+        """Jobs, names or paths of outputs (only these are then compared), any nesting of these, None, or functions called at
+        the run's start. What ``cached`` and ``plot`` return is refused: name the job of the two or three."""
         for x in what:
             if x is None:
                 continue
-            if isinstance(x, (list, tuple, set)):
-                self.depends_on(*x)
-            elif isinstance(x, Job):
+            if isinstance(x, (CachedJobs, PlotJobs)):
+                raise TypeError(f"depend on one of {', '.join(x._fields)} of {type(x).__name__}")
+            if isinstance(x, Job):
                 self._consume(x, x.outputs)
-            elif isinstance(x, str):
-                self._consume(self.pipeline.producer(x), [x])
+            elif isinstance(x, (str, os.PathLike)):
+                self._consume(self.pipeline.producer(os.fspath(x)), [os.fspath(x)])
             elif callable(x):
                 self.deferred.append(x)
+            elif isinstance(x, Iterable):
+                self.depends_on(*x)
             else:
                 raise TypeError(f"cannot depend on {type(x).__name__}")
         return self
@@ -102,8 +106,8 @@ class Job:
     def depends_on_params(self, value: Any) -> Job:
         return self.depends_on(Parameters(self.pipeline, self.job_id.replace(SEPARATOR, ","), value))
 
-    def depends_on_func(self, name: str, function: Callable) -> Job:
-        return self.depends_on(Function(self.pipeline, name, function))
+    def depends_on_func(self, name: str, function: Callable, allowed: Iterable[str] = ()) -> Job:
+        return self.depends_on(Function(self.pipeline, name, function, allowed))
 
     def depends_on_file(self, path: str) -> Job:
         return self.depends_on(File(self.pipeline, path))
@@ -143,22 +147,56 @@ class Job:
         return [self.pipeline.jobs[u] for u in self.consumed]
 
 
+class CachedJobs(NamedTuple):
+    load: Loading
+    calc: Dataset
+
+
+class PlotJobs(NamedTuple):
+    plot: Job
+    cache: Dataset | None
+    table: Job | None
+
+
+class JobList(list):
+    """Jobs that take up dependencies together."""
+
+    def depends_on(self, *what: Any) -> JobList:
+        for job in self:
+            job.depends_on(*what)
+        return self
+
+
+def flatten_jobs(what: Any) -> list[Job]:
+    """The jobs of any nesting of lists, tuples and sets."""
+    if isinstance(what, Job):
+        return [what]
+    return [j for x in what for j in flatten_jobs(x)]
+
+
+def job_or_filename(pipeline: Pipeline, what: Job | str | os.PathLike) -> tuple[str, list[Job]]:
+    """(name of the output or path, jobs to depend on): the job that makes it, else one for the input file; a job's first output."""
+    if isinstance(what, Job):
+        return what.outputs[0], [what]
+    name = os.fspath(what)
+    return name, [pipeline.producer(name) if name in pipeline.producers else File(pipeline, name)]
+
+
 class File(Job):
-    """An input file or folder of files; ``notebook``: only the cells' sources count."""
+    """An input file, or a folder with the files below it at any depth; ``notebook``: only the cells' sources count.
+
+    A file is told by its path from the folder on and its bytes. All files of a run are fingerprinted in one plan, and
+    those whose size and modification second are as before aren't opened.
+    """
 
     kind = ALWAYS
 
-    def __init__(self, pipeline: Pipeline, path: str, notebook: bool = False):
-        self.path, self.notebook = path, notebook
-        super().__init__(pipeline, [path])
+    def __init__(self, pipeline: Pipeline, path: str | os.PathLike, notebook: bool = False):
+        self.path, self.notebook = os.fspath(path), notebook
+        super().__init__(pipeline, [self.path])
 
     def run(self, inputs_hash: str) -> dict[str, str]:
-        spark = self.pipeline.spark
-        if not exists(spark, self.path):
-            raise FileNotFoundError(self.path)
-        found = files.notebook_digests(spark, self.path) if self.notebook else files.with_sides(files.listed(spark, self.path))
-        total = found.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.substring_index("path", "/", -1), "hash")), F.bit_xor(F.xxhash64("hash", F.substring_index("path", "/", -1)))).first()
-        return {self.path: parameter_digest(list(total))}
+        return {self.path: self.pipeline.file_digest(self)}
 
 
 class Parameters(Job):
@@ -178,7 +216,7 @@ class Parameters(Job):
 class Function(Job):
     kind = ALWAYS
 
-    def __init__(self, pipeline: Pipeline, name: str, function: Callable, allowed: Iterable[str] = (), check: bool = False):
+    def __init__(self, pipeline: Pipeline, name: str, function: Callable, allowed: Iterable[str] = (), check: bool = True):
         if check:
             check_non_locals(function, allowed)
         self.digest = function_digest(function)
@@ -221,11 +259,9 @@ class Dataset(Job):
         out = {}
         for name, df in made.items():
             beside = f"{self.path(name)}.new"
-            df.write.mode("overwrite").parquet(beside)
-            stored = self.pipeline.spark.read.schema(df.schema).parquet(beside)
-            if not self.empty_ok and stored.isEmpty():
+            out[name], rows = written_digest(df, beside)
+            if not self.empty_ok and not rows:
                 raise JobContractError(f"{name} has no rows")
-            out[name] = table_digest(stored)
             rename(self.pipeline.spark, beside, self.path(name))
         return out
 
@@ -268,9 +304,7 @@ class SharedDataset(Job):
         if found is None or not exists(spark, f"{self.store}/done/{found}"):
             beside = f"{self.store}/build/{inputs_hash}"
             try:
-                df = self.build()
-                df.write.mode("overwrite").parquet(beside)
-                made = table_digest(spark.read.schema(df.schema).parquet(beside))
+                made, _ = written_digest(self.build(), beside)
             except Exception:
                 delete(spark, beside)
                 raise
@@ -297,10 +331,20 @@ class SharedDataset(Job):
 
 
 class TempDataset(Dataset):
-    """A dataset that is built only when another job needs it, and deleted when those are done."""
+    """A dataset that is built only when another job needs it, and deleted when those are done.
+
+    Where it is still there, with nothing changed above it and the rows that it had, it isn't built again.
+    """
 
     kind = EPHEMERAL
 
+    def run(self, inputs_hash: str) -> dict[str, str]:
+        if self.job_id in self.pipeline.validated and self.present():
+            found = {n: table_digest(self.read(n)) for n in self.names}
+            if all(self.pipeline.was_output.get((self.job_id, n)) == h for n, h in found.items()):
+                return found
+        return super().run(inputs_hash)
+
     def cleanup(self) -> None:
         for n in self.names:
             delete(self.pipeline.spark, self.path(n))
@@ -334,17 +378,51 @@ class Loading(Job):
         return {self.job_id: found}
 
 
-class Attribute(Loading):
+class Kept(Loading):
+    """A loader whose value stays in a place of this process while others need it; loaded again only if inputs changed."""
+
+    #: What each place holds: (owner, inputs' hash, fingerprint).
+    held: dict[tuple[int, str], tuple[Any, str, str]] = {}
+
+    def place(self) -> tuple[Any, str]:
+        """The object or mapping, and the attribute's or key's text."""
+        raise NotImplementedError
+
+    def has(self) -> bool:
+        raise NotImplementedError
+
+    def run(self, inputs_hash: str) -> dict[str, str]:
+        owner, name = self.place()
+        was = self.held.get((id(owner), name))
+        if was and was[0] is owner and was[1] == inputs_hash and self.has():
+            return {self.job_id: was[2]}
+        found = super().run(inputs_hash)
+        self.held[id(owner), name] = (owner, inputs_hash, found[self.job_id])
+        return found
+
+    def cleanup(self) -> None:
+        owner, name = self.place()
+        self.held.pop((id(owner), name), None)
+
+
+class Attribute(Kept):
     """Keeps what ``load()`` gives as an attribute of an object, a table persisted, while others need it."""
 
     def __init__(self, pipeline: Pipeline, name: str, target: Any, attribute: str, load: Callable[[], Any], **more: Any):
         self.target, self.attribute = target, attribute
         super().__init__(pipeline, name, load, **more)
 
+    def place(self) -> tuple[Any, str]:
+        return self.target, self.attribute
+
+    def has(self) -> bool:
+        return hasattr(self.target, self.attribute)
+
     def keep(self, value: Any) -> None:
         setattr(self.target, self.attribute, value.persist() if isinstance(value, DataFrame) else value)
 
     def cleanup(self) -> None:
+        super().cleanup()
         value = getattr(self.target, self.attribute, None)
         if isinstance(value, DataFrame):
             value.unpersist()
@@ -352,65 +430,144 @@ class Attribute(Loading):
             delattr(self.target, self.attribute)
 
 
-class Entry(Loading):
+class Entry(Kept):
     """Keeps what ``load()`` gives under a key of a mapping."""
 
     def __init__(self, pipeline: Pipeline, name: str, target: MutableMapping, key: Any, load: Callable[[], Any], **more: Any):
         self.target, self.key = target, key
         super().__init__(pipeline, name, load, **more)
 
+    def place(self) -> tuple[Any, str]:
+        return self.target, repr(self.key)
+
+    def has(self) -> bool:
+        return self.key in self.target
+
     def keep(self, value: Any) -> None:
         self.target[self.key] = value.persist() if isinstance(value, DataFrame) else value
 
     def cleanup(self) -> None:
+        super().cleanup()
         value = self.target.pop(self.key, None)
         if isinstance(value, DataFrame):
             value.unpersist()
 
 
-def cached(pipeline: Pipeline, name: str, build: Callable[[], DataFrame], use: Callable[[DataFrame], Any]) -> tuple[Loading, Dataset]:
+def cached(pipeline: Pipeline, name: str, build: Callable[[], DataFrame], use: Callable[[DataFrame], Any], allowed: Iterable[str] = ()) -> CachedJobs:
     """(load, calc): a stored table, and a job that hands it to ``use`` when others need that."""
-    calc = Dataset(pipeline, f"{name}.cache", build)
+    calc = Dataset(pipeline, f"{name}.cache", build, allowed=allowed)
 
     def load() -> UseInputHashes:
         use(calc.read())
         return UseInputHashes(True)
 
     job = Loading(pipeline, name, load, track=False)
-    job.depends_on(calc).depends_on_func(f"{name} use", use)
-    return job, calc
+    job.depends_on(calc).depends_on_func(f"{name} use", use, allowed)
+    return CachedJobs(job, calc)
 
 
-def plot(pipeline: Pipeline, name: str, calc: Callable[[], DataFrame], draw: Callable[[Any, str], Any], output: str) -> tuple[Job, Dataset, Job]:
-    """(plot, cache, table): a table, its tab-separated dump, and a picture that ``draw(pandas, path)`` makes of it.
+def cached_in(kind: type[Kept], pipeline: Pipeline, name: str, target: Any, where: Any, build: Callable[[], DataFrame], allowed: Iterable[str] = ()) -> CachedJobs:
+    """(load, calc): a stored table, kept as an attribute (``kind`` Attribute) or an entry (Entry) while others need it.
 
-    A plotted table is meant for the eye: the driver takes it whole, so aggregate first.
+    Its fingerprint is that of the stored table, so equal rows change nothing below.
     """
-    cache = Dataset(pipeline, f"{name}.cache", calc)
+    calc = Dataset(pipeline, f"{name}.cache", build, allowed=allowed)
+
+    def load() -> ValuePlusHash:
+        return ValuePlusHash(calc.read(), pipeline.hash_of(calc.job_id, calc.job_id))
+
+    job = kind(pipeline, name, target, where, load, track=False)
+    job.depends_on(calc)
+    return CachedJobs(job, calc)
+
+
+class Tables(Dataset):
+    """One output that holds the table that ``build()`` returns, or tables by name, a folder each."""
+
+    def run(self, inputs_hash: str) -> dict[str, str]:
+        made = self.build()
+        name, spark = self.names[0], self.pipeline.spark
+        beside = f"{self.path()}.new"
+        delete(spark, beside)
+        if isinstance(made, DataFrame):
+            found, rows = written_digest(made, beside)
+        else:
+            each = {k: written_digest(df, f"{beside}/{k}") for k, df in made.items()}
+            found, rows = parameter_digest({k: d for k, (d, _) in each.items()}), sum(n for _, n in each.values())
+            system, where = path_of(spark, f"{beside}/_SUCCESS")
+            system.create(where).close()
+        if not self.empty_ok and not rows:
+            raise JobContractError(f"{name} has no rows")
+        rename(spark, beside, self.path())
+        return {name: found}
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables by name; one without a name is under the empty one."""
+        spark = self.pipeline.spark
+        system, where = path_of(spark, self.path())
+        inner = [s.getPath() for s in system.listStatus(where) if s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+        return {p.getName(): spark.read.parquet(p.toString()) for p in sorted(inner, key=lambda p: p.getName())} or {"": self.read()}
 
-    class Dump(Job):
-        def run(self, inputs_hash: str) -> dict[str, str]:
-            files.tables_as_text({"": cache.read()}, f"{pipeline.root}/{self.job_id}")
-            return {self.job_id: inputs_hash}
 
-        def present(self) -> bool:
-            return exists(pipeline.spark, f"{pipeline.root}/{self.job_id}/_SUCCESS")
+class Dump(Job):
+    """Tab-separated text of tables that ``tables()`` gives."""
 
-    class Picture(Job):
-        def run(self, inputs_hash: str) -> dict[str, str]:
-            draw(cache.read().toPandas(), output)
-            if not exists(pipeline.spark, output):
-                raise JobContractError(f"{output} wasn't drawn")
-            return {self.job_id: inputs_hash}
+    def __init__(self, pipeline: Pipeline, name: str, tables: Callable[[], dict[str, DataFrame]]):
+        self.tables = tables
+        super().__init__(pipeline, [name])
 
-        def present(self) -> bool:
-            return exists(pipeline.spark, output)
+    def run(self, inputs_hash: str) -> dict[str, str]:
+        files.tables_as_text(self.tables(), f"{self.pipeline.root}/{self.job_id}")
+        return {self.job_id: inputs_hash}
+
+    def present(self) -> bool:
+        return exists(self.pipeline.spark, f"{self.pipeline.root}/{self.job_id}")
 
-    picture = Picture(pipeline, [output])
-    picture.depends_on(cache).depends_on_func(f"{name} draw", draw)
-    table = Dump(pipeline, [f"{name}.tsv"])
-    table.depends_on(cache)
-    return picture, cache, table
+
+class Picture(Job):
+    """A picture at ``output`` that ``draw(pandas, path)`` makes of one table, or of a dict of several."""
+
+    def __init__(self, pipeline: Pipeline, output: str, tables: Callable[[], dict[str, DataFrame]], draw: Callable[[Any, str], Any], allowed: Iterable[str] = ()):
+        self.tables, self.draw = tables, draw
+        super().__init__(pipeline, [output])
+        self.depends_on_func(f"{output} draw", draw, allowed)
+
+    def run(self, inputs_hash: str) -> dict[str, str]:
+        found = {k: df.toPandas() for k, df in self.tables().items()}
+        self.draw(found[""] if set(found) == {""} else found, self.job_id)
+        if not exists(self.pipeline.spark, self.job_id):
+            raise JobContractError(f"{self.job_id} wasn't drawn")
+        return {self.job_id: inputs_hash}
+
+    def present(self) -> bool:
+        return exists(self.pipeline.spark, self.job_id)
+
+
+def plot(pipeline: Pipeline, name: str, calc: Callable[[], DataFrame | dict[str, DataFrame]], draw: Callable[[Any, str], Any], output: str, cache_calc: bool = True, create_table: bool = True, allowed: Iterable[str] = ()) -> PlotJobs:
+    """(plot, cache, table): what ``calc`` gives, its tab-separated dump, and a picture that ``draw(pandas, path)`` makes of it.
+
+    Without ``cache_calc`` nothing is stored: the picture and the dump call ``calc`` each. A plotted table is meant for
+    the eye: the driver takes it whole, so aggregate first.
+    """
+    if cache_calc:
+        cache = Tables(pipeline, f"{name}.cache", calc, allowed=allowed)
+        tables, above = cache.tables, cache
+    else:
+        cache, above = None, Function(pipeline, f"{name} calc", calc, allowed)
+
+        def tables() -> dict[str, DataFrame]:
+            made = calc()
+            return {"": made} if isinstance(made, DataFrame) else made
+
+    picture = Picture(pipeline, output, tables, draw, allowed).depends_on(above)
+    table = Dump(pipeline, f"{name}.tsv", tables).depends_on(above) if create_table else None
+    return PlotJobs(picture, cache, table)
+
+
+def another_plot(jobs: PlotJobs, draw: Callable[[Any, str], Any], output: str, allowed: Iterable[str] = ()) -> Job:
+    """One more picture of what ``plot`` calculated."""
+    above = jobs.cache or next(u for u in jobs.plot.upstreams if u.job_id.endswith(" calc"))
+    return Picture(jobs.plot.pipeline, output, jobs.plot.tables, draw, allowed).depends_on(above)
 
 
 class JobGenerating(Job):
@@ -429,14 +586,25 @@ class JobGenerating(Job):
 
 
 class External(Job):
-    """Runs a command on the driver; keeps its output, error and return code beside ``files`` in ``folder``."""
+    """Runs a command on the driver; keeps its output, error and return code beside ``made`` in ``folder``.
+
+    ``prefix``: of the names of these four files. ``before`` and ``after`` are called with the job around the command,
+    ``after`` only where the return code is allowed. ``own_session``: signals to this process don't reach the command.
+    """
 
-    def __init__(self, pipeline: Pipeline, folder: str, made: Iterable[str], command: list[str] | Callable[[], list[str]], allowed_codes: Iterable[int] = (0,), cwd: str | None = None, env: dict[str, str] | None = None):
+    def __init__(
+        self, pipeline: Pipeline, folder: str, made: Iterable[str], command: list[str] | Callable[[], list[str]], allowed_codes: Iterable[int] = (0,), cwd: str | None = None, env: dict[str, str] | None = None,
+        prefix: str = "", before: Callable[[External], Any] | None = None, after: Callable[[External], Any] | None = None, own_session: bool = False, allowed: Iterable[str] = (),
+    ):
         self.folder, self.made, self.command = folder.rstrip("/"), list(made), command
         self.codes, self.cwd, self.env = set(allowed_codes), cwd, env
-        super().__init__(pipeline, [f"{self.folder}/{n}" for n in [*self.made, "stdout.txt", "stderr.txt", "cmd.txt", "return_code.txt"]])
+        self.prefix, self.before, self.after, self.own_session = prefix, before, after, own_session
+        super().__init__(pipeline, [f"{self.folder}/{n}" for n in [*self.made, *(prefix + x for x in ("stdout.txt", "stderr.txt", "cmd.txt", "return_code.txt"))]])
+        for name, function in (("before", before), ("after", after)):
+            if function:
+                self.depends_on_func(f"{self.folder} {name}", function, allowed)
         if callable(command):
-            self.depends_on_func(f"{self.folder} command", command)
+            self.depends_on_func(f"{self.folder} command", command, allowed)
         else:
             self.depends_on_params(command)
 
@@ -444,36 +612,47 @@ class External(Job):
         return all(exists(self.pipeline.spark, f"file://{o}") for o in self.outputs)
 
     def run(self, inputs_hash: str) -> dict[str, str]:
-        import os
-
         os.makedirs(self.folder, exist_ok=True)
+        if self.before:
+            self.before(self)
         command = self.command() if callable(self.command) else self.command
-        with open(f"{self.folder}/stdout.txt", "w") as out, open(f"{self.folder}/stderr.txt", "w") as err:
-            code = subprocess.run(command, stdout=out, stderr=err, cwd=self.cwd or self.folder, env=self.env, check=False).returncode
+        beside = f"{self.folder}/{self.prefix}"
+        with open(f"{beside}stdout.txt", "w") as out, open(f"{beside}stderr.txt", "w") as err:
+            code = subprocess.run(command, stdout=out, stderr=err, cwd=self.cwd or self.folder, env=self.env, check=False, start_new_session=self.own_session).returncode
         for name, text in (("cmd.txt", repr(command)), ("return_code.txt", str(code))):
-            with open(f"{self.folder}/{name}", "w") as f:
+            with open(f"{beside}{name}", "w") as f:
                 f.write(text)
         if code not in self.codes:
             raise JobError(f"{command} ended with {code}")
         if lost := [o for o in self.outputs if not os.path.exists(o)]:
             raise JobContractError(f"not made: {lost}")
-        spark = self.pipeline.spark
+        if self.after:
+            self.after(self)
         # an empty file gives no row
-        found = {o: files.fingerprints(files.listed(spark, f"file://{o}")).first() for o in self.outputs}
-        return {o: r["hash"] if r else "empty" for o, r in found.items()}
+        found = files.fingerprints(self.pipeline.spark, [f"file://{o}" for o in self.outputs]).collect()
+        by = {r["path"].removeprefix("file:").replace("//", "/"): r["hash"] for r in found}
+        return {o: by.get(o, "empty") for o in self.outputs}
 
 
-def shell(pipeline: Pipeline, folder: str, made: Iterable[str], script: str) -> External:
-    """A script that begins with ``#!``, written to the folder and run there."""
-    if not script.startswith("#!"):
+def shell(pipeline: Pipeline, folder: str, made: Iterable[str], script: str | Callable[[], str], **more: Any) -> External:
+    """A script that begins with ``#!``, or a function that gives one, written to the folder and run there."""
+    if isinstance(script, str) and not script.startswith("#!"):
         raise ValueError("a script begins with #!")
 
     def command() -> list[str]:
-        import os
-
+        text = script() if callable(script) else script
+        if not text.startswith("#!"):
+            raise JobContractError("a script begins with #!")
         with open(f"{folder}/script.sh", "w") as f:
-            f.write(script)
+            f.write(text)
         os.chmod(f"{folder}/script.sh", 0o755)
         return [f"{folder}/script.sh"]
 
-    return External(pipeline, folder, made, command)
+    job = External(pipeline, folder, made, tracks(script)(command) if callable(script) else [script], **more)
+    job.command = command
+    return job
+
+
+def force_load(job: Job) -> Job:
+    """Make a job run that nothing else needs, as tests of loaders do."""
+    return JobGenerating(job.pipeline, f"force {job.job_id.replace(SEPARATOR, ',')}", lambda: None, track=False).depends_on(job)

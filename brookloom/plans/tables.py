@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _own_dirs: dict[str, str] = {}
@@ -39,11 +42,32 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move ``old`` to ``new``; what was at ``new`` is kept as ``new``.old until that is done, and ``recovered`` puts it back."""
     system, a = path_of(spark, old)
     _, b = path_of(spark, new)
-    system.delete(b, True)
+    _, aside = path_of(spark, f"{new}.old")
+    if system.exists(b):
+        system.delete(aside, True)
+        if not system.rename(b, aside):
+            raise OSError(f"cannot move {new} aside")
     if not system.rename(a, b):
         raise OSError(f"cannot move {old} to {new}")
+    system.delete(aside, True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Put back what a ``rename`` that was stopped had set aside."""
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        rename(spark, f"{path}.old", path)
+
+
+def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of plain values as a table, by way of Arrow."""
+    kind = StructType.fromDDL(schema)
+    if not rows:
+        return spark.createDataFrame([], kind)
+    columns = zip(*rows, strict=True)
+    return spark.createDataFrame(pa.table({f.name: pa.array(c, to_arrow_type(f.dataType)) for f, c in zip(kind.fields, columns, strict=True)}), kind)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

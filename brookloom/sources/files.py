@@ -2,57 +2,141 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = ".sha256"
+FINGERPRINTS = "path string, hash string, mtime long, size long"
+#: Files above LARGE bytes are hashed in ranges of RANGE bytes: SHA-256 over the ranges' SHA-256 in order.
+LARGE, RANGE = 1 << 30, 1 << 28
+#: Files that are named one by one in a read; a plan reads so many at most.
+NAMED = 50_000
+
+
+def literal(path: str) -> str:
+    """A path that a reader doesn't take for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def listed(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, mtime, size, content) of files; content is read only by plans that use it."""
-    reader = spark.read.format("binaryFile")
+def reader(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+        found = found.option("pathGlobFilter", pattern)
+    df = found.load([literal(p) for p in paths])
+    return df.select("path", F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+
+
+def listed(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
+    """(path, mtime, size) of files, those of folders at any depth; no file is opened."""
+    return reader(spark, list(paths), pattern).select("path", "mtime", "size")
+
+
+def side_hashes(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, said, side_mtime) of the files that have a ``<file>.sha256`` beside them in the same folder."""
+    sides = reader(spark, list(paths), f"*{SIDE}")
+    return sides.select(F.expr(f"left(path, length(path) - {len(SIDE)})").alias("path"), F.lower(F.trim(F.decode("content", "UTF-8"))).alias("said"), F.col("mtime").alias("side_mtime"))
+
+
+def hashed_in_ranges(files: DataFrame) -> DataFrame:
+    """(path, hash, mtime, size) of large files, a range a row, so that no task holds a file; read by pyarrow's file systems."""
+    step = RANGE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, name = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path) if ":" in path else f"file://{path}")
+                done = hashlib.sha256()
+                with system.open_input_file(name) as f:
+                    f.seek(at)
+                    left = step
+                    while left and (block := f.read(min(left, 1 << 22))):
+                        done.update(block)
+                        left -= len(block)
+                out.append(done.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["path", "at", "part"])
 
+    starts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))).alias("at"))
+    parts = starts.repartition("path", "at").mapInArrow(run, "path string, at long, part string")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    return files.select("path", "mtime", "size").join(parts.groupBy("path").agg(F.sha2(ordered, 256).alias("hash")), "path").select("path", "hash", "mtime", "size")
 
-def fingerprints(files: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(path, hash, mtime, size): SHA-256 of each file's bytes.
+
+def hashed(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
+    """(path, hash, mtime, size) of named files (path, mtime, size), each read once."""
+    small = [f[0] for f in files if f[2] <= LARGE]
+    frames = [spark.createDataFrame([], FINGERPRINTS)]
+    for i in range(0, len(small), NAMED):
+        frames.append(reader(spark, small[i : i + NAMED]).select("path", F.sha2("content", 256).alias("hash"), "mtime", "size"))
+    if large := [f for f in files if f[2] > LARGE]:
+        frames.append(hashed_in_ranges(spark.createDataFrame(large, "path string, mtime long, size long")))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def fingerprints(spark: SparkSession, paths: list[str], history: DataFrame | None = None) -> DataFrame:
+    """(path, hash, mtime, size) of files, those of folders at any depth: the SHA-256 of each file's bytes.
 
     Where ``history`` (path, hash, mtime, size) has the same size and modification second, its hash is taken and the file
-    isn't read: two scans, the first of names only. A change within one second that keeps the size goes unseen.
+    isn't opened: a change within that second that keeps the size goes unseen. ``<file>.sha256`` is trusted in place of
+    the file's bytes, also where it is named by itself; one that is older than its file, or doesn't hold 64 hex digits,
+    fails. The names of the files to open pass through the driver, which lists them in any case.
     """
-    hashed = files.select("path", F.sha2("content", 256).alias("hash"), "mtime", "size")
-    if history is None:
-        return hashed
-    old = history.select("path", "hash", "mtime", "size")
-    known = files.select("path", "mtime", "size").join(old, ["path", "mtime", "size"])
-    fresh = hashed.join(known.select("path"), "path", "left_anti")
-    return known.select("path", "hash", "mtime", "size").unionByName(fresh)
+    names = listed(spark, *paths).where(~F.col("path").endswith(SIDE))
+    sides = side_hashes(spark, *paths)
+    bad = F.when(F.col("side_mtime") < F.col("mtime"), "older than its file").when(~F.col("said").rlike("^[0-9a-f]{64}$"), "not a SHA-256")
+    said = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("side file "), F.col("path"), F.lit(": "), bad))).otherwise(F.col("said"))
+    both = names.join(sides, "path", "left").withColumn("hash", F.when(F.col("said").isNotNull(), said).cast("string"))
+    if history is not None:
+        old = history.select("path", F.col("hash").alias("was"), "mtime", "size").dropDuplicates(["path", "mtime", "size"])
+        both = both.join(old, ["path", "mtime", "size"], "left").withColumn("hash", F.coalesce("hash", "was"))
+    known = both.select("path", "hash", "mtime", "size")
+    fresh = [(r["path"], r["mtime"], r["size"]) for r in known.where("hash is null").select("path", "mtime", "size").toLocalIterator()]
+    return known.where("hash is not null").unionByName(hashed(spark, fresh))
 
 
-def with_sides(files: DataFrame) -> DataFrame:
-    """Fingerprints where ``<file>.sha256`` is trusted in place of the file's bytes.
+def within(spark: SparkSession, roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, name, the columns of ``files``): files that are ``roots`` (root) or lie below one, by an equi-join.
 
-    A side file that is older than its file, or doesn't hold 64 hex digits, fails.
+    name: the path from the root on, empty for the root itself.
     """
-    sides = files.where(F.col("path").endswith(SIDE)).select(F.expr(f"left(path, length(path) - {len(SIDE)})").alias("path"), F.lower(F.trim(F.decode("content", "UTF-8"))).alias("said"), F.col("mtime").alias("side_mtime"))
-    own = files.where(~F.col("path").endswith(SIDE))
-    bad = F.when(F.col("side_mtime") < F.col("mtime"), "older than its file").when(~F.col("said").rlike("^[0-9a-f]{64}$"), "not a SHA-256")
-    said = own.select("path", "mtime", "size").join(sides, "path")
-    trusted = said.select("path", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("side file "), F.col("path"), F.lit(": "), bad))).otherwise(F.col("said")).alias("hash"), "mtime", "size")
-    return trusted.unionByName(fingerprints(own.join(sides.select("path"), "path", "left_anti")))
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    return files.withColumn("root", F.explode(above)).join(roots.select("root").distinct(), "root").withColumn("name", F.expr("substring(path, length(root) + 2)"))
+
+
+def root_digests(found: DataFrame) -> DataFrame:
+    """(root, digest) over the (name, hash) pairs of ``within``, whatever their order: a count and four wide sums.
+
+    Sums are taken before the shuffle, so a folder of any number of files is one row a task.
+    """
+    one = F.sha2(F.to_json(F.struct("name", "hash")), 256)
+    sums = [F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return found.groupBy("root").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256).alias("digest"))
 
 
 def notebook_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, hash): of a notebook's markdown and code cells only, so that runs and outputs don't change it."""
     schema = "cells array<struct<cell_type string, source string>>"
-    text = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    text = reader(spark, [path]).select("path", F.decode("content", "UTF-8").alias("text"))
     cells = F.filter(F.from_json("text", schema)["cells"], lambda c: c["cell_type"].isin("markdown", "code"))
-    body = F.to_json(F.transform(cells, lambda c: F.struct(c["cell_type"].alias("t"), c["source"].alias("s"))))
+    body: Column = F.to_json(F.transform(cells, lambda c: F.struct(c["cell_type"].alias("t"), c["source"].alias("s"))))
     return text.select("path", F.sha2(F.coalesce(body, F.lit("")), 256).alias("hash"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as readers name it, with its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+
+
 def tables_as_text(tables: dict[str, DataFrame], path: str) -> None:
     """Tab-separated dumps with headings, a folder for each named table."""
     for name, df in tables.items():
