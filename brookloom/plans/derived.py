@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brookloom.plans.tables import written
+
 #: (letter, table, key, kind, columns that make a node's hash)
 NODES = [
     ("R", "region", "r_regionkey", "Always", ["r_regionkey", "r_name"]),
@@ -21,13 +23,13 @@ NODES = [
 
 SQL = "WITH RECURSIVE " + ",\n".join(
     [
-        "nodes AS (\n  "
+        "nodes AS MATERIALIZED (\n  "
         + "\n  UNION ALL ".join(
             f"SELECT '{x}' || {key} AS job_id, '{kind}' AS kind, CAST({key} AS BIGINT) AS k, md5(concat_ws('|', {', '.join(columns)})) AS hash FROM {table}"
             for x, table, key, kind, columns in NODES
         )
         + ")",
-        """edges AS (
+        """edges AS MATERIALIZED (
   SELECT 'R' || n_regionkey AS up, 'N' || n_nationkey AS down FROM nation
   UNION SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
   UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier
@@ -35,7 +37,7 @@ SQL = "WITH RECURSIVE " + ",\n".join(
   UNION SELECT 'S' || l_suppkey, 'O' || l_orderkey FROM lineitem
   UNION SELECT 'P' || l_partkey, 'O' || l_orderkey FROM lineitem)""",
         "hist_output AS (SELECT job_id, CASE WHEN k % 7 = 0 THEN md5(hash || 'old') ELSE hash END AS hash FROM nodes WHERE k % 11 <> 0)",
-        """hist_edge AS (
+        """hist_edge AS MATERIALIZED (
   SELECT up, down, CASE WHEN (u.k + d.k) % 7 = 0 THEN md5(u.hash || 'old') ELSE u.hash END AS hash
   FROM edges JOIN nodes u ON u.job_id = up JOIN nodes d ON d.job_id = down WHERE (u.k + d.k) % 11 <> 0)""",
         "digests AS (SELECT down AS job_id, md5(string_agg(up, chr(10) ORDER BY up)) AS input_digest FROM edges GROUP BY down)",
@@ -71,6 +73,13 @@ class Derived:
         self.inputs = self.edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up")
         self.cur_output = self.nodes.select("job_id", F.col("job_id").alias("output_name"), "hash")
 
+    def stored(self) -> Derived:
+        """The graph with nodes and edges as stored tables, for queries that read them several times."""
+        self.nodes, self.edges = written(self.nodes, "nodes"), written(self.edges, "edges")
+        self.inputs = self.edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up")
+        self.cur_output = self.nodes.select("job_id", F.col("job_id").alias("output_name"), "hash")
+        return self
+
     @staticmethod
     def _aged(k: Column, value: Column) -> Column:
         return F.when(k % 7 == 0, F.md5(F.concat(value, F.lit("old")))).otherwise(value)

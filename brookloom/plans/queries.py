@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookloom.functions import digests
@@ -12,6 +13,7 @@ from brookloom.operators import graph, history, invalidation
 from brookloom.plans.derived import SQL as GRAPH
 from brookloom.plans.derived import SQL_OUTCOMES, Derived
 from brookloom.plans.tables import written
+from brookloom.streaming import events as run_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,9 +38,10 @@ def count(x: str = "*") -> str:
     return f"CAST(count({x}) AS BIGINT)"
 
 
-@query(f"{GRAPH} SELECT kind, {count()} AS n FROM nodes GROUP BY kind")
+@query(f"{GRAPH} SELECT kind, {count()} AS jobs, CAST(count_if(d.input_digest IS NOT NULL) AS BIGINT) AS with_inputs FROM nodes n LEFT JOIN digests d USING (job_id) GROUP BY kind")
 def node_kind_counts(spark: SparkSession, d: str) -> DataFrame:
-    return Derived(spark, d).nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    g = Derived(spark, d)
+    return graph.kinds(g.nodes, g.edges)
 
 
 @query(f"{GRAPH} SELECT job_id, input_digest FROM digests")
@@ -64,7 +67,7 @@ EDGE_STATE = "edge_state AS (SELECT e.up, e.down, coalesce(u.hash <> h.hash, tru
 
 @query(f"{GRAPH}, {EDGE_STATE} SELECT up, down, invalidated FROM edge_state")
 def edge_invalidated(spark: SparkSession, d: str) -> DataFrame:
-    g = Derived(spark, d)
+    g = Derived(spark, d).stored()
     return invalidation.edge_invalidated(g.edges, g.inputs, g.cur_output, g.hist_edge)
 
 
@@ -99,7 +102,7 @@ SELECT n.job_id, CASE WHEN bool_or(invalidated) THEN 'Invalidated' WHEN count(e.
 FROM nodes n LEFT JOIN edges e ON e.down = n.job_id LEFT JOIN (SELECT * FROM edge_state WHERE up NOT LIKE 'S%') s ON s.up = e.up AND s.down = e.down
 GROUP BY n.job_id, kind, k""")
 def node_validation(spark: SparkSession, d: str) -> DataFrame:
-    g = Derived(spark, d)
+    g = Derived(spark, d).stored()
     # suppliers aren't done yet
     done = g.edges.where("up not like 'S%'")
     state = invalidation.edge_invalidated(done, g.inputs.where("up not like 'S%'"), g.cur_output, g.hist_edge)
@@ -188,7 +191,7 @@ SELECT job_id FROM kinds WHERE kind = 'Ephemeral' AND job_id NOT IN (SELECT job_
 def all_ephemeral_cone(spark: SparkSession, d: str) -> DataFrame:
     g = Derived(spark, d)
     kind = F.when(F.expr("job_id like 'N%' or kind = 'Output' and k <= 1000"), "Ephemeral").otherwise(F.col("kind"))
-    return graph.all_ephemeral_cone(g.nodes.select("job_id", kind.alias("kind")), written(g.edges, "edges"))
+    return graph.leaf_ephemerals(g.nodes.select("job_id", kind.alias("kind")), written(g.edges, "edges"))
 
 
 @query(f"""{GRAPH}, bad AS (SELECT job_id FROM nodes WHERE kind = 'Output' AND k % 13 = 0),
@@ -252,7 +255,7 @@ fresh AS (SELECT e.up, e.down, coalesce(c.hash, h.hash, s.hash) AS hash FROM edg
 SELECT up, down, hash FROM fresh WHERE hash IS NOT NULL
 UNION ALL SELECT a.up, a.down, a.hash FROM alive a LEFT JOIN fresh f ON f.up = a.up AND f.down = a.down AND f.hash IS NOT NULL WHERE f.up IS NULL""")
 def history_edge_merge(spark: SparkSession, d: str) -> DataFrame:
-    g = Derived(spark, d)
+    g = Derived(spark, d).stored()
     new = g.cur_output.join(g.outcomes.where("outcome = 'Success'").select("job_id"), "job_id", "left_semi")
     return history.merge_edges(g.hist_edge, g.nodes, g.edges, g.inputs, new, g.hist_output, g.outcomes).select("up", "down", "hash")
 
@@ -282,17 +285,27 @@ def param_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("job_id"), digests.row_digest("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("hash"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
-def document_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+# Each document as a file in a folder of its own, as Spark's text writer ends it: with a newline.
+@query("""SELECT 'doc' || doc_id AS name, sha256(text || chr(10)) AS hash, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size
+FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""")
+def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    from brookloom.plans.tables import shared_dir
+    from brookloom.sources import files
+
+    folder = f"{shared_dir(spark)}/brookloom/files-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null and text is not null")
+    docs.select(F.concat(F.lit("doc"), "doc_id").alias("name"), "text").write.partitionBy("name").text(folder)
+    found = written(files.fingerprints(spark, [folder]), "fingerprints")
+    again = files.fingerprints(spark, [folder], found)  # unchanged files aren't opened
+    roots = spark.createDataFrame([(files.qualified(spark, folder),)], "root string")
+    return files.within(spark, roots, again).select(F.regexp_extract("name", "name=([^/]*)/", 1).alias("name"), "hash", "size")
 
 
 @query(f"SELECT 'out_' || l_partkey % 5000 || '_' || l_linenumber AS output_name, {count('DISTINCT l_orderkey')} AS jobs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
 def duplicate_output_conflict(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     name = F.concat(F.lit("out_"), F.col("l_partkey") % 5000, F.lit("_"), "l_linenumber")
-    return lines.groupBy(name.alias("output_name")).agg(F.countDistinct("l_orderkey").alias("jobs")).where("jobs > 1")
+    return graph.output_conflicts(lines.select(F.col("l_orderkey").cast("string").alias("job_id"), name.alias("output_name")))
 
 
 # Stored results: by_input(prefix, input_key, output_key) from orders, used_by from line items.
@@ -321,33 +334,107 @@ def input_key(spark: SparkSession, d: str) -> DataFrame:
     return digests.input_key(g.inputs, g.cur_output)
 
 
+# Users as jobs of 50 hosts: a purchase takes all cores but one, a view one core, other events all 8.
 @query("SELECT user_id % 50 AS host, CAST(sum(CASE event_type WHEN 'purchase' THEN 7 WHEN 'view' THEN 1 ELSE 8 END) AS BIGINT) AS cores FROM events GROUP BY 1")
 def core_demand(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
-    cores = F.when(F.col("event_type") == "purchase", 7).when(F.col("event_type") == "view", 1).otherwise(8)
-    return events.groupBy((F.col("user_id") % 50).alias("host")).agg(F.sum(cores).alias("cores"))
+    kind = F.when(F.col("event_type") == "purchase", "AllCores").when(F.col("event_type") == "view", "SingleCore").otherwise("Exclusive")
+    return run_events.core_demand(events.select((F.col("user_id") % 50).alias("host"), kind.alias("resources")), "host", 8)
 
 
-@query("SELECT event_id AS job_id, CAST(floor(epoch(ts)) AS BIGINT) AS run_start_time, value AS runtime_s FROM events WHERE value >= 1")
+@query("SELECT CAST(event_id AS VARCHAR) AS job_id, CAST(floor(epoch(ts)) AS BIGINT) AS run_start_time, value AS runtime_s FROM events WHERE value >= 1")
 def slow_runtimes(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
-    return events.where("value >= 1").select(F.col("event_id").alias("job_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("run_start_time"), F.col("value").alias("runtime_s"))
+    done = events.select(F.lit("job_done").alias("type"), F.col("event_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("run_time"))
+    return run_events.slow_runtimes(done)
 
 
 # Of each user's events, as of a job's runs, the last 2: older logs go.
 @query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 2")
 def log_retention(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts")
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return events.withColumn("rank", rank).where("rank > 2").select("event_id", "user_id")
+    return history.beyond(events, ["user_id"], ["ts", "event_id"], 2).select("event_id", "user_id")
 
 
 @query(f"SELECT o_orderpriority AS priority, l_shipdate AS shipped, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) * 100 AS BIGINT) AS quantity_cents, {count()} AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def plot_table(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity")
-    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
-    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy(F.col("o_orderpriority").alias("priority"), F.col("l_shipdate").alias("shipped")).agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")) * 100).cast("long").alias("quantity_cents"), F.count(F.lit(1)).alias("lines"))
+    """The table that a plot's jobs calculate, store and dump."""
+    from brookloom.plans import jobs
+    from brookloom.plans.pipeline import Pipeline
+    from brookloom.plans.tables import shared_dir
+
+    def calc() -> DataFrame:
+        lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_shipdate", "l_quantity")
+        orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
+        both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return both.groupBy(F.col("o_orderpriority").alias("priority"), F.col("l_shipdate").alias("shipped")).agg((F.sum(F.col("l_quantity").cast("decimal(18,2)")) * 100).cast("long").alias("quantity_cents"), F.count(F.lit(1)).alias("lines"))
+
+    pipeline = Pipeline(spark, f"{shared_dir(spark)}/brookloom/plot-{uuid.uuid4().hex}")
+    cache = jobs.Tables(pipeline, "quantities.cache", calc, track=False)
+    jobs.Dump(pipeline, "quantities.tsv", cache.tables).depends_on(cache)
+    pipeline.run()
+    return cache.tables()[""]
+
+
+@query(f"""{GRAPH} SELECT n.job_id, CASE WHEN kind = 'Always' THEN 'Run' WHEN h.input_digest IS DISTINCT FROM d.input_digest OR (kind = 'Output' AND (k % 13 = 0 OR k % 11 = 0)) THEN 'Invalidated' ELSE 'Unknown' END AS state
+FROM nodes n LEFT JOIN digests d USING (job_id) LEFT JOIN hist_inputs h USING (job_id)""")
+def startup(spark: SparkSession, d: str) -> DataFrame:
+    g = Derived(spark, d).stored()
+    now = written(invalidation.input_digest(g.inputs), "digests")
+    changed = invalidation.inputs_changed(g.nodes, now, g.aged_digests(now))
+    return invalidation.startup(g.nodes, changed, invalidation.missing_outputs(g.nodes, g.present, g.hist_output))
+
+
+# Suppliers have failed at multiples of 17, orders are needed at even keys; customers have ended but at multiples of 5.
+@query(f"""{GRAPH}, {EDGE_STATE},
+states AS (SELECT job_id, CASE WHEN job_id LIKE 'S%' AND k % 17 = 0 THEN 'Failed' ELSE 'Success' END AS state FROM nodes WHERE kind = 'Always' OR job_id LIKE 'S%' OR (job_id LIKE 'C%' AND k % 5 <> 0)),
+valid AS (SELECT n.job_id, CASE WHEN bool_or(invalidated) THEN 'Invalidated' WHEN kind = 'Ephemeral' AND k % 11 = 0 THEN 'Invalidated' ELSE 'Validated' END AS vstatus FROM nodes n LEFT JOIN edge_state e ON e.down = n.job_id GROUP BY n.job_id, kind, k),
+need AS (SELECT up AS job_id, bool_or(CAST(substr(down, 2) AS BIGINT) % 2 = 0) AS yes FROM edges WHERE down LIKE 'O%' GROUP BY up),
+above AS (SELECT down AS job_id, bool_or(coalesce(state IN ('Failed', 'UpstreamFailed'), false)) AS failed, bool_and(coalesce(state = 'Success', false)) AS ended FROM edges LEFT JOIN states ON states.job_id = up GROUP BY down)
+SELECT n.job_id, CASE WHEN failed THEN 'UpstreamFailed' WHEN NOT coalesce(ended, true) THEN 'Wait' WHEN kind = 'Always' THEN 'Run'
+  WHEN kind = 'Output' THEN CASE vstatus WHEN 'Invalidated' THEN 'Run' ELSE 'Skip' END WHEN yes THEN 'Run' ELSE 'Skip' END AS action
+FROM nodes n LEFT JOIN above USING (job_id) LEFT JOIN valid USING (job_id) LEFT JOIN need USING (job_id) WHERE job_id NOT IN (SELECT job_id FROM states)""")
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    g = Derived(spark, d).stored()
+    state = F.when(F.expr("job_id like 'S%' and k % 17 = 0"), "Failed").otherwise("Success")
+    states = g.nodes.where("kind = 'Always' or job_id like 'S%' or job_id like 'C%' and k % 5 <> 0").select("job_id", state.alias("state"))
+    valid = invalidation.node_validation(g.nodes, g.edges, invalidation.edge_invalidated(g.edges, g.inputs, g.cur_output, g.hist_edge), g.hist_output)
+    orders = g.edges.where("down like 'O%'")
+    need = invalidation.downstream_requirement(orders, orders.withColumn("required", F.substring("down", 2, 20).cast("long") % 2 == 0))
+    return invalidation.decisions(g.nodes, g.edges, states, valid, need)
+
+
+# Line items lead from an order to the next supplier, suppliers back to an order of their key: some are cycles.
+LOOPS = """WITH RECURSIVE loops AS (
+  SELECT DISTINCT 'O' || l_orderkey AS up, 'S' || l_suppkey AS down FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 400
+  UNION SELECT 'S' || s_suppkey, 'O' || CAST(s_suppkey * 3 AS BIGINT) FROM supplier)"""
+
+
+def loops(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1 and l_orderkey <= 400").select(F.concat(F.lit("O"), "l_orderkey").alias("up"), F.concat(F.lit("S"), "l_suppkey").alias("down"))
+    back = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("S"), "s_suppkey").alias("up"), F.concat(F.lit("O"), F.col("s_suppkey").cast("long") * 3).alias("down"))
+    return written(lines.union(back).distinct(), "loops")
+
+
+@query(f"""{LOOPS}, below AS (SELECT up AS start, down AS job_id FROM loops UNION SELECT start, down FROM below JOIN loops ON up = below.job_id),
+on_cycle AS (SELECT job_id FROM below WHERE start = job_id),
+after AS (SELECT DISTINCT b.job_id FROM below b JOIN on_cycle c ON c.job_id = b.start UNION SELECT job_id FROM on_cycle),
+before AS (SELECT DISTINCT b.start AS job_id FROM below b JOIN on_cycle c ON c.job_id = b.job_id UNION SELECT job_id FROM on_cycle)
+SELECT job_id FROM after INTERSECT SELECT job_id FROM before""")
+def cycle_members(spark: SparkSession, d: str) -> DataFrame:
+    edges = loops(spark, d)
+    return graph.cycle_members(edges.select(F.col("up").alias("job_id")).union(edges.select("down")), edges)
+
+
+@query(f"{LOOPS} SELECT a.up, a.down FROM loops a JOIN loops b ON a.up = b.down AND a.down = b.up")
+def short_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.short_cycles(loops(spark, d))
+
+
+@query(f"{GRAPH} SELECT up, down FROM edges JOIN nodes u ON u.job_id = up JOIN nodes w ON w.job_id = down WHERE NOT u.k < w.k")
+def order_violations(spark: SparkSession, d: str) -> DataFrame:
+    g = Derived(spark, d)
+    return graph.order_violations(g.edges, g.nodes.select("job_id", F.col("k").alias("position")))
 
 
 @query("SELECT CASE WHEN len(string_split(id, ':::')) > 1 THEN string_split(id, ':::')[1] || ' +' || CAST(len(string_split(id, ':::')) - 1 AS VARCHAR) ELSE id END AS short, id FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ':::' || p_brand || ':::' || p_type END AS id FROM part)")

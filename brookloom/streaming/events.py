@@ -27,3 +27,15 @@ def outcome_counts(events: DataFrame, late: str = "10 minutes", window: str = "1
     if events.isStreaming:
         ended = ended.withWatermark("time", late)
     return ended.groupBy(F.window("time", window), "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("run_time").alias("seconds"))
+
+
+def slow_runtimes(events: DataFrame, least: float = 1.0) -> DataFrame:
+    """(job_id, run_start_time, runtime_s) of ended jobs that took ``least`` seconds or more; works on streams as well."""
+    ended = events.where((F.col("type") == "job_done") & (F.col("run_time") >= least))
+    return ended.select("job_id", F.unix_seconds("time").alias("run_start_time"), F.col("run_time").alias("runtime_s"))
+
+
+def core_demand(jobs: DataFrame, host: str, cores: int) -> DataFrame:
+    """(host, cores): cores that jobs of the resource classes SingleCore, AllCores (all but one) and Exclusive ask for."""
+    need = F.when(F.col("resources") == "AllCores", max(cores - 1, 1)).when(F.col("resources") == "Exclusive", cores).otherwise(1)
+    return jobs.groupBy(host).agg(F.sum(need).alias("cores"))
