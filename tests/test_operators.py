@@ -67,10 +67,23 @@ def test_graph(spark, seed):
     assert {tuple(r) for r in graph.required_edges(nodes, e, bad).collect()} == {(a, b) for a, b in edges if b in need}
 
 
+def test_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PARTS", 4)
+    n = 30
+    nodes = spark.createDataFrame([(f"j{i:03}", "Output") for i in range(n)], "job_id string, kind string")
+    e = spark.createDataFrame([(f"j{i:03}", f"j{i + 1:03}") for i in range(n - 1)] + [("j000", f"j{i:03}") for i in range(2, n)], "up string, down string")
+    assert dict(graph.levels(nodes, e).collect()) == {f"j{i:03}": i for i in range(n)}
+    first = spark.createDataFrame([("j005",)], "job_id string")
+    few = e.where("up <> 'j000'")
+    assert ids(graph.descendants(first, few)) == {f"j{i:03}" for i in range(5, n)} and graph.descendants(first, few).count() == n - 5
+    places = spark.createDataFrame([(f"j{i:03}", i if i != 7 else 99) for i in range(n)], "job_id string, position int")
+    assert {tuple(r) for r in graph.order_violations(few, places).collect()} == {("j007", "j008")}
+
+
 def test_cycles(spark):
     nodes = spark.createDataFrame([(x, "Output") for x in "abcd"], "job_id string, kind string")
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")], "up string, down string")
-    assert {"b", "c"} <= ids(graph.cycle_members(nodes, e))
+    assert ids(graph.cycle_members(nodes, e)) == {"b", "c"}
     assert {tuple(r) for r in graph.short_cycles(e).collect()} == {("b", "c"), ("c", "b")}
     with pytest.raises(ValueError, match="cycle"):
         graph.levels(nodes, e)
@@ -87,6 +100,24 @@ def test_history(spark):
     assert diff == {"a": "changed", "b": "removed", "c": "removed", "gone": "removed", "u": "removed"}
 
 
+def test_logs_beyond(spark):
+    logs = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1)], "job string, run int")
+    assert {tuple(r) for r in history.beyond(logs, ["job"], ["run"], 2).collect()} == {("a", 0), ("a", 1), ("a", 2)}
+
+
+def test_rename_match(spark):
+    rng = random.Random(3)
+    name = lambda: ":::".join(sorted(rng.sample("abcdefgh", rng.randint(1, 4))))
+    lost, known = ({(name(), rng.choice("xyz")) for _ in range(12)} for _ in range(2))
+    want = {}
+    for up, down in lost:
+        best = min(((-len(set(up.split(":::")) & set(o.split(":::"))), o) for o, d in known if d == down), default=(0, ""))
+        if best[0]:
+            want[up, down] = (best[1], -best[0])
+    frames = [spark.createDataFrame(sorted(x), "up string, down string") for x in (lost, known)]
+    assert {(r.up, r.down): (r.old_up, r.overlap) for r in invalidation.rename_match(*frames).collect()} == want
+
+
 def test_startup(spark):
     nodes = spark.createDataFrame([("a", "Always"), ("o", "Output"), ("m", "Output"), ("e", "Ephemeral")], "job_id string, kind string")
     changed = spark.createDataFrame([("o", False), ("m", False), ("e", True)], "job_id string, changed boolean")
@@ -120,22 +151,68 @@ def test_function_digests():
     code.check_non_locals(lambda: DATA, ["DATA"])
 
 
+def test_udfs_in_closures():
+    from pyspark.sql import functions as F
+
+    def holder(n):
+        one = F.udf(lambda x: x + n, "int")
+
+        def build():
+            return one
+
+        return build
+
+    def other(kind):
+        one = F.udf(lambda x: x * 2, kind)
+        return lambda: one
+
+    assert code.same_function(code.function_digest(holder(1)), code.function_digest(holder(1)))
+    assert not code.same_function(code.function_digest(holder(1)), code.function_digest(holder(2)))
+    assert not code.same_function(code.function_digest(other("int")), code.function_digest(other("long")))
+
+    def deep(n):
+        def inner():
+            return n
+
+        def outer():
+            return inner()
+
+        return outer
+
+    assert not code.same_function(code.function_digest(deep(1)), code.function_digest(deep(2)))
+
+    class Holder:
+        def __init__(self, n):
+            self.n = n
+
+        def run(self):
+            return 1
+
+    assert code.function_digest(Holder(1).run)["code"] == code.function_digest(Holder(2).run)["code"]
+
+
+def digest_of(spark, root, history=None):
+    found = files.fingerprints(spark, [root], history)
+    roots = spark.createDataFrame([(files.qualified(spark, root),)], "root string")
+    row = files.root_digests(files.within(spark, roots, found)).first()
+    return row["digest"] if row else None
+
+
 def test_files(spark, tmp_path):
     import hashlib
     import json
     import os
     import time
 
+    root = f"file://{tmp_path}"
     (tmp_path / "a").write_text("AAA")
     (tmp_path / "b").write_text("B")
     (tmp_path / "b.sha256").write_text("0" * 64)
-    found = {r.path.rsplit("/", 1)[-1]: r.hash for r in files.with_sides(files.listed(spark, f"file://{tmp_path}")).collect()}
+    found = {r.path.rsplit("/", 1)[-1]: r.hash for r in files.fingerprints(spark, [root]).collect()}
     assert found == {"a": hashlib.sha256(b"AAA").hexdigest(), "b": "0" * 64}
     os.utime(tmp_path / "b.sha256", (time.time() - 100,) * 2)
     with pytest.raises(Exception, match="older"):
-        files.with_sides(files.listed(spark, f"file://{tmp_path}")).collect()
-    old = files.fingerprints(files.listed(spark, f"file://{tmp_path}/a")).withColumn("hash", digests.F.lit("known"))
-    assert files.fingerprints(files.listed(spark, f"file://{tmp_path}/a"), old).first().hash == "known"
+        files.fingerprints(spark, [root]).collect()
     cells = [{"cell_type": "code", "source": "1"}, {"cell_type": "raw", "source": "x"}]
     for out in ("p", "q"):
         (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [c | {"outputs": out} for c in cells]}))
@@ -143,6 +220,53 @@ def test_files(spark, tmp_path):
         assert hashed == found.setdefault("n", hashed)
 
 
+def test_folders_are_told_by_paths_and_bytes(spark, tmp_path):
+    import os
+    import shutil
+
+    root = tmp_path / "in [1]"  # brackets are no pattern
+    for part, text in (("d=1", "one"), ("d=2", "two"), ("d=2/deep", "three")):
+        (root / part).mkdir(parents=True)
+        (root / part / "a.txt").write_text(text)
+    seen = [digest_of(spark, f"file://{root}")]
+
+    def changed():
+        seen.append(digest_of(spark, f"file://{root}"))
+        assert seen[-1] not in seen[:-1]
+
+    (root / "d=1/a.txt").write_text("two")
+    (root / "d=2/a.txt").write_text("one")
+    changed()  # swapped
+    shutil.move(root / "d=1", root / "d=3")
+    changed()  # a renamed partition
+    (root / "d=2/deep/a.txt").write_text("four")
+    changed()  # a nested file
+    (root / "d=2/deep/b.txt").write_text("four")
+    changed()
+    shutil.copytree(root, tmp_path / "moved")
+    assert digest_of(spark, f"file://{tmp_path}/moved") == seen[-1]
+    # what has the same second and size isn't opened
+    old = files.fingerprints(spark, [f"file://{root}"]).withColumn("hash", digests.F.lit("known"))
+    old = spark.createDataFrame(old.collect(), old.schema)
+    os.utime(root / "d=2/a.txt", (1, 1))
+    assert sorted(r.hash == "known" for r in files.fingerprints(spark, [f"file://{root}"], old).collect()) == [False, True, True, True]
+    (root / "d=3/a.txt").chmod(0)
+    assert "known" in {r.hash for r in files.fingerprints(spark, [f"file://{root}/d=3"], old).collect()}
+
+
+def test_large_files_are_hashed_in_ranges(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(files, "LARGE", 1000)
+    monkeypatch.setattr(files, "RANGE", 300)
+    data = bytes(range(256)) * 5
+    (tmp_path / "big").write_bytes(data)
+    (tmp_path / "small").write_bytes(data[:1000])
+    want = hashlib.sha256("".join(hashlib.sha256(data[i : i + 300]).hexdigest() for i in range(0, len(data), 300)).encode()).hexdigest()
+    found = {r.path.rsplit("/", 1)[-1]: r.hash for r in files.fingerprints(spark, [f"file://{tmp_path}"]).collect()}
+    assert found == {"big": want, "small": hashlib.sha256(data[:1000]).hexdigest()}
+
+
 def test_shared(spark):
     by_input = spark.createDataFrame([("p", "i1", "o1"), ("p", "i2", "o1"), ("p", "i3", "o2"), ("p", "i3", "o3")], "prefix string, input_key string, output_key string")
     used = spark.createDataFrame([("p", "h", "i1", 1), ("p", "h", "i1", 2)], "prefix string, history_key string, input_key string, run_id int")

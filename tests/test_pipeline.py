@@ -9,11 +9,13 @@ import pytest
 from brookloom.plans.jobs import (
     Attribute,
     Dataset,
+    Entry,
     EphemeralChanged,
     External,
     File,
     JobContractError,
     JobGenerating,
+    JobList,
     JobRedefinition,
     Loading,
     NotADag,
@@ -21,10 +23,17 @@ from brookloom.plans.jobs import (
     Parameters,
     TempDataset,
     ValuePlusHash,
+    another_plot,
     cached,
+    cached_in,
+    flatten_jobs,
+    force_load,
+    job_or_filename,
     plot,
     shell,
 )
+from brookloom.functions.code import UndeclaredNonLocals
+from brookloom.plans import pipeline as planning
 from brookloom.plans.pipeline import JobsFailed, Pipeline
 
 
@@ -53,6 +62,12 @@ def setup(spark, tmp_path):
     return Setup(spark, tmp_path)
 
 
+@pytest.fixture(params=[1_000, 0], ids=["walked whole", "asked of Spark"])
+def walked(request, monkeypatch):
+    """Small graphs planned as large ones are, as well."""
+    monkeypatch.setattr(planning, "WALKED", request.param)
+
+
 def chain(s, param="p", order="abc"):
     p = s.new()
     up = Parameters(p, "x", param)
@@ -63,7 +78,7 @@ def chain(s, param="p", order="abc"):
     return p, jobs
 
 
-def test_second_run_skips(setup):
+def test_second_run_skips(walked, setup):
     p, _ = chain(setup)
     assert set(p.run().values()) == {"Success"}
     p, jobs = chain(setup)
@@ -72,20 +87,20 @@ def test_second_run_skips(setup):
     assert jobs["c"].read().collect()[0][0] == "c"
 
 
-def test_early_cutoff_where_an_output_stays_equal(setup):
+def test_early_cutoff_where_an_output_stays_equal(walked, setup):
     chain(setup)[0].run()
     assert chain(setup, "q")[0].run()["a"] == "Success"
     assert setup.calls == {"a": 2, "b": 1, "c": 1}
 
 
-def test_change_goes_down(setup):
+def test_change_goes_down(walked, setup):
     chain(setup)[0].run()
     setup.values = {"a": "other"}
     chain(setup, "q")[0].run()
     assert setup.calls == {"a": 2, "b": 2, "c": 1}  # b's own output is the same again
 
 
-def test_missing_output_is_rebuilt(setup, tmp_path):
+def test_missing_output_is_rebuilt(walked, setup, tmp_path):
     import shutil
 
     chain(setup)[0].run()
@@ -94,7 +109,7 @@ def test_missing_output_is_rebuilt(setup, tmp_path):
     assert setup.calls == {"a": 1, "b": 2, "c": 1}
 
 
-def test_failure_stops_what_depends_on_it_only(setup):
+def test_failure_stops_what_depends_on_it_only(walked, setup):
     setup.values = {"b": ValueError("no")}
     p, _ = chain(setup)
     other = Dataset(p, "z", setup.rows("z"), track=False)
@@ -116,7 +131,7 @@ def temp_chain(s, param="p"):
     return p, t, out
 
 
-def test_ephemeral_runs_only_when_needed_and_is_deleted(setup, tmp_path):
+def test_ephemeral_runs_only_when_needed_and_is_deleted(walked, setup, tmp_path):
     temp_chain(setup)[0].run()
     assert setup.calls == {"t": 1, "out": 1} and not (tmp_path / "t").exists()
     assert temp_chain(setup)[0].run()["t"] == "Skipped"
@@ -134,7 +149,7 @@ def test_ephemeral_without_consumers_never_runs(setup):
     assert p.run()["t"] == "Skipped" and not setup.calls
 
 
-def test_constant_input_must_give_constant_output(setup, tmp_path):
+def test_constant_input_must_give_constant_output(walked, setup, tmp_path):
     import shutil
 
     temp_chain(setup)[0].run()
@@ -150,7 +165,7 @@ def test_failed_consumer_keeps_the_ephemeral(setup, tmp_path):
     assert (tmp_path / "t").exists()
 
 
-def test_partial_dependency(setup):
+def test_partial_dependency(walked, setup):
     def declare(b):
         p = setup.new()
 
@@ -169,7 +184,7 @@ def test_partial_dependency(setup):
     assert setup.calls == {"m": 2, "of_a": 1, "of_b": 2}
 
 
-def test_absent_jobs_resume(setup):
+def test_absent_jobs_resume(walked, setup):
     chain(setup)[0].run()
     p = setup.new()
     Parameters(p, "x", "p")
@@ -177,7 +192,7 @@ def test_absent_jobs_resume(setup):
     assert chain(setup)[0].run()["c"] == "Skipped"
 
 
-def test_changed_input_set(setup):
+def test_changed_input_set(walked, setup):
     chain(setup)[0].run()
     p, jobs = chain(setup)
     jobs["c"].depends_on("a")
@@ -194,7 +209,7 @@ def test_function_changes_and_closures(setup, spark):
             return spark.range(n)
 
         setup_calls = []
-        return p, Dataset(p, "d", build, allowed=["n"]), setup_calls
+        return p, Dataset(p, "d", build, allowed=["n", "setup_calls"]), setup_calls
 
     p, _, calls = declare(1)
     p.run()
@@ -238,7 +253,7 @@ def test_cycles(setup):
         p.run()
 
 
-def test_generated_jobs_and_deferred_dependencies(setup):
+def test_generated_jobs_and_deferred_dependencies(walked, setup):
     p = setup.new()
 
     def more():
@@ -290,7 +305,7 @@ def test_loaders(setup, spark):
     p = setup.new()
     at = Attribute(p, "at", box, "table", lambda: spark.range(3), track=False)
     Dataset(p, "d", lambda: spark.range(box.table.count()), track=False).depends_on(at)
-    load, calc = cached(p, "c", lambda: spark.range(4), lambda df: seen.append(df.count()))
+    load, calc = cached(p, "c", lambda: spark.range(4), lambda df: seen.append(df.count()), allowed=["seen"])
     Dataset(p, "e", lambda: spark.range(seen[0]), track=False).depends_on(load)
     vp = Loading(p, "vp", lambda: ValuePlusHash(5, "abc"), track=False)
     Dataset(p, "f", setup.rows("f"), track=False).depends_on(vp)
@@ -362,9 +377,210 @@ def test_command_line(setup, tmp_path, capsys, spark):
     chain(setup, "q")[0].run()
     cli.main(["history-diff", f"file://{tmp_path}/older", f"file://{tmp_path}"])
     assert "PI x" in capsys.readouterr().out
-    cli.main(["forget", f"file://{tmp_path}", "b"])
+    cli.main(["forget", f"file://{tmp_path}", "b", "--yes"])
     chain(setup, "q")[0].run()
     assert setup.calls["b"] == 3
     cli.main(["hash-file", f"file://{tmp_path}/a/_SUCCESS"])
     cli.main(["history", f"file://{tmp_path}"])
     assert "PI x" in capsys.readouterr().out
+
+
+def test_folders_of_files(walked, setup, tmp_path, monkeypatch):
+    from brookloom.sources import files
+
+    folder = tmp_path / "in"
+    for k in (1, 2):
+        (folder / f"d={k}").mkdir(parents=True)
+        (folder / f"d={k}" / "a.txt").write_text(str(k))
+    (tmp_path / "other.txt").write_text("x")
+    opened = []
+    hashed = files.hashed
+    monkeypatch.setattr(files, "hashed", lambda spark, which: opened.append(len(which)) or hashed(spark, which))
+
+    def declare():
+        p = setup.new()
+        Dataset(p, "d", setup.rows("d"), track=False).depends_on(File(p, f"file://{folder}"))
+        Dataset(p, "o", setup.rows("o"), track=False).depends_on(File(p, tmp_path / "other.txt"))
+        return p
+
+    declare().run()
+    declare().run()
+    assert opened == [3, 0] and setup.calls == {"d": 1, "o": 1}
+    (folder / "d=1" / "a.txt").write_text("22")
+    (folder / "d=2" / "a.txt").write_text("11")
+    declare().run()
+    assert opened == [3, 0, 2] and setup.calls == {"d": 2, "o": 1}
+
+
+def test_dependencies_of_many_kinds(setup, tmp_path):
+    p = setup.new()
+    a, b, c, d = (Dataset(p, x, setup.rows(x), track=False) for x in "abcd")
+    pair = cached(p, "k", setup.rows("k"), print, allowed=["self", "name", "value"])
+    with pytest.raises(TypeError, match="load, calc"):
+        d.depends_on(pair)
+    from pathlib import Path
+
+    d.depends_on((x for x in (a, [b])), {"c": c}.values(), Path("a"), None, pair.load)
+    assert {u.job_id for u in d.upstreams} == {"a", "b", "c", "k"} and p.has_edge(a, "d") and not p.has_edge(d, a)
+    assert [j.job_id for j in p.find("^[ab]$")] == ["a", "b"] and flatten_jobs([a, [b, (c,)]]) == [a, b, c]
+    e, f = Dataset(p, "e", setup.rows("e"), track=False), Dataset(p, "f", setup.rows("f"), track=False)
+    JobList([e, f]).depends_on(a, b)
+    assert p.has_edge(a, e) and p.has_edge(b, f)
+    assert job_or_filename(p, "a") == ("a", [a]) and job_or_filename(p, e) == ("e", [e])
+    name, jobs = job_or_filename(p, tmp_path / "x.txt")
+    assert name == str(tmp_path / "x.txt") and isinstance(jobs[0], File)
+    p.unique(setup, "one")
+    with pytest.raises(ValueError, match="one"):
+        p.unique(setup, "one")
+
+
+def test_undeclared_outside_variables(setup, spark):
+    p, seven = setup.new(), 7
+    with pytest.raises(UndeclaredNonLocals):
+        Dataset(p, "d", lambda: spark.range(seven))
+    Dataset(p, "e", lambda: spark.range(seven), allowed=["seven"])
+
+
+def test_temporary_tables_that_are_still_there(setup, tmp_path):
+    setup.values = {"out": ValueError("no")}
+    temp_chain(setup)[0].run(raise_errors=False)
+    setup.values = {}
+    temp_chain(setup)[0].run()
+    assert setup.calls == {"t": 1, "out": 2} and not (tmp_path / "t").exists()
+
+
+def test_values_that_are_still_loaded(setup, spark):
+    box, calls, fail = {}, [], [True]
+
+    def declare(value):
+        p = setup.new()
+
+        def load():
+            calls.append(value)
+            return spark.range(value)
+
+        def use():
+            if fail[0]:
+                raise ValueError("no")
+            return spark.range(box["t"].count())
+
+        at = Entry(p, "at", box, "t", load, track=False).depends_on(Parameters(p, "n", value))
+        Dataset(p, "d", use, track=False).depends_on(at)
+        return p
+
+    declare(3).run(raise_errors=False)
+    declare(3).run(raise_errors=False)
+    assert calls == [3] and box["t"].count() == 3
+    declare(4).run(raise_errors=False)
+    fail[0] = False
+    declare(4).run()
+    assert calls == [3, 4] and box == {}
+
+
+def test_cached_attributes_and_entries(setup, spark):
+    class Box:
+        pass
+
+    box, place, n = Box(), {}, [3]
+    def declare(value):
+        p = setup.new()
+        one = cached_in(Attribute, p, "at", box, "t", lambda: spark.range(n[0]), allowed=["n"])
+        two = cached_in(Entry, p, "en", place, "t", lambda: spark.range(n[0]), allowed=["n"])
+        two.calc.depends_on(Parameters(p, "n", value))
+
+        def build():
+            setup.calls["d"] += 1
+            return spark.range(box.t.count() + place["t"].count())
+
+        Dataset(p, "d", build, track=False).depends_on(one.load, two.load)
+        return p
+
+    declare(1).run()
+    declare(2).run()  # calculated again, the same rows
+    assert setup.calls == {"d": 1} and not hasattr(box, "t") and place == {}
+    p = setup.new()
+    job = cached_in(Entry, p, "fo", place, "u", lambda: spark.range(2)).load
+    force_load(job)
+    p.run()
+    assert job.outcome == "Success"
+
+
+def test_plots_of_several_tables(setup, spark, tmp_path):
+    p = setup.new()
+    seen = []
+
+    def draw(tables, path):
+        seen.append({k: len(t) for k, t in tables.items()} if isinstance(tables, dict) else len(tables))
+        open(path, "w").write("x")
+
+    jobs = plot(p, "two", lambda: {"a": spark.range(2), "b": spark.range(3)}, draw, str(tmp_path / "1.png"), allowed=["seen"])
+    another_plot(jobs, draw, str(tmp_path / "2.png"), ["seen"])
+    bare = plot(p, "bare", lambda: spark.range(4), draw, str(tmp_path / "3.png"), cache_calc=False, create_table=False, allowed=["seen"])
+    another_plot(bare, draw, str(tmp_path / "4.png"), ["seen"])
+    assert bare.cache is None and bare.table is None
+    p.run()
+    assert sorted(map(str, seen)) == ["4", "4", "{'a': 2, 'b': 3}", "{'a': 2, 'b': 3}"]
+    assert spark.read.csv(f"file://{tmp_path}/two.tsv/b", header=True, sep="\t").count() == 3
+
+
+def test_external_calls_around_the_command(setup, tmp_path):
+    p, seen = setup.new(), []
+    External(p, str(tmp_path / "x"), ["y.txt"], ["sh", "-c", "cat in > y.txt; echo out"], prefix="run_", before=lambda job: open(f"{job.folder}/in", "w").write("hi"), after=lambda job: seen.append(job.folder), own_session=True, allowed=["seen"])
+    shell(p, str(tmp_path / "sh"), ["z.txt"], lambda: "#!/bin/sh\necho 3 > z.txt\n")
+    p.run()
+    assert (tmp_path / "x/y.txt").read_text() == "hi" and (tmp_path / "x/run_stdout.txt").read_text() == "out\n" and seen == [str(tmp_path / "x")]
+    assert (tmp_path / "sh/z.txt").read_text() == "3\n"
+
+
+def test_errors_are_kept_of_some_runs(setup, tmp_path):
+    import os
+
+    setup.values = {"a": ValueError("no")}
+    for _ in range(3):
+        p, _ = chain(setup)
+        p.kept_runs = 2
+        p.run(raise_errors=False)
+    rows = p.stored_errors().collect()
+    assert len(rows) == 2 and {(r.job_id, r.error, r.message) for r in rows} == {("a", "ValueError", "no")} and "build" in rows[0].trace
+    here = os.getcwd()
+    p = setup.new()
+    Dataset(p, "w", lambda: os.chdir(tmp_path) or setup.spark.range(1), track=False)
+    p.run(raise_errors=False)
+    assert isinstance(p.jobs["w"].error, JobContractError) and os.getcwd() == here
+
+
+def test_a_stopped_rename_loses_nothing(spark, tmp_path):
+    from brookloom.plans.tables import recovered, rename
+
+    for name, text in (("new", "2"), ("x.old", "1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f").write_text(text)
+    recovered(spark, f"file://{tmp_path}/x")
+    assert (tmp_path / "x/f").read_text() == "1"
+    rename(spark, f"file://{tmp_path}/new", f"file://{tmp_path}/x")
+    assert (tmp_path / "x/f").read_text() == "2" and not (tmp_path / "x.old").exists()
+
+
+def test_a_wide_graph_runs_what_changed(setup):
+    """A graph beyond what is walked whole: only changed jobs and what lies below are looked at."""
+    from brookloom.plans.jobs import Job
+
+    class Mark(Job):
+        def run(self, inputs_hash):
+            setup.calls[self.job_id] += 1
+            return {self.job_id: setup.values.get(self.job_id, "same")}
+
+    def declare(n=1_500):
+        p = setup.new()
+        last = Mark(p, ["last"])
+        for i in range(n):
+            last.depends_on(Mark(p, [f"f{i:05}"]).depends_on(Parameters(p, f"p{i % 10}", setup.values.get(f"p{i % 10}", 0))))
+        return p
+
+    declare().run()
+    assert sum(setup.calls.values()) == 1_501
+    setup.calls.clear()
+    assert set(declare().run().values()) == {"Success", "Skipped"} and not setup.calls
+    setup.values = {"p3": 1, "f00003": "other"}
+    out = declare().run()
+    assert len(setup.calls) == 151 and setup.calls["last"] == 1 and out["f00003"] == "Success" and out["f00004"] == "Skipped"
