@@ -61,7 +61,10 @@ def rendered_turn(role: Column, text: Column) -> Column:
 
 
 def render(placed: DataFrame, kept: DataFrame) -> DataFrame:
-    """(conv, n_turns, n_copies, part, rendered): a kept conversation's text, in parts of ``BLOCK`` places at most."""
+    """(conv, n_turns, n_copies, part, rendered): a kept conversation's text, in parts of ``BLOCK`` places at most.
+
+    A conversation is its parts put together in their order: a very long one is no single value. Empty tables stay empty.
+    """
     parts = placed.join(kept, "conv", "left_semi").withColumn("part", F.floor(F.col("pos") / BLOCK))
     turns = F.array_sort(F.collect_list(F.struct("pos", rendered_turn(F.col("role"), F.col("text")).alias("t"))))
     texts = parts.groupBy("conv", "part").agg(F.array_join(F.transform(turns, lambda x: x["t"]), "").alias("rendered"))

@@ -26,7 +26,11 @@ def rendezvous(key: Column, weights: dict[int, float]) -> Column:
 
 
 def assign(df: DataFrame, key: str, weights: dict[int, float], grown: dict[int, float] | None = None) -> DataFrame:
-    """Add shard, and grown_shard under the weights ``grown``; no shuffle. Columns of these names are replaced."""
+    """Add shard, and grown_shard under the weights ``grown``; no shuffle. Columns of these names are replaced.
+
+    Rows that repeat a key go to one shard, as do all rows without one: a key that a third of the rows have is a shard of a
+    third at least. An empty table stays empty.
+    """
     df = without(df, ["shard", "grown_shard"])
     out = df.withColumn("shard", rendezvous(quoted(key), weights))
     return out.withColumn("grown_shard", rendezvous(quoted(key), grown) if grown else F.lit(None).cast("int"))
@@ -35,6 +39,7 @@ def assign(df: DataFrame, key: str, weights: dict[int, float], grown: dict[int,
 def slots(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """Add slot: the row's place in its shard, gapless from 0; a shard's rows are dealt over many tasks.
 
-    ``rows``: about how many rows there are, from which the buckets follow. Rows alike in ``order`` get any order.
+    ``rows``: about how many rows there are, from which the buckets follow. Rows alike in ``order`` get any order. A column
+    named slot is replaced. An empty table stays empty.
     """
     return ranked(without(df, ["slot"]), ["shard"], order, bucket_count(df.sparkSession, rows), "slot")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
         app = spark.sparkContext.applicationId
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="brookloom-")
         found = _own_dirs[app]
@@ -58,9 +61,31 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Staged tables that are made inside are deleted at its end, but for those that were appended to what it gives.
+
+    Results that read them have to be stored by then.
+    """
+    made: list[DataFrame] = []
+    kept = list(keep)
+    _scratch.append(made)
+    try:
+        yield kept
+    finally:
+        _scratch.remove(made)
+        held = {df.__dict__.get("_staged_at") for df in kept}
+        drop_stage(*[df for df in made if df._staged_at not in held])
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "2m") -> Iterator[None]:
     """Arrow batches of ``rows`` rows and ``size`` bytes at most for what is run inside; a longer row is a batch of its own."""

@@ -146,7 +146,9 @@ def risk_step(rows: list[np.ndarray], positive: np.ndarray, prior: float, width:
 def marked(docs: DataFrame, key: str, text: str, labels: DataFrame, positive: Column) -> DataFrame:
     """(text_hash, positive) of texts that are confirmed toxic, or have no label: a narrow table, without the texts.
 
-    ``labels`` has ``key``, each once, and what ``positive`` reads; other labels say nothing.
+    ``labels`` has ``key``, each once, and what ``positive`` reads. Rows whose label isn't positive are in neither set:
+    the unlabelled set is a draw from all texts by way of those that nobody looked at. Null texts count as empty. Rows
+    that repeat are counted once by ``fit``, as their texts are equal.
     """
     hashed = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     said = labels.select(F.col(key), F.coalesce(positive, F.lit(False)).alias("positive"))
@@ -253,8 +255,10 @@ def prior_of(labelled: DataFrame, label: Column) -> float:
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add ``out`` (0 to 1, double) from the whole text; null and empty texts get the score of no words."""
+    """Add ``out`` (0 to 1, double) from the whole text, in place of a column of that name.
 
+    Null and empty texts get the score of no words. Repeated rows get equal scores. An empty table stays empty.
+    """
     ship(df.sparkSession)
 
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookloom.llm import language, queries, shingle_join, toxicity
-from brookloom.llm.shared import quoted, ship, stage, unused
+from brookloom.llm.shared import drop_stage, quoted, scratch, ship, stage, unused
 
 #: Rows that may be broadcast to take rejected documents out; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -81,7 +81,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has stored on its way is deleted once its result is stored."""
+    docs, last = queries.table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as kept:
+            after = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(after)
+        if last is not None:
+            drop_stage(last)
+        docs = last = after
     return STAGES[-1][1](spark, docs, sf_dir)
