@@ -1,7 +1,13 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi."""
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
+
+The Viterbi adds up log probabilities. A unigram file holds them. A file of merges holds ranks in their place, which are
+no scores to add; its pieces get the log probabilities of Zipf's and Mandelbrot's law by rank. Ids of such a file are
+thus those of the likeliest segmentation under that law, not those of its merges.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -15,9 +21,23 @@ MARK = "▁"  # stands for a space
 CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
 #: Words that a worker remembers; the first seen stay.
 CACHE_WORDS = 200_000
+#: Shift of the law by which the piece of rank r (from 0) has a probability in proportion to 1 / (r + SHIFT).
+SHIFT = 2.7
 _models: dict[str, Pieces] = {}
 
 
+def log_probabilities(scores: dict[int, float]) -> dict[int, float]:
+    """The scores by id, if they are log probabilities; by rank, if they are whole numbers that merges are ordered by.
+
+    Equal ranks, as of pieces that are merged last, go by their ids.
+    """
+    if not all(float(s).is_integer() for s in scores.values()):
+        return scores
+    order = sorted(scores, key=lambda i: (-scores[i], i))
+    total = math.log(sum(1 / (r + SHIFT) for r in range(len(order))))
+    return {i: -math.log(r + SHIFT) - total for r, i in enumerate(order)}
+
+
 class Pieces:
     """The vocabulary of a SentencePiece file. Byte pieces spell what no other piece covers."""
 
@@ -29,7 +49,8 @@ class Pieces:
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(names) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         plain = [i for i in range(len(names)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self._build({names[i]: i for i in plain}, {names[i]: model.get_score(i) for i in plain})
+        self.score_of = log_probabilities({i: model.get_score(i) for i in plain})
+        self._build({names[i]: i for i in plain}, {names[i]: self.score_of[i] for i in plain})
 
     def _build(self, ids: dict[str, int], scores: dict[str, float]) -> None:
         import ahocorasick
@@ -125,7 +146,11 @@ def pieces(path: str) -> Pieces:
 
 
 def encoded(text: Column, path: str) -> Column:
-    """Binary of little-endian unsigned 32-bit ids; a null text counts as empty, which is a mark alone."""
+    """Binary of little-endian unsigned 32-bit ids; a null text counts as empty, which is a mark alone.
+
+    A text is taken whole, however long: it falls apart before its marks, so no more than a word is searched at once where
+    pieces hold marks at their start only. An empty table stays empty; a column of its own has no clashes.
+    """
 
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:

@@ -111,9 +111,11 @@ def test_sentencepieces(spark):
     assert all(r.back == (r.text or "") for r in out.values())
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
     tool = sentencepieces.pieces(path)
-    scores = {p: model.get_score(i) for i, p in tool.piece_of.items()}
+    scores = {p: tool.score_of[i] for i, p in tool.piece_of.items()}
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").limit(60).collect()]
+    theirs = sum(map(len, sentencepiece.SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)))
+    assert 0.95 < sum(len(tool.encode(t)) // 4 for t in texts) / theirs < 1.02
     for text in [*(t for t in ODD if t and "▁" not in t and len(t) < 200), *(r.text[:600] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(30).collect())]:
         s = "▁" + text.replace(" ", "▁")
         got = sum(scores[tool.piece_of[i]] if i in tool.piece_of else tool.byte_score for i in np.frombuffer(tool.encode(text), "<u4").tolist())
@@ -122,6 +124,34 @@ def test_sentencepieces(spark):
     assert whole.where("not round_trip").count() == 0
 
 
+def unigram_file(path, pieces):
+    """A unigram model file of ``pieces`` (piece, score, type), written by hand: the format's few fields that are needed."""
+    import struct
+
+    def field(number, data):
+        return bytes([number << 3 | 2, *([len(data)] if len(data) < 128 else [len(data) & 127 | 128, len(data) >> 7])]) + data
+
+    own = b"".join(field(1, field(1, p.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + bytes([3 << 3, t])) for p, s, t in pieces)
+    normalizer = field(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1])  # a mark in front, white space kept, spaces as marks
+    path.write_bytes(own + field(2, bytes([3 << 3, 1])) + field(3, normalizer))
+
+
+def test_sentencepieces_equal_the_library_on_a_unigram_file(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc▁") for _ in range(rng.randint(2, 5))) for _ in range(60)})
+    words = [w for w in words if "▁" not in w[1:]]
+    pieces = [("<unk>", 0.0, 2), *((w, -rng.uniform(2, 9), 1) for w in [*"abc▁", *words])]
+    unigram_file(tmp_path / "u.model", pieces)
+    library, tool = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model")), sentencepieces.Pieces(str(tmp_path / "u.model"))
+    for _ in range(300):
+        text = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 60)))
+        got, want = np.frombuffer(tool.encode(text), "<u4").tolist(), library.encode(text)
+        # of equally good ones the library's rounding decides, as between cc c and c cc
+        assert sorted(got) == sorted(want) and tool.decode(tool.encode(text)) == text, text
+
+
 # --- 3 quality
 def base(text):
     w = WORD.findall(text or "")
@@ -151,10 +181,62 @@ def test_estimate_finds_planted_accuracies(spark):
     for _ in range(20000):
         bad = rng.random() < 0.2
         votes[tuple(0 if rng.random() < 0.1 else -1 if rng.random() < (hit if bad else false)[r] else 1 for r in "abc")] += 1
-    model = quality.estimate(spark.createDataFrame([(*k, n) for k, n in votes.items()], "a int, b int, c int, n long"), list("abc"), rounds=60)
+    model = quality.estimate(spark.createDataFrame([(*k, n) for k, n in votes.items()], "a int, b int, c int, n long"), list("abc"), most_false=0.2)
     assert abs(model.bad - 0.2) < 0.04 and all(abs(model.hit[r] - hit[r]) < 0.1 and abs(model.false[r] - false[r]) < 0.05 for r in "abc")
 
 
+def plain_votes(r):
+    """The rules' votes on a row of features, written out once more."""
+
+    def vote(bad, good):
+        return -1 if bad else 1 if good else 0
+
+    n = r.n_words
+    share = {k: 100 * r[k] / max(n, 1) for k in ("n_symbols", "n_symbol_runs", "n_repeat_words", "n_short", "n_ends", "n_clean")}
+    return {
+        "length": vote(n < 20, n >= 80),
+        "symbols": vote(share["n_symbols"] > 10, share["n_symbols"] <= 2),
+        "symbol_runs": vote(share["n_symbol_runs"] > 5, share["n_symbol_runs"] <= 1),
+        "lines": vote(10 * r.n_dup_lines > 3 * r.n_lines, 10 * r.n_dup_lines <= r.n_lines),
+        "repeats": vote(share["n_repeat_words"] > 30, share["n_repeat_words"] <= 10),
+        "letters": vote(r.word_chars < 3 * n or r.word_chars > 10 * n, 3.5 * n <= r.word_chars <= 8 * n),
+        "capitals": vote(10 * r.n_upper > 3 * r.word_chars, 10 * r.n_upper <= r.word_chars),
+        "short_words": vote(share["n_short"] < 10, share["n_short"] >= 20),
+        "clean_words": vote(share["n_clean"] < 60, share["n_clean"] >= 80),
+        "sentences": vote(share["n_ends"] < 1 or share["n_ends"] > 30, 2 <= share["n_ends"] <= 20),
+    }
+
+
+def test_quality_verdict_against_plain_python_and_labels(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    featured = stage(quality.features(docs), "t")
+    out = quality.judge(featured).collect()
+    votes = {r.doc_id: plain_votes(r) for r in out}
+    names = list(quality.rules())
+    patterns = collections.Counter(tuple(votes[r.doc_id][n] for n in names) for r in out if not r.base_failed)
+    v, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    groups = [[names.index(x) for x in g] for g in quality.families_of(names).values()]
+    bad, false, hit = 0.1, np.full(len(names), 0.01), np.full(len(names), 0.4)
+
+    def odds(v):
+        said = np.where(v < 0, np.log(false / hit), np.where(v > 0, np.log((1 - false) / (1 - hit)), 0.0))
+        return np.log((1 - bad) / bad) + sum(said[:, g].sum(axis=1) / np.maximum(1, (v[:, g] != 0).sum(axis=1)) for g in groups)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-odds(v)))
+        good, rest = n * p, n * (1 - p)
+        false = np.clip((good @ (v < 0) + 0.01) / (good @ (v != 0) + 1), 0.001, 0.02)
+        hit = np.clip((rest @ (v < 0) + 0.4) / (rest @ (v != 0) + 1), 0.05, 0.95)
+        bad = np.clip((rest.sum() + 0.1) / (n.sum() + 1), 0.001, 0.5)
+    want = 1 / (1 + np.exp(-odds(np.array([[votes[r.doc_id][x] for x in names] for r in out]))))
+    assert np.abs(want - np.array([r.probability for r in out])).max() < 1e-3
+    label = dict(spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality").collect())
+    passed = [r for r in out if not r.base_failed and r.doc_id in label]
+    junk, fine = ([r.kept for r in passed if label[r.doc_id] == q] for q in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 0.1 * len(junk) and sum(fine) >= 0.99 * len(fine)
+
+
 # --- 4 vectors
 def brute_vectors(rows, least=0.95):
     good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
@@ -430,11 +512,94 @@ def test_language_parts(spark):
 
 def test_evidence_decides_where_words_do_not(spark):
     rows = [(i, f"http://a.example.{'fr' if i % 2 else 'de'}/", "<html><body>" + ("le les des et dans une " if i % 2 else "der und das nicht ein ") * 5) for i in range(60)]
-    rows += [(100, "http://a.example.fr/", '<html lang="fr"><body>xyz'), (101, "http://a.example.de/", '<html lang="de"><body>xyz')]
+    rows += [(100, "http://a.example.fr/", '<html lang="fr"><body>est'), (101, "http://a.example.de/", '<html lang="de"><body>est')]
     out = {r.page_id: r.lang_id for r in language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
     assert out[100] == "fr" and out[101] == "de"
 
 
+def gram_buckets(text):
+    import xxhash
+
+    def bucket(gram):
+        h = xxhash.xxh64(gram.encode(), seed=42).intdigest()
+        return (h - (1 << 64) if h >> 63 else h) % language.BUCKETS
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    return words, [bucket("=" + w if len(w) <= 4 else "-" + w[-3:]) for w in words] + [bucket(w[:3] + "-") for w in words if len(w) > 4]
+
+
+def brute_languages(docs, least=0.6):
+    """The fusion written out in plain Python for rows (id, text, lang, source)."""
+    said = collections.Counter((lang or "").lower() for _, _, lang, _ in docs)
+    langs = sorted(k for k, n in said.items() if k and n >= language.LEAST_ROWS)
+    counts = {k: collections.Counter() for k in langs}
+    for text, lang in {(t, (lang or "").lower()) for _, t, lang, _ in docs}:
+        if lang in counts:
+            counts[lang].update(gram_buckets(text)[1])
+    names = [*langs, "unknown"]
+    table = [[(1 - language.EVEN) * counts[k][b] / max(1, counts[k].total()) + language.EVEN / language.BUCKETS for b in range(language.BUCKETS)] for k in langs] + [[1 / language.BUCKETS] * language.BUCKETS]
+    table = np.round(np.log(np.array(table)), 4)
+    texts = []
+    for _, t, _, _ in docs:
+        words, grams = gram_buckets(t)
+        texts.append((len(words), table[:, grams].sum(axis=1) * min(1, language.MOST_GRAMS / max(1, len(grams)))))
+    votes = [names[int(np.argmax(s))] if n else None for n, s in texts]
+    share = np.array([votes.count(k) + 1 for k in names]) / (sum(v is not None for v in votes) + len(names))
+    declared = {k: np.array([sum(v == x and (d[2] or "").lower() == k for v, d in zip(votes, docs, strict=True)) + 1.0 for x in names]) for k in langs}
+    declared["*"] = np.array([sum(v == x and (d[2] or "").lower() not in ("", *langs) for v, d in zip(votes, docs, strict=True)) + 1.0 for x in names])
+    total = sum(declared.values())
+    out = []
+    for (key, _, lang, source), (n, s), vote in zip(docs, texts, votes, strict=True):
+        def others(same):
+            own = np.array([sum(v == k for v, d in zip(votes, docs, strict=True) if v and same(d[3] or "")) for k in names], float)
+            return own - np.array([k == vote for k in names]) if own.any() and vote else own
+
+        host = source or ""
+        h, d = others(lambda x: x == host), others(lambda x: ".".join(x.split(".")[-2:]) == ".".join(host.split(".")[-2:]))
+        prior = (h + language.LEAN * ((d + language.LEAN * share) / (d.sum() + language.LEAN))) / (h.sum() + language.LEAN)
+        total_score = np.log(prior) + s
+        if lang:
+            total_score = total_score + np.log(declared.get(lang.lower(), declared["*"]) / total)
+        k = int(np.argmax(total_score))
+        p = 1 / np.exp(total_score - total_score[k]).sum()
+        out.append((key, n, names[k], p, n == 0 or names[k] == "unknown" or p < least))
+    return out
+
+
+def test_language_against_plain_python_and_a_fifth_language(spark):
+    rng = random.Random(9)
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    fifth = ["".join(rng.choice(["zrk", "uvo", "qwy", "ojk", "ypp"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    docs += [(1000 + i, " ".join(rng.choices(fifth, k=80)), "zz", "b.zz") for i in range(40)]
+    docs += [(2000 + i, " ".join(rng.choices(fifth, k=80)), None, None) for i in range(5)]
+    docs += [(3000, "Żółw łączy ćmę ź ękąś " * 20, None, "src0"), (3001, "", "en", "src0"), (3002, None, None, None), (3003, "x", "xx", "b.zz"), (3003, "x", "xx", "b.zz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = language.identify_documents(df, ["doc_id"], "text", "lang", "source").collect()
+    want = collections.defaultdict(list)
+    for key, *rest in brute_languages(docs):
+        want[key].append(rest)
+    assert len(got) == len(docs)
+    for r in got:
+        n, lang, p, rejected = want[r.doc_id].pop()
+        assert (r.n_words, r.rejected) == (n, rejected) and abs(r.probability - p) < 1e-6 and (r.lang_id == lang or n == 0), r
+    found = {r.doc_id: r for r in got}
+    assert all(found[2000 + i].lang_id == "zz" and not found[2000 + i].rejected for i in range(5))
+    assert found[3000].rejected and found[3000].lang_id == "unknown"
+    # a declaration and a host alone don't make a language
+    rows = [(i, "http://a.example.us/", f'<html lang="en"><body>{t}') for i, t in enumerate(["the and of that with this is was"] * 40 + ["Żółw łączy ćmę ź ękąś " * 20])]
+    pages = {r.page_id: r for r in language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), df).collect()}
+    assert pages[40].rejected and pages[40].lang_id == "unknown" and pages[0].lang_id == "en" and not pages[0].rejected
+
+
+def test_bad_markup_is_read_in_linear_time(spark):
+    import time
+
+    bad = ["<script" * 60_000, "<!--" * 60_000, "<" * 300_000, "a<nav>" * 60_000, "<html " * 60_000]
+    began = time.time()
+    df = spark.createDataFrame([(x,) for x in bad], "h string").select(language.markup_text(F.col("h")).alias("t"), language.markup_language(F.col("h")).alias("l"))
+    assert len(df.collect()) == 5 and time.time() - began < 30
+
+
 # --- 10 Jaccard
 def shingles(text, width):
     w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
@@ -543,10 +708,21 @@ def test_one_row_of_each_group_stays(spark):
     assert got == {(1, a): 1, (2, b): 1, (None, c): 1, (3, d): 1, (4, ""): 2, (5, None): 1} and out.columns == docs.columns
 
 
-def test_rejected_rows_with_null_ids_go(spark):
+def test_rejected_rows_go_whatever_the_columns_are_called(spark):
     import corpus_pipeline as cp
 
-    docs = odd_docs(spark)
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    out = cp.without_rejected(docs, marked.where("doc_id is null or text = ''"))
-    assert out.count() == docs.count() - 2 and out.columns == docs.columns
+    docs = odd_docs(spark, 2).withColumn("_row", F.lit("mine")).withColumn("_text_hash", F.lit("mine"))
+    stored, row = cp.numbered(docs)
+    out = cp.without_rejected(stored, stored.where("doc_id is null or text = ''"), row)
+    assert out.count() == docs.count() - 4 and out.columns == docs.columns and {r._row for r in out.collect()} == {"mine"}
+    kept = cp.near_duplicates(spark, docs, DATA)
+    assert kept.columns == docs.columns and {(r._row, r._text_hash) for r in kept.collect()} == {("mine", "mine")}
+
+
+def test_internal_names_give_way(spark):
+    df = spark.createDataFrame([(1, 2, "a b c d e", "x", "y")], "doc_id long, length long, text string, _rank string, _bucket string")
+    out = packing.pack(df, 4, ["doc_id"]).first()
+    assert (out["_rank"], out["_bucket"], out.sequence_id, out.offset) == ("x", "y", 0, 0)
+    named = df.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("node", "_node", "text_hash", "hashes", "_hashes")])
+    out = shingle_join.similar_groups(named, "doc_id", "text", 3, 90, 100).first()
+    assert {out[c] for c in ("node", "_node", "text_hash", "hashes", "_hashes")} == {"mine"} and out.component_id == 1
