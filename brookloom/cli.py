@@ -1,4 +1,5 @@
-"""python -m brookloom.cli COMMAND: look at a pipeline's history, compare two, make chosen jobs run again, hash files."""
+"""python -m brookloom.cli COMMAND: look at a pipeline's history, compare two, make chosen jobs run again, record tables that
+are there as made, hash files."""
 
 from __future__ import annotations
 
@@ -6,16 +7,18 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brookloom.functions.digests import table_digest
 from brookloom.operators import history
-from brookloom.plans.pipeline import EDGES, INPUTS, OUTPUTS
-from brookloom.plans.tables import exists, rename
+from brookloom.plans.pipeline import EDGES, INPUTS, NO_NAMES, OUTPUTS
+from brookloom.plans.tables import exists, frame, rename
 from brookloom.sources import files
 
 SCHEMAS = {"outputs": OUTPUTS, "inputs": INPUTS, "edges": EDGES}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/.history/{name}")
+    path = f"{root}/.history/{name}"
+    return spark.read.schema(SCHEMAS[name]).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMAS[name])
 
 
 def show(df: DataFrame) -> None:
@@ -31,7 +34,18 @@ def forget(spark: SparkSession, root: str, jobs: list[str], sure: bool = False)
         return
     ids = spark.createDataFrame([(j,) for j in jobs], "job_id string")
     left = history.without_jobs(*(table(spark, root, n) for n in ("outputs", "inputs", "edges")), ids)
-    for name, df in zip(("outputs", "inputs", "edges"), left, strict=True):
+    publish(spark, root, dict(zip(("outputs", "inputs", "edges"), left, strict=True)))
+
+
+def record(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Take tables of datasets that history doesn't know, and that have no inputs, for made: they don't run again."""
+    made = frame(spark, [(n, n, table_digest(spark.read.parquet(f"{root}/{n}"))) for n in names], OUTPUTS)
+    outputs, inputs = history.recorded(table(spark, root, "outputs"), table(spark, root, "inputs"), made, NO_NAMES)
+    publish(spark, root, {"outputs": outputs, "inputs": inputs, "edges": table(spark, root, "edges")})
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/.history.new/{name}")
     if exists(spark, f"{root}/.history/files"):
         spark.read.parquet(f"{root}/.history/files").write.mode("overwrite").parquet(f"{root}/.history.new/files")
@@ -41,7 +55,7 @@ def forget(spark: SparkSession, root: str, jobs: list[str], sure: bool = False)
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, words in (("history", ["root"]), ("history-diff", ["old", "new"]), ("forget", ["root", "job"]), ("hash-file", ["path"])):
+    for name, words in (("history", ["root"]), ("history-diff", ["old", "new"]), ("forget", ["root", "job"]), ("record", ["root", "job"]), ("hash-file", ["path"])):
         one = commands.add_parser(name)
         for w in words:
             one.add_argument(w, nargs="+" if w == "job" else None)
@@ -55,6 +69,8 @@ def main(args: list[str] | None = None) -> None:
         show(history.difference(table(spark, said.old, "outputs"), table(spark, said.new, "outputs"), ["job_id", "output_name"]).orderBy("job_id"))
     elif said.command == "forget":
         forget(spark, said.root, said.job, said.yes)
+    elif said.command == "record":
+        record(spark, said.root, said.job)
     else:
         show(files.fingerprints(spark, [said.path]))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import posixpath
 from collections.abc import Mapping
 from typing import Any
 
@@ -77,6 +78,12 @@ def parameter_digest(value: Any) -> str:
     return hashlib.sha256(json.dumps(canonical(value), sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def normal_path(path: str | os.PathLike) -> str:
+    """A path or address without . and .. and doubled slashes, told from its text alone: links aren't followed."""
+    scheme, found, rest = os.fspath(path).rpartition("://")
+    return f"{scheme}{found}{posixpath.normpath(rest)}" if rest else os.fspath(path)
+
+
 def parts(job_id: str | Column) -> Column:
     """The outputs that a job id names."""
     return F.split(F.col(job_id) if isinstance(job_id, str) else job_id, SEPARATOR)

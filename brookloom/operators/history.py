@@ -49,6 +49,17 @@ def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: Data
     return both.where("fresh or edge or a is null or b is null").select("up", "down", "output_name", found.alias("hash")).where("hash is not null")
 
 
+def recorded(hist_output: DataFrame, hist_inputs: DataFrame, made: DataFrame, no_inputs: str) -> tuple[DataFrame, DataFrame]:
+    """hist_output and hist_inputs with ``made`` (job_id, output_name, hash), as if these jobs had run without inputs.
+
+    Jobs of which history has an output or an input digest stay as they are. ``no_inputs``: the digest of no inputs.
+    """
+    known = hist_output.select("job_id").union(hist_inputs.select("job_id")).distinct()
+    new = made.join(known, "job_id", "left_anti")
+    digests = new.select("job_id").distinct().withColumn("input_digest", F.lit(no_inputs))
+    return hist_output.unionByName(new.select(*hist_output.columns)), hist_inputs.unionByName(digests.select(*hist_inputs.columns))
+
+
 def merge_files(old: DataFrame, seen: list[DataFrame]) -> DataFrame:
     """Fingerprints of input files after a run: those seen in it, and the others as before."""
     out = old

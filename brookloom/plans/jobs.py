@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookloom.functions.code import check_non_locals, function_digest, same_function, tracks
-from brookloom.functions.digests import SEPARATOR, parameter_digest, table_digest, written_digest
+from brookloom.functions.digests import SEPARATOR, normal_path, parameter_digest, table_digest, written_digest
 from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT
 from brookloom.plans.tables import delete, exists, path_of, rename
 from brookloom.sources import files, shared
@@ -87,7 +87,8 @@ class Job:
             if isinstance(x, Job):
                 self._consume(x, x.outputs)
             elif isinstance(x, (str, os.PathLike)):
-                self._consume(self.pipeline.producer(os.fspath(x)), [os.fspath(x)])
+                name = os.fspath(x) if os.fspath(x) in self.pipeline.producers else normal_path(x)
+                self._consume(self.pipeline.producer(name), [name])
             elif callable(x):
                 self.deferred.append(x)
             elif isinstance(x, Iterable):
@@ -178,7 +179,7 @@ def job_or_filename(pipeline: Pipeline, what: Job | str | os.PathLike) -> tuple[
     """(name of the output or path, jobs to depend on): the job that makes it, else one for the input file; a job's first output."""
     if isinstance(what, Job):
         return what.outputs[0], [what]
-    name = os.fspath(what)
+    name = normal_path(what)
     return name, [pipeline.producer(name) if name in pipeline.producers else File(pipeline, name)]
 
 
@@ -192,7 +193,7 @@ class File(Job):
     kind = ALWAYS
 
     def __init__(self, pipeline: Pipeline, path: str | os.PathLike, notebook: bool = False):
-        self.path, self.notebook = os.fspath(path), notebook
+        self.path, self.notebook = normal_path(path), notebook
         super().__init__(pipeline, [self.path])
 
     def run(self, inputs_hash: str) -> dict[str, str]:

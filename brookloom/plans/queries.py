@@ -444,6 +444,24 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
     return ids.select(digests.short_id("id").alias("short"), "id")
 
 
+@query("SELECT p_partkey AS job_id, regexp_replace('make --name ' || p_name || ' -s ' || p_size || ' --' || p_brand, ' (-{1,2}[A-Za-z])', ' \\\\' || chr(10) || '  \\1', 'g') AS command FROM part")
+def command_text(spark: SparkSession, d: str) -> DataFrame:
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    command = F.concat(F.lit("make --name "), "p_name", F.lit(" -s "), F.col("p_size").cast("string"), F.lit(" --"), "p_brand")
+    return parts.select(F.col("p_partkey").alias("job_id"), digests.command_lines(command).alias("command"))
+
+
+# Parts as tables that are there; of those at multiples of 4 history knows an output, at multiples of 6 an input.
+@query("""WITH made AS (SELECT 'P' || p_partkey AS job_id, md5(p_name) AS hash, p_partkey AS k FROM part)
+SELECT job_id, hash FROM made WHERE k % 6 <> 0 AND k % 4 <> 0 UNION ALL SELECT job_id, 'old' FROM made WHERE k % 4 = 0""")
+def history_recorded(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("P"), "p_partkey").alias("job_id"), F.md5("p_name").alias("hash"), F.col("p_partkey").alias("k"))
+    made = part.select("job_id", F.col("job_id").alias("output_name"), "hash")
+    outputs = part.where("k % 4 = 0").select("job_id", F.col("job_id").alias("output_name"), F.lit("old").alias("hash"))
+    found, _ = history.recorded(outputs, part.where("k % 6 = 0").select("job_id", F.lit("x").alias("input_digest")), made, "none")
+    return found.select("job_id", "hash")
+
+
 @query(f"{GRAPH} SELECT '<edge source=\"' || up || '\" target=\"' || down || '\"/>' AS line FROM edges UNION ALL SELECT '<node id=\"' || job_id || '\"><data key=\"kind\">' || kind || '</data></node>' FROM nodes")
 def graph_lines(spark: SparkSession, d: str) -> DataFrame:
     g = Derived(spark, d)
