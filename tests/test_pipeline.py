@@ -380,6 +380,11 @@ def test_command_line(setup, tmp_path, capsys, spark):
     cli.main(["forget", f"file://{tmp_path}", "b", "--yes"])
     chain(setup, "q")[0].run()
     assert setup.calls["b"] == 3
+    setup.spark.createDataFrame([("there",)], "v string").write.parquet(f"file://{tmp_path}/there")
+    cli.main(["record", f"file://{tmp_path}", "there", "b"])
+    p, jobs = chain(setup, "q")
+    Dataset(p, "there", setup.rows("there"), track=False)
+    assert p.run()["there"] == "Skipped" and jobs["b"].outcome == "Skipped" and "there" not in setup.calls
     cli.main(["hash-file", f"file://{tmp_path}/a/_SUCCESS"])
     cli.main(["history", f"file://{tmp_path}"])
     assert "PI x" in capsys.readouterr().out
@@ -427,7 +432,7 @@ def test_dependencies_of_many_kinds(setup, tmp_path):
     JobList([e, f]).depends_on(a, b)
     assert p.has_edge(a, e) and p.has_edge(b, f)
     assert job_or_filename(p, "a") == ("a", [a]) and job_or_filename(p, e) == ("e", [e])
-    name, jobs = job_or_filename(p, tmp_path / "x.txt")
+    name, jobs = job_or_filename(p, f"{tmp_path}/y/../x.txt")
     assert name == str(tmp_path / "x.txt") and isinstance(jobs[0], File)
     p.unique(setup, "one")
     with pytest.raises(ValueError, match="one"):
