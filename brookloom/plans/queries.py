@@ -285,16 +285,15 @@ def param_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("job_id"), digests.row_digest("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("hash"))
 
 
-# Each document as a file in a folder of its own, as Spark's text writer ends it: with a newline.
-@query("""SELECT 'doc' || doc_id AS name, sha256(text || chr(10)) AS hash, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size
-FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""")
+# Each supplier as a file in a folder of its own, as Spark's text writer ends it: with a newline.
+@query("SELECT 'supplier' || s_suppkey AS name, sha256(s_name || chr(10)) AS hash, CAST(octet_length(encode(s_name)) + 1 AS BIGINT) AS size FROM supplier")
 def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     from brookloom.plans.tables import shared_dir
     from brookloom.sources import files
 
     folder = f"{shared_dir(spark)}/brookloom/files-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null and text is not null")
-    docs.select(F.concat(F.lit("doc"), "doc_id").alias("name"), "text").write.partitionBy("name").text(folder)
+    rows = spark.read.parquet(f"{d}/supplier.parquet")
+    rows.select(F.concat(F.lit("supplier"), "s_suppkey").alias("name"), F.col("s_name").alias("text")).write.partitionBy("name").text(folder)
     found = written(files.fingerprints(spark, [folder]), "fingerprints")
     again = files.fingerprints(spark, [folder], found)  # unchanged files aren't opened
     roots = spark.createDataFrame([(files.qualified(spark, folder),)], "root string")
@@ -404,16 +403,17 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
     return invalidation.decisions(g.nodes, g.edges, states, valid, need)
 
 
-# Line items lead from an order to the next supplier, suppliers back to an order of their key: some are cycles.
-LOOPS = """WITH RECURSIVE loops AS (
-  SELECT DISTINCT 'O' || l_orderkey AS up, 'S' || l_suppkey AS down FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 400
-  UNION SELECT 'S' || s_suppkey, 'O' || CAST(s_suppkey * 3 AS BIGINT) FROM supplier)"""
+# An order leads to its first supplier, a supplier to the order of 37 times its key: some of these steps are cycles.
+LOOPS = """WITH RECURSIVE loops AS MATERIALIZED (
+  SELECT 'O' || l_orderkey AS up, 'S' || min(l_suppkey) AS down FROM lineitem GROUP BY l_orderkey
+  UNION SELECT 'S' || s_suppkey, 'O' || CAST(s_suppkey * 37 AS BIGINT) FROM supplier)"""
 
 
 def loops(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1 and l_orderkey <= 400").select(F.concat(F.lit("O"), "l_orderkey").alias("up"), F.concat(F.lit("S"), "l_suppkey").alias("down"))
-    back = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("S"), "s_suppkey").alias("up"), F.concat(F.lit("O"), F.col("s_suppkey").cast("long") * 3).alias("down"))
-    return written(lines.union(back).distinct(), "loops")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"))
+    steps = lines.select(F.concat(F.lit("O"), "l_orderkey").alias("up"), F.concat(F.lit("S"), "s").alias("down"))
+    back = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("S"), "s_suppkey").alias("up"), F.concat(F.lit("O"), F.col("s_suppkey").cast("long") * 37).alias("down"))
+    return written(steps.union(back), "loops")
 
 
 @query(f"""{LOOPS}, below AS (SELECT up AS start, down AS job_id FROM loops UNION SELECT start, down FROM below JOIN loops ON up = below.job_id),

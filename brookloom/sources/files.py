@@ -70,15 +70,17 @@ def hashed_in_ranges(files: DataFrame) -> DataFrame:
     return files.select("path", "mtime", "size").join(parts.groupBy("path").agg(F.sha2(ordered, 256).alias("hash")), "path").select("path", "hash", "mtime", "size")
 
 
-def hashed(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """(path, hash, mtime, size) of named files (path, mtime, size), each read once."""
-    small = [f[0] for f in files if f[2] <= LARGE]
-    frames = [spark.createDataFrame([], FINGERPRINTS)]
-    for i in range(0, len(small), NAMED):
-        frames.append(reader(spark, small[i : i + NAMED]).select("path", F.sha2("content", 256).alias("hash"), "mtime", "size"))
-    if large := [f for f in files if f[2] > LARGE]:
-        frames.append(hashed_in_ranges(spark.createDataFrame(large, "path string, mtime long, size long")))
-    return reduce(DataFrame.unionByName, frames)
+def hashed(files: DataFrame) -> DataFrame:
+    """(path, hash, mtime, size) of what ``reader`` gives; each file is read once, large ones in ranges."""
+    small = files.where(F.col("size") <= LARGE).select("path", F.sha2("content", 256).alias("hash"), "mtime", "size")
+    large = files.where(F.col("size") > LARGE).select("path", "mtime", "size")
+    return small if large.isEmpty() else small.unionByName(hashed_in_ranges(large))
+
+
+def hashed_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, hash, mtime, size) of named files."""
+    parts = [hashed(reader(spark, paths[i : i + NAMED])) for i in range(0, len(paths), NAMED)]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], FINGERPRINTS))
 
 
 def fingerprints(spark: SparkSession, paths: list[str], history: DataFrame | None = None) -> DataFrame:
@@ -94,12 +96,14 @@ def fingerprints(spark: SparkSession, paths: list[str], history: DataFrame | Non
     bad = F.when(F.col("side_mtime") < F.col("mtime"), "older than its file").when(~F.col("said").rlike("^[0-9a-f]{64}$"), "not a SHA-256")
     said = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("side file "), F.col("path"), F.lit(": "), bad))).otherwise(F.col("said"))
     both = names.join(sides, "path", "left").withColumn("hash", F.when(F.col("said").isNotNull(), said).cast("string"))
-    if history is not None:
-        old = history.select("path", F.col("hash").alias("was"), "mtime", "size").dropDuplicates(["path", "mtime", "size"])
-        both = both.join(old, ["path", "mtime", "size"], "left").withColumn("hash", F.coalesce("hash", "was"))
     known = both.select("path", "hash", "mtime", "size")
-    fresh = [(r["path"], r["mtime"], r["size"]) for r in known.where("hash is null").select("path", "mtime", "size").toLocalIterator()]
-    return known.where("hash is not null").unionByName(hashed(spark, fresh))
+    if history is None:  # all files but those with a side are opened
+        others = reader(spark, paths).where(~F.col("path").endswith(SIDE)).join(sides.select("path"), "path", "left_anti")
+        return known.where("hash is not null").unionByName(hashed(others))
+    old = history.select("path", F.col("hash").alias("was"), "mtime", "size").dropDuplicates(["path", "mtime", "size"])
+    known = known.join(old, ["path", "mtime", "size"], "left").select("path", F.coalesce("hash", "was").alias("hash"), "mtime", "size")
+    fresh = [r["path"] for r in known.where("hash is null").select("path").toLocalIterator()]
+    return known.where("hash is not null").unionByName(hashed_by_name(spark, fresh))
 
 
 def within(spark: SparkSession, roots: DataFrame, files: DataFrame) -> DataFrame:

@@ -399,8 +399,8 @@ def test_folders_of_files(walked, setup, tmp_path, monkeypatch):
         (folder / f"d={k}" / "a.txt").write_text(str(k))
     (tmp_path / "other.txt").write_text("x")
     opened = []
-    hashed = files.hashed
-    monkeypatch.setattr(files, "hashed", lambda spark, which: opened.append(len(which)) or hashed(spark, which))
+    hashed = files.hashed_by_name
+    monkeypatch.setattr(files, "hashed_by_name", lambda spark, which: opened.append(len(which)) or hashed(spark, which))
 
     def declare():
         p = setup.new()
@@ -410,11 +410,11 @@ def test_folders_of_files(walked, setup, tmp_path, monkeypatch):
 
     declare().run()
     declare().run()
-    assert opened == [3, 0] and setup.calls == {"d": 1, "o": 1}
+    assert opened == [0] and setup.calls == {"d": 1, "o": 1}
     (folder / "d=1" / "a.txt").write_text("22")
     (folder / "d=2" / "a.txt").write_text("11")
     declare().run()
-    assert opened == [3, 0, 2] and setup.calls == {"d": 2, "o": 1}
+    assert opened == [0, 2] and setup.calls == {"d": 2, "o": 1}
 
 
 def test_dependencies_of_many_kinds(setup, tmp_path):
