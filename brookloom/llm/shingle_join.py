@@ -21,7 +21,7 @@ from brookloom.llm.quality import SPACE, let
 from brookloom.llm.shared import components, drop_stage, parallelism, quoted, ship, small_batches, stage, unused, without
 
 #: Members of a cell in one block, and their hashes on average, at most; a task holds two blocks of a cell at a time.
-BLOCK, BLOCK_HASHES = 256, 1 << 18
+BLOCK, BLOCK_HASHES = 1_024, 1 << 18
 #: Hashes of a group of small blocks that one call compares, on average.
 GROUP_HASHES = 1 << 20
 #: Keys that a task remembers, so as to make a set's signatures once; then it begins anew.
