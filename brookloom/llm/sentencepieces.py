@@ -19,8 +19,8 @@ from pyspark.sql.types import BinaryType, StringType
 
 MARK = "▁"  # stands for a space
 CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
-#: Words that a worker remembers; the first seen stay.
-CACHE_WORDS = 200_000
+#: Words that a worker remembers, from the second time that it meets them (PLACES tell); the first stay.
+CACHE_WORDS, PLACES = 400_000, 1 << 21
 #: Shift of the law by which the piece of rank r (from 0) has a probability in proportion to 1 / (r + SHIFT).
 SHIFT = 2.7
 _models: dict[str, Pieces] = {}
@@ -65,6 +65,7 @@ class Pieces:
         #: Marks only begin pieces, so a text falls apart before its marks without loss.
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in ids)
         self.known: dict[str, bytes] = {}
+        self.met = bytearray(PLACES)
 
     def viterbi(self, s: str) -> list[int]:
         """Ids of the best-scoring segmentation; of equally good ones, that whose last pieces are longest."""
@@ -123,7 +124,10 @@ class Pieces:
         found = self.known.get(s)
         if found is None:
             found = array("I", self.viterbi(s)).tobytes()
-            if len(self.known) < CACHE_WORDS and len(s) < 64:
+            place = hash(s) % PLACES
+            if not self.met[place]:
+                self.met[place] = 1
+            elif len(self.known) < CACHE_WORDS and len(s) < 64:
                 self.known[s] = found
         return found
 
