@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +18,11 @@ from brookloom.llm.tokens import encoder
 PIECE = [StructField(name, LongType()) for name in ("start", "length", "doc_tokens", "ids_crc32")]
 
 
-def cut_texts(df: DataFrame, text: str, path: str, capacity: int, end_id: int | None = None, ids: bool = True) -> DataFrame:
+def cut_texts(df: DataFrame, text: str, path: str, capacity: int, end_id: int | None = None, ids: bool = True, encoding: Callable = encoder) -> DataFrame:
     """One row per piece of ``capacity`` ids at most: the input's other columns, start, length, doc_tokens, ids_crc32, piece.
 
-    ``path``: a byte-level BPE file of the tokenizers library, whose ids of the whole text are cut, with ``end_id`` after
-    them if given. piece: the piece's ids, little-endian unsigned 32-bit, left out unless ``ids``, so that no id leaves
+    ``path``: a byte-level BPE file of the tokenizers library, or one that ``encoding`` reads; its ids of the whole text are
+    cut, with ``end_id`` after them if given. piece: the piece's ids, little-endian unsigned 32-bit, left out unless ``ids``, so that no id leaves
     the worker; ids_crc32: their unsigned CRC-32. A null text counts as empty, and gives no piece where there is no
     ``end_id``. Columns of the input that have these names are dropped. Repeated rows stay; an empty table stays empty.
     """
@@ -33,7 +33,7 @@ def cut_texts(df: DataFrame, text: str, path: str, capacity: int, end_id: int |
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoding(path).encode
         for batch in batches:
             rows: list[tuple[int, int, bytes, int]] = []
 
@@ -95,10 +95,10 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     return [p for left in sorted(room) for p in room[left]]
 
 
-def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "length", plan: Callable = shortest_pack_first) -> DataFrame:
     """Add sequence_id and offset to ``pieces``, so that no sequence has more than ``capacity`` ids and none has a gap.
 
-    The histogram has ``capacity`` rows at most whatever the input; patterns are made from it on the driver, and each
+    The histogram has ``capacity`` rows at most whatever the input; ``plan`` makes patterns from it on the driver, and each
     piece finds its place by its rank among those of its length. Ranks are dealt over hashed buckets, so a length that
     a third of all pieces have is no hot group. ``pieces`` is read more than once: give a stored table. Lengths outside
     1 to ``capacity`` fail. An empty table stays empty.
@@ -109,7 +109,7 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "leng
     if any(n is None or not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must be 1 to {capacity}")
     sequences, taken, places = 0, defaultdict(int), []
-    for count, pattern in shortest_pack_first(counts, capacity):
+    for count, pattern in plan(counts, capacity):
         at = 0
         for n in pattern:
             places.append((n, taken[n], taken[n] + count, sequences, at))
