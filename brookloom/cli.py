@@ -1,25 +1,20 @@
-"""python -m brookloom.cli COMMAND: look at a pipeline's history, compare two, make chosen jobs run again, record tables that
-are there as made, hash files."""
+"""python -m brookloom.cli COMMAND: look at a pipeline's history as of any version, compare two, make chosen jobs run again,
+record tables that are there as made, hash files."""
 
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from brookloom.functions.digests import table_digest
 from brookloom.operators import history
-from brookloom.plans.pipeline import EDGES, INPUTS, NO_NAMES, OUTPUTS
-from brookloom.plans.tables import exists, frame, rename
+from brookloom.plans.pipeline import NO_NAMES, OUTPUTS
+from brookloom.plans.tables import frame
+from brookloom.plans.versions import KINDS, History
 from brookloom.sources import files
 
-SCHEMAS = {"outputs": OUTPUTS, "inputs": INPUTS, "edges": EDGES}
-
-
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    path = f"{root}/.history/{name}"
-    return spark.read.schema(SCHEMAS[name]).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMAS[name])
-
 
 def show(df: DataFrame) -> None:
     """Rows one by one: the driver holds one partition at a time."""
@@ -27,46 +22,63 @@ def show(df: DataFrame) -> None:
         print("\t".join("" if x is None else str(x) for x in row))
 
 
+def publish(kept: History, after: dict[str, DataFrame]) -> None:
+    """A version in which the tables of ``after`` are as given."""
+    at = kept.manifest()["version"]
+    changed = {kind: history.changes(kept.table(kind, at), df, KINDS[kind][0]) for kind, df in after.items()}
+    kept.publish(changed, at, int(time.time() * 1000))
+
+
 def forget(spark: SparkSession, root: str, jobs: list[str], sure: bool = False) -> None:
     """Take the rows of ``jobs`` out of history. Asks for the word yes first, unless ``sure``."""
     if not sure and input(f"make {', '.join(jobs)} run again? Type yes: ").strip() != "yes":
         print("nothing done")
         return
-    ids = spark.createDataFrame([(j,) for j in jobs], "job_id string")
-    left = history.without_jobs(*(table(spark, root, n) for n in ("outputs", "inputs", "edges")), ids)
-    publish(spark, root, dict(zip(("outputs", "inputs", "edges"), left, strict=True)))
+    kept, ids = History(spark, root), frame(spark, [(j,) for j in jobs], "job_id string")
+    left = history.without_jobs(*(kept.table(k) for k in ("outputs", "inputs", "edges")), ids)
+    publish(kept, dict(zip(("outputs", "inputs", "edges"), left, strict=True)))
 
 
 def record(spark: SparkSession, root: str, names: list[str]) -> None:
     """Take tables of datasets that history doesn't know, and that have no inputs, for made: they don't run again."""
     made = frame(spark, [(n, n, table_digest(spark.read.parquet(f"{root}/{n}"))) for n in names], OUTPUTS)
-    outputs, inputs = history.recorded(table(spark, root, "outputs"), table(spark, root, "inputs"), made, NO_NAMES)
-    publish(spark, root, {"outputs": outputs, "inputs": inputs, "edges": table(spark, root, "edges")})
+    kept = History(spark, root)
+    outputs, inputs = history.recorded(kept.table("outputs"), kept.table("inputs"), made, NO_NAMES)
+    publish(kept, {"outputs": outputs, "inputs": inputs})
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/.history.new/{name}")
-    if exists(spark, f"{root}/.history/files"):
-        spark.read.parquet(f"{root}/.history/files").write.mode("overwrite").parquet(f"{root}/.history.new/files")
-    rename(spark, f"{root}/.history.new", f"{root}/.history")
+def compared(spark: SparkSession, roots: list[str], runs: list[int] | None, versions: list[int] | None) -> DataFrame:
+    """What jobs gave, in two pipelines, or in one as of two runs or versions."""
+    kept = [History(spark, r) for r in (roots * 2)[:2]]
+    at = [h.of_run(r) for h, r in zip(kept, runs, strict=True)] if runs else versions or [None, None]
+    return history.difference(*(h.table("outputs", v) for h, v in zip(kept, at, strict=True)), ["job_id", "output_name"])
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, words in (("history", ["root"]), ("history-diff", ["old", "new"]), ("forget", ["root", "job"]), ("record", ["root", "job"]), ("hash-file", ["path"])):
+    words = {"history": ["root"], "history-diff": ["root"], "versions": ["root"], "forget": ["root", "job"], "record": ["root", "job"], "hash-file": ["path"]}
+    for name, own in words.items():
         one = commands.add_parser(name)
-        for w in words:
-            one.add_argument(w, nargs="+" if w == "job" else None)
+        for w in own:
+            one.add_argument(w, nargs="+" if w == "job" or name == "history-diff" else None)
         if name == "forget":
             one.add_argument("--yes", action="store_true", help="don't ask")
+        if name == "history-diff":
+            one.add_argument("--runs", type=int, nargs=2)
+        if name in ("history", "history-diff"):
+            one.add_argument("--version", type=int, nargs=1 if name == "history" else 2)
     said = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if said.command == "history":
-        show(table(spark, said.root, "outputs").orderBy("job_id", "output_name"))
+        show(History(spark, said.root).table("outputs", said.version[0] if said.version else None).orderBy("job_id", "output_name"))
     elif said.command == "history-diff":
-        show(history.difference(table(spark, said.old, "outputs"), table(spark, said.new, "outputs"), ["job_id", "output_name"]).orderBy("job_id"))
+        show(compared(spark, said.root, said.runs, said.version).orderBy("job_id"))
+    elif said.command == "versions":
+        kept = History(spark, said.root)
+        for v in kept.versions():
+            found = kept.manifest(v)
+            print(v, found["run_id"], time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(found["time"])), sep="\t")
     elif said.command == "forget":
         forget(spark, said.root, said.job, said.yes)
     elif said.command == "record":

@@ -5,7 +5,6 @@ from __future__ import annotations
 import dis
 import hashlib
 import inspect
-import io
 import re
 import sys
 import types
@@ -88,8 +87,9 @@ def enclosed(function: Callable, above: tuple[int, ...] = ()) -> dict[str, str]:
     return found
 
 
-def function_digest(function: Callable) -> dict[str, str]:
-    """{source, python, code, closure}: hashes of the text, of the byte code under this Python, and of what is enclosed."""
+def function_digest(function: Callable, allowed: Iterable[str] = ()) -> dict[str, str]:
+    """{source, python, code, closure}: hashes of the text, of the byte code under this Python, and of what is enclosed,
+    with the values of ``allowed`` outside constants."""
     inner = unwrapped(function)
     if isinstance(inner, (types.BuiltinFunctionType, type)) or not hasattr(inner, "__code__"):
         text = inner.__qualname__ if hasattr(inner, "__qualname__") else type(inner).__qualname__
@@ -99,7 +99,7 @@ def function_digest(function: Callable) -> dict[str, str]:
     except (OSError, TypeError):
         source = instructions(inner.__code__)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return {"source": sha(source), "python": f"{sys.version_info.major}.{sys.version_info.minor}", "code": sha(instructions(inner.__code__)), "closure": sha(repr(sorted(enclosed(inner).items())))}
+    return {"source": sha(source), "python": f"{sys.version_info.major}.{sys.version_info.minor}", "code": sha(instructions(inner.__code__)), "closure": sha(repr(sorted((enclosed(inner) | allowed_values(inner, allowed)).items())))}
 
 
 def same_function(old: dict[str, str], new: dict[str, str]) -> bool:
@@ -108,24 +108,57 @@ def same_function(old: dict[str, str], new: dict[str, str]) -> bool:
     return old[what] == new[what] and old["closure"] == new["closure"]
 
 
-def check_non_locals(function: Callable, allowed: Iterable[str] = ()) -> None:
-    """Fail if a function reads outside variables other than modules, functions, classes, jobs, the Spark session, and those
-    in ``allowed``."""
-    inner = unwrapped(function)
+def globals_read(code: types.CodeType) -> set[str]:
+    """Names that code, or any function, comprehension or class nested in it, takes from its module.
+
+    A nested function's enclosed names aren't among them: they are bound in a function around it. A class body reads a name
+    of its module where it hasn't bound it before.
+    """
+    found, bound = set(), {"__name__"}  # a class body starts with its module's name
+    for i in dis.get_instructions(code):
+        if i.opname == "STORE_NAME":
+            bound.add(i.argval)
+        elif i.opname in ("LOAD_GLOBAL", "LOAD_FROM_DICT_OR_GLOBALS") or i.opname == "LOAD_NAME" and i.argval not in bound:
+            found.add(i.argval)
+    for inner in code.co_consts:
+        if isinstance(inner, types.CodeType):
+            found |= globals_read(inner)
+    return found
+
+
+def outside(function: Callable) -> dict[str, Any]:
+    """Variables that a function, or code nested in it, reads from its module or encloses; built-in names aside."""
+    inner = inspect.unwrap(unwrapped(function))
+    inner = getattr(inner, "__func__", inner)
     if not hasattr(inner, "__code__"):
-        return
-    outside = inspect.getclosurevars(inner)
-    odd = sorted(
-        name
-        for name, value in {**outside.globals, **outside.nonlocals}.items()
-        if name not in set(allowed) and not (isinstance(value, (types.ModuleType, type, SparkSession)) or callable(value) or hasattr(value, "job_id"))
-    )
-    if odd:
-        raise UndeclaredNonLocals(f"{inner.__qualname__} reads {', '.join(odd)}; declare them as parameters or allow them")
+        return {}
+    found = {name: inner.__globals__[name] for name in sorted(globals_read(inner.__code__)) if name in inner.__globals__}
+    for name, cell in zip(inner.__code__.co_freevars, inner.__closure__ or (), strict=False):
+        try:
+            found[name] = cell.cell_contents
+        except ValueError:  # not bound yet
+            continue
+    return found
+
+
+def constant(value: Any) -> bool:
+    """Numbers, texts, bytes, None, and tuples and frozen sets of them."""
+    return value is None or isinstance(value, (bool, int, float, complex, str, bytes)) or isinstance(value, (tuple, frozenset)) and all(map(constant, value))
 
 
-def listing(function: Callable) -> str:
-    """The byte code as ``dis`` prints it, for reports."""
-    out = io.StringIO()
-    dis.dis(unwrapped(function), file=out)
-    return out.getvalue()
+def allowed_values(function: Callable, allowed: Iterable[str]) -> dict[str, str]:
+    """Of the outside variables that are allowed, those that are constants, as text: a function's fingerprint holds them."""
+    return {name: shown(value) for name, value in outside(function).items() if name in set(allowed) and constant(value)}
+
+
+def check_non_locals(function: Callable, allowed: Iterable[str] = ()) -> None:
+    """Fail if a function, or code nested in it, reads outside variables other than modules, functions, classes, jobs, the
+    Spark session, and those in ``allowed``."""
+    may = set(allowed)
+    odd = [
+        name
+        for name, value in outside(function).items()
+        if name not in may and not (isinstance(value, (types.ModuleType, type, SparkSession)) or callable(value) or hasattr(value, "job_id"))
+    ]
+    if odd:
+        raise UndeclaredNonLocals(f"{getattr(unwrapped(function), '__qualname__', function)} reads {', '.join(odd)}; declare them as parameters or allow them")

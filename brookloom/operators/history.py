@@ -82,6 +82,24 @@ def difference(old: DataFrame, new: DataFrame, keys: list[str], value: str = "ha
     return a.join(b, keys, "full").select(*keys, status.alias("status"), "was", "now").where("status is not null")
 
 
+def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows by which ``new`` differs from ``old``, with ``gone`` where only ``old`` has the key: what ``latest`` makes
+    ``new`` of again. Keys have no nulls and are there once."""
+    values = [c for c in old.columns if c not in keys]
+    a = old.select(*keys, F.struct(*values).alias("_was"), F.lit(True).alias("_in_old"))
+    b = new.select(*keys, F.struct(*values).alias("_now"), F.lit(True).alias("_in_new"))
+    both = a.join(b, keys, "full").where(~(F.col("_was").eqNullSafe(F.col("_now")) & F.col("_in_old").eqNullSafe(F.col("_in_new"))))
+    return both.select(*keys, *[F.col(f"_now.{v}").alias(v) for v in values], F.col("_in_new").isNull().alias("gone"))
+
+
+def latest(base: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` with the newest row of each key in ``changed`` (by its column version) in its place, or without it where that
+    row is ``gone``. ``base`` is read as it is: only the changes are grouped, and few of them are broadcast."""
+    rest = [c for c in changed.columns if c not in keys]
+    newest = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_newest")).select(*keys, *[F.col(f"_newest.{c}").alias(c) for c in rest])
+    return base.join(newest.select(*keys), keys, "left_anti").unionByName(newest.where(~F.col("gone")).select(*base.columns))
+
+
 def without_jobs(hist_output: DataFrame, hist_inputs: DataFrame, hist_edge: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """History without the rows of ``jobs`` (job_id), matched as whole ids: what they and their consumers do runs again."""
     ids = jobs.select("job_id").distinct()

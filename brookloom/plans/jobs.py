@@ -62,6 +62,8 @@ class ValuePlusHash:
 
 class Job:
     kind = OUTPUT
+    #: Whether its outputs are tables in folders below the pipeline's, of these names: one listing finds which are there.
+    in_folders = False
 
     def __init__(self, pipeline: Pipeline, outputs: Iterable[str]):
         self.outputs = sorted(outputs)
@@ -220,7 +222,7 @@ class Function(Job):
     def __init__(self, pipeline: Pipeline, name: str, function: Callable, allowed: Iterable[str] = (), check: bool = True):
         if check:
             check_non_locals(function, allowed)
-        self.digest = function_digest(function)
+        self.digest = function_digest(function, allowed)
         super().__init__(pipeline, [f"FI {name}"])
 
     def run(self, inputs_hash: str) -> dict[str, str]:
@@ -237,6 +239,8 @@ class Dataset(Job):
     A table is written beside its place and moved there when whole. ``empty_ok``: whether a table may have no rows.
     """
 
+    in_folders = True
+
     def __init__(self, pipeline: Pipeline, names: str | Iterable[str], build: Callable[[], Any], empty_ok: bool = False, track: bool = True, allowed: Iterable[str] = ()):
         self.names = [names] if isinstance(names, str) else list(names)
         self.build, self.empty_ok = build, empty_ok
@@ -513,6 +517,8 @@ class Tables(Dataset):
 class Dump(Job):
     """Tab-separated text of tables that ``tables()`` gives."""
 
+    in_folders = True
+
     def __init__(self, pipeline: Pipeline, name: str, tables: Callable[[], dict[str, DataFrame]]):
         self.tables = tables
         super().__init__(pipeline, [name])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -64,6 +68,63 @@ def recovered(spark: SparkSession, path: str) -> None:
         rename(spark, f"{path}.old", path)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it isn't there."""
+    system, where = path_of(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, where = path_of(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    system, where = path_of(spark, path)
+    stream = system.create(where, overwrite)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def claimed(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a file where none is, whole at once; False where one is there. One of any number of callers gets True.
+
+    A local file is linked to its place and one of HDFS is renamed to it, which both refuse a place that is taken. An object
+    store makes a file when its stream is closed, and refuses one that is there by then (``create`` without overwriting:
+    a conditional put).
+    """
+    system, where = path_of(spark, path)
+    system.mkdirs(where.getParent())
+    scheme = system.getUri().getScheme()
+    if scheme not in ("file", "hdfs", "viewfs", "webhdfs"):
+        try:
+            write_text(spark, path, text)
+        except Py4JJavaError as e:
+            if system.exists(where):
+                return False
+            raise e
+        return True
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    try:
+        if scheme == "file":
+            local = [p.toUri().getPath() for p in (path_of(spark, beside)[1], where)]
+            try:
+                os.link(*local)
+            except FileExistsError:
+                return False
+            return True
+        return bool(system.rename(path_of(spark, beside)[1], where))
+    finally:
+        system.delete(path_of(spark, beside)[1], False)
+
+
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows of plain values as a table, by way of Arrow."""
     kind = StructType.fromDDL(schema)
@@ -73,6 +134,19 @@ def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pa.table({f.name: pa.array(c, to_arrow_type(f.dataType)) for f, c in zip(kind.fields, columns, strict=True)}), kind)
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings as wanted, for what is run inside."""
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a stored table: its plan is cut, and no executor's loss makes it be computed again."""
     spark = df.sparkSession

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brookloom.plans.tables import settings, written
+
 SIDE = ".sha256"
 FINGERPRINTS = "path string, hash string, mtime long, size long"
 #: Files above LARGE bytes are hashed in ranges of RANGE bytes: SHA-256 over the ranges' SHA-256 in order.
@@ -37,6 +39,19 @@ def listed(spark: SparkSession, *paths: str, pattern: str | None = None) -> Data
     return reader(spark, list(paths), pattern).select("path", "mtime", "size")
 
 
+def stored_tables(spark: SparkSession, root: str) -> DataFrame:
+    """(output_name): folders below ``root``, by their path from it on, that hold a table that Spark has written, or tables.
+
+    One recursive listing, whose folders executors take up once there are many; of each table its first part alone is
+    seen, which Spark writes for an empty one as well, and nothing is opened.
+    """
+    with settings(spark, {"spark.sql.files.openCostInBytes": "16k", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "1000"}):
+        found = listed(spark, root, pattern="part-00000*").select(F.expr(f"substring(path, {len(qualified(spark, root)) + 2})").alias("name"))
+        steps = F.split("name", "/")
+        folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+        return written(found.where(F.size(steps) > 1).select(F.explode(folders).alias("output_name")).distinct(), "tables")
+
+
 def side_hashes(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, said, side_mtime) of the files that have a ``<file>.sha256`` beside them in the same folder."""
     sides = reader(spark, list(paths), f"*{SIDE}")
