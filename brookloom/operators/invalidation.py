@@ -6,10 +6,11 @@ output_name, hash), hist_inputs(job_id, input_digest), hist_edge(up, down, outpu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT
+from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, descendants, leaf_ephemerals, required_edges
+from brookloom.plans.tables import written
 
 SEPARATOR = ":::"
 
@@ -44,15 +45,27 @@ def unknown_outputs(nodes: DataFrame, hist_output: DataFrame) -> DataFrame:
     return parts.join(hist_output.select("job_id", "output_name"), ["job_id", "output_name"], "left_anti").select("job_id").distinct()
 
 
+def same_fingerprint(up: Column, was: Column, now: Column) -> Column:
+    """Whether two fingerprints of the job ``up`` say the same, by its class.
+
+    A function's (of a job FI ...) holds Python's version, and hashes of source, byte code and closure: byte code is
+    compared where both come from one version, else the source. All others are compared as texts.
+    """
+    a, b = F.split(was, "\\|"), F.split(now, "\\|")
+    code = F.when((a[0] == b[0]) & (b[2] != ""), a[2] == b[2]).otherwise(a[1] == b[1])
+    typed = up.startswith("FI ") & (F.size(a) == 4) & (F.size(b) == 4)
+    return F.when(typed, code & (a[3] == b[3])).otherwise(was == now)
+
+
 def edge_invalidated(edges: DataFrame, inputs: DataFrame, cur_output: DataFrame, hist_edge: DataFrame) -> DataFrame:
     """(up, down, invalidated): whether any output that ``down`` consumes of ``up`` differs from what it last consumed.
 
-    Only consumed outputs are compared; no history of one counts as a difference.
+    Only consumed outputs are compared, by ``same_fingerprint``; no history of one counts as a difference.
     """
     used = edges.join(inputs.select("up", F.col("job_id").alias("down"), F.col("input_name").alias("output_name")), ["up", "down"])
     now = used.join(cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now")), ["up", "output_name"], "left")
     both = now.join(hist_edge.select("up", "down", "output_name", F.col("hash").alias("was")), ["up", "down", "output_name"], "left")
-    return both.groupBy("up", "down").agg(F.bool_or(~F.coalesce(F.col("now") == F.col("was"), F.lit(False))).alias("invalidated"))
+    return both.groupBy("up", "down").agg(F.bool_or(~F.coalesce(same_fingerprint(F.col("up"), F.col("was"), F.col("now")), F.lit(False))).alias("invalidated"))
 
 
 def rename_match(lost: DataFrame, known: DataFrame) -> DataFrame:
@@ -92,6 +105,47 @@ def startup(nodes: DataFrame, changed: DataFrame, missing: DataFrame) -> DataFra
     return both.select("job_id", state.alias("state"))
 
 
+def sweep(nodes: DataFrame, edges: DataFrame, invalid: DataFrame) -> DataFrame:
+    """(up, down, required) before anything runs: whether ``down`` needs what ``up`` gives.
+
+    Edges into Always jobs and ``invalid`` (job_id) ones are required, those into other Output jobs aren't, and those into
+    other ephemerals are where any edge out of them is: walked upwards from the first, each node once. ``edges`` is read
+    again and again: give a stored table.
+    """
+    starts = nodes.where(F.col("kind") == ALWAYS).select("job_id").union(invalid.select("job_id")).distinct()
+    need = required_edges(nodes, edges, starts).distinct().withColumn("required", F.lit(True))
+    return edges.select("up", "down").join(need, ["up", "down"], "left").withColumn("required", F.coalesce("required", F.lit(False)))
+
+
+def planned(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
+    """(job_id, action, cause) of what a run will do, before it does: Run, Depends or Skip.
+
+    ``stale`` (job_id, cause): jobs that differ from history by what is known now. They run, and so do Always jobs, and
+    ephemerals that have to deliver to what runs. What lies below a job that runs depends on whether that gives what it
+    gave before, and so does an ephemeral that only such a job needs. An ephemeral below which nothing else lies is
+    skipped. Closures over stored tables, each of which visits a node once: it always ends.
+    """
+    nodes, edges = written(nodes.select("job_id", "kind"), "nodes"), written(edges.select("up", "down"), "edges")
+    idle = written(leaf_ephemerals(nodes, edges), "idle")
+    odd = written(stale.join(idle, "job_id", "left_anti").groupBy("job_id").agg(F.min("cause").alias("cause")), "stale")
+    eph = nodes.where(F.col("kind") == EPHEMERAL).select("job_id")
+    live = edges.join(idle.withColumnRenamed("job_id", "down"), "down", "left_anti")
+
+    def givers(to: DataFrame) -> DataFrame:
+        """Ephemerals that have to deliver if ``to`` run."""
+        return required_edges(nodes, edges, to).select(F.col("up").alias("job_id")).join(eph, "job_id", "left_semi").distinct()
+
+    runs = odd.join(nodes, "job_id").where(F.col("kind") != ALWAYS).select("job_id", "cause")
+    need = givers(runs.union(nodes.where(F.col("kind") == ALWAYS).select("job_id", F.lit("always")))).join(runs, "job_id", "left_anti")
+    sure = written(runs.union(need.select("job_id", F.lit("needed below"))).union(nodes.where(F.col("kind") == ALWAYS).select("job_id", F.lit("always"))), "sure")
+    # what an ephemeral gives that only runs because it is needed is what it gave before
+    below = descendants(odd.select("job_id"), live).join(sure, "job_id", "left_anti")
+    below = written(below.join(idle, "job_id", "left_anti"), "below")
+    perhaps = below.union(givers(below).join(sure, "job_id", "left_anti")).distinct().withColumn("cause", F.lit("above"))
+    both = nodes.join(sure.withColumn("action", F.lit("Run")).union(perhaps.withColumn("action", F.lit("Depends"))), "job_id", "left")
+    return both.select("job_id", F.coalesce("action", F.lit("Skip")).alias("action"), "cause")
+
+
 def downstream_requirement(edges: DataFrame, required: DataFrame) -> DataFrame:
     """(job_id, requirement): yes if any edge out of a job is required, unknown if any is undecided, else no."""
     both = edges.join(required.select("up", "down", "required"), ["up", "down"], "left")
@@ -127,14 +181,24 @@ def decisions(nodes: DataFrame, edges: DataFrame, states: DataFrame, validation:
     """(job_id, action) of the jobs that have no outcome yet: UpstreamFailed, Run, Skip or Wait.
 
     ``states`` (job_id, state) holds outcomes, ``validation`` (job_id, vstatus) and ``requirement`` (job_id, requirement)
-    what ``node_validation`` and ``downstream_requirement`` give. A failed upstream decides first, then an unfinished one.
-    Always jobs run. An invalidated Output job runs, a validated one is skipped. An ephemeral runs if a job below needs it
-    (whether it is validated or not), is skipped if none does, and waits while that isn't known.
+    what ``node_validation`` and ``downstream_requirement`` give. A failed upstream decides first. Jobs run once all
+    upstreams have ended: Always jobs, invalidated Output jobs, validated ephemerals that a job below needs, and
+    invalidated ephemerals unless none does. Validated Output jobs, and ephemerals that none needs, are skipped once all
+    upstreams have ended or pass: a validated ephemeral with nothing undecided above it passes, as it would give what it
+    gave. All others wait. Some job always runs or is skipped while any is left, so taking the actions in turn ends.
     """
-    up = edges.join(states.select(F.col("job_id").alias("up"), "state"), "up", "left").groupBy(F.col("down").alias("job_id"))
-    above = up.agg(F.bool_or(F.coalesce(F.col("state").isin("Failed", "UpstreamFailed"), F.lit(False))).alias("failed"), F.bool_and(F.coalesce(F.col("state").isin("Success", "Skipped"), F.lit(False))).alias("ended"))
-    left = nodes.join(states.select("job_id"), "job_id", "left_anti").join(above, "job_id", "left").join(validation, "job_id", "left").join(requirement, "job_id", "left")
-    action = F.when(F.coalesce("failed", F.lit(False)), "UpstreamFailed").when(~F.coalesce("ended", F.lit(True)), "Wait").when(F.col("kind") == ALWAYS, "Run")
-    action = action.when(F.col("kind") == OUTPUT, F.when(F.col("vstatus") == "Invalidated", "Run").when(F.col("vstatus") == "Validated", "Skip").otherwise("Wait"))
-    action = action.otherwise(F.when(F.col("requirement") == "yes", "Run").when(F.coalesce("requirement", F.lit("no")) == "no", "Skip").otherwise("Wait"))
-    return left.select("job_id", action.alias("action"))
+    edges = written(edges.select("up", "down"), "edges")
+    left = written(nodes.select("job_id", "kind").join(states.select("job_id"), "job_id", "left_anti").join(validation, "job_id", "left").join(requirement, "job_id", "left"), "left")
+    may = (F.col("kind") == EPHEMERAL) & F.coalesce(F.col("vstatus") == "Validated", F.lit(False))
+    passing = left.where(may).select("job_id").join(descendants(left.where(~may).select("job_id"), edges), "job_id", "left_anti")
+    known = states.select(F.col("job_id").alias("up"), "state").union(passing.select(F.col("job_id").alias("up"), F.lit("Passing")))
+    state = F.coalesce("state", F.lit("Open"))
+    above = edges.join(known, "up", "left").groupBy(F.col("down").alias("job_id")).agg(
+        F.bool_or(state.isin("Failed", "UpstreamFailed")).alias("failed"), F.bool_and(state.isin("Success", "Skipped")).alias("ended"), F.bool_and(state.isin("Success", "Skipped", "Passing")).alias("passed")
+    )
+    both = left.join(above, "job_id", "left").withColumns({"ended": F.coalesce("ended", F.lit(True)), "passed": F.coalesce("passed", F.lit(True)), "need": F.coalesce("requirement", F.lit("no"))})
+    output = F.col("kind") == OUTPUT
+    runs = (F.col("kind") == ALWAYS) | output & (F.col("vstatus") == "Invalidated") | (F.col("kind") == EPHEMERAL) & ((F.col("need") == "yes") | (F.col("need") == "unknown") & (F.col("vstatus") == "Invalidated"))
+    skips = F.when(output, F.col("vstatus") == "Validated").otherwise((F.col("kind") == EPHEMERAL) & (F.col("need") == "no"))
+    action = F.when(F.coalesce("failed", F.lit(False)), "UpstreamFailed").when(runs & F.col("ended"), "Run").when(skips & F.col("passed"), "Skip").otherwise("Wait")
+    return both.select("job_id", action.alias("action"))

@@ -384,25 +384,89 @@ def startup(spark: SparkSession, d: str) -> DataFrame:
     return invalidation.startup(g.nodes, changed, invalidation.missing_outputs(g.nodes, g.present, g.hist_output))
 
 
-# Suppliers have failed at multiples of 17, orders are needed at even keys; customers have ended but at multiples of 5.
+# Suppliers have failed at multiples of 17; customers have ended but at multiples of 5. Of orders it isn't known at multiples
+# of 3 whether they are needed, others are at even keys.
 @query(f"""{GRAPH}, {EDGE_STATE},
 states AS (SELECT job_id, CASE WHEN job_id LIKE 'S%' AND k % 17 = 0 THEN 'Failed' ELSE 'Success' END AS state FROM nodes WHERE kind = 'Always' OR job_id LIKE 'S%' OR (job_id LIKE 'C%' AND k % 5 <> 0)),
 valid AS (SELECT n.job_id, CASE WHEN bool_or(invalidated) THEN 'Invalidated' WHEN kind = 'Ephemeral' AND k % 11 = 0 THEN 'Invalidated' ELSE 'Validated' END AS vstatus FROM nodes n LEFT JOIN edge_state e ON e.down = n.job_id GROUP BY n.job_id, kind, k),
-need AS (SELECT up AS job_id, bool_or(CAST(substr(down, 2) AS BIGINT) % 2 = 0) AS yes FROM edges WHERE down LIKE 'O%' GROUP BY up),
-above AS (SELECT down AS job_id, bool_or(coalesce(state IN ('Failed', 'UpstreamFailed'), false)) AS failed, bool_and(coalesce(state = 'Success', false)) AS ended FROM edges LEFT JOIN states ON states.job_id = up GROUP BY down)
-SELECT n.job_id, CASE WHEN failed THEN 'UpstreamFailed' WHEN NOT coalesce(ended, true) THEN 'Wait' WHEN kind = 'Always' THEN 'Run'
-  WHEN kind = 'Output' THEN CASE vstatus WHEN 'Invalidated' THEN 'Run' ELSE 'Skip' END WHEN yes THEN 'Run' ELSE 'Skip' END AS action
+need AS (SELECT up AS job_id, CASE WHEN bool_or(k % 2 = 0 AND k % 3 <> 0) THEN 'yes' WHEN bool_or(k % 3 = 0) THEN 'unknown' ELSE 'no' END AS need FROM edges JOIN nodes ON job_id = down WHERE down LIKE 'O%' GROUP BY up),
+known AS (SELECT * FROM states UNION ALL SELECT job_id, 'Passing' FROM nodes JOIN valid USING (job_id) WHERE job_id LIKE 'C%' AND k % 5 = 0 AND vstatus = 'Validated'),
+above AS (SELECT down AS job_id, bool_or(coalesce(state IN ('Failed', 'UpstreamFailed'), false)) AS failed, bool_and(coalesce(state = 'Success', false)) AS ended, bool_and(coalesce(state IN ('Success', 'Passing'), false)) AS passed
+  FROM edges LEFT JOIN known ON known.job_id = up GROUP BY down)
+SELECT n.job_id, CASE WHEN failed THEN 'UpstreamFailed'
+  WHEN kind = 'Output' THEN CASE WHEN vstatus = 'Invalidated' AND ended THEN 'Run' WHEN vstatus = 'Validated' AND passed THEN 'Skip' ELSE 'Wait' END
+  WHEN coalesce(need, 'no') = 'no' THEN 'Skip' WHEN need = 'yes' OR vstatus = 'Invalidated' THEN 'Run' ELSE 'Wait' END AS action
 FROM nodes n LEFT JOIN above USING (job_id) LEFT JOIN valid USING (job_id) LEFT JOIN need USING (job_id) WHERE job_id NOT IN (SELECT job_id FROM states)""")
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     g = Derived(spark, d).stored()
     state = F.when(F.expr("job_id like 'S%' and k % 17 = 0"), "Failed").otherwise("Success")
     states = g.nodes.where("kind = 'Always' or job_id like 'S%' or job_id like 'C%' and k % 5 <> 0").select("job_id", state.alias("state"))
-    valid = invalidation.node_validation(g.nodes, g.edges, invalidation.edge_invalidated(g.edges, g.inputs, g.cur_output, g.hist_edge), g.hist_output)
+    valid = written(invalidation.node_validation(g.nodes, g.edges, invalidation.edge_invalidated(g.edges, g.inputs, g.cur_output, g.hist_edge), g.hist_output), "valid")
     orders = g.edges.where("down like 'O%'")
-    need = invalidation.downstream_requirement(orders, orders.withColumn("required", F.substring("down", 2, 20).cast("long") % 2 == 0))
+    k = F.substring("down", 2, 20).cast("long")
+    need = written(invalidation.downstream_requirement(orders, orders.withColumn("required", F.when(k % 3 != 0, k % 2 == 0))), "need")
     return invalidation.decisions(g.nodes, g.edges, states, valid, need)
 
 
+# Of what differs from history before a run: which edges have to deliver, and what each job will do.
+INVALID = """invalid AS (SELECT DISTINCT down AS job_id FROM edge_state WHERE invalidated UNION SELECT job_id FROM nodes WHERE kind = 'Output' AND k % 13 = 0)"""
+SWEPT = f"""{INVALID}, starts AS (SELECT job_id FROM nodes WHERE kind = 'Always' UNION SELECT job_id FROM invalid),
+deliver AS (SELECT job_id FROM starts UNION SELECT up FROM deliver JOIN edges ON down = deliver.job_id JOIN nodes n ON n.job_id = up WHERE n.kind = 'Ephemeral')"""
+
+
+def invalid(g: Derived) -> DataFrame:
+    edge = invalidation.edge_invalidated(g.edges, g.inputs, g.cur_output, g.hist_edge).where("invalidated")
+    return written(edge.select(F.col("down").alias("job_id")).union(g.nodes.where("kind = 'Output' and k % 13 = 0").select("job_id")).distinct(), "invalid")
+
+
+@query(f"{GRAPH}, {EDGE_STATE}, {SWEPT} SELECT up, down, down IN (SELECT job_id FROM deliver) AS required FROM edges")
+def startup_sweep(spark: SparkSession, d: str) -> DataFrame:
+    g = Derived(spark, d).stored()
+    return invalidation.sweep(g.nodes, g.edges, invalid(g))
+
+
+@query(f"""{GRAPH}, {EDGE_STATE}, {SWEPT},
+kept AS (SELECT job_id FROM nodes WHERE kind <> 'Ephemeral' UNION SELECT up FROM kept JOIN edges ON down = kept.job_id),
+idle AS (SELECT job_id FROM nodes WHERE job_id NOT IN (SELECT job_id FROM kept)),
+sure AS (SELECT job_id FROM starts WHERE job_id NOT IN (SELECT job_id FROM idle) UNION SELECT job_id FROM deliver JOIN nodes USING (job_id) WHERE kind = 'Ephemeral' AND job_id IN (SELECT up FROM edges WHERE down IN (SELECT job_id FROM deliver WHERE job_id NOT IN (SELECT job_id FROM idle)))),
+{walk('under', 'SELECT job_id FROM invalid')},
+below AS (SELECT job_id FROM under WHERE job_id NOT IN (SELECT job_id FROM sure) AND job_id NOT IN (SELECT job_id FROM idle)),
+giving AS (SELECT job_id FROM below UNION SELECT up FROM giving JOIN edges ON down = giving.job_id JOIN nodes n ON n.job_id = up WHERE n.kind = 'Ephemeral')
+SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM sure) THEN 'Run' WHEN job_id IN (SELECT job_id FROM giving) THEN 'Depends' ELSE 'Skip' END AS action FROM nodes""")
+def planned(spark: SparkSession, d: str) -> DataFrame:
+    g = Derived(spark, d).stored()
+    return invalidation.planned(g.nodes, g.edges, invalid(g).withColumn("cause", F.lit("differs"))).select("job_id", "action")
+
+
+# Parts as functions of which history knows fingerprints under another version of Python at multiples of 2, with other byte
+# code at 3, other source at 5 and another closure at 7; R stands for texts that look alike and are none.
+@query("""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN 'R ' ELSE 'FI ' END || p_partkey AS up FROM part)
+SELECT up, CASE WHEN k % 11 = 0 THEN k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0 WHEN k % 2 = 0 THEN k % 5 = 0 OR k % 7 = 0 ELSE k % 3 = 0 OR k % 7 = 0 END AS invalidated FROM f""")
+def typed_comparison(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{d}/part.parquet").select(k, F.concat(F.when(k % 11 == 0, "R ").otherwise("FI "), k).alias("up"), F.md5("p_name").alias("source"), F.md5("p_type").alias("code"))
+    now = part.select("up", F.col("up").alias("output_name"), F.concat_ws("|", F.lit("3.13"), "source", "code", F.lit("c")).alias("hash"))
+    old = [F.when(k % n == 0, F.lit(other)).otherwise(own) for n, other, own in ((2, "3.12", F.lit("3.13")), (5, "s", F.col("source")), (3, "o", F.col("code")), (7, "x", F.lit("c")))]
+    was = part.select("up", F.lit("down").alias("down"), F.col("up").alias("output_name"), F.concat_ws("|", *old).alias("hash"))
+    edges = part.select("up", F.lit("down").alias("down"))
+    inputs = edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up")
+    return invalidation.edge_invalidated(edges, inputs, now.withColumnRenamed("up", "job_id"), was).select("up", "invalidated")
+
+
+# Orders as rows of history; versions 1 to 3 change those at multiples of 3, take out those at 4 and change those at 8.
+@query("""WITH o AS (SELECT o_orderkey AS k, md5(o_orderstatus || o_custkey) AS hash FROM orders)
+SELECT 'O' || k AS job_id, CASE WHEN k % 8 = 0 THEN md5(hash || '3') WHEN k % 3 = 0 THEN md5(hash || '1') ELSE hash END AS hash FROM o WHERE k % 8 = 0 OR (k % 4 <> 0 AND (k % 5 <> 0 OR k % 3 = 0))""")
+def history_latest(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.md5(F.concat("o_orderstatus", "o_custkey")).alias("hash"))
+    named = orders.withColumn("job_id", F.concat(F.lit("O"), "k"))
+
+    def version(n: int, rows: DataFrame, gone: bool = False) -> DataFrame:
+        return rows.select("job_id", F.md5(F.concat("hash", F.lit(str(n)))).alias("hash"), F.lit(gone).alias("gone"), F.lit(n).alias("version"))
+
+    changed = version(1, named.where("k % 3 = 0")).union(version(2, named.where("k % 4 = 0"), True)).union(version(3, named.where("k % 8 = 0")))
+    return history.latest(named.where("k % 5 <> 0").select("job_id", "hash"), changed, ["job_id"])
+
+
 # An order leads to its first supplier, a supplier to the order of 37 times its key: some of these steps are cycles.
 LOOPS = """WITH RECURSIVE loops AS MATERIALIZED (
   SELECT 'O' || l_orderkey AS up, 'S' || min(l_suppkey) AS down FROM lineitem GROUP BY l_orderkey
