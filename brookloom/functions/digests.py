@@ -7,8 +7,13 @@ import json
 import os
 import posixpath
 from collections.abc import Mapping
+from datetime import date, datetime, time, timedelta
+from decimal import Decimal
+from enum import Enum
 from typing import Any
+from uuid import UUID
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -53,25 +58,45 @@ def written_digest(df: DataFrame, path: str) -> tuple[str, int]:
     return measured_digest(df, found), found["n"]
 
 
-def canonical(value: Any) -> Any:
-    """A value that JSON writes in one way only: mappings and sets sorted, callables and tables refused."""
+def canonical(value: Any, above: tuple[int, ...] = ()) -> Any:
+    """A value that JSON writes in one way only.
+
+    Mappings and sets are sorted; arrays of numpy stand with their type, shape and bytes; dataclasses and other objects with
+    their class and their attributes, those in slots too. A value that holds itself is shown by how many levels up it is.
+    Callables, tables and objects without attributes are refused: nothing tells what they hold.
+    """
     if isinstance(value, DataFrame) or type(value).__module__.startswith("pandas"):
         raise TypeError("a table is no parameter; make it a dataset")
-    if isinstance(value, Mapping):
-        return ["map", sorted([canonical(k), canonical(v)] for k, v in value.items())]
-    if isinstance(value, (set, frozenset)):
-        return ["set", sorted((canonical(x) for x in value), key=json.dumps)]
-    if isinstance(value, (list, tuple)):
-        return ["list", [canonical(x) for x in value]]
-    if isinstance(value, bytes):
-        return ["bytes", value.hex()]
-    if value is None or isinstance(value, (bool, int, float, str)):
+    if value is None or isinstance(value, (bool, int, float, str)) and not isinstance(value, Enum):
         return [type(value).__name__, repr(value) if isinstance(value, float) else value]
+    if isinstance(value, (bytes, bytearray)):
+        return [type(value).__name__, bytes(value).hex()]
     if isinstance(value, os.PathLike):
         return ["path", os.fspath(value)]
+    if isinstance(value, (datetime, date, time, timedelta, Decimal, complex, range, UUID, np.generic, np.dtype)):
+        return [type(value).__name__, repr(value)]
+    if id(value) in above:
+        return ["above", len(above) - above.index(id(value))]
+    inside = (*above, id(value))
+    if isinstance(value, np.ndarray):
+        if value.dtype.hasobject:
+            return ["array", list(value.shape), [canonical(x, inside) for x in value.ravel().tolist()]]
+        return ["array", value.dtype.str, list(value.shape), hashlib.sha256(np.ascontiguousarray(value).tobytes()).hexdigest()]
+    if isinstance(value, Mapping):
+        return ["map", sorted(([canonical(k, inside), canonical(v, inside)] for k, v in value.items()), key=json.dumps)]
+    if isinstance(value, (set, frozenset)):
+        return ["set", sorted((canonical(x, inside) for x in value), key=json.dumps)]
+    if isinstance(value, Enum):
+        return [type(value).__qualname__, value.name, canonical(value.value, inside)]
+    if isinstance(value, (list, tuple)):
+        return ["list", [canonical(x, inside) for x in value]]
     if callable(value):
         raise TypeError("a function is no parameter; depend on it as a function")
-    return [type(value).__name__, canonical(vars(value))]
+    slots = [n for c in type(value).__mro__ for n in ([c.__slots__] if isinstance(getattr(c, "__slots__", ()), str) else getattr(c, "__slots__", ())) if n not in ("__dict__", "__weakref__")]
+    if not slots and not hasattr(value, "__dict__"):
+        raise TypeError(f"{type(value).__qualname__} has no attributes that tell what it holds")
+    found = {n: getattr(value, n) for n in slots if hasattr(value, n)} | getattr(value, "__dict__", {})
+    return [type(value).__name__, canonical(found, inside)]
 
 
 def parameter_digest(value: Any) -> str:
@@ -107,6 +132,3 @@ def command_lines(command: Column) -> Column:
     """A shell command with each flag on a line of its own."""
     return F.regexp_replace(command, r" (-{1,2}[A-Za-z])", " \\\\\n  $1")
 
-
-def runtime_text(seconds: Column) -> Column:
-    return F.format_string("%.2f", seconds)

@@ -272,67 +272,50 @@ class Dataset(Job):
 
 
 class SharedDataset(Job):
-    """A table that pipelines share below ``store``: built once for equal inputs, stored once for equal rows.
+    """Tables that pipelines share below ``store``: built once for equal inputs, stored once for equal rows.
 
-    by_input says which stored table (its rows' fingerprint) an input key gave; used_by, which input key each pipeline uses
-    now. ``build`` may depend on nothing but this job's inputs: another table for the same key fails.
+    ``build`` returns one DataFrame, or one by name. Of pipelines that need it at once one builds and the others wait.
+    It may depend on nothing but this job's inputs: other tables for the same key fail. What no pipeline uses is swept
+    after each build once it is older than ``grace`` seconds. ``stale``: seconds without a sign of life after which a
+    builder counts as dead.
     """
 
-    def __init__(self, pipeline: Pipeline, store: str, name: str, build: Callable[[], DataFrame], track: bool = True, allowed: Iterable[str] = ()):
-        self.store, self.name, self.build = f"{store.rstrip('/')}/{name}", name, build
-        super().__init__(pipeline, [f"shared {name}"])
+    def __init__(self, pipeline: Pipeline, store: str, names: str | Iterable[str], build: Callable[[], Any], track: bool = True, allowed: Iterable[str] = (), grace: float = 7 * 86_400.0, stale: float = 600.0):
+        self.names = [names] if isinstance(names, str) else list(names)
+        self.store, self.build = shared.Store(pipeline.spark, f"{store.rstrip('/')}/{'+'.join(self.names)}", stale, grace), build
+        super().__init__(pipeline, [f"shared {n}" for n in self.names])
         self.tracks_function(build, track, allowed)
 
-    def table(self, name: str, schema: str) -> DataFrame:
-        spark, path = self.pipeline.spark, f"{self.store}/{name}"
-        return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-    def append(self, name: str, schema: str, *row: Any) -> None:
-        self.pipeline.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{self.store}/{name}")
-
-    BY_INPUT, USED_BY = "prefix string, input_key string, output_key string", "prefix string, history_key string, input_key string, run_id long"
-
-    def stored(self, input_key: str) -> str | None:
-        row = self.table("by_input", self.BY_INPUT).where(F.col("input_key") == input_key).first()
-        return row["output_key"] if row else None
-
-    def read(self) -> DataFrame:
-        uses = shared.latest_use(self.table("used_by", self.USED_BY)).where(F.col("history_key") == self.pipeline.root)
-        return self.pipeline.spark.read.parquet(f"{self.store}/done/{self.stored(uses.first()['input_key'])}")
+    def read(self, name: str | None = None) -> DataFrame:
+        outputs = self.store.found(self.store.used(self.pipeline.root))
+        return self.pipeline.spark.read.parquet(self.store.place(outputs[name or self.names[0]]))
 
     def present(self) -> bool:
-        uses = shared.latest_use(self.table("used_by", self.USED_BY)).where(F.col("history_key") == self.pipeline.root).first()
-        return bool(uses) and exists(self.pipeline.spark, f"{self.store}/done/{self.stored(uses['input_key'])}")
+        key = self.store.used(self.pipeline.root)
+        return bool(key and self.store.found(key))
+
+    def _make(self, folder: str) -> dict[str, str]:
+        made = self.build()
+        made = {self.names[0]: made} if isinstance(made, DataFrame) else made
+        if not isinstance(made, dict) or set(made) != set(self.names):
+            raise JobContractError(f"{self.job_id} gave {sorted(made) if isinstance(made, dict) else type(made).__name__}")
+        return {n: written_digest(df, f"{folder}/{n}")[0] for n, df in made.items()}
 
     def run(self, inputs_hash: str) -> dict[str, str]:
-        spark, found = self.pipeline.spark, self.stored(inputs_hash)
-        if found is None or not exists(spark, f"{self.store}/done/{found}"):
-            beside = f"{self.store}/build/{inputs_hash}"
-            try:
-                made, _ = written_digest(self.build(), beside)
-            except Exception:
-                delete(spark, beside)
-                raise
-            if found not in (None, made):
-                raise JobContractError(f"{self.name}: equal inputs gave another table")
-            if exists(spark, f"{self.store}/done/{made}"):
-                delete(spark, beside)
-            else:
-                path_of(spark, f"{self.store}/done")[0].mkdirs(path_of(spark, f"{self.store}/done")[1])
-                rename(spark, beside, f"{self.store}/done/{made}")
-            if found is None:
-                self.append("by_input", self.BY_INPUT, self.name, inputs_hash, made)
-            found = made
-        self.append("used_by", self.USED_BY, self.name, self.pipeline.root, inputs_hash, self.pipeline.run_id)
-        return {self.job_id: found}
+        # said before it is looked for, so that no sweep takes it away
+        self.store.use(self.pipeline.root, inputs_hash)
+        fresh = self.store.found(inputs_hash) is None
+        try:
+            found = self.store.built(inputs_hash, f"{self.pipeline.root} {self.pipeline.run_id}", self._make)
+        except shared.Conflict as e:
+            raise JobContractError(f"{self.job_id}: equal inputs gave another table") from e
+        if fresh:
+            self.store.sweep()
+        return {f"shared {n}": o for n, o in found.items()}
 
     def remove_unused(self) -> list[str]:
-        """Delete the stored tables that no pipeline's latest run used; their keys."""
-        uses = shared.latest_use(self.table("used_by", self.USED_BY))
-        gone = [r["output_key"] for r in shared.unreferenced(self.table("by_input", self.BY_INPUT), uses).collect()]
-        for key in gone:
-            delete(self.pipeline.spark, f"{self.store}/done/{key}")
-        return gone
+        """Delete the stored tables that no pipeline uses and that are older than ``grace``; their hashes."""
+        return self.store.sweep()
 
 
 class TempDataset(Dataset):

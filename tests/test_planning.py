@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import copy
+import dataclasses
+import datetime
+import decimal
+import enum
 import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brookloom.functions.code import UndeclaredNonLocals, check_non_locals, function_digest, globals_read, outside
+from brookloom.functions.digests import parameter_digest
 from brookloom.operators import invalidation
 from brookloom.operators.graph import EPHEMERAL
 from brookloom.plans import pipeline as plans
@@ -276,3 +285,53 @@ def test_a_temporary_table_is_planned(spark, tmp_path):
     declare(0).run()
     assert {r.job_id: r.action for r in declare(0).plan().collect()} == {"PI v": "Run", "temp": "Skip", "out": "Skip"}
     assert {r.job_id: (r.action, r.cause) for r in declare(1).plan().collect() if r.job_id != "PI v"} == {"temp": ("Run", "needed below"), "out": ("Run", "an input's content")}
+
+
+# --- parameters
+class Slotted:
+    __slots__ = ("a", "b")
+
+    def __init__(self, a):
+        self.a = a
+
+
+@dataclasses.dataclass
+class Point:
+    x: int
+    y: object = None
+
+
+class Colour(enum.IntEnum):
+    RED = 1
+
+
+plain = st.recursive(
+    st.none() | st.booleans() | st.integers() | st.floats() | st.text() | st.binary(),
+    lambda x: st.lists(x) | st.tuples(x) | st.dictionaries(st.text() | st.integers(), x) | st.builds(Point, st.integers(), x) | st.builds(Slotted, x),
+    max_leaves=12,
+)
+
+
+@given(plain)
+@settings(max_examples=150, deadline=None)
+def test_parameters_are_told_by_their_values(value):
+    assert parameter_digest(value) == parameter_digest(copy.deepcopy(value)) == parameter_digest([value][0])
+    assert len({parameter_digest(x) for x in (value, [value], {"a": value}, Point(1, value), Slotted(value))}) == 5
+
+
+def test_parameters_of_many_kinds():
+    a = np.arange(6)
+    kinds = [a, a.reshape(2, 3), a.astype("i4"), a.astype(float), np.array([1, None], object), np.float32(1), np.float64(1), 1.0, 1, True, "1", b"1", Colour.RED, Slotted(1), Point(1), Point(1, 2), Slotted(None)]
+    kinds += [datetime.date(2020, 1, 1), datetime.timedelta(1), decimal.Decimal("1"), range(3), {1, 2}, {1: 2, "1": 2}, [1, 2]]
+    assert len({parameter_digest(k) for k in kinds}) == len(kinds)
+    assert parameter_digest(a[::2]) == parameter_digest(np.array([0, 2, 4])) and parameter_digest({1, 2}) == parameter_digest({2, 1})
+    assert parameter_digest({"b": 1, "a": 2}) == parameter_digest({"a": 2, "b": 1})
+    one, two = [1], [1]
+    one.append(one), two.append([1, two])
+    assert parameter_digest(one) == parameter_digest(copy.deepcopy(one)) != parameter_digest(two)
+    ring = Point(1)
+    ring.y = {"back": ring}
+    assert parameter_digest(ring) == parameter_digest(copy.deepcopy(ring)) != parameter_digest(Point(1, {"back": None}))
+    for refused in (len, lambda: 1, object()):
+        with pytest.raises(TypeError):
+            parameter_digest(refused)
