@@ -134,7 +134,14 @@ class Store:
         if self.place(output) is None:
             delete(self.spark, entry)
         if not claimed(self.spark, entry, json.dumps({"folder": folder})):
-            delete(self.spark, f"{self.path}/{folder}")
+            self._drop(folder)
+
+    def _drop(self, folder: str) -> None:
+        """Delete a table, with its build's folder if that was the last one."""
+        delete(self.spark, f"{self.path}/{folder}")
+        build = f"{self.path}/{folder.rpartition('/')[0]}"
+        if not [n for n in names_in(self.spark, build) if not n.startswith(".")]:
+            delete(self.spark, build)
 
     # --- sweeping
     def tables(self) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +167,7 @@ class Store:
                 by_input, used = self.tables()
                 if by_input.where(F.col("output_key") == output).join(used, "input_key", "left_semi").isEmpty():
                     delete(spark, f"{self.path}/outputs/{output}.json")
-                    delete(spark, f"{self.path}/{entry['folder']}")
+                    self._drop(entry["folder"])
                     gone.append(output)
         held = {json.loads(read_text(spark, f"{self.path}/outputs/{n}"))["folder"].split("/")[1] for n in names_in(spark, f"{self.path}/outputs") if n.endswith(".json")}
         for n in names_in(spark, f"{self.path}/tables"):
