@@ -14,6 +14,8 @@ import numpy as np
 CACHE_WORDS, PLACES = 400_000, 1 << 21
 #: Characters of a text that are cut into words at once.
 STEP = 1 << 20
+#: Marks that are a token of their own, or several, after a word's letters.
+MARKS = ",.;:!?*&$%#|"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -29,10 +31,23 @@ class WordEncoder(dict):
         if not self.library.model.end_of_word_suffix:
             raise ValueError(f"{path}: no word ends")
         self.library.model._resize_cache(1)  # the words' own memory is larger
-        self.fast, self.met = self.library.encode_batch_fast, bytearray(PLACES)
+        self.fast, self.piece, self.met = self.library.encode_batch_fast, self.library.model.tokenize, bytearray(PLACES)
+        self.tails: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes() if text else b""
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes() if word else b""
+        bare = word.rstrip(MARKS)
+        if bare != word and bare.isalpha():
+            tail = word[len(bare) :]
+            if tail not in self.tails and len(self.tails) < CACHE_WORDS:
+                self.tails[tail] = self.ids(tail)
+            found = self[bare] + (self.tails.get(tail) or self.ids(tail))
+        elif word.isascii() and word.isalpha():  # one pre-token of plain letters: the model alone gives its ids
+            found = np.array([t.id for t in self.piece(word.lower())], "<u4").tobytes()
+        else:
+            found = self.ids(word)
         place = hash(word) % PLACES
         if not self.met[place]:
             self.met[place] = 1
