@@ -8,12 +8,15 @@ Sets that share a signature meet in the cell of the smallest of them, where all
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from brookloom.llm.shared import components, drop_stage, parallelism, quoted, sh
 #: Members of a cell in one block, and their hashes on average, at most; a task holds two blocks of a cell at a time.
 BLOCK, BLOCK_HASHES = 1_024, 1 << 18
 #: Hashes of a group of small blocks that one call compares, on average.
-GROUP_HASHES = 1 << 20
+GROUP_HASHES = 1 << 19
 #: Keys that a task remembers, so as to make a set's signatures once; then it begins anew.
 SEEN = 100_000
 #: Rows that may be broadcast to find the texts of candidates; more are joined by a shuffle.
@@ -142,10 +145,19 @@ def signature_rows(sets: DataFrame, table: Bands) -> DataFrame:
                 flat = np.concatenate([*pdf["hashes"].iloc[i:j], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
                 for sig, key, band, slack, own in signatures(pdf["key"].to_numpy()[i:j], sizes[i:j], flat, table):
                     yield pd.DataFrame({"sig": sig.view(np.int64), "key": key, "meta": ((band * 2 + own) << 32) + slack})
+        del seen
+        released()
 
     return sets.mapInPandas(run, "sig long, key long, meta long")
 
 
+def released() -> None:
+    """Give what this worker has freed back to the system: it waits for its next task beside the JVM's stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     i, held = 0, 0
     for j, n in enumerate(sizes.tolist()):
@@ -252,6 +264,9 @@ def links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             hubs += [hub] * len(x)
             a += x
             b += y
+            del index, cell
+        del pdf
+        released()
         return frame(hubs, a, b)
 
     found = stage(dealt(own.union(pivots), sets, ["hub", "block"], total).groupBy("part").applyInPandas(against_first, "hub long, a long, b long"), "first-links")
@@ -275,6 +290,8 @@ def links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 x, y = forest(Index(pair["hashes"].tolist(), num, den), keys, np.flatnonzero(probe), ~probe)
                 a += x
                 b += y
+        del pdf
+        released()
         return frame([0] * len(a), a, b)[["a", "b"]]
 
     pairs = dealt(probes.union(others), sets, ["hub", "i", "j"], work).groupBy("part").applyInPandas(against_all, "a long, b long")
