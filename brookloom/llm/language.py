@@ -22,6 +22,8 @@ BUCKETS = 4_096
 #: Likelihoods of n-grams are counted on about so many different texts of each language, chosen by their hashes; values
 #: of a label with fewer rows than LEAST_ROWS are no language of the model.
 SAMPLE, LEAST_ROWS = 2_000, 5
+#: Languages that are learned at most: each adds a table of n-grams to every row's plan.
+MOST_LANGUAGES = 32
 #: Share of each language's likelihood that is spread evenly over the buckets.
 EVEN = 0.1
 #: Rows by which a host leans on its domain, and a domain on all rows.
@@ -94,15 +96,16 @@ def gram_model(languages: list[str], counts: dict[tuple[str, int], int]) -> Gram
     return Grams([*languages, UNKNOWN], [*scores, [round(-math.log(BUCKETS), 4)] * BUCKETS])
 
 
-def learn(labelled: DataFrame, text: Column, label: Column, sample: int = SAMPLE) -> Grams:
+def learn(labelled: DataFrame, text: Column, label: Column, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Grams:
     """Likelihoods of n-grams by language, from about ``sample`` different texts each.
 
-    Languages are the labels that LEAST_ROWS rows or more have. Counts of rows and texts cover the table; the sample is
+    Languages are the labels that LEAST_ROWS rows or more have, the ``most`` frequent of them: texts of others are of the
+    unknown class. What reaches the driver, the plans and the rows of hosts is bounded by that. Counts of rows and texts cover the table; the sample is
     chosen by the texts' hashes, and equal texts count once. At most BUCKETS rows a language reach the driver.
     """
     rows = labelled.select(F.lower(F.coalesce(label, F.lit(""))).alias("lang"), text.alias("text")).where("lang <> ''").withColumn("h", F.xxhash64("text"))
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).where(F.col("n") >= LEAST_ROWS).collect()
-    shares = {r["lang"]: min(1.0, sample / r["texts"]) for r in found if r["lang"] != UNKNOWN}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).where((F.col("n") >= LEAST_ROWS) & (F.col("lang") != UNKNOWN)).orderBy(F.desc("n"), "lang").limit(most).collect()
+    shares = {r["lang"]: min(1.0, sample / r["texts"]) for r in found}
     if not shares:
         return gram_model([], {})
     spark = labelled.sparkSession

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.llm.shared import quoted, without
+from brookloom.llm.shared import quoted, unused, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -48,25 +48,27 @@ def repeat_words(words: Column) -> Column:
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the base columns and those that rules read; a null or empty text has no words. No shuffle."""
     t = F.coalesce(quoted(text), F.lit(""))
-    out = without(df, [*ADDED, "_words"]).withColumn("_words", F.filter(F.split(t, SPACE), lambda w: w != ""))
+    df = without(df, ADDED)
+    (words,) = unused(df, "_words")
+    out = df.withColumn(words, F.filter(F.split(t, SPACE), lambda w: w != ""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_words")),
+            "n_repeat_words": repeat_words(F.col(words)),
             "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
             "n_symbol_runs": F.regexp_count(t, F.lit(r"[#*$%&|<>]+")).cast("long"),
-            "n_short": F.size(F.filter("_words", lambda w: F.length(w) <= 3)).cast("long"),
+            "n_short": F.size(F.filter(words, lambda w: F.length(w) <= 3)).cast("long"),
             "n_clean": F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:!?)]*+(?![^\x20\x09-\x0D])")).cast("long"),
             "n_ends": F.regexp_count(t, F.lit(r"[.!?](?=[\x20\x09-\x0D]|\z)")).cast("long"),
         }
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.drop("_words")
+    return out.drop(words)
 
 
 def rules() -> dict[str, Column]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brookloom.llm.shared import components, drop_stage, quoted, ship, stage, without
+from brookloom.llm.shared import components, drop_stage, quoted, ship, stage, unused, without
 
 #: Bytes of the vectors of a block in double precision; a task holds two blocks.
 BLOCK_BYTES, LEAST_BLOCK = 8 << 20, 256
@@ -220,13 +220,14 @@ def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.95) -
     null component_id and is kept. Rows that repeat a key are rows of their own. An empty table stays empty. Columns of
     the input that have the names of the added ones are replaced.
     """
-    df = without(df, ["n_links", "component_id", "kept", "_class", "_v"])
-    rows = df.withColumn("_v", sound(vector)).withColumn("_class", F.when(F.col("_v").isNotNull(), F.xxhash64("_v")))
-    classes = stage(rows.where("_class is not null").groupBy(F.col("_class").alias("class"), F.col("_v").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(quoted(key)).alias("low")), "vector-classes")
+    df = without(df, ["n_links", "component_id", "kept"])
+    own, v = unused(df, "_class", "_v")
+    rows = df.withColumn(v, sound(vector)).withColumn(own, F.when(F.col(v).isNotNull(), F.xxhash64(v)))
+    classes = stage(rows.where(F.col(own).isNotNull()).groupBy(F.col(own).alias("class"), F.col(v).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(quoted(key)).alias("low")), "vector-classes")
     sizes = classes.groupBy(F.size("v").alias("size")).count().collect()  # a row for each length of a vector
-    keyed = rows.drop("_v")
+    keyed = rows.drop(v)
     if not sizes:
-        return keyed.drop("_class").withColumns({"n_links": F.lit(0).cast("long"), "component_id": quoted(key), "kept": F.lit(True)})
+        return keyed.drop(own).withColumns({"n_links": F.lit(0).cast("long"), "component_id": quoted(key), "kept": F.lit(True)})
     radius = math.sqrt(max(0.0, 2 - 2 * least))
     blocks = sum(r["count"] / per_block(r["size"]) for r in sizes)
     pivots = pivots_of(classes, min(MOST_PIVOTS, max(1, int(blocks / BLOCKS_A_PIVOT))))
@@ -238,8 +239,8 @@ def near_duplicates(df: DataFrame, key: str, vector: str, least: float = 0.95) -
     info = classes.select("class", "n", "low").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     info = info.withColumn("component", F.coalesce("component", "class"))
     lows = info.groupBy("component").agg(F.min("low").alias("component_id"))
-    info = info.join(lows, "component").select(F.col("class").alias("_class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = keyed.join(info, "_class", "left").drop("_class")
+    info = info.join(lows, "component").select(F.col("class").alias(own), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = keyed.join(info, own, "left").drop(own)
     alone = F.when(F.col("n_links").isNull(), quoted(key)).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", alone).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("component_id") == quoted(key), F.lit(False)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brookloom.llm import best_fit, merkle, packing, queries, vector_codes, word_tokens
+from brookloom.llm import best_fit, language, merkle, packing, quality, queries, vector_codes, vector_join, word_tokens
 from brookloom.llm.shared import stage
 
 from .test_llm import ODD, check_packed, odd_docs, raw
@@ -217,3 +217,20 @@ def test_both_plans_pack(spark):
     pieces = stage(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long"), "t")
     for plan in (packing.shortest_pack_first, best_fit.best_fit):
         check_packed(packing.pack(pieces, 64, ["doc_id"], plan=plan).collect(), 64)
+
+
+# --- names of the user's own columns, and bounds
+def test_columns_named_like_ours_stay(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "c", "v"), (2, [1.0, 0.0], "d", "w"), (3, None, "e", "x")], "id long, e array<double>, _class string, _V string")
+    out = vector_join.near_duplicates(df, "id", "e", 0.9)
+    assert {(r.id, r._class, r._V, r.n_links, r.component_id) for r in out.collect()} == {(1, "c", "v", 1, 1), (2, "d", "w", 1, 1), (3, "e", "x", 0, 3)}
+    texts = spark.createDataFrame([("a b, c.", "mine")], "text string, _words string")
+    assert quality.features(texts).select("_words", "n_words").first() == ("mine", 3)
+
+
+def test_languages_are_bounded(spark):
+    rows = [(f"wort{k % 7} und zeile {k}", "de") for k in range(60)] + [(f"word{k % 7} and line {k}", "en") for k in range(50)] + [(f"mot {k}", f"x{k % 40}") for k in range(400)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language.learn(df, F.col("text"), F.col("lang"), most=2)
+    assert model.languages == ["de", "en", "unknown"]
+    assert len(language.learn(df, F.col("text"), F.col("lang")).languages) == language.MOST_LANGUAGES + 1
