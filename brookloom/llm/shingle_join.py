@@ -27,6 +27,8 @@ from brookloom.llm.shared import components, drop_stage, parallelism, quoted, sh
 BLOCK, BLOCK_HASHES = 1_024, 1 << 18
 #: Hashes of a group of small blocks that one call compares, on average.
 GROUP_HASHES = 1 << 19
+#: A signature is common if a sample of one row in SAMPLE holds it COMMON times, and more than one COMMON_PARTS-th of the sample.
+SAMPLE, COMMON, COMMON_PARTS = 64, 1_000, 100_000
 #: Keys that a task remembers, so as to make a set's signatures once; then it begins anew.
 SEEN = 100_000
 #: Rows that may be broadcast to find the texts of candidates; more are joined by a shuffle.
@@ -169,17 +171,36 @@ def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield i, len(sizes)
 
 
+def common_signatures(rows: DataFrame) -> DataFrame:
+    """Signatures that a task shouldn't sort alone, by a sample: it decides how they are counted and not what is found.
+
+    Each holds one COMMON_PARTS-th of the sample or more, so no more than COMMON_PARTS are found.
+    """
+    least = max(COMMON, math.ceil(rows.count() / SAMPLE / COMMON_PARTS))
+    sample = rows.select("sig").sample(1 / SAMPLE, seed=1)
+    return stage(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sig"), "common-signatures")
+
+
 def cells(rows: DataFrame) -> DataFrame:
     """(hub, key): sets that share a signature meet in the cell of the smallest of them.
 
     A set leaves out its most frequent signatures, as many as its band's slack. Similar sets share more than the slack,
     and all sets rank signatures alike, so the rarest one that two similar sets share is left out by neither; and a set
-    that shares no more than the slack with all others is out.
+    that shares no more than the slack with all others is out. Common signatures are counted by partial sums and joined to
+    their rows where these lie, others within a task.
     """
+    rows = stage(rows, "signature-rows")
+    told = {"n": F.count(F.lit(1)), "hub": F.min("key"), "top": F.max("key"), "own": F.max(F.col("meta").bitwiseAND(1 << 32))}
+    common = common_signatures(rows)
     alike = Window.partitionBy("sig")
-    met = rows.select("*", F.count(F.lit(1)).over(alike).alias("n"), F.min("key").over(alike).alias("hub"), F.max("key").over(alike).alias("top"), F.max(F.col("meta").bitwiseAND(1 << 32)).over(alike).alias("own"))
+    rare = rows.join(F.broadcast(common), "sig", "left_anti")
+    met = rare.select("*", *[c.over(alike).alias(k) for k, c in told.items()])
+    hot = rows.join(F.broadcast(common), "sig", "left_semi")
+    of_hot = F.broadcast(hot.groupBy("sig").agg(*[c.alias(k) for k, c in told.items()]))
+    met = met.unionByName(hot.join(of_hot, "sig"))
     met = met.where("hub < top and own > 0").select("sig", "key", "hub", "n", F.shiftright("meta", 33).alias("band"), F.col("meta").bitwiseAND((1 << 32) - 1).alias("slack"))
     met = stage(met.distinct(), "signatures")
+    drop_stage(rows, common)
     rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.desc("n"), "sig"))
     kept = met.withColumn("rank", rank).where(F.col("rank") > F.col("slack"))
     found = stage(kept.select("hub", "key").distinct(), "cells")

@@ -643,9 +643,11 @@ def near_texts(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (1, 50)])
-def test_jaccard(spark, monkeypatch, width, num):
+@pytest.mark.parametrize(("width", "num", "common"), [(3, 90, 1_000), (5, 80, 3), (1, 50, 2)])
+def test_jaccard(spark, monkeypatch, width, num, common):
     monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    monkeypatch.setattr(shingle_join, "COMMON", common)
+    monkeypatch.setattr(shingle_join, "SAMPLE", 64 if common == 1_000 else 1)
     texts = near_texts(width) + ODD + ["common words here " * 3] * 20
     rows = list(enumerate(texts)) + [(None, texts[0]), (None, "alone it stands in no group"), (5, texts[5])]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, node string")
@@ -655,6 +657,17 @@ def test_jaccard(spark, monkeypatch, width, num):
         assert shingle_join.similar_groups(df.limit(0), "doc_id", "text", 3, 90, 100).collect() == []
 
 
+def test_common_signatures_are_told_by_the_sample(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, k, 1 << 32) for k in range(5)] + [(2, k, 1 << 32) for k in range(2)] + [(3, 9, 1 << 32)], "sig long, key long, meta long")
+    monkeypatch.setattr(shingle_join, "SAMPLE", 1)
+    found = {}
+    for least in (2, 4, 9):
+        monkeypatch.setattr(shingle_join, "COMMON", least)
+        found[least] = ({r.sig for r in shingle_join.common_signatures(rows).collect()}, {(r.hub, r.key) for r in shingle_join.cells(rows).collect()})
+    assert [found[k][0] for k in (2, 4, 9)] == [{1, 2}, {1}, set()]
+    assert found[2][1] == found[4][1] == found[9][1] == {(0, k) for k in range(5)}
+
+
 def test_allocation_keeps_its_promise():
     rng = np.random.default_rng(1)
     for num in (50, 80, 90, 95):
