@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brookloom.functions.code import check_non_locals, function_digest, same_function, tracks
 from brookloom.functions.digests import SEPARATOR, normal_path, parameter_digest, table_digest, written_digest
+from brookloom.operators import commands
 from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT
 from brookloom.plans.tables import delete, exists, path_of, rename
 from brookloom.sources import files, shared
@@ -267,9 +268,13 @@ class Dataset(Job):
             out[name], rows = written_digest(df, beside)
             if not self.empty_ok and not rows:
                 raise JobContractError(f"{name} has no rows")
+            self.inspect(beside)
             rename(self.pipeline.spark, beside, self.path(name))
         return out
 
+    def inspect(self, beside: str) -> None:
+        """Refuse a table that is written and not yet in its place."""
+
 
 class SharedDataset(Job):
     """Tables that pipelines share below ``store``: built once for equal inputs, stored once for equal rows.
@@ -338,6 +343,33 @@ class TempDataset(Dataset):
             delete(self.pipeline.spark, self.path(n))
 
 
+class Commands(Dataset):
+    """Commands that executors run, as a table: a row of ``build()`` each, with what came of it (``commands.outcomes``).
+
+    The table is put in its place once all commands have ended with one of ``allowed_codes`` and made the files ``made``;
+    otherwise the job fails, and what came of them all stays beside it in ``<name>.new`` until the next try. A task that is
+    tried again runs its commands again; the table holds one outcome for each row.
+    """
+
+    def __init__(
+        self, pipeline: Pipeline, name: str, build: Callable[[], DataFrame], made: Iterable[str] = (), allowed_codes: Iterable[int] = (0,), stdin: str | None = None, at_once: int | None = None,
+        seconds: float | None = None, env: dict[str, str] | None = None, **more: Any,
+    ):
+        self.made, self.codes = list(made), sorted(set(allowed_codes))
+        super().__init__(pipeline, name, build, **more)
+        self.build = lambda: commands.outcomes(build(), stdin=stdin, made=self.made, at_once=at_once, seconds=seconds, env=env)
+        self.depends_on_params([self.made, self.codes, stdin, seconds, env])
+
+    def inspect(self, beside: str) -> None:
+        count, shown = commands.refused(self.pipeline.spark.read.parquet(beside), self.codes, self.made)
+        if count:
+            raise JobError(f"{count} commands failed, see {beside}: {'; '.join(shown)}")
+
+
+class TempCommands(Commands, TempDataset):
+    """Commands whose table is made only when another job needs it, and deleted when those are done."""
+
+
 class Loading(Job):
     """Calls ``load()`` for what it does in this process. Texts and bytes are their own fingerprints; other values that of
     the inputs."""
@@ -624,6 +656,17 @@ class External(Job):
         return {o: by.get(o, "empty") for o in self.outputs}
 
 
+class TempExternal(External):
+    """A command that runs only when another job needs its files, which are deleted when those are done."""
+
+    kind = EPHEMERAL
+
+    def cleanup(self) -> None:
+        for o in self.outputs:
+            if os.path.exists(o):
+                os.remove(o)
+
+
 def shell(pipeline: Pipeline, folder: str, made: Iterable[str], script: str | Callable[[], str], **more: Any) -> External:
     """A script that begins with ``#!``, or a function that gives one, written to the folder and run there."""
     if isinstance(script, str) and not script.startswith("#!"):

@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookloom.functions import digests
-from brookloom.operators import graph, history, invalidation
+from brookloom.operators import commands, graph, history, invalidation
 from brookloom.plans.derived import SQL as GRAPH
 from brookloom.plans.derived import SQL_OUTCOMES, Derived
 from brookloom.plans.tables import written
@@ -530,3 +530,29 @@ def history_recorded(spark: SparkSession, d: str) -> DataFrame:
 def graph_lines(spark: SparkSession, d: str) -> DataFrame:
     g = Derived(spark, d)
     return graph.graph_lines(g.nodes, g.edges)
+
+
+SUMS = 'BEGIN {FS = "\\t"} {n[$1]++; q[$1] += $2} END {for (k in n) printf "%s\\t%.0f\\t%.0f\\n", k, n[k], q[k]}'
+
+
+# Lines stream through awk, a process a partition, whose partial sums Spark adds up.
+@query(f"SELECT l_returnflag AS flag, {count()} AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1")
+def piped_sums(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat_ws("\t", "l_returnflag", F.col("l_quantity").cast("long").cast("string")).alias("line"))
+    cells = F.split("line", "\t")
+    parts = commands.piped(lines, "line", ["awk", SUMS]).select(cells[0].alias("flag"), cells[1].cast("long").alias("n"), cells[2].cast("long").alias("q"))
+    return parts.groupBy("flag").agg(F.sum("n").alias("lines"), F.sum("q").alias("quantity"))
+
+
+# A command a supplier: every fifth fails, every fifth makes a file, the others write to their output.
+@query("""SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 3 ELSE 0 END AS INTEGER) AS return_code,
+CASE WHEN s_suppkey % 5 < 2 THEN '' ELSE upper(s_name) END AS stdout, CASE WHEN s_suppkey % 5 = 0 THEN 'no' ELSE '' END AS stderr,
+CASE WHEN s_suppkey % 5 = 1 THEN s_name END AS made FROM supplier""")
+def command_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    def words(*xs: str) -> Column:
+        return F.array(*[F.lit(x) for x in xs])
+
+    case = F.col("s_suppkey") % 5
+    command = F.when(case == 0, words("sh", "-c", "printf no >&2; exit 3")).when(case == 1, words("sh", "-c", "cat > made.txt")).otherwise(words("tr", "a-z", "A-Z"))
+    found = commands.outcomes(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", command.alias("command")), stdin="s_name", made=["made.txt"])
+    return found.select("s_suppkey", "return_code", "stdout", "stderr", F.decode(F.col("files")["made.txt"], "UTF-8").alias("made"))
