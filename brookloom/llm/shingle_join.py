@@ -27,7 +27,7 @@ from brookloom.llm.shared import components, drop_stage, parallelism, quoted, sh
 BLOCK, BLOCK_HASHES = 1_024, 1 << 18
 #: Hashes of a group of small blocks that one call compares, on average.
 GROUP_HASHES = 1 << 19
-#: A signature is common if a sample of one row in SAMPLE holds it COMMON times, and more than one COMMON_PARTS-th of the sample.
+#: A signature is common if a sample of one text in SAMPLE holds it COMMON times, and more than one COMMON_PARTS-th of the sample.
 SAMPLE, COMMON, COMMON_PARTS = 64, 1_000, 100_000
 #: Keys that a task remembers, so as to make a set's signatures once; then it begins anew.
 SEEN = 100_000
@@ -171,17 +171,20 @@ def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield i, len(sizes)
 
 
-def common_signatures(rows: DataFrame) -> DataFrame:
-    """Signatures that a task shouldn't sort alone, by a sample: it decides how they are counted and not what is found.
+def common_signatures(sample: DataFrame) -> DataFrame:
+    """(sig): signatures that a task shouldn't sort alone, by the signature rows of one text in SAMPLE.
 
-    Each holds one COMMON_PARTS-th of the sample or more, so no more than COMMON_PARTS are found.
+    The sample decides how they are counted and not what is found. Each is one COMMON_PARTS-th of it or more, so no more than
+    COMMON_PARTS are found.
     """
-    least = max(COMMON, math.ceil(rows.count() / SAMPLE / COMMON_PARTS))
-    sample = rows.select("sig").sample(1 / SAMPLE, seed=1)
-    return stage(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sig"), "common-signatures")
+    seen = stage(sample.select("sig"), "signature-sample")
+    least = max(COMMON, math.ceil(seen.count() / COMMON_PARTS))
+    found = stage(seen.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sig"), "common-signatures")
+    drop_stage(seen)
+    return found
 
 
-def cells(rows: DataFrame) -> DataFrame:
+def cells(rows: DataFrame, common: DataFrame) -> DataFrame:
     """(hub, key): sets that share a signature meet in the cell of the smallest of them.
 
     A set leaves out its most frequent signatures, as many as its band's slack. Similar sets share more than the slack,
@@ -189,18 +192,19 @@ def cells(rows: DataFrame) -> DataFrame:
     that shares no more than the slack with all others is out. Common signatures are counted by partial sums and joined to
     their rows where these lie, others within a task.
     """
-    rows = stage(rows, "signature-rows")
     told = {"n": F.count(F.lit(1)), "hub": F.min("key"), "top": F.max("key"), "own": F.max(F.col("meta").bitwiseAND(1 << 32))}
-    common = common_signatures(rows)
     alike = Window.partitionBy("sig")
-    rare = rows.join(F.broadcast(common), "sig", "left_anti")
-    met = rare.select("*", *[c.over(alike).alias(k) for k, c in told.items()])
-    hot = rows.join(F.broadcast(common), "sig", "left_semi")
-    of_hot = F.broadcast(hot.groupBy("sig").agg(*[c.alias(k) for k, c in told.items()]))
-    met = met.unionByName(hot.join(of_hot, "sig"))
+    if common.isEmpty():
+        met = rows.select("*", *[c.over(alike).alias(k) for k, c in told.items()])
+    else:
+        rows = stage(rows, "signature-rows")
+        rare = rows.join(F.broadcast(common), "sig", "left_anti")
+        hot = rows.join(F.broadcast(common), "sig", "left_semi")
+        of_hot = F.broadcast(hot.groupBy("sig").agg(*[c.alias(k) for k, c in told.items()]))
+        met = rare.select("*", *[c.over(alike).alias(k) for k, c in told.items()]).unionByName(hot.join(of_hot, "sig"))
     met = met.where("hub < top and own > 0").select("sig", "key", "hub", "n", F.shiftright("meta", 33).alias("band"), F.col("meta").bitwiseAND((1 << 32) - 1).alias("slack"))
     met = stage(met.distinct(), "signatures")
-    drop_stage(rows, common)
+    drop_stage(rows)
     rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.desc("n"), "sig"))
     kept = met.withColumn("rank", rank).where(F.col("rank") > F.col("slack"))
     found = stage(kept.select("hub", "key").distinct(), "cells")
@@ -335,9 +339,13 @@ def similar_groups(df: DataFrame, key: str, text: str, width: int, num: int, den
     node = F.when(F.size(hashes) > 0, F.xxhash64(hashes, F.lit("set"))).alias(own)
     others = [quoted(c) for c in df.columns if c != text]
     base = stage(hashed.select(*others, F.size(hashes).cast("long").alias("n_shingles"), node, F.xxhash64(quoted(text)).alias(text_hash)), "shingle-sets")
-    sets = hashed.select(node.alias("key"), F.col(hashes).alias("hashes")).where("key is not null")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(hashes, shingled(quoted(text), width)).select(node.alias("key"), F.col(hashes).alias("hashes")).where("key is not null")
+
     with small_batches(spark):
-        met = cells(signature_rows(sets, bands(num, den)))
+        common = common_signatures(signature_rows(sets_of(df.sample(1 / SAMPLE, seed=1)), bands(num, den)))
+        met = cells(signature_rows(sets_of(df), bands(num, den)), common)
     wanted = met.select(F.col("key").alias(own)).distinct()
     # one text of each node before the join, so that copies are no hot key
     nodes = base.where(F.col(own).isNotNull())
@@ -350,7 +358,7 @@ def similar_groups(df: DataFrame, key: str, text: str, width: int, num: int, den
     stored = stage(once.select(F.xxhash64("hashes", F.lit("set")).alias("key"), "hashes"), "candidate-sets")
     with small_batches(spark):
         found = stage(links(met, stored, num, den), "shingle-links")
-    drop_stage(met, stored, chosen)
+    drop_stage(met, stored, chosen, common)
     roots = components(found).withColumnRenamed("node", own)
     lows = nodes.groupBy(own).agg(F.min(quoted(key)).alias("low"))
     named = lows.join(roots, own, "left").withColumn("component", F.coalesce("component", own))

@@ -659,11 +659,11 @@ def test_jaccard(spark, monkeypatch, width, num, common):
 
 def test_common_signatures_are_told_by_the_sample(spark, monkeypatch):
     rows = spark.createDataFrame([(1, k, 1 << 32) for k in range(5)] + [(2, k, 1 << 32) for k in range(2)] + [(3, 9, 1 << 32)], "sig long, key long, meta long")
-    monkeypatch.setattr(shingle_join, "SAMPLE", 1)
     found = {}
     for least in (2, 4, 9):
         monkeypatch.setattr(shingle_join, "COMMON", least)
-        found[least] = ({r.sig for r in shingle_join.common_signatures(rows).collect()}, {(r.hub, r.key) for r in shingle_join.cells(rows).collect()})
+        common = shingle_join.common_signatures(rows)
+        found[least] = ({r.sig for r in common.collect()}, {(r.hub, r.key) for r in shingle_join.cells(rows, common).collect()})
     assert [found[k][0] for k in (2, 4, 9)] == [{1, 2}, {1}, set()]
     assert found[2][1] == found[4][1] == found[9][1] == {(0, k) for k in range(5)}
 
