@@ -65,6 +65,8 @@ class Job:
     kind = OUTPUT
     #: Whether its outputs are tables in folders below the pipeline's, of these names: one listing finds which are there.
     in_folders = False
+    #: Whether the job may run beside others that it doesn't need: its work is Spark's, and it leaves the driver as it was.
+    beside = False
 
     def __init__(self, pipeline: Pipeline, outputs: Iterable[str]):
         self.outputs = sorted(outputs)
@@ -240,7 +242,7 @@ class Dataset(Job):
     A table is written beside its place and moved there when whole. ``empty_ok``: whether a table may have no rows.
     """
 
-    in_folders = True
+    in_folders = beside = True
 
     def __init__(self, pipeline: Pipeline, names: str | Iterable[str], build: Callable[[], Any], empty_ok: bool = False, track: bool = True, allowed: Iterable[str] = ()):
         self.names = [names] if isinstance(names, str) else list(names)
@@ -285,6 +287,8 @@ class SharedDataset(Job):
     builder counts as dead.
     """
 
+    beside = True
+
     def __init__(self, pipeline: Pipeline, store: str, names: str | Iterable[str], build: Callable[[], Any], track: bool = True, allowed: Iterable[str] = (), grace: float = 7 * 86_400.0, stale: float = 600.0):
         self.names = [names] if isinstance(names, str) else list(names)
         self.store, self.build = shared.Store(pipeline.spark, f"{store.rstrip('/')}/{'+'.join(self.names)}", stale, grace), build
@@ -547,7 +551,12 @@ class Dump(Job):
 
 
 class Picture(Job):
-    """A picture at ``output`` that ``draw(pandas, path)`` makes of one table, or of a dict of several."""
+    """A picture at ``output`` that ``draw(pandas, path)`` makes of one table, or of a dict of several.
+
+    A table of more than ``most_rows`` rows fails before it is read: a picture is drawn in the driver.
+    """
+
+    most_rows = 1_000_000
 
     def __init__(self, pipeline: Pipeline, output: str, tables: Callable[[], dict[str, DataFrame]], draw: Callable[[Any, str], Any], allowed: Iterable[str] = ()):
         self.tables, self.draw = tables, draw
@@ -555,7 +564,11 @@ class Picture(Job):
         self.depends_on_func(f"{output} draw", draw, allowed)
 
     def run(self, inputs_hash: str) -> dict[str, str]:
-        found = {k: df.toPandas() for k, df in self.tables().items()}
+        tables = self.tables()
+        for name, df in tables.items():
+            if df.limit(self.most_rows + 1).count() > self.most_rows:
+                raise JobContractError(f"{self.job_id} draws more than {self.most_rows} rows of {name or 'its table'}: aggregate them first")
+        found = {k: df.toPandas() for k, df in tables.items()}
         self.draw(found[""] if set(found) == {""} else found, self.job_id)
         if not exists(self.pipeline.spark, self.job_id):
             raise JobContractError(f"{self.job_id} wasn't drawn")

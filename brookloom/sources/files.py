@@ -16,7 +16,7 @@ from brookloom.plans.tables import settings, written
 SIDE = ".sha256"
 FINGERPRINTS = "path string, hash string, mtime long, size long"
 #: Files above LARGE bytes are hashed in ranges of RANGE bytes: SHA-256 over the ranges' SHA-256 in order.
-LARGE, RANGE = 1 << 30, 1 << 28
+LARGE, RANGE = 1 << 28, 1 << 26
 #: Files that are named one by one in a read; a plan reads so many at most.
 NAMED = 50_000
 

@@ -596,3 +596,80 @@ def test_a_wide_graph_runs_what_changed(setup):
     setup.values = {"p3": 1, "f00003": "other"}
     out = declare().run()
     assert len(setup.calls) == 151 and setup.calls["last"] == 1 and out["f00003"] == "Success" and out["f00004"] == "Skipped"
+
+
+def test_datasets_that_do_not_need_each_other_run_at_once(setup):
+    import threading
+
+    spark, started = setup.spark, collections.Counter()
+
+    def declared(at_once, wait):
+        p = Pipeline(spark, f"{setup.root}-{at_once}", at_once=at_once)
+
+        def build(name, fails=False):
+            def run():
+                started[at_once, name] += 1
+                if name in "abc" and wait is not None:
+                    wait.wait(60)
+                if fails:
+                    raise ValueError(name)
+                return spark.range(3)
+
+            return run
+
+        temp = TempDataset(p, "temp", build("temp"), track=False)
+        some = [Dataset(p, n, build(n, n == "b"), track=False).depends_on(temp) for n in "abc"]
+        for job in some:
+            Dataset(p, f"below {job.job_id}", build(job.job_id * 2), track=False).depends_on(job)
+        return p
+
+    found = {}
+    for at_once in (1, 3):
+        p = declared(at_once, threading.Barrier(3) if at_once > 1 else None)
+        found[at_once] = p.run(raise_errors=False), set(p.errors), sorted(p.now)
+        again = declared(at_once, None).run(raise_errors=False)
+        assert (again["a"], again["b"], again["below c"]) == ("Skipped", "Failed", "Skipped")
+    assert found[1] == found[3] and found[3][0]["below b"] == "UpstreamFailed" and found[3][1] == {"b"}
+    assert started[3, "temp"] == started[1, "temp"] and started[3, "a"] == 1
+
+
+def test_jobs_that_ended_before_an_interrupt_are_kept_also_at_once(setup):
+    spark = setup.spark
+
+    def declared(stop):
+        p = Pipeline(spark, f"{setup.root}-stopped", at_once=2, journal_seconds=0)
+
+        def bad():
+            if stop:
+                raise KeyboardInterrupt
+            return spark.range(2)
+
+        first = [Dataset(p, n, lambda: spark.range(2), track=False) for n in "ab"]
+        Dataset(p, "c", bad, track=False).depends_on(*first)
+        return p
+
+    with pytest.raises(KeyboardInterrupt):
+        declared(True).run()
+    assert declared(False).run() == {"a": "Skipped", "b": "Skipped", "c": "Success"}
+
+
+def test_a_changed_working_directory_fails_also_at_once(setup, tmp_path):
+    here = os.getcwd()
+    p = Pipeline(setup.spark, f"{setup.root}-cwd", at_once=2)
+    Dataset(p, "w", lambda: os.chdir(tmp_path) or setup.spark.range(1), track=False)
+    Dataset(p, "x", lambda: setup.spark.range(1), track=False)
+    found = p.run(raise_errors=False)
+    assert found["w"] == "Failed" and os.getcwd() == here and isinstance(p.errors["w"], JobContractError)
+
+
+def test_a_picture_of_too_many_rows_fails_before_it_is_read(setup, tmp_path):
+    from brookloom.plans.jobs import Picture
+
+    p = setup.new()
+    picture = Picture(p, str(tmp_path / "x.png"), lambda: {"": setup.spark.range(11)}, lambda df, path: open(path, "w").close())
+    picture.most_rows = 10
+    p.run(raise_errors=False)
+    assert "aggregate" in str(picture.error) and not (tmp_path / "x.png").exists()
+    picture.most_rows = 11
+    p.run()
+    assert (tmp_path / "x.png").exists()
