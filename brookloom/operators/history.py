@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.operators.graph import EPHEMERAL
@@ -32,21 +32,37 @@ def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: Data
     """
     given = outcomes.where(F.col("outcome") == "Success").select("job_id")
     passed = nodes.where(F.col("kind") == EPHEMERAL).join(outcomes.where(F.col("outcome") == "Skipped").select("job_id"), "job_id", "left_semi").select("job_id")
-    used = inputs.select("up", F.col("job_id").alias("down"), F.col("input_name").alias("output_name")).distinct()
-    fresh = used.join(given.union(passed).withColumnRenamed("job_id", "down"), "down", "left_semi")
+    used = inputs.select("up", F.col("job_id").alias("down"), F.col("input_name").alias("output_name"))
+    fresh = used.join(given.union(passed).withColumnRenamed("job_id", "down").distinct(), "down", "left_semi")
     names = ["up", "output_name"]
-    fresh = (
-        fresh.join(cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now")), names, "left")
-        .join(hist_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("stored")), names, "left")
-        .withColumn("fresh", F.lit(True))
+    fresh = fresh.join(cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now")), names, "left").join(
+        hist_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("stored")), names, "left"
     )
-    # one full join of old and fresh rows; of the old ones alone, whether the edge is there now, and both its jobs are
-    both = old.select("up", "down", "output_name", F.col("hash").alias("was")).join(fresh, ["up", "down", "output_name"], "full")
-    here = nodes.select("job_id", F.lit(True).alias("there"))
-    both = both.join(edges.select("up", "down", F.lit(True).alias("edge")).distinct(), ["up", "down"], "left")
-    both = both.join(here.withColumnRenamed("job_id", "up").withColumnRenamed("there", "a"), "up", "left").join(here.withColumnRenamed("job_id", "down").withColumnRenamed("there", "b"), "down", "left")
+    # old and fresh rows and edges meet in one shuffle; of old rows without either, whether both jobs are there
+    none, name = F.lit(None).cast("binary"), F.when(F.col("output_name") == F.col("up"), "=").otherwise(F.concat(F.lit("+"), "output_name"))
+    rows = old.select("up", "down", name.alias("name"), packed("hash").alias("was"), none.alias("now"), none.alias("stored"), F.lit(False).alias("fresh"), F.lit(False).alias("edge"))
+    rows = rows.union(fresh.select("up", "down", name, none, packed("now"), F.when(F.col("now").isNull(), packed("stored")), F.lit(True), F.lit(False)))
+    rows = rows.union(edges.select("up", "down", F.lit(None).cast("string"), none, none, none, F.lit(False), F.lit(True)))
+    both = rows.repartition("up", "down").groupBy("up", "down", "name").agg(*[F.max(c).alias(c) for c in ("was", "now", "stored", "fresh", "edge")])
+    both = both.withColumn("stays", F.max(F.col("edge")).over(Window.partitionBy("up", "down")) | F.col("fresh"))
     found = F.when(F.col("fresh"), F.coalesce("now", "was", "stored")).otherwise(F.col("was"))
-    return both.where("fresh or edge or a is null or b is null").select("up", "down", "output_name", found.alias("hash")).where("hash is not null")
+    both = both.select("up", "down", "name", found.alias("found"), "stays").where("found is not null")
+    here = nodes.select("job_id", F.lit(True).alias("there"))
+    left = both.where(~F.col("stays")).join(here.select(F.col("job_id").alias("up"), F.col("there").alias("a")), "up", "left").join(here.select(F.col("job_id").alias("down"), F.col("there").alias("b")), "down", "left")
+    kept = both.where("stays").union(left.where("a is null or b is null").select(*both.columns))
+    name = F.when(F.col("name") == "=", F.col("up")).otherwise(F.expr("substring(name, 2)"))
+    return kept.select("up", "down", name.alias("output_name"), unpacked("found").alias("hash"))
+
+
+def packed(c: str) -> Column:
+    """A text as bytes: of one in lower hexadecimal digits, as digests are, half as many, after a byte that tells which."""
+    digits = F.length(F.translate(c, "0123456789abcdef", "")) == 0
+    return F.when(digits & (F.length(c) % 2 == 0), F.concat(F.unhex(F.lit("01")), F.unhex(c))).otherwise(F.concat(F.unhex(F.lit("00")), F.encode(c, "UTF-8")))
+
+
+def unpacked(c: str) -> Column:
+    rest = F.expr(f"substring({c}, 2)")
+    return F.when(F.expr(f"substring({c}, 1, 1)") == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
 def recorded(hist_output: DataFrame, hist_inputs: DataFrame, made: DataFrame, no_inputs: str) -> tuple[DataFrame, DataFrame]:

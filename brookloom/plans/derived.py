@@ -61,14 +61,16 @@ class Derived:
             own = read(name, *columns).select(F.concat(F.lit(x), F.col(key)).alias("job_id"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("k"), F.md5(F.concat_ws("|", *columns)).alias("hash"))
             nodes = own if nodes is None else nodes.union(own)
         self.nodes = nodes
-        items = read("lineitem", "l_orderkey", "l_suppkey", "l_partkey")
+        # keys are told apart as numbers, by one shuffle for both kinds of edges
+        items = read("lineitem", "l_orderkey", "l_suppkey", "l_partkey").repartition("l_orderkey")
+        ups = F.array(*[F.struct(F.lit(x).alias("x"), F.col(c).cast("long").alias("k")) for x, c in (("S", "l_suppkey"), ("P", "l_partkey"))])
+        steps = items.select("l_orderkey", F.explode(ups).alias("u")).select("l_orderkey", "u.x", "u.k").distinct()
         self.edges = (
             edge(read("nation", "n_regionkey", "n_nationkey"), "R", "n_regionkey", "N", "n_nationkey")
             .union(edge(read("customer", "c_nationkey", "c_custkey"), "N", "c_nationkey", "C", "c_custkey"))
             .union(edge(read("supplier", "s_nationkey", "s_suppkey"), "N", "s_nationkey", "S", "s_suppkey"))
             .union(edge(read("orders", "o_custkey", "o_orderkey"), "C", "o_custkey", "O", "o_orderkey"))
-            .union(edge(items, "S", "l_suppkey", "O", "l_orderkey").distinct())
-            .union(edge(items, "P", "l_partkey", "O", "l_orderkey").distinct())
+            .union(steps.select(F.concat("x", "k").alias("up"), F.concat(F.lit("O"), "l_orderkey").alias("down")))
         )
         self.inputs = self.edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up")
         self.cur_output = self.nodes.select("job_id", F.col("job_id").alias("output_name"), "hash")
