@@ -13,6 +13,8 @@ from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, descendants, le
 from brookloom.plans.tables import written
 
 SEPARATOR = ":::"
+#: Names of so many parts are matched by every choice of them (63 of six), others by pairs.
+FEW_PARTS = 6
 
 
 def input_digest(inputs: DataFrame) -> DataFrame:
@@ -71,15 +73,26 @@ def edge_invalidated(edges: DataFrame, inputs: DataFrame, cur_output: DataFrame,
 def rename_match(lost: DataFrame, known: DataFrame) -> DataFrame:
     """(up, down, old_up, overlap): for edges without history, the former upstream of the same job with most common parts.
 
-    ``lost`` (up, down), ``known`` (up, down): present edges and those of history. Ties go to the smallest old id. Parts
-    are joined on (down, part), so that only pairs with a part in common are made.
+    ``lost`` (up, down), ``known`` (up, down): present edges and those of history. Ties go to the smallest old id. Names of
+    at most ``FEW_PARTS`` parts meet by every choice of their parts, of which ``known`` keeps the smallest name: the largest
+    choice that two share is what they have in common, so rows grow with the names and not with their pairs. Names of more
+    parts meet all others of the job, a pair a common part.
     """
+    parts = F.array_sort(F.array_distinct(F.split("up", SEPARATOR)))
+    new, old = (df.where("up is not null and down is not null").select("down", "up", parts.alias("parts")) for df in (lost, known))
+    few = F.size("parts") <= FEW_PARTS
 
-    def parts(df: DataFrame) -> DataFrame:
-        return df.select("down", "up", F.explode(F.array_distinct(F.split("up", SEPARATOR))).alias("part")).distinct()
+    def choices(df: DataFrame) -> DataFrame:
+        every = "transform(sequence(1, shiftleft(1, size(parts)) - 1), m -> filter(parts, (x, i) -> (shiftright(m, i) & 1) = 1))"
+        return df.where(few).select("down", "up", F.explode(F.expr(every)).alias("common"))
 
-    old = parts(known.select("up", "down")).withColumnRenamed("up", "old_up")
-    pairs = parts(lost.select("up", "down")).join(old, ["down", "part"]).groupBy("up", "down", "old_up").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    def one_by_one(a: DataFrame, b: DataFrame) -> DataFrame:
+        mine, others = (df.select("down", F.col("up").alias(x), F.explode("parts").alias("part")).distinct() for df, x in ((a, "up"), (b, "old_up")))
+        return mine.join(others, ["down", "part"]).groupBy("up", "down", "old_up").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+
+    smallest = choices(old).groupBy("down", "common").agg(F.min("up").alias("old_up"))
+    met = choices(new).join(smallest, ["down", "common"]).select("up", "down", "old_up", F.size("common").alias("overlap"))
+    pairs = met.union(one_by_one(new.where(~few), old)).union(one_by_one(new.where(few), old.where(~few)))
     best = pairs.groupBy("up", "down").agg(F.min(F.struct((-F.col("overlap")).alias("most"), "old_up")).alias("best"))
     return best.select("up", "down", "best.old_up", (-F.col("best.most")).alias("overlap"))
 
