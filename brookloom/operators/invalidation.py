@@ -59,15 +59,31 @@ def same_fingerprint(up: Column, was: Column, now: Column) -> Column:
     return F.when(typed, code & (a[3] == b[3])).otherwise(was == now)
 
 
-def edge_invalidated(edges: DataFrame, inputs: DataFrame, cur_output: DataFrame, hist_edge: DataFrame) -> DataFrame:
+def edge_invalidated(edges: DataFrame | None, inputs: DataFrame, cur_output: DataFrame, hist_edge: DataFrame) -> DataFrame:
     """(up, down, invalidated): whether any output that ``down`` consumes of ``up`` differs from what it last consumed.
 
-    Only consumed outputs are compared, by ``same_fingerprint``; no history of one counts as a difference.
+    Only consumed outputs are compared, by ``same_fingerprint``; no history of one counts as a difference. ``edges`` None:
+    those that ``inputs`` name. History is compared with the outputs where a job's edges lie together; what is shuffled by
+    edge is keys and whether they are the same, once, and a name that is its job's id isn't repeated.
     """
-    used = edges.join(inputs.select("up", F.col("job_id").alias("down"), F.col("input_name").alias("output_name")), ["up", "down"])
-    now = used.join(cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now")), ["up", "output_name"], "left")
-    both = now.join(hist_edge.select("up", "down", "output_name", F.col("hash").alias("was")), ["up", "down", "output_name"], "left")
-    return both.groupBy("up", "down").agg(F.bool_or(~F.coalesce(same_fingerprint(F.col("up"), F.col("was"), F.col("now")), F.lit(False))).alias("invalidated"))
+
+    def name(c: str) -> Column:
+        return F.when(F.col(c) == F.col("up"), "=").otherwise(F.concat(F.lit("+"), c)).alias("output_name")
+
+    now = cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now"))
+    seen = hist_edge.select("up", "down", "output_name", F.col("hash").alias("was")).join(now, ["up", "output_name"], "left")
+    same = F.coalesce(same_fingerprint(F.col("up"), F.col("was"), F.col("now")), F.lit(False))
+    used = inputs.select("up", F.col("job_id").alias("down"), name("input_name"), F.lit("u").alias("row"), F.lit(None).cast("boolean").alias("same"))
+    rows = used.where("up is not null and down is not null").union(seen.select("up", "down", name("output_name"), F.lit("h"), same))
+    if edges is not None:
+        rows = rows.union(edges.where("up is not null and down is not null").select("up", "down", F.lit(None).cast("string"), F.lit("e"), F.lit(None).cast("boolean")))
+    by_output = rows.repartition("up", "down").groupBy("up", "down", "output_name").agg(
+        F.bool_or(F.col("row") == "u").alias("used"), F.bool_or(F.col("row") == "e").alias("edge"), F.bool_and("same").alias("same")
+    )
+    found = by_output.groupBy("up", "down").agg(
+        F.bool_or("used").alias("used"), F.bool_or("edge").alias("edge"), F.bool_or(F.col("used") & ~F.coalesce("same", F.lit(False))).alias("invalidated")
+    )
+    return found.where("used" if edges is None else "used and edge").select("up", "down", "invalidated")
 
 
 def rename_match(lost: DataFrame, known: DataFrame) -> DataFrame:
