@@ -6,8 +6,10 @@ shuffles hold new rows only. Nothing but a row count or a flag reaches the drive
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from brookloom.plans.tables import dropped, written
 ALWAYS, OUTPUT, EPHEMERAL = "Always", "Output", "Ephemeral"
 #: Rounds after which what has been found so far is put into one table.
 PARTS = 16
+#: Edges of which cycles are looked for within one task; of more, in rounds.
+HELD = 1_000_000
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -105,19 +109,54 @@ def order_violations(edges: DataFrame, order: DataFrame) -> DataFrame:
 def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(job_id): nodes that are on a cycle or between cycles: empty for a DAG.
 
-    Nodes without upstream are peeled off again and again, then those without downstream.
+    Edges of nodes without upstream or without downstream are peeled off again and again, so that a round reads what the
+    last one left; once that is at most ``HELD`` edges, one task does the rest, which may be as many rounds as a chain has nodes.
     """
-    left = written(nodes.select("job_id").distinct(), "peel")
-    for a, b in (("up", "down"), ("down", "up")):
-        while True:
-            held = edges.join(left.withColumnRenamed("job_id", a), a, "left_semi")
-            after = written(left.join(held.select(F.col(b).alias("job_id")).distinct(), "job_id", "left_semi"), "peel")
-            same = after.count() == left.count()
-            dropped(left)
-            left = after
-            if same:
-                break
-    return left
+    ids = nodes.select("job_id").distinct()
+
+    def within(left: DataFrame, held: DataFrame) -> DataFrame:
+        return written(held.join(left.withColumnRenamed("job_id", "up"), "up", "left_semi").join(left.withColumnRenamed("job_id", "down"), "down", "left_semi").select("up", "down"), "peel")
+
+    held = within(ids, edges)
+    size = held.count()
+    while size > HELD:
+        ends = held.select(F.col("up").alias("job_id")).distinct().join(held.select(F.col("down").alias("job_id")), "job_id", "left_semi")
+        after = within(ends, held)
+        dropped(held)
+        was, held, size = size, after, after.count()
+        if size == was:
+            return held.select(F.col("up").alias("job_id")).distinct()
+    return held.coalesce(1).mapInPandas(peeling(), "job_id string")
+
+
+def peeling() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Nodes that are left of edges (up, down) when those without an edge in or without one out go, until none does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = pd.concat([pd.DataFrame({"up": [], "down": []}, dtype=object), *batches], ignore_index=True)
+        codes, names = pd.factorize(pd.concat([edges["up"], edges["down"]], ignore_index=True))
+        ends = codes[: len(edges)], codes[len(edges) :]
+        n = len(names)
+        alive = [True] * n
+        # both ways: how many edges lead to a node, and which nodes an edge leads to
+        ways = []
+        for a, b in (ends, ends[::-1]):
+            order = a.argsort(kind="stable")
+            ways.append(([0, *pd.Series(a).value_counts().reindex(range(n), fill_value=0).cumsum()], b[order].tolist(), pd.Series(b).value_counts().reindex(range(n), fill_value=0).tolist()))
+        gone = [x for x in range(n) if not ways[0][2][x] or not ways[1][2][x]]
+        for x in gone:
+            alive[x] = False
+        while gone:
+            x = gone.pop()
+            for first, to, open_ in ways:
+                for y in to[first[x] : first[x + 1]]:
+                    open_[y] -= 1
+                    if alive[y] and not open_[y]:
+                        alive[y] = False
+                        gone.append(y)
+        yield pd.DataFrame({"job_id": pd.Series(list(names), dtype=object)[pd.Series(alive, dtype=bool)]})
+
+    return run
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:

@@ -175,3 +175,27 @@ def test_names_of_many_parts_match_as_those_of_few(spark: SparkSession) -> None:
             want[up, down] = (min(found)[1], -min(found)[0])
     frames = [spark.createDataFrame(rows, "up string, down string") for rows in (lost, known)]
     assert {(r.up, r.down): (r.old_up, r.overlap) for r in invalidation.rename_match(*frames).collect()} == want
+
+
+@pytest.mark.parametrize("held", [graph.HELD, 0])
+def test_cycles_below_a_long_chain(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, held: int) -> None:
+    n, calls = 12, []
+    whole = graph.written
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "written", lambda df, name: calls.append(name) or whole(df, name))
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(n)]
+    rows = [*chain, (f"n{n}", "x"), ("x", "y"), ("y", "x"), ("y", "between"), ("between", "z"), ("z", "z"), ("z", "end"), ("end", "last")]
+    edges = spark.createDataFrame(rows, "up string, down string")
+    nodes = edges.selectExpr("up as job_id").union(edges.selectExpr("down")).distinct()
+    assert {r.job_id for r in graph.cycle_members(nodes, edges).collect()} == {"x", "y", "between", "z"}
+    assert len(calls) <= (2 if held else n + 6)  # before: a table for each node of the chain, from all edges
+
+
+def test_a_sweep_joins_edges_once_with_what_must_run(spark: SparkSession) -> None:
+    edges = spark.createDataFrame([("e", "o"), ("p", "e"), ("e", "k")], "up string, down string")
+    nodes = spark.createDataFrame([("e", "Ephemeral"), ("p", "Output"), ("o", "Output"), ("k", "Output")], "job_id string, kind string")
+    found = invalidation.sweep(nodes, edges, spark.createDataFrame([("o",)], "job_id string"))
+    assert {tuple(r) for r in found.collect()} == {("e", "o", True), ("p", "e", True), ("e", "k", False)}
+    with settings(spark, LARGE):
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(down" in plan and "hashpartitioning(up" not in plan  # edges were joined by both before
