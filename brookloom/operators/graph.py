@@ -18,6 +18,8 @@ from brookloom.plans.tables import dropped, written
 ALWAYS, OUTPUT, EPHEMERAL = "Always", "Output", "Ephemeral"
 #: Rounds after which what has been found so far is put into one table.
 PARTS = 16
+#: Rows of a first round from which on its edges, used by then, are taken out for the rounds that follow.
+MANY = 250_000
 #: Edges of which cycles are looked for within one task; of more, in rounds.
 HELD = 1_000_000
 
@@ -31,19 +33,23 @@ def closure(start: DataFrame, edges: DataFrame, through: DataFrame | None = None
 
     Ends on graphs with cycles as well: a node is visited once. A round joins the last round's nodes with the edges, and
     takes out the visited ones: a table that is compacted when as many rounds have passed as it then has parts, so that a
-    chain of n nodes reads O(n) small tables a few times and no plan grows with n.
+    chain of n nodes reads O(n) small tables a few times and no plan grows with n. Where many nodes start, the edges that
+    rounds after the first can still use, which don't leave a start and do leave ``through``, are stored once.
     """
     steps = edges.select(F.col("up").alias("job_id"), F.col("down").alias("next"))
     front = written(start.select("job_id").distinct(), "front")
     visited, parts = front, [front]
-    first = True
+    first, many, rest = True, front.count() >= MANY, None
     while True:
-        go_on = front if through is None or first else front.join(through.select("job_id"), "job_id", "left_semi")
-        first = False
+        go_on = front if through is None or first or rest is not None else front.join(through.select("job_id"), "job_id", "left_semi")
         new = written(go_on.join(steps, "job_id").select(F.col("next").alias("job_id")).distinct().join(visited, "job_id", "left_anti"), "front")
         if new.isEmpty():
-            dropped(new)
+            dropped(new, *([] if rest is None else [rest]))
             return visited
+        if first and many:
+            steps = steps.join(front, "job_id", "left_anti")
+            rest = steps = written(steps if through is None else steps.join(through.select("job_id"), "job_id", "left_semi"), "steps")
+        first = False
         front = new
         parts.append(new)
         if len(parts) > PARTS:
@@ -208,13 +214,17 @@ def only(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("job_id").distinct(), "job_id", "left_semi")
 
 
-def required_edges(nodes: DataFrame, edges: DataFrame, invalidated: DataFrame) -> DataFrame:
-    """Edges that must deliver: those into ``invalidated`` nodes, and onward into each ephemeral that has to deliver."""
-    eph = nodes.where(F.col("kind") == EPHEMERAL)
+def required_walk(nodes: DataFrame, edges: DataFrame, invalidated: DataFrame) -> DataFrame:
+    """(job_id): ``invalidated`` nodes and ephemerals that have to deliver to them: the edges into these must deliver."""
+    eph = nodes.where(F.col("kind") == EPHEMERAL).select("job_id")
     reached = closure(invalidated, reversed_edges(edges), through=eph)
     # a node that isn't ephemeral stops the walk unless it is invalidated itself
-    walk = reached.join(eph.select("job_id").union(invalidated.select("job_id")), "job_id", "left_semi").distinct()
-    return edges.join(walk.withColumnRenamed("job_id", "down"), "down", "left_semi").select("up", "down")
+    return reached.join(eph.union(invalidated.select("job_id")), "job_id", "left_semi").distinct()
+
+
+def required_edges(nodes: DataFrame, edges: DataFrame, invalidated: DataFrame) -> DataFrame:
+    """Edges that must deliver: those into ``invalidated`` nodes, and onward into each ephemeral that has to deliver."""
+    return edges.join(required_walk(nodes, edges, invalidated).withColumnRenamed("job_id", "down"), "down", "left_semi").select("up", "down")
 
 
 def upstream_failed(edges: DataFrame, failed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, descendants, leaf_ephemerals, required_edges
+from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, descendants, leaf_ephemerals, required_edges, required_walk
 from brookloom.plans.tables import written
 
 SEPARATOR = ":::"
@@ -142,8 +142,8 @@ def sweep(nodes: DataFrame, edges: DataFrame, invalid: DataFrame) -> DataFrame:
     again and again: give a stored table.
     """
     starts = nodes.where(F.col("kind") == ALWAYS).select("job_id").union(invalid.select("job_id")).distinct()
-    need = required_edges(nodes, edges, starts).distinct().withColumn("required", F.lit(True))
-    return edges.select("up", "down").join(need, ["up", "down"], "left").withColumn("required", F.coalesce("required", F.lit(False)))
+    need = required_walk(nodes, edges, starts).select(F.col("job_id").alias("down"), F.lit(True).alias("required"))
+    return edges.select("up", "down").join(need, "down", "left").select("up", "down", F.coalesce("required", F.lit(False)).alias("required"))
 
 
 def planned(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
