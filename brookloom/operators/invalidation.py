@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, descendants, leaf_ephemerals, required_edges, required_walk
-from brookloom.plans.tables import written
+from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, closure, descendants, leaf_ephemerals, required_walk, reversed_edges
+from brookloom.plans.tables import stored, written
 
 SEPARATOR = ":::"
 #: Names of so many parts are matched by every choice of them (63 of six), others by pairs.
@@ -154,15 +154,15 @@ def planned(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
     gave before, and so does an ephemeral that only such a job needs. An ephemeral below which nothing else lies is
     skipped. Closures over stored tables, each of which visits a node once: it always ends.
     """
-    nodes, edges = written(nodes.select("job_id", "kind"), "nodes"), written(edges.select("up", "down"), "edges")
+    nodes, edges = stored(nodes, "nodes", "job_id", "kind"), stored(edges, "edges", "up", "down")
     idle = written(leaf_ephemerals(nodes, edges), "idle")
     odd = written(stale.join(idle, "job_id", "left_anti").groupBy("job_id").agg(F.min("cause").alias("cause")), "stale")
     eph = nodes.where(F.col("kind") == EPHEMERAL).select("job_id")
     live = edges.join(idle.withColumnRenamed("job_id", "down"), "down", "left_anti")
 
     def givers(to: DataFrame) -> DataFrame:
-        """Ephemerals that have to deliver if ``to`` run."""
-        return required_edges(nodes, edges, to).select(F.col("up").alias("job_id")).join(eph, "job_id", "left_semi").distinct()
+        """Ephemerals that have to deliver if ``to`` run, and those of ``to`` themselves."""
+        return closure(to, reversed_edges(edges), through=eph).join(eph, "job_id", "left_semi").distinct()
 
     runs = odd.join(nodes, "job_id").where(F.col("kind") != ALWAYS).select("job_id", "cause")
     need = givers(runs.union(nodes.where(F.col("kind") == ALWAYS).select("job_id", F.lit("always")))).join(runs, "job_id", "left_anti")

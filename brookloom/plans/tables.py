@@ -157,6 +157,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Columns of ``df`` as a stored table: where ``written`` gave it, that one."""
+    return df.select(*columns) if "_written_at" in df.__dict__ else written(df.select(*columns), name)
+
+
 def dropped(*frames: DataFrame) -> None:
     for df in frames:
         if path := df.__dict__.get("_written_at"):
