@@ -175,9 +175,11 @@ def planned(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
     return both.select("job_id", F.coalesce("action", F.lit("Skip")).alias("action"), "cause")
 
 
-def downstream_requirement(edges: DataFrame, required: DataFrame) -> DataFrame:
-    """(job_id, requirement): yes if any edge out of a job is required, unknown if any is undecided, else no."""
-    both = edges.join(required.select("up", "down", "required"), ["up", "down"], "left")
+def downstream_requirement(edges: DataFrame | None, required: DataFrame) -> DataFrame:
+    """(job_id, requirement): yes if any edge out of a job is required, unknown if any is undecided, else no.
+
+    ``edges`` None: those of ``required``."""
+    both = required if edges is None else edges.join(required.select("up", "down", "required"), ["up", "down"], "left")
     said = F.when(F.bool_or("required"), "yes").when(F.count_if(F.col("required").isNull()) > 0, "unknown").otherwise("no")
     return both.groupBy(F.col("up").alias("job_id")).agg(said.alias("requirement"))
 
@@ -216,7 +218,7 @@ def decisions(nodes: DataFrame, edges: DataFrame, states: DataFrame, validation:
     upstreams have ended or pass: a validated ephemeral with nothing undecided above it passes, as it would give what it
     gave. All others wait. Some job always runs or is skipped while any is left, so taking the actions in turn ends.
     """
-    edges = written(edges.select("up", "down"), "edges")
+    edges = stored(edges, "edges", "up", "down")
     left = written(nodes.select("job_id", "kind").join(states.select("job_id"), "job_id", "left_anti").join(validation, "job_id", "left").join(requirement, "job_id", "left"), "left")
     may = (F.col("kind") == EPHEMERAL) & F.coalesce(F.col("vstatus") == "Validated", F.lit(False))
     passing = left.where(may).select("job_id").join(descendants(left.where(~may).select("job_id"), edges), "job_id", "left_anti")
