@@ -119,7 +119,8 @@ def node_validation(nodes: DataFrame, edges: DataFrame, edge_state: DataFrame, h
     Any invalidated edge: Invalidated. Else any pending one: Unknown. Else Validated, but an ephemeral without history is
     Invalidated.
     """
-    state = edges.join(edge_state, ["up", "down"], "left").groupBy(F.col("down").alias("job_id")).agg(F.bool_or("invalidated").alias("bad"), F.count_if(F.col("invalidated").isNull()).alias("pending"))
+    told = edges.join(edge_state, ["up", "down"], "left").where(F.coalesce("invalidated", F.lit(True)))  # others decide nothing
+    state = told.groupBy(F.col("down").alias("job_id")).agg(F.bool_or("invalidated").alias("bad"), F.count_if(F.col("invalidated").isNull()).alias("pending"))
     known = hist_output.select("job_id", F.lit(True).alias("known")).distinct()
     both = nodes.join(state, "job_id", "left").join(known, "job_id", "left")
     status = F.when(F.coalesce("bad", F.lit(False)), "Invalidated").when(F.coalesce("pending", F.lit(0)) > 0, "Unknown")

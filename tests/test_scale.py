@@ -201,90 +201,6 @@ def test_a_sweep_joins_edges_once_with_what_must_run(spark: SparkSession) -> Non
     assert "hashpartitioning(down" in plan and "hashpartitioning(up" not in plan  # edges were joined by both before
 
 
-@pytest.mark.parametrize("held", [graph.HELD, 0])
-def test_cycles_below_a_long_chain(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, held: int) -> None:
-    n, calls = 12, []
-    whole = graph.written
-    monkeypatch.setattr(graph, "HELD", held)
-    monkeypatch.setattr(graph, "written", lambda df, name: calls.append(name) or whole(df, name))
-    chain = [(f"n{i}", f"n{i + 1}") for i in range(n)]
-    rows = [*chain, (f"n{n}", "x"), ("x", "y"), ("y", "x"), ("y", "between"), ("between", "z"), ("z", "z"), ("z", "end"), ("end", "last")]
-    edges = spark.createDataFrame(rows, "up string, down string")
-    nodes = edges.selectExpr("up as job_id").union(edges.selectExpr("down")).distinct()
-    assert {r.job_id for r in graph.cycle_members(nodes, edges).collect()} == {"x", "y", "between", "z"}
-    assert len(calls) <= (2 if held else n + 6)  # before: a table for each node of the chain, from all edges
-
-
-def test_a_sweep_joins_edges_once_with_what_must_run(spark: SparkSession) -> None:
-    edges = spark.createDataFrame([("e", "o"), ("p", "e"), ("e", "k")], "up string, down string")
-    nodes = spark.createDataFrame([("e", "Ephemeral"), ("p", "Output"), ("o", "Output"), ("k", "Output")], "job_id string, kind string")
-    found = invalidation.sweep(nodes, edges, spark.createDataFrame([("o",)], "job_id string"))
-    assert {tuple(r) for r in found.collect()} == {("e", "o", True), ("p", "e", True), ("e", "k", False)}
-    with settings(spark, LARGE):
-        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(down" in plan and "hashpartitioning(up" not in plan  # edges were joined by both before
-
-
-@pytest.mark.parametrize("through", [True, False])
-def test_a_walk_from_many_takes_out_used_edges(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, through: bool) -> None:
-    names, whole = [], graph.written
-    monkeypatch.setattr(graph, "MANY", 1)
-    monkeypatch.setattr(graph, "written", lambda df, name: names.append((name, (out := whole(df, name)).count())) or out)
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("c", "a"), ("b", "s"), ("s", "t")], "up string, down string")
-    go = spark.createDataFrame([("b",), ("c",)], "job_id string") if through else None
-    found = {r.job_id for r in graph.closure(spark.createDataFrame([("a",)], "job_id string"), edges, go).collect()}
-    assert found == ({"a", "b", "c", "d", "s"} if through else {"a", "b", "c", "d", "s", "t"})
-    assert ("steps", 4 if through else 5) in names  # all six edges were joined again in every round before
-
-
-def test_a_plan_takes_stored_tables_as_they_are(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
-    from brookloom.plans.tables import written
-
-    names = []
-    monkeypatch.setattr("brookloom.plans.tables.written", lambda df, name: names.append(name) or written(df, name))
-    edges = written(spark.createDataFrame([("e", "o")], "up string, down string"), "edges")
-    nodes = written(spark.createDataFrame([("e", "Ephemeral"), ("o", "Output")], "job_id string, kind string"), "nodes")
-    found = invalidation.planned(nodes, edges, spark.createDataFrame([("o", "differs")], "job_id string, cause string"))
-    assert {(r.job_id, r.action) for r in found.collect()} == {("o", "Run"), ("e", "Run")} and not {"nodes", "edges"} & set(names)
-
-
-def test_requirement_of_given_edges_is_one_aggregation(spark: SparkSession) -> None:
-    said = spark.createDataFrame([("a", "b", True), ("a", "c", None), ("d", "c", None), ("e", "c", False)], "up string, down string, required boolean")
-    found = invalidation.downstream_requirement(None, said)
-    assert dict(found.collect()) == dict(invalidation.downstream_requirement(said.select("up", "down"), said).collect()) == {"a": "yes", "d": "unknown", "e": "no"}
-    assert shuffles(spark, found) == 1
-
-
-@pytest.mark.parametrize("through", [True, False])
-def test_a_walk_from_many_takes_out_used_edges(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, through: bool) -> None:
-    names, whole = [], graph.written
-    monkeypatch.setattr(graph, "MANY", 1)
-    monkeypatch.setattr(graph, "written", lambda df, name: names.append((name, (out := whole(df, name)).count())) or out)
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("c", "a"), ("b", "s"), ("s", "t")], "up string, down string")
-    go = spark.createDataFrame([("b",), ("c",)], "job_id string") if through else None
-    found = {r.job_id for r in graph.closure(spark.createDataFrame([("a",)], "job_id string"), edges, go).collect()}
-    assert found == ({"a", "b", "c", "d", "s"} if through else {"a", "b", "c", "d", "s", "t"})
-    assert ("steps", 4 if through else 5) in names  # all six edges were joined again in every round before
-
-
-def test_a_plan_takes_stored_tables_as_they_are(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
-    from brookloom.plans.tables import written
-
-    names = []
-    monkeypatch.setattr("brookloom.plans.tables.written", lambda df, name: names.append(name) or written(df, name))
-    edges = written(spark.createDataFrame([("e", "o")], "up string, down string"), "edges")
-    nodes = written(spark.createDataFrame([("e", "Ephemeral"), ("o", "Output")], "job_id string, kind string"), "nodes")
-    found = invalidation.planned(nodes, edges, spark.createDataFrame([("o", "differs")], "job_id string, cause string"))
-    assert {(r.job_id, r.action) for r in found.collect()} == {("o", "Run"), ("e", "Run")} and not {"nodes", "edges"} & set(names)
-
-
-def test_requirement_of_given_edges_is_one_aggregation(spark: SparkSession) -> None:
-    said = spark.createDataFrame([("a", "b", True), ("a", "c", None), ("d", "c", None), ("e", "c", False)], "up string, down string, required boolean")
-    found = invalidation.downstream_requirement(None, said)
-    assert dict(found.collect()) == dict(invalidation.downstream_requirement(said.select("up", "down"), said).collect()) == {"a": "yes", "d": "unknown", "e": "no"}
-    assert shuffles(spark, found) == 1
-
-
 @pytest.mark.parametrize("through", [True, False])
 def test_a_walk_from_many_takes_out_used_edges(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, through: bool) -> None:
     names, whole = [], graph.written
