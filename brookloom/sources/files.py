@@ -15,6 +15,8 @@ from brookloom.plans.tables import settings, written
 
 SIDE = ".sha256"
 FINGERPRINTS = "path string, hash string, mtime long, size long"
+#: A task takes up some thousand small files, and a listing of many folders is some hundred tasks.
+SMALL_FILES = {"spark.sql.files.openCostInBytes": "16k", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "1000"}
 #: Files above LARGE bytes are hashed in ranges of RANGE bytes: SHA-256 over the ranges' SHA-256 in order.
 LARGE, RANGE = 1 << 28, 1 << 26
 #: Files that are named one by one in a read; a plan reads so many at most.
@@ -45,7 +47,7 @@ def stored_tables(spark: SparkSession, root: str) -> DataFrame:
     One recursive listing, whose folders executors take up once there are many; of each table its first part alone is
     seen, which Spark writes for an empty one as well, and nothing is opened.
     """
-    with settings(spark, {"spark.sql.files.openCostInBytes": "16k", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "1000"}):
+    with settings(spark, SMALL_FILES):
         found = listed(spark, root, pattern="part-00000*").select(F.expr(f"substring(path, {len(qualified(spark, root)) + 2})").alias("name"))
         steps = F.split("name", "/")
         folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
@@ -106,19 +108,29 @@ def fingerprints(spark: SparkSession, paths: list[str], history: DataFrame | Non
     the file's bytes, also where it is named by itself; one that is older than its file, or doesn't hold 64 hex digits,
     fails. The names of the files to open pass through the driver, which lists them in any case.
     """
-    names = listed(spark, *paths).where(~F.col("path").endswith(SIDE))
-    sides = side_hashes(spark, *paths)
+    with settings(spark, SMALL_FILES):
+        names, sides = written(listed(spark, *paths), "names"), None
+        side = F.col("path").endswith(SIDE)
+        if not names.where(side).isEmpty():
+            sides = written(side_hashes(spark, *paths), "sides")
+        known = with_sides(names.where(~side), sides)
+        if history is None:  # all files but those with a side are opened
+            others = reader(spark, paths).where(~side)
+            fresh = hashed(others if sides is None else others.join(sides.select("path"), "path", "left_anti"))
+        else:
+            old = history.select("path", F.col("hash").alias("was"), "mtime", "size").dropDuplicates(["path", "mtime", "size"])
+            known = written(known.join(old, ["path", "mtime", "size"], "left").select("path", F.coalesce("hash", "was").alias("hash"), "mtime", "size"), "known")
+            fresh = hashed_by_name(spark, [r["path"] for r in known.where("hash is null").select("path").collect()])
+        return known.where("hash is not null").unionByName(fresh)
+
+
+def with_sides(names: DataFrame, sides: DataFrame | None) -> DataFrame:
+    """(path, hash, mtime, size): hash as a side file says, null where there is none; a bad side fails."""
+    if sides is None:
+        return names.select("path", F.lit(None).cast("string").alias("hash"), "mtime", "size")
     bad = F.when(F.col("side_mtime") < F.col("mtime"), "older than its file").when(~F.col("said").rlike("^[0-9a-f]{64}$"), "not a SHA-256")
     said = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("side file "), F.col("path"), F.lit(": "), bad))).otherwise(F.col("said"))
-    both = names.join(sides, "path", "left").withColumn("hash", F.when(F.col("said").isNotNull(), said).cast("string"))
-    known = both.select("path", "hash", "mtime", "size")
-    if history is None:  # all files but those with a side are opened
-        others = reader(spark, paths).where(~F.col("path").endswith(SIDE)).join(sides.select("path"), "path", "left_anti")
-        return known.where("hash is not null").unionByName(hashed(others))
-    old = history.select("path", F.col("hash").alias("was"), "mtime", "size").dropDuplicates(["path", "mtime", "size"])
-    known = known.join(old, ["path", "mtime", "size"], "left").select("path", F.coalesce("hash", "was").alias("hash"), "mtime", "size")
-    fresh = [r["path"] for r in known.where("hash is null").select("path").toLocalIterator()]
-    return known.where("hash is not null").unionByName(hashed_by_name(spark, fresh))
+    return names.join(sides, "path", "left").withColumn("hash", F.when(F.col("said").isNotNull(), said).cast("string")).select("path", "hash", "mtime", "size")
 
 
 def within(spark: SparkSession, roots: DataFrame, files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brookloom.operators import graph, history, invalidation
 from brookloom.plans.tables import settings
+from brookloom.sources import files
 
 #: As on tables too large to broadcast.
 LARGE = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
@@ -229,3 +230,16 @@ def test_requirement_of_given_edges_is_one_aggregation(spark: SparkSession) -> N
     found = invalidation.downstream_requirement(None, said)
     assert dict(found.collect()) == dict(invalidation.downstream_requirement(said.select("up", "down"), said).collect()) == {"a": "yes", "d": "unknown", "e": "no"}
     assert shuffles(spark, found) == 1
+
+
+def test_files_are_listed_once_to_tell_what_changed(spark, tmp_path, monkeypatch):
+    for n in range(40):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "x").write_text(str(n))
+    read, plain = [], files.reader
+    monkeypatch.setattr(files, "reader", lambda *a: read.append(a) or plain(*a))
+    known = files.fingerprints(spark, [f"file://{tmp_path}"])
+    assert known.count() == 40 and len(read) == 2
+    read.clear()
+    assert {r.hash for r in files.fingerprints(spark, [f"file://{tmp_path}"], known).collect()} == {r.hash for r in known.collect()}
+    assert len(read) == 1
