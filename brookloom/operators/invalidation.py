@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, closure, descendants, leaf_ephemerals, required_walk, reversed_edges
-from brookloom.plans.tables import stored, written
+from brookloom.plans.tables import spread, stored, written
 
 SEPARATOR = ":::"
 #: Names of so many parts are matched by every choice of them (63 of six), others by pairs.
@@ -77,7 +77,7 @@ def edge_invalidated(edges: DataFrame | None, inputs: DataFrame, cur_output: Dat
     rows = used.where("up is not null and down is not null").union(seen.select("up", "down", name("output_name"), F.lit("h"), same))
     if edges is not None:
         rows = rows.union(edges.where("up is not null and down is not null").select("up", "down", F.lit(None).cast("string"), F.lit("e"), F.lit(None).cast("boolean")))
-    by_output = rows.repartition("up", "down").groupBy("up", "down", "output_name").agg(
+    by_output = spread(rows, "up", "down").groupBy("up", "down", "output_name").agg(
         F.bool_or(F.col("row") == "u").alias("used"), F.bool_or(F.col("row") == "e").alias("edge"), F.bool_and("same").alias("same")
     )
     found = by_output.groupBy("up", "down").agg(

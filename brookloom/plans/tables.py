@@ -157,6 +157,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as shuffles have, 4 a core at least; Spark doesn't merge them into few large ones."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def stored(df: DataFrame, name: str, *columns: str) -> DataFrame:
     """Columns of ``df`` as a stored table: where ``written`` gave it, that one."""
     return df.select(*columns) if "_written_at" in df.__dict__ else written(df.select(*columns), name)

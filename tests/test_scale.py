@@ -243,3 +243,12 @@ def test_files_are_listed_once_to_tell_what_changed(spark, tmp_path, monkeypatch
     read.clear()
     assert {r.hash for r in files.fingerprints(spark, [f"file://{tmp_path}"], known).collect()} == {r.hash for r in known.collect()}
     assert len(read) == 1
+
+
+def test_edges_are_compared_in_tasks_that_are_not_merged(spark):
+    edges = spark.createDataFrame([(f"u{n}", "d") for n in range(50)], "up string, down string")
+    outputs = edges.select(F.col("up").alias("job_id"), F.col("up").alias("output_name"), F.lit("h").alias("hash"))
+    known = edges.where("up <> 'u7'").select("up", "down", F.col("up").alias("output_name"), F.lit("h").alias("hash"))
+    found = invalidation.edge_invalidated(edges, edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up"), outputs, known)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert {r.up for r in found.where("invalidated").collect()} == {"u7"} and found.count() == 50
