@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.plans.tables import written
+from brookloom.plans.tables import spread, written
 
 #: (letter, table, key, kind, columns that make a node's hash)
 NODES = [
@@ -62,7 +62,7 @@ class Derived:
             nodes = own if nodes is None else nodes.union(own)
         self.nodes = nodes
         # keys are told apart as numbers, by one shuffle for both kinds of edges
-        items = read("lineitem", "l_orderkey", "l_suppkey", "l_partkey").repartition("l_orderkey")
+        items = spread(read("lineitem", "l_orderkey", "l_suppkey", "l_partkey"), "l_orderkey")
         ups = F.array(*[F.struct(F.lit(x).alias("x"), F.col(c).cast("long").alias("k")) for x, c in (("S", "l_suppkey"), ("P", "l_partkey"))])
         steps = items.select("l_orderkey", F.explode(ups).alias("u")).select("l_orderkey", "u.x", "u.k").distinct()
         self.edges = (

@@ -258,3 +258,9 @@ def test_partial_comparison_moves_its_rows_once(spark):
     from brookloom.plans.queries import partial_dependency_compare
 
     assert shuffles(spark, partial_dependency_compare(spark, "/root/testdata/sf0.001")) <= 4
+
+
+def test_line_items_are_told_apart_in_tasks_that_are_not_merged(spark):
+    from brookloom.plans.derived import Derived
+
+    assert Derived(spark, "/root/testdata/sf0.001").edges.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
