@@ -123,7 +123,11 @@ def short_id(job_id: str | Column) -> Column:
 
 def input_key(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """(job_id, input_key): SHA-256 over the sorted (name, hash) pairs of what a job consumes."""
-    pairs = inputs.join(outputs.select(F.col("output_name").alias("input_name"), "hash").distinct(), "input_name")
+    from brookloom.operators.history import packed, unpacked
+    from brookloom.plans.tables import spread
+
+    pairs = inputs.join(outputs.select(F.col("output_name").alias("input_name"), "hash").distinct(), "input_name").select("job_id", "input_name", packed("hash").alias("hash"))
+    pairs = spread(pairs, "job_id").select("job_id", "input_name", unpacked("hash").alias("hash"))  # digests are shuffled as bytes
     lines = F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "input_name", "hash"))), "\n")
     return pairs.groupBy("job_id").agg(F.sha2(lines, 256).alias("input_key"))
 

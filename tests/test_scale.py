@@ -264,3 +264,15 @@ def test_line_items_are_told_apart_in_tasks_that_are_not_merged(spark):
     from brookloom.plans.derived import Derived
 
     assert Derived(spark, "/root/testdata/sf0.001").edges.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_input_keys_are_made_in_tasks_that_are_not_merged(spark):
+    import hashlib
+
+    from brookloom.functions import digests
+
+    inputs = spark.createDataFrame([("j", x) for x in "abcd"], "job_id string, input_name string")
+    outputs = spark.createDataFrame([("a", "0a"), ("b", "0A"), ("c", ""), ("d", None)], "output_name string, hash string")
+    found = digests.input_key(inputs, outputs)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert found.first().input_key == hashlib.sha256(b"a=0a\nb=0A\nc=\nd").hexdigest()
