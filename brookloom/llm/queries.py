@@ -58,11 +58,12 @@ def held_out() -> Column:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    """Fitted on confirmed toxic texts and on texts without a label, none of them held out."""
+    """Fitted on confirmed toxic texts and on texts without a label, its curve on labelled ones, none of them held out."""
     toxic = F.col("toxic") == 1
     labels = table(spark, sf_dir, "labels").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = toxicity.marked(docs.where(~held_out()), "doc_id", "text", labels, toxic)
-    return toxicity.fit(docs.where(~held_out()), "text", marks, toxicity.prior_of(labels, toxic))
+    model = toxicity.fit(docs.where(~held_out()), "text", marks, toxicity.prior_of(labels, toxic))
+    return toxicity.calibrated(model, docs.where(~held_out()), "doc_id", "text", labels, toxic)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning: numpy classifiers over words and stems with several forms.
 
 Confirmed toxic examples are the positive set; every other training text counts as unlabelled. The risk is corrected by
-the class prior, and its negative part is kept from falling below zero (non-negative estimator).
+the class prior, and its negative part is kept from falling below zero (non-negative estimator). Margins of
+toxic texts stay near zero where unlabelled texts hold more of them than the prior says; a logistic curve, fitted on
+labelled texts, makes probabilities of them.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Collection, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -83,7 +85,10 @@ def without_near_copies(rows: list[tuple[int, bool, list[int]]]) -> set[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """weights and tiers: by word or stem; tier_weights: what a text's highest tier adds; heads: first letters of the stems."""
+    """weights and tiers: by word or stem; tier_weights: what a text's highest tier adds; heads: first letters of the stems.
+
+    slope and offset: the curve from the margin to log odds.
+    """
 
     weights: dict[str, float]
     tiers: dict[str, int]
@@ -91,12 +96,17 @@ class Model:
     bias: float
     prior: float
     heads: frozenset[str] = frozenset()
+    slope: float = 1.0
+    offset: float = 0.0
 
-    def score(self, text: str) -> float:
+    def margin(self, text: str) -> float:
         f = self.bias
         if hits := self.weights.keys() & features(text, self.heads):
             f += math.fsum(self.weights[w] for w in hits) + self.tier_weights[max(self.tiers[w] for w in hits)]
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, f))))
+        return f
+
+    def score(self, text: str) -> float:
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * self.margin(text) + self.offset))))
 
 
 def risk_step(rows: list[np.ndarray], positive: np.ndarray, prior: float, width: int, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -143,6 +153,10 @@ def risk_step(rows: list[np.ndarray], positive: np.ndarray, prior: float, width:
     return w, float(b)
 
 
+def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+
+
 def marked(docs: DataFrame, key: str, text: str, labels: DataFrame, positive: Column) -> DataFrame:
     """(text_hash, positive) of texts that are confirmed toxic, or have no label: a narrow table, without the texts.
 
@@ -150,9 +164,8 @@ def marked(docs: DataFrame, key: str, text: str, labels: DataFrame, positive: Co
     the unlabelled set is a draw from all texts by way of those that nobody looked at. Null texts count as empty. Rows
     that repeat are counted once by ``fit``, as their texts are equal.
     """
-    hashed = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     said = labels.select(F.col(key), F.coalesce(positive, F.lit(False)).alias("positive"))
-    return hashed.join(said, key, "left").where("positive is null or positive").select("text_hash", F.coalesce("positive", F.lit(False)).alias("positive"))
+    return hashed(docs, key, text).join(said, key, "left").where("positive is null or positive").select("text_hash", F.coalesce("positive", F.lit(False)).alias("positive"))
 
 
 def errors_of(p: int, u: int, n_p: int, n_u: int) -> float:
@@ -248,6 +261,58 @@ def fitted(held: DataFrame, prior: float) -> Model:
     return Model(dict(zip(vocabulary, map(float, w), strict=False)), dict(zip(vocabulary, tier, strict=True)), tuple(map(float, w[len(vocabulary) :])), b, prior, heads)
 
 
+def curve(margins: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 50) -> tuple[float, float]:
+    """(slope, offset) of log odds by margin: logistic regression by Newton's steps, both labels weighed by the prior.
+
+    Its targets are Platt's, a little inside 0 and 1, so that it ends where a margin tells the labels apart. (1, 0) where
+    it can't tell: without texts of both labels, with one margin for all, or with a slope that isn't positive.
+    """
+    n, k = len(positive), int(positive.sum())
+    if not 0 < k < n or not 0 < prior < 1 or np.ptp(margins) == 0:
+        return 1.0, 0.0
+    target = np.where(positive, (k + 1) / (k + 2), 1 / (n - k + 2))
+    weight = np.where(positive, prior / k, (1 - prior) / (n - k)) * n
+    x = np.column_stack([np.clip(margins, -40, 40), np.ones(n)])
+
+    def loss(at: np.ndarray) -> float:
+        f = x @ at
+        return float(weight @ (np.logaddexp(0, f) - target * f))
+
+    at = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -40, 40)))
+        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (p - target)))
+        while loss(at - move) > loss(at) and np.abs(move).max() > 1e-9:
+            move = move / 2
+        at = at - move
+        if np.abs(move).max() <= 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def calibrated(model: Model, docs: DataFrame, key: str, text: str, labels: DataFrame, positive: Column, sample: int = SAMPLE) -> Model:
+    """The model with its curve, fitted on at most ``sample`` texts labelled positive and twice as many of the other label.
+
+    They are chosen by a hash; ``labels`` is as for ``marked``, null labels are left out. Only hashes and margins move.
+    """
+    ship(docs.sparkSession)
+    said = labels.select(F.col(key), positive.alias("positive")).where("positive is not null")
+    kinds = hashed(docs, key, text).join(said, key).groupBy("text_hash").agg(F.bool_or("positive").alias("positive")).withColumn("h", F.xxhash64("text_hash", F.lit("sample")))
+    some = kinds.where("positive").orderBy("h", "text_hash").limit(sample).union(kinds.where("not positive").orderBy("h", "text_hash").limit(2 * sample))
+    whole = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield pd.Series([model.margin(x) for x in s], dtype="float64")
+
+    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    held = whole.join(F.broadcast(some), "text_hash").withColumn("margin", F.pandas_udf(run, "double")("text"))
+    with small_batches(docs.sparkSession):
+        rows = sorted(held.groupBy("text_hash", "positive").agg(F.min("margin").alias("margin")).collect())
+    slope, offset = curve(np.array([r["margin"] for r in rows], float), np.array([r["positive"] for r in rows], bool), model.prior)
+    return replace(model, slope=slope, offset=offset)
+
+
 def prior_of(labelled: DataFrame, label: Column) -> float:
     """Share of label 1 among labelled rows."""
     r = labelled.agg(F.avg(F.when(label, 1.0).when(~label, 0.0))).first()[0]
