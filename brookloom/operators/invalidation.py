@@ -186,7 +186,7 @@ def downstream_requirement(edges: DataFrame | None, required: DataFrame) -> Data
 
 
 def ready(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
-    """(job_id): jobs to run (state Run or Invalidated) all of whose upstreams are finished (Success or Skipped)."""
+    """(job_id): jobs to run (state Run or Invalidated) all of whose upstreams are finished (Success or Skipped). Edges may repeat."""
     done = states.where(F.col("state").isin("Success", "Skipped")).select(F.col("job_id").alias("up"))
     waiting = edges.join(done, "up", "left_anti").select(F.col("down").alias("job_id")).distinct()
     return nodes.select("job_id").join(states.where(F.col("state").isin("Run", "Invalidated")), "job_id", "left_semi").join(waiting, "job_id", "left_anti")

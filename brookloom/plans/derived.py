@@ -62,16 +62,24 @@ class Derived:
             nodes = own if nodes is None else nodes.union(own)
         self.nodes = nodes
         # keys are told apart as numbers, by one shuffle for both kinds of edges
-        items = spread(read("lineitem", "l_orderkey", "l_suppkey", "l_partkey"), "l_orderkey")
+        items = read("lineitem", "l_orderkey", "l_suppkey", "l_partkey")
         ups = F.array(*[F.struct(F.lit(x).alias("x"), F.col(c).cast("long").alias("k")) for x, c in (("S", "l_suppkey"), ("P", "l_partkey"))])
-        steps = items.select("l_orderkey", F.explode(ups).alias("u")).select("l_orderkey", "u.x", "u.k").distinct()
-        self.edges = (
+
+        def steps(items: DataFrame) -> DataFrame:
+            return items.select("l_orderkey", F.explode(ups).alias("u")).select("l_orderkey", "u.x", "u.k")
+
+        def named(steps: DataFrame) -> DataFrame:
+            return steps.select(F.concat("x", "k").alias("up"), F.concat(F.lit("O"), "l_orderkey").alias("down"))
+
+        others = (
             edge(read("nation", "n_regionkey", "n_nationkey"), "R", "n_regionkey", "N", "n_nationkey")
             .union(edge(read("customer", "c_nationkey", "c_custkey"), "N", "c_nationkey", "C", "c_custkey"))
             .union(edge(read("supplier", "s_nationkey", "s_suppkey"), "N", "s_nationkey", "S", "s_suppkey"))
             .union(edge(read("orders", "o_custkey", "o_orderkey"), "C", "o_custkey", "O", "o_orderkey"))
-            .union(steps.select(F.concat("x", "k").alias("up"), F.concat(F.lit("O"), "l_orderkey").alias("down")))
         )
+        self.edges = others.union(named(steps(spread(items, "l_orderkey")).distinct()))
+        #: edges without a shuffle, for operators that take rows that repeat as one
+        self.edge_rows = others.union(named(steps(items)))
         self.inputs = self.edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up")
         self.cur_output = self.nodes.select("job_id", F.col("job_id").alias("output_name"), "hash")
 

@@ -276,3 +276,11 @@ def test_input_keys_are_made_in_tasks_that_are_not_merged(spark):
     found = digests.input_key(inputs, outputs)
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     assert found.first().input_key == hashlib.sha256(b"a=0a\nb=0A\nc=\nd").hexdigest()
+
+
+def test_ready_jobs_are_found_without_telling_line_items_apart(spark):
+    from brookloom.plans.queries import ready
+
+    with settings(spark, LARGE):
+        plan = ready(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and "REPARTITION_BY_NUM" not in plan  # a shuffle of line items before
