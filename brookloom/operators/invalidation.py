@@ -18,9 +18,12 @@ FEW_PARTS = 6
 
 
 def input_digest(inputs: DataFrame) -> DataFrame:
-    """(job_id, input_digest): MD5 of a job's sorted distinct input names, a line each."""
+    """(job_id, input_digest): MD5 of a job's sorted distinct input names, a line each.
+
+    Names are dealt before they are collected: sets are many as jobs, and made before a shuffle they would spill.
+    """
     names = F.array_join(F.array_sort(F.collect_set("input_name")), "\n")
-    return inputs.groupBy("job_id").agg(F.md5(names).alias("input_digest"))
+    return spread(inputs.select("job_id", "input_name"), "job_id").groupBy("job_id").agg(F.md5(names).alias("input_digest"))
 
 
 def inputs_changed(nodes: DataFrame, digests: DataFrame, hist_inputs: DataFrame) -> DataFrame:

@@ -284,3 +284,12 @@ def test_ready_jobs_are_found_without_telling_line_items_apart(spark):
     with settings(spark, LARGE):
         plan = ready(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" in plan and "REPARTITION_BY_NUM" not in plan  # a shuffle of line items before
+
+
+def test_input_names_are_dealt_before_they_are_collected(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("j", x) for x in "cabac"], "job_id string, input_name string")
+    found = invalidation.input_digest(rows)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # 1 before
+    assert found.first().input_digest == hashlib.md5(b"a\nb\nc").hexdigest()
