@@ -74,13 +74,14 @@ def ancestors(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(job_id, level): the longest path that leads to a node. A graph with a cycle fails.
+    """(job_id, level): the longest path that leads to a node. A graph with a cycle fails. Edges may repeat.
 
     Nodes without an open upstream are peeled off, a level a round; a node's open upstreams are counted down by the edges
-    that leave the level, so each edge is used once and each node placed once.
+    that leave the level, so each edge is used once and each node placed once. The edges that leave a level of many nodes
+    are marked in a stored table, and later rounds read the others alone; once none is left, none is joined.
     """
     inner = edges.join(nodes.select(F.col("job_id").alias("up")), "up", "left_semi").join(nodes.select(F.col("job_id").alias("down")), "down", "left_semi").select("up", "down").distinct()
-    inner = written(inner, "edges")
+    inner = held = written(inner, "edges")
     waits = inner.groupBy(F.col("down").alias("job_id")).agg(F.count(F.lit(1)).alias("open"))
     left = written(nodes.select("job_id").distinct().join(waits, "job_id", "left").select("job_id", F.coalesce("open", F.lit(0)).alias("open")), "open")
     found, parts, depth = None, [], 0
@@ -90,16 +91,28 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             dropped(free)
             break
         parts.append(free)
-        done = free.select(F.col("job_id").alias("up")).join(inner, "up").groupBy(F.col("down").alias("job_id")).agg(F.count(F.lit(1)).alias("done"))
-        after = written(left.where("open > 0").join(done, "job_id", "left").select("job_id", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")), "open")
-        dropped(left)
+        ups, before = free.select(F.col("job_id").alias("up")), held
+        if inner is not None and free.count() >= MANY:
+            if inner.isEmpty():
+                inner = None
+            else:
+                held = written(inner.join(ups.withColumn("used", F.lit(True)), "up", "left").select(F.when(F.col("used").isNull(), F.col("up")).alias("up"), "down"), "edges")
+                inner = held.where("up is not null")
+        waiting = left.where("open > 0")
+        if inner is None:
+            after = written(waiting, "open")
+        else:
+            gone = ups.join(inner, "up").select("down") if held is before else held.where("up is null").select("down")
+            done = gone.groupBy(F.col("down").alias("job_id")).agg(F.count(F.lit(1)).alias("done"))
+            after = written(waiting.join(done, "job_id", "left").select("job_id", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")), "open")
+        dropped(left, *([] if held is before else [before]))
         left, depth = after, depth + 1
         if len(parts) > PARTS:
             found = written(union(parts), "levels")
             dropped(*parts)
             parts = [found]
     cycle = not left.isEmpty()
-    dropped(left, inner)
+    dropped(left, held)
     if cycle:
         raise ValueError("the graph has a cycle")
     return union(parts) if parts else nodes.select("job_id", F.lit(0).alias("level")).limit(0)

@@ -293,3 +293,25 @@ def test_input_names_are_dealt_before_they_are_collected(spark):
     found = invalidation.input_digest(rows)
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # 1 before
     assert found.first().input_digest == hashlib.md5(b"a\nb\nc").hexdigest()
+
+
+@pytest.mark.parametrize("many", [1, 3])
+def test_levels_of_many_nodes_read_only_edges_that_are_left(spark, monkeypatch, many):
+    sizes = []
+
+    def kept(df, name):
+        out = written_(df, name)
+        if name == "edges":
+            sizes.append((out.count(), out.where("up is null").count()))
+        return out
+
+    written_ = graph.written
+    monkeypatch.setattr(graph, "written", kept)
+    monkeypatch.setattr(graph, "MANY", many, raising=False)
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "job_id string")
+    edges = spark.createDataFrame([("a", "d"), ("b", "d"), ("c", "e"), ("c", "e"), ("d", "f"), ("e", "f"), ("a", "f"), ("f", "g")], "up string, down string")
+    found = {tuple(r) for r in graph.levels(nodes, edges).collect()}
+    assert found == {("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 1), ("f", 2), ("g", 3)}
+    assert sizes == ([(7, 0), (7, 4), (3, 2), (1, 1)] if many == 1 else [(7, 0), (7, 4)])  # all edges in all rounds before
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(nodes, edges.union(spark.createDataFrame([("g", "f")], "up string, down string")))
