@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, closure, descendants, leaf_ephemerals, required_walk, reversed_edges
-from brookloom.plans.tables import spread, stored, written
+from brookloom.operators.graph import ALWAYS, EPHEMERAL, OUTPUT, ancestors, descendants, required_walk
+from brookloom.plans.tables import by_first_key, dealt, dropped, spread, stored, written
 
 SEPARATOR = ":::"
 #: Names of so many parts are matched by every choice of them (63 of six), others by pairs.
@@ -89,6 +89,19 @@ def edge_invalidated(edges: DataFrame | None, inputs: DataFrame, cur_output: Dat
     return found.where("used" if edges is None else "used and edge").select("up", "down", "invalidated")
 
 
+def changed_jobs(inputs: DataFrame, cur_output: DataFrame, hist_edge: DataFrame) -> DataFrame:
+    """(job_id): jobs of which ``edge_invalidated`` finds an edge invalidated, as a stored table.
+
+    Where ``inputs`` and ``hist_edge`` lie by upstream (``dealt``), current outputs alone are shuffled, and the jobs found.
+    """
+    now = cur_output.select(F.col("job_id").alias("up"), "output_name", F.col("hash").alias("now"))
+    seen = hist_edge.select("up", "down", "output_name", F.col("hash").alias("was")).join(now, ["up", "output_name"])
+    same = seen.where(same_fingerprint(F.col("up"), F.col("was"), F.col("now"))).select("up", "down", "output_name")
+    used = inputs.select("up", F.col("job_id").alias("down"), F.col("input_name").alias("output_name")).where("up is not null and down is not null")
+    with by_first_key(inputs.sparkSession):
+        return written(used.join(same, ["up", "down", "output_name"], "left_anti").select(F.col("down").alias("job_id")).distinct(), "changed")
+
+
 def rename_match(lost: DataFrame, known: DataFrame) -> DataFrame:
     """(up, down, old_up, overlap): for edges without history, the former upstream of the same job with most common parts.
 
@@ -156,25 +169,31 @@ def planned(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
     ``stale`` (job_id, cause): jobs that differ from history by what is known now. They run, and so do Always jobs, and
     ephemerals that have to deliver to what runs. What lies below a job that runs depends on whether that gives what it
     gave before, and so does an ephemeral that only such a job needs. An ephemeral below which nothing else lies is
-    skipped. Closures over stored tables, each of which visits a node once: it always ends.
+    skipped. Closures over stored tables, each of which visits a node once: it always ends. Walks upwards go on from
+    ephemerals alone, so they read the edges that leave one; where ``edges`` lie by upstream (``dealt``), these are stored by
+    downstream.
     """
-    nodes, edges = stored(nodes, "nodes", "job_id", "kind"), stored(edges, "edges", "up", "down")
-    idle = written(leaf_ephemerals(nodes, edges), "idle")
-    odd = written(stale.join(idle, "job_id", "left_anti").groupBy("job_id").agg(F.min("cause").alias("cause")), "stale")
+    nodes, rows = stored(nodes, "nodes", "job_id", "kind"), edges.__dict__.get("_rows")
+    edges = stored(edges, "edges", "up", "down")
     eph = nodes.where(F.col("kind") == EPHEMERAL).select("job_id")
-    live = edges.join(idle.withColumnRenamed("job_id", "down"), "down", "left_anti")
+    feeds = edges.join(eph.withColumnRenamed("job_id", "up"), "up", "left_semi").select("up", "down")
+    feeds = written(feeds, "feeds") if rows is None else dealt(feeds, "feeds", "down", rows)
+    # all that lies below an idle ephemeral is idle as well
+    idle = written(eph.join(ancestors(nodes.where(F.col("kind") != EPHEMERAL).select("job_id"), feeds), "job_id", "left_anti"), "idle")
+    odd = written(stale.join(idle, "job_id", "left_anti").groupBy("job_id").agg(F.min("cause").alias("cause")), "stale")
 
     def givers(to: DataFrame) -> DataFrame:
         """Ephemerals that have to deliver if ``to`` run, and those of ``to`` themselves."""
-        return closure(to, reversed_edges(edges), through=eph).join(eph, "job_id", "left_semi").distinct()
+        return ancestors(to, feeds).join(eph, "job_id", "left_semi").distinct()
 
     runs = odd.join(nodes, "job_id").where(F.col("kind") != ALWAYS).select("job_id", "cause")
     need = givers(runs.union(nodes.where(F.col("kind") == ALWAYS).select("job_id", F.lit("always")))).join(runs, "job_id", "left_anti")
     sure = written(runs.union(need.select("job_id", F.lit("needed below"))).union(nodes.where(F.col("kind") == ALWAYS).select("job_id", F.lit("always"))), "sure")
     # what an ephemeral gives that only runs because it is needed is what it gave before
-    below = descendants(odd.select("job_id"), live).join(sure, "job_id", "left_anti")
+    below = descendants(odd.select("job_id"), edges).join(sure, "job_id", "left_anti")
     below = written(below.join(idle, "job_id", "left_anti"), "below")
     perhaps = below.union(givers(below).join(sure, "job_id", "left_anti")).distinct().withColumn("cause", F.lit("above"))
+    dropped(feeds)
     both = nodes.join(sure.withColumn("action", F.lit("Run")).union(perhaps.withColumn("action", F.lit("Depends"))), "job_id", "left")
     return both.select("job_id", F.coalesce("action", F.lit("Skip")).alias("action"), "cause")
 

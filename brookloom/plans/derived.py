@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.plans.tables import spread, written
+from brookloom.plans.tables import dealt, spread, written
 
 #: (letter, table, key, kind, columns that make a node's hash)
 NODES = [
@@ -60,7 +60,7 @@ class Derived:
         for x, name, key, kind, columns in NODES:
             own = read(name, *columns).select(F.concat(F.lit(x), F.col(key)).alias("job_id"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("k"), F.md5(F.concat_ws("|", *columns)).alias("hash"))
             nodes = own if nodes is None else nodes.union(own)
-        self.nodes = nodes
+        self.nodes, self.spark, self.sf_dir = nodes, spark, sf_dir
         # keys are told apart as numbers, by one shuffle for both kinds of edges
         items = read("lineitem", "l_orderkey", "l_suppkey", "l_partkey")
         ups = F.array(*[F.struct(F.lit(x).alias("x"), F.col(c).cast("long").alias("k")) for x, c in (("S", "l_suppkey"), ("P", "l_partkey"))])
@@ -85,7 +85,15 @@ class Derived:
 
     def stored(self) -> Derived:
         """The graph with nodes and edges as stored tables, for queries that read them several times."""
-        self.nodes, self.edges = written(self.nodes, "nodes"), written(self.edges, "edges")
+        return self._with(written(self.nodes, "nodes"), written(self.edges, "edges"))
+
+    def dealt(self) -> Derived:
+        """The graph with edges as a stored table that lies by upstream, for queries that join or group them so several times."""
+        items, orders = (self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").count() for name in ("lineitem", "orders"))
+        return self._with(self.nodes, dealt(self.edge_rows, "edges", "up", 2 * items + orders))
+
+    def _with(self, nodes: DataFrame, edges: DataFrame) -> Derived:
+        self.nodes, self.edges = nodes, edges
         self.inputs = self.edges.select(F.col("down").alias("job_id"), F.col("up").alias("input_name"), "up")
         self.cur_output = self.nodes.select("job_id", F.col("job_id").alias("output_name"), "hash")
         return self
@@ -102,9 +110,8 @@ class Derived:
     def hist_edge(self) -> DataFrame:
         up = self.nodes.select(F.col("job_id").alias("up"), F.col("k").alias("uk"), "hash")
         # the key of a node is its id without the letter: no join with the larger side
-        keyed = self.edges.withColumn("dk", F.substring("down", 2, 20).cast("long")).join(up, "up")
-        both = F.col("uk") + F.col("dk")
-        return keyed.where(both % 11 != 0).select("up", "down", F.col("up").alias("output_name"), self._aged(both, F.col("hash")).alias("hash"))
+        both = F.col("uk") + F.substring("down", 2, 20).cast("long")
+        return self.edges.join(up, "up").where(both % 11 != 0).select("up", "down", F.col("up").alias("output_name"), self._aged(both, F.col("hash")).alias("hash"))
 
     @property
     def present(self) -> DataFrame:

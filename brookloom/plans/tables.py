@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Rows of a bucket of a ``dealt`` table, about.
+BUCKET = 2_000_000
 _own_dirs: dict[str, str] = {}
 
 
@@ -157,10 +159,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many tasks as shuffles have, 4 a core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` to as many tasks as shuffles have, 4 a core at least; Spark doesn't merge them into few large ones."""
+    return df.repartition(tasks(df.sparkSession), *keys)
+
+
+def dealt(df: DataFrame, name: str, key: str, rows: int) -> DataFrame:
+    """The distinct rows of ``df``, about ``rows`` of them, as a stored table whose rows lie by ``key``, in buckets.
+
+    Joins and aggregations by ``key`` don't shuffle it, and those by more columns needn't (see ``by_first_key``). The catalog
+    names the table until it is dropped.
+    """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+    n = max(tasks(spark), -(-rows // BUCKET))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brookloom/{table}"
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):  # a task's rows are one bucket: nothing to sort
+        df.repartition(n, key).distinct().write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._written_at, out._table, out._rows = path, table, rows
+    return out
+
+
+def by_first_key(spark: SparkSession):  # noqa: ANN201
+    """Settings under which rows that lie by one key of a join aren't shuffled by all of them."""
+    return settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
 
 
 def stored(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -170,5 +198,7 @@ def stored(df: DataFrame, name: str, *columns: str) -> DataFrame:
 
 def dropped(*frames: DataFrame) -> None:
     for df in frames:
+        if table := df.__dict__.get("_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path := df.__dict__.get("_written_at"):
             delete(df.sparkSession, path)

@@ -315,3 +315,34 @@ def test_levels_of_many_nodes_read_only_edges_that_are_left(spark, monkeypatch,
     assert sizes == ([(7, 0), (7, 4), (3, 2), (1, 1)] if many == 1 else [(7, 0), (7, 4)])  # all edges in all rounds before
     with pytest.raises(ValueError, match="cycle"):
         graph.levels(nodes, edges.union(spark.createDataFrame([("g", "f")], "up string, down string")))
+
+
+def test_edges_that_lie_by_upstream_are_compared_and_walked_where_they_lie(spark, monkeypatch):
+    from brookloom.plans.derived import Derived
+    from brookloom.plans.tables import dropped
+
+    plain, lying = Derived(spark, "/root/testdata/sf0.001"), Derived(spark, "/root/testdata/sf0.001").dealt()
+    assert lying.edges.count() == plain.edges.count() and lying.edges.join(plain.edges, ["up", "down"], "left_anti").isEmpty()
+    plans, write = [], invalidation.written
+    monkeypatch.setattr(invalidation, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    with settings(spark, LARGE):
+        changed = invalidation.changed_jobs(lying.inputs, lying.cur_output, lying.hist_edge)
+        assert graph.descendants(changed, lying.edges).count() == graph.descendants(changed, plain.edges).count()
+        assert plans[0].count("Exchange hashpartitioning") == 3  # nodes twice, and the jobs found; edges were shuffled four times before
+        assert shuffles(spark, lying.edges.join(changed.withColumnRenamed("job_id", "up"), "up")) == 1
+    want = invalidation.edge_invalidated(None, plain.inputs, plain.cur_output, plain.hist_edge).where("invalidated").select("down").distinct()
+    assert {r.job_id for r in changed.collect()} == {r.down for r in want.collect()}
+    stale = changed.withColumn("cause", F.lit("differs"))
+    plan = [{tuple(r) for r in invalidation.planned(g.nodes, g.edges, stale).collect()} for g in (plain, lying)]
+    assert plan[0] == plan[1] and {action for _, action, _ in plan[0]} == {"Run", "Depends", "Skip"}
+    before = spark.catalog.listTables()
+    dropped(lying.edges)
+    assert len(spark.catalog.listTables()) == len(before) - 1
+
+
+def test_a_plan_ends_at_ephemerals_that_only_feed_ephemerals(spark):
+    edges = spark.createDataFrame([("o", "e"), ("e", "f"), ("f", "g"), ("o", "p"), ("k", "p"), ("h", "k"), ("k", "e")], "up string, down string")
+    nodes = spark.createDataFrame([(x, "Output" if x in "op" else "Ephemeral") for x in "oefgpkh"], "job_id string, kind string")
+    for odd, want in (("o", {"o": "Run", "p": "Depends", "k": "Depends", "h": "Depends"}), ("p", {"p": "Run", "k": "Run", "h": "Run"}), ("f", {})):
+        found = invalidation.planned(nodes, edges, spark.createDataFrame([(odd, "differs")], "job_id string, cause string"))
+        assert {r.job_id: r.action for r in found.collect() if r.action != "Skip"} == want
