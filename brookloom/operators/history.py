@@ -23,12 +23,13 @@ def merge_inputs(old: DataFrame, digests: DataFrame, outcomes: DataFrame) -> Dat
     return old.join(gone, "job_id", "left_anti").unionByName(digests.join(good, "job_id", "left_semi").select(*old.columns))
 
 
-def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: DataFrame, cur_output: DataFrame, hist_output: DataFrame, outcomes: DataFrame) -> DataFrame:
+def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: DataFrame, cur_output: DataFrame, hist_output: DataFrame, outcomes: DataFrame, buckets: int | None = None) -> DataFrame:
     """hist_edge after a run.
 
     Rows of an edge that is gone while both its jobs are there go; rows of absent jobs stay. Of an edge into a job that
     gave an output, or an ephemeral that was skipped: the upstream's new output, else the row as it was, else the
-    upstream's stored output.
+    upstream's stored output. Where ``old`` and ``edges`` lie by upstream in so many ``buckets`` (``dealt``), they are merged
+    where they lie.
     """
     given = outcomes.where(F.col("outcome") == "Success").select("job_id")
     passed = nodes.where(F.col("kind") == EPHEMERAL).join(outcomes.where(F.col("outcome") == "Skipped").select("job_id"), "job_id", "left_semi").select("job_id")
@@ -41,9 +42,10 @@ def merge_edges(old: DataFrame, nodes: DataFrame, edges: DataFrame, inputs: Data
     # old and fresh rows and edges meet in one shuffle; of old rows without either, whether both jobs are there
     none, name = F.lit(None).cast("binary"), F.when(F.col("output_name") == F.col("up"), "=").otherwise(F.concat(F.lit("+"), "output_name"))
     rows = old.select("up", "down", name.alias("name"), packed("hash").alias("was"), none.alias("now"), none.alias("stored"), F.lit(False).alias("fresh"), F.lit(False).alias("edge"))
-    rows = rows.union(fresh.select("up", "down", name, none, packed("now"), F.when(F.col("now").isNull(), packed("stored")), F.lit(True), F.lit(False)))
+    fresh = fresh.select("up", "down", name, none, packed("now"), F.when(F.col("now").isNull(), packed("stored")), F.lit(True), F.lit(False))
+    rows = rows.union(fresh if buckets is None else fresh.repartition(buckets, "up"))
     rows = rows.union(edges.select("up", "down", F.lit(None).cast("string"), none, none, none, F.lit(False), F.lit(True)))
-    both = rows.repartition("up", "down").groupBy("up", "down", "name").agg(*[F.max(c).alias(c) for c in ("was", "now", "stored", "fresh", "edge")])
+    both = (rows.repartition("up", "down") if buckets is None else rows).groupBy("up", "down", "name").agg(*[F.max(c).alias(c) for c in ("was", "now", "stored", "fresh", "edge")])
     both = both.withColumn("stays", F.max(F.col("edge")).over(Window.partitionBy("up", "down")) | F.col("fresh"))
     found = F.when(F.col("fresh"), F.coalesce("now", "was", "stored")).otherwise(F.col("was"))
     both = both.select("up", "down", "name", found.alias("found"), "stays").where("found is not null")

@@ -182,7 +182,7 @@ def dealt(df: DataFrame, name: str, key: str, rows: int) -> DataFrame:
     with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):  # a task's rows are one bucket: nothing to sort
         df.repartition(n, key).distinct().write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(table)
     out = spark.table(table)
-    out._written_at, out._table, out._rows = path, table, rows
+    out._written_at, out._table, out._rows, out._buckets = path, table, rows, n
     return out
 
 

@@ -346,3 +346,21 @@ def test_a_plan_ends_at_ephemerals_that_only_feed_ephemerals(spark):
     for odd, want in (("o", {"o": "Run", "p": "Depends", "k": "Depends", "h": "Depends"}), ("p", {"p": "Run", "k": "Run", "h": "Run"}), ("f", {})):
         found = invalidation.planned(nodes, edges, spark.createDataFrame([(odd, "differs")], "job_id string, cause string"))
         assert {r.job_id: r.action for r in found.collect() if r.action != "Skip"} == want
+
+
+def test_edges_that_lie_by_upstream_are_merged_where_they_lie(spark):
+    import re
+
+    from brookloom.plans.derived import Derived
+
+    found = []
+    for g in (Derived(spark, "/root/testdata/sf0.001"), Derived(spark, "/root/testdata/sf0.001").dealt()):
+        new = g.cur_output.join(g.outcomes.where("outcome = 'Success'").select("job_id"), "job_id", "left_semi")
+        nodes, edges = g.nodes.where("k <> 5"), g.edges.where("up not like 'S%2'")  # rows of absent jobs stay, those of edges that are gone go
+        lying = {"buckets": g.edges._buckets} if "_buckets" in g.edges.__dict__ else {}
+        merged = history.merge_edges(g.hist_edge, nodes, edges, g.inputs, new, g.hist_output, g.outcomes, **lying)
+        with settings(spark, LARGE):
+            plan = merged.select("*")._jdf.queryExecution().executedPlan().toString()
+        found.append((sorted(map(tuple, merged.collect())), len(re.findall(r"Exchange hashpartitioning\(up#\d+, down#\d+", plan))))
+    assert found[0][0] == found[1][0] and len(set(found[0][0])) == len(found[0][0]) > 1000
+    assert found[0][1] and not found[1][1]  # all rows were shuffled by edge before
