@@ -129,13 +129,14 @@ def rename_match(lost: DataFrame, known: DataFrame) -> DataFrame:
     return best.select("up", "down", "best.old_up", (-F.col("best.most")).alias("overlap"))
 
 
-def node_validation(nodes: DataFrame, edges: DataFrame, edge_state: DataFrame, hist_output: DataFrame) -> DataFrame:
-    """(job_id, vstatus) from edge states (up, down, invalidated or null where ``up`` isn't done).
+def node_validation(nodes: DataFrame, edges: DataFrame | None, edge_state: DataFrame, hist_output: DataFrame) -> DataFrame:
+    """(job_id, vstatus) from edge states (up, down, invalidated or null where ``up`` isn't done). ``edges`` None: all that
+    decide are in ``edge_state``.
 
     Any invalidated edge: Invalidated. Else any pending one: Unknown. Else Validated, but an ephemeral without history is
     Invalidated.
     """
-    told = edges.join(edge_state, ["up", "down"], "left").where(F.coalesce("invalidated", F.lit(True)))  # others decide nothing
+    told = (edge_state if edges is None else edges.join(edge_state, ["up", "down"], "left")).where(F.coalesce("invalidated", F.lit(True)))  # others decide nothing
     state = told.groupBy(F.col("down").alias("job_id")).agg(F.bool_or("invalidated").alias("bad"), F.count_if(F.col("invalidated").isNull()).alias("pending"))
     known = hist_output.select("job_id", F.lit(True).alias("known")).distinct()
     both = nodes.join(state, "job_id", "left").join(known, "job_id", "left")

@@ -364,3 +364,15 @@ def test_edges_that_lie_by_upstream_are_merged_where_they_lie(spark):
         found.append((sorted(map(tuple, merged.collect())), len(re.findall(r"Exchange hashpartitioning\(up#\d+, down#\d+", plan))))
     assert found[0][0] == found[1][0] and len(set(found[0][0])) == len(found[0][0]) > 1000
     assert found[0][1] and not found[1][1]  # all rows were shuffled by edge before
+
+
+def test_validation_by_changed_jobs_reads_no_edges(spark):
+    t = graph_tables(spark)
+    nodes = spark.createDataFrame([("a", "Output"), ("b", "Output"), ("c", "Output"), ("m", "Ephemeral"), ("e", "Ephemeral")], "job_id string, kind string")
+    known = spark.createDataFrame([("m",)], "job_id string")
+    whole = invalidation.node_validation(nodes, t["edges"], invalidation.edge_invalidated(t["edges"], t["inputs"], t["outputs"], t["hist"]), known)
+    changed = invalidation.changed_jobs(t["inputs"], t["outputs"], t["hist"])
+    found = invalidation.node_validation(nodes, None, changed.select(F.col("job_id").alias("down"), F.lit(True).alias("invalidated")), known)
+    assert [r.job_id for r in changed.collect()] == ["c"]
+    assert dict(found.collect()) == dict(whole.collect()) == {"a": "Validated", "b": "Validated", "c": "Invalidated", "m": "Validated", "e": "Invalidated"}
+    assert shuffles(spark, found) <= 5 < shuffles(spark, whole)
