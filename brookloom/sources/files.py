@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookloom.plans.tables import settings, written
+from brookloom.plans.tables import settings, tasks, written
 
 SIDE = ".sha256"
 FINGERPRINTS = "path string, hash string, mtime long, size long"
@@ -60,6 +60,33 @@ def side_hashes(spark: SparkSession, *paths: str) -> DataFrame:
     return sides.select(F.expr(f"left(path, length(path) - {len(SIDE)})").alias("path"), F.lower(F.trim(F.decode("content", "UTF-8"))).alias("said"), F.col("mtime").alias("side_mtime"))
 
 
+def put(rows: DataFrame, folder: str) -> int:
+    """Write a file a row of ``rows`` (name, text), the text as a line, and count them; names are there once.
+
+    Files are dealt by their names to as many folders as there are tasks, so that a listing reads few folders. A task that
+    runs again writes the same files.
+    """
+    top = qualified(rows.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", top) if ":" in top else f"file://{top}")
+        made = set()
+        for batch in batches:
+            for at, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at not in made:
+                    system.create_dir(f"{place}/{at}", recursive=True)
+                    made.add(at)
+                with system.open_output_stream(f"{place}/{at}/{name}") as f:
+                    f.write(f"{text}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    n = tasks(rows.sparkSession)
+    by_folder = rows.select(F.pmod(F.xxhash64("name"), F.lit(n)).alias("at"), "name", F.coalesce("text", F.lit("")).alias("text")).repartition(n, "at")
+    return by_folder.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def hashed_in_ranges(files: DataFrame) -> DataFrame:
     """(path, hash, mtime, size) of large files, a range a row, so that no task holds a file; read by pyarrow's file systems."""
     step = RANGE
@@ -87,11 +114,13 @@ def hashed_in_ranges(files: DataFrame) -> DataFrame:
     return files.select("path", "mtime", "size").join(parts.groupBy("path").agg(F.sha2(ordered, 256).alias("hash")), "path").select("path", "hash", "mtime", "size")
 
 
-def hashed(files: DataFrame) -> DataFrame:
-    """(path, hash, mtime, size) of what ``reader`` gives; each file is read once, large ones in ranges."""
+def hashed(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(path, hash, mtime, size) of what ``reader`` gives; each file is read once, large ones in ranges.
+
+    ``names`` (size): a stored listing that tells whether any is large, which takes a look at each file otherwise."""
     small = files.where(F.col("size") <= LARGE).select("path", F.sha2("content", 256).alias("hash"), "mtime", "size")
     large = files.where(F.col("size") > LARGE).select("path", "mtime", "size")
-    return small if large.isEmpty() else small.unionByName(hashed_in_ranges(large))
+    return small if (large if names is None else names.where(F.col("size") > LARGE)).isEmpty() else small.unionByName(hashed_in_ranges(large))
 
 
 def hashed_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -116,7 +145,7 @@ def fingerprints(spark: SparkSession, paths: list[str], history: DataFrame | Non
         known = with_sides(names.where(~side), sides)
         if history is None:  # all files but those with a side are opened
             others = reader(spark, paths).where(~side)
-            fresh = hashed(others if sides is None else others.join(sides.select("path"), "path", "left_anti"))
+            fresh = hashed(others if sides is None else others.join(sides.select("path"), "path", "left_anti"), names)
         else:
             old = history.select("path", F.col("hash").alias("was"), "mtime", "size").dropDuplicates(["path", "mtime", "size"])
             known = written(known.join(old, ["path", "mtime", "size"], "left").select("path", F.coalesce("hash", "was").alias("hash"), "mtime", "size"), "known")

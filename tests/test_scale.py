@@ -376,3 +376,21 @@ def test_validation_by_changed_jobs_reads_no_edges(spark):
     assert [r.job_id for r in changed.collect()] == ["c"]
     assert dict(found.collect()) == dict(whole.collect()) == {"a": "Validated", "b": "Validated", "c": "Invalidated", "m": "Validated", "e": "Invalidated"}
     assert shuffles(spark, found) <= 5 < shuffles(spark, whole)
+
+
+def test_files_are_put_into_few_folders_and_looked_at_once(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    rows = spark.range(300).select(F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") > 0, F.concat(F.lit("é"), "id")).alias("text"))
+    assert files.put(rows, f"file://{tmp_path}/made") == 300
+    folders = list((tmp_path / "made").iterdir())
+    assert 1 < len(folders) <= max(2, 4 * spark.sparkContext.defaultParallelism)  # a folder a file before
+    want = {f"n{i}": hashlib.sha256(f"é{i}\n".encode() if i else b"\n").hexdigest() for i in range(300)}
+    asked, plain = [], files.hashed
+    monkeypatch.setattr(files, "hashed", lambda *a: asked.append(len(a)) or plain(*a))
+    found = files.fingerprints(spark, [f"file://{tmp_path}/made"])
+    assert {r.path.rsplit("/", 1)[-1]: r.hash for r in found.collect()} == want
+    assert asked == [2]  # whether any is large was asked of each file again before
+    monkeypatch.setattr(files, "LARGE", 5)  # texts of 100 on are 6 bytes
+    assert {r.path.rsplit("/", 1)[-1] for r in files.fingerprints(spark, [f"file://{tmp_path}/made"]).collect()} == set(want)
+    assert files.put(rows.limit(0), f"file://{tmp_path}/none") == 0
